@@ -1,4 +1,4 @@
-"""The queries opN_<name> and their SQL."""
+"""The queries opN_<name> and their SQL, where SQL can express them on whole tables."""
 
 from __future__ import annotations
 
@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matriq.llm import decontaminate, exact_dedup, license_scan, secret_scan, url_filters
+from matriq.llm import decontaminate, exact_dedup, language, license_scan, ngram_join, pieces, secret_scan, toxicity, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op2_ngram_join": ngram_join.op2_ngram_join,
+        "op3_toxicity": toxicity.op3_toxicity,
+        "op4_language_id": language.op4_language_id,
+        "op5_pieces": pieces.op5_pieces,
         "op7_license_scan": license_scan.op7_license_scan,
         "op8_secret_scan": secret_scan.op8_secret_scan,
         "op9_url_filters": url_filters.op9_url_filters,
