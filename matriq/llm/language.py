@@ -110,9 +110,11 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and _LETTER.search(text) is not None
 
 
-def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """One row per input row: id, lang_pred, score (0 to 1: softmax of the languages' regression values), and the columns in keep.
 
+    names: of the two new columns, where keep has such columns already.
+
     Whole texts are read, at any length. Null texts, and those without a letter, are `und` with score 0,
     and so is every text if the model knows no language. Equal values: the first language by name.
     Repeated rows each keep their row, null ids stay null, no rows give none; other columns are ignored.
@@ -120,7 +122,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     cols = [id_col, *(c for c in keep if c not in (id_col, text_col)), text_col]
     fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     outer = [c for c in cols if c != text_col or text_col in keep]
-    schema = ", ".join([*(f"`{c}` {fields[c]}" for c in outer), "`lang_pred` string", "`score` double"])
+    schema = ", ".join([*(f"`{c}` {fields[c]}" for c in outer), f"`{names[0]}` string", f"`{names[1]}` double"])
     sent = docs.sparkSession.sparkContext.broadcast(model)  # landmarks and weights: bounded by the model's size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +140,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
                     best = np.where(letters, np.array(m.languages, object)[win], UNDECIDED)
                     top = np.where(letters, (e / e.sum(1, keepdims=True))[np.arange(n), win], 0.0)
                 arrays = [rows.column(i) for i, c in enumerate(cols) if c in outer]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(best.tolist(), pa.string()), pa.array(top, pa.float64())], names=[*outer, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(best.tolist(), pa.string()), pa.array(top, pa.float64())], names=[*outer, *names])
 
     return docs.select(*cols).mapInArrow(run, schema)
 

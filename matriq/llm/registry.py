@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matriq.llm import decontaminate, exact_dedup, language, license_scan, ngram_join, pieces, secret_scan, toxicity, url_filters
+from matriq.llm import decontaminate, exact_dedup, language, license_scan, ngram_join, pieces, secret_scan, suffix_dedup, toxicity, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_language_id": language.op4_language_id,
         "op5_pieces": pieces.op5_pieces,
+        "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
         "op7_license_scan": license_scan.op7_license_scan,
         "op8_secret_scan": secret_scan.op8_secret_scan,
         "op9_url_filters": url_filters.op9_url_filters,
