@@ -1,0 +1,42 @@
+"""Delaunay triangulation of a few thousand points (incremental insertion)."""
+
+from __future__ import annotations
+
+import numpy as np
+
+
+def triangulate(points: np.ndarray) -> np.ndarray:
+    """(n, 3) corner indices. Fewer than three points, or points on one line, give none."""
+    n = len(points)
+    if n < 3:
+        return np.zeros((0, 3), int)
+    p = np.asarray(points, float)
+    centre, span = p.mean(0), max(np.ptp(p[:, 0]), np.ptp(p[:, 1]), 1e-12)
+    p = (p - centre) / span
+    p = np.vstack([p, [[-30, -30], [30, -30], [0, 30]]])
+    tri = np.array([[n, n + 1, n + 2]])
+    circle = np.array([_circle(p, tri[0])])
+    order = np.lexsort((p[:n, 1], p[:n, 0]))
+    for i in np.random.default_rng(0).permutation(order):
+        d = ((circle[:, :2] - p[i]) ** 2).sum(1)
+        bad = d < circle[:, 2] * (1 + 1e-12)
+        edges = np.sort(np.vstack([tri[bad][:, [0, 1]], tri[bad][:, [1, 2]], tri[bad][:, [2, 0]]]), axis=1)
+        once, count = np.unique(edges, axis=0, return_counts=True)
+        rim = once[count == 1]
+        new = np.column_stack([rim, np.full(len(rim), i)])
+        area = np.abs((p[new[:, 1], 0] - p[new[:, 0], 0]) * (p[i, 1] - p[new[:, 0], 1]) - (p[new[:, 1], 1] - p[new[:, 0], 1]) * (p[i, 0] - p[new[:, 0], 0]))
+        new = new[area > 1e-14]
+        tri = np.vstack([tri[~bad], new])
+        circle = np.vstack([circle[~bad], [_circle(p, t) for t in new]]) if len(new) else circle[~bad]
+    return tri[(tri < n).all(1)]
+
+
+def _circle(p: np.ndarray, t: np.ndarray) -> tuple[float, float, float]:
+    (ax, ay), (bx, by), (cx, cy) = p[t]
+    d = 2 * (ax * (by - cy) + bx * (cy - ay) + cx * (ay - by))
+    if abs(d) < 1e-300:
+        return 0.0, 0.0, float("inf")
+    a2, b2, c2 = ax * ax + ay * ay, bx * bx + by * by, cx * cx + cy * cy
+    x = (a2 * (by - cy) + b2 * (cy - ay) + c2 * (ay - by)) / d
+    y = (a2 * (cx - bx) + b2 * (ax - cx) + c2 * (bx - ax)) / d
+    return x, y, (ax - x) ** 2 + (ay - y) ** 2

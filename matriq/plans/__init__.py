@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from matriq.plans import base, matrix, spatial, statistics, tables  # noqa: F401  (they register their queries)
+
 
 def queries() -> dict:
-    return {}
+    return dict(base.QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(base.SQL)
