@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 def windowed_counts(stream: DataFrame, cell: str, gene: str, time: str, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """(start, cell_id, gene, value): counts in tumbling windows; rows later than the watermark go, so state stays bounded."""
+    stream = stream.withColumn(time, F.col(time).cast("timestamp"))
     w = stream.withWatermark(time, late).groupBy(F.window(time, window), F.col(cell).alias("cell_id"), F.col(gene).alias("gene"))
     return w.agg(F.count("*").cast("double").alias("value")).select(F.col("window.start").alias("start"), "cell_id", "gene", "value")
 
