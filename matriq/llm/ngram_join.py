@@ -1,13 +1,14 @@
 """N-gram Jaccard join as a blocked sparse matrix product.
 
 Rows are distinct shingle sets, columns are shingles. In a global order of columns (frequent ones last,
-else by hash) two sets that link share a column among their first n - ceil(T n / 100) + 1, so only
-those entries of the incidence matrix are multiplied. Blocks of columns are multiplied in separate
+else by hash) two sets that link share l columns among their first n - ceil(T n / 100) + l, so only
+those entries of the incidence matrix are multiplied, and only of sets that share as many columns with any. Blocks of columns are multiplied in separate
 tasks, overlap counts of a pair add up, and a pair goes on only if its count and what may still
 follow reach the overlap that its sizes ask for. What goes on is compared in full.
 
-No group is expanded into all its pairs: neighbours in each column are linked first, and the full
-product then runs between different components alone.
+No group is expanded into all its pairs. Sets that agree in a band of least hashes form families first; a family's
+product is taken block by block of rows, within tasks that give out a forest of its links alone, and the product by
+columns then runs between different families, so families decide where a pair is compared, never whether.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matriq.llm.common import attach, broadcast_if_small, materialize, read
@@ -29,11 +30,18 @@ FREQUENT = 1000
 CHUNK = 2_000_000
 #: Rows of a column that one block holds; longer columns are multiplied block by block.
 BLOCK = 2000
+#: And members of their sets: 32 MB.
+BLOCK_MEMBERS = 4_000_000
+#: Columns of one dense product.
+DENSE = 2048
 SALTS = 64
 #: Names of sets that a task remembers, so as not to repeat the entries of copies.
 REMEMBERED = 200_000
+#: Sets in one band's agreement are of one family: likely from a similarity of 0.7, rare below 0.4.
+BANDS, BAND_ROWS = 12, 4
 HOT = np.uint64(1 << 63)
 _M = np.uint64(0x9E3779B97F4A7C15 | 1)
+_FACTORS = mix(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -100,9 +108,14 @@ def set_key(s: np.ndarray) -> int:
         return int(mix(np.array([mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) * _M + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
 
 
+def share(n, percent: int):
+    """How many columns of their fronts two sets have in common at least, if the smaller has n members and they link."""
+    return np.maximum(1, n * (100 - percent) // 200)
+
+
 def front(n: int, percent: int) -> int:
-    """How many of its first columns a set of n must share one of with any that it links with."""
-    return n - -(-percent * n // 100) + 1
+    """The number of first columns of which sets that link have share() in common: any whole overlap leaves out the rest only."""
+    return min(n, n - -(-percent * n // 100) + int(share(n, percent)))
 
 
 def needed(a, b, percent: int):
@@ -110,31 +123,48 @@ def needed(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
+def bands(s: np.ndarray) -> np.ndarray:
+    """A hash for each band of a set's least hashes under BANDS * BAND_ROWS multiplications."""
+    low = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(s), 4096):
+            low = np.minimum(low, mix(s[at : at + 4096, None] * _FACTORS[None]).min(0))
+        h = np.arange(BANDS, dtype=np.uint64)
+        for column in low.reshape(BANDS, BAND_ROWS).T:
+            h = mix(h * _M + column)
+    return h
+
+
 def _scan(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
-    """A row for each document (id, n, s), and rows of columns (h, c) that come up often in a task."""
+    """Rows of three kinds: 0, a document (id, n, s); 1, a column that comes up often in a task (h, c); 2, a band of a set (h, s)."""
     id_type = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, met, kind = [], 0, set(), None
+
+        def table(what: int, rows_: int, **given: np.ndarray | pa.Array) -> pa.RecordBatch:
+            cols = [given.get("id", pa.nulls(rows_, kind)), *(pa.array(given[c]) if c in given else pa.nulls(rows_, pa.int64()) for c in ("n", "s", "h", "c"))]
+            return pa.RecordBatch.from_arrays([*cols, pa.array(np.full(rows_, what, np.int32))], names=["id", "n", "s", "h", "c", "kind"])
 
         def often() -> pa.RecordBatch:
-            h, c = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, int))
+            h, c = np.unique(np.concatenate(held), return_counts=True)
             h, c = h[c >= 3], c[c >= 3]
-            return table(pa.nulls(len(h), kind), pa.nulls(len(h), pa.int64()), pa.nulls(len(h), pa.int64()), pa.array(h.view(np.int64)), pa.array(c.astype(np.int64)))
+            return table(1, len(h), h=h.view(np.int64), c=c.astype(np.int64))
 
-        def table(*columns: pa.Array) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([*columns, pa.array([len(columns[0]) > 0 and columns[3].null_count == len(columns[3])] * len(columns[0]), pa.bool_())], names=["id", "n", "s", "h", "c", "is_doc"])
-
-        kind = None
         for batch in batches:
             kind = batch.column(0).type
             for rows in pieces(batch, 1, PIECE):
                 sets = shingle_sets(rows.column(1), k)
-                n = np.array([len(s) for s in sets], np.int64)
                 key = np.array([set_key(s) for s in sets], np.int64)
-                yield table(rows.column(0), pa.array(n), pa.array(key), pa.nulls(len(sets), pa.int64()), pa.nulls(len(sets), pa.int64()))
-                held += [s[: 2 * front(len(s), percent)] >> np.uint64(1) for s in sets if len(s)]
-                size += sum(len(s) for s in held[-len(sets) :])
+                yield table(0, len(sets), id=rows.column(0), n=np.array([len(s) for s in sets], np.int64), s=key)
+                fresh = [(s, x) for s, x in zip(sets, key.tolist(), strict=True) if len(s) and not (x in met or met.add(x))]
+                if len(met) > REMEMBERED:
+                    met.clear()
+                if fresh:
+                    yield table(2, BANDS * len(fresh), h=np.concatenate([bands(s) for s, _ in fresh]).view(np.int64), s=np.repeat(np.array([x for _, x in fresh], np.int64), BANDS))
+                more = [s[: 2 * front(len(s), percent)] >> np.uint64(1) for s in sets if len(s)]
+                held += more
+                size += sum(map(len, more))
                 if size >= CHUNK:
                     yield often()
                     held, size = [], 0
@@ -142,19 +172,19 @@ def _scan(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) ->
             yield often()
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string")).mapInArrow(
-        run, f"id {id_type.simpleString()}, n bigint, s bigint, h bigint, c bigint, is_doc boolean"
+        run, f"id {id_type.simpleString()}, n bigint, s bigint, h bigint, c bigint, kind int"
     )
 
 
 def _entries(docs: DataFrame, text_col: str, hot: np.ndarray, k: int, percent: int) -> DataFrame:
-    """(h, s, n, pos, last): the front entries of each document's row. h has its top bit set for frequent columns."""
+    """(h, s, n, last): the front entries of each document's row. h has its top bit set for frequent columns."""
     sent = docs.sparkSession.sparkContext.broadcast(np.sort(hot))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, met = sent.value, set()
         for batch in batches:
             for rows in pieces(batch, 0, PIECE):
-                out: list[list[np.ndarray]] = [[], [], [], [], []]
+                out: list[list[np.ndarray]] = [[], [], [], []]
                 for s in shingle_sets(rows.column(0), k):
                     key = set_key(s)
                     if len(s) and key not in met:
@@ -162,12 +192,12 @@ def _entries(docs: DataFrame, text_col: str, hot: np.ndarray, k: int, percent: i
                             met.clear()
                         met.add(key)
                         h = ordered(s, frequent)[: front(len(s), percent)]
-                        for to, v in zip(out, (h.view(np.int64), key, len(s), np.arange(len(h)), h[-1:].view(np.int64)), strict=True):
+                        for to, v in zip(out, (h.view(np.int64), key, len(s), h[-1:].view(np.int64)), strict=True):
                             to.append(np.broadcast_to(np.asarray(v, np.int64), len(h)))
                 if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["h", "s", "n", "pos", "last"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["h", "s", "n", "last"])
 
-    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "h bigint, s bigint, n bigint, pos bigint, last bigint")
+    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "h bigint, s bigint, n bigint, last bigint")
 
 
 def ordered(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
@@ -199,12 +229,10 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndar
 PAIR = "a bigint, b bigint, na bigint, nb bigint, la bigint, lb bigint, c bigint"
 
 
-def _pairs(n, pos, s, last, i, j, percent: int) -> tuple[np.ndarray, ...]:
-    """Of index pairs i, j with n[i] <= n[j]: those that sizes and places in the column still allow."""
+def _pairs(n, s, last, i, j, percent: int) -> tuple[np.ndarray, ...]:
+    """Of index pairs i, j with n[i] <= n[j]: those whose sizes let them link, the smaller name first."""
     ok = (n[j] * percent <= n[i] * 100) & (s[i] != s[j])
     i, j = i[ok], j[ok]
-    ok = 1 + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1 >= needed(n[i], n[j], percent)
-    i, j = i[ok], j[ok]
     swap = s[i] > s[j]
     i, j = np.where(swap, j, i), np.where(swap, i, j)
     return s[i], s[j], n[i], n[j], last[i], last[j], np.ones(len(i), np.int64)
@@ -224,15 +252,16 @@ def _gather(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
 def _apart(entries: DataFrame) -> DataFrame:
     """Entries dealt by column and sorted by column, size and name; a frequent column is dealt to SALTS tasks.
 
-    What its parts don't meet here, the product between components meets.
+    All of a frequent column's entries go on, so its parts need not meet here.
     """
     parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salt = F.when(F.col("h") < 0, F.pmod(F.xxhash64("s"), F.lit(SALTS))).otherwise(F.lit(0))
-    return entries.withColumn("_salt", salt).repartition(parts, "h", "_salt").drop("_salt").sortWithinPartitions("h", "n", "s").select("h", "n", "s", "pos", "last")
+    return entries.withColumn("_salt", salt).repartition(parts, "h", "_salt").drop("_salt").sortWithinPartitions("h", "n", "s").select("h", "n", "s", "last")
 
 
 def _shared(entries: DataFrame) -> DataFrame:
     """Entries, once for each set, of columns that two sets or more have, and all of frequent ones. One row is held at a time."""
+    names = ["h", "n", "s", "last"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, met = None, False
@@ -244,13 +273,13 @@ def _shared(entries: DataFrame) -> DataFrame:
             same = h[1:] == h[:-1]
             keep = np.concatenate([[met], same])[:-1] | same | (h[:-1] < 0)
             if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(c[:-1][keep]) for c in cols], names=["h", "n", "s", "pos", "last"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[:-1][keep]) for c in cols], names=names)
             met = bool(same[-1]) if len(same) else met
             last = [c[-1:] for c in cols]
         if last is not None and (met or last[0][0] < 0):
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in last], names=["h", "n", "s", "pos", "last"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in last], names=names)
 
-    return _apart(entries).mapInArrow(run, "h bigint, n bigint, s bigint, pos bigint, last bigint")
+    return _apart(entries).mapInArrow(run, "h bigint, n bigint, s bigint, last bigint")
 
 
 def _deduped(last: list[np.ndarray] | None, batch: pa.RecordBatch) -> list[np.ndarray]:
@@ -262,37 +291,121 @@ def _deduped(last: list[np.ndarray] | None, batch: pa.RecordBatch) -> list[np.nd
     return [c[one] for c in cols]
 
 
-def _neighbours(entries: DataFrame, percent: int) -> DataFrame:
-    """Pairs of neighbours, by size and name, within each column. One row is held at a time."""
+def _families(banded: DataFrame) -> DataFrame:
+    """(s, k): sets of families of two or more, which a chain of shared bands (h, s) connects."""
+    low = banded.groupBy("h").agg(F.min("s").alias("low"), F.max("s").alias("high")).where("low <> high").select("h", "low")
+    star = attach(banded, materialize(low), "h", ["low"], "s").where("low IS NOT NULL AND low <> s")
+    near = materialize(star.select(F.col("s").alias("a"), F.col("low").alias("b")).distinct())
+    return materialize(connected_components(near).select(F.col("node").alias("s"), F.col("component").alias("k")))
+
+
+def forest(sets: list[np.ndarray], of: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links of rows, enough to connect what links connect. of: 0 or 1; if both occur, only pairs across them count.
+
+    Overlaps are the product of the incidence matrix with its transpose: columns of many rows as dense blocks, columns of
+    few by their pairs of rows.
+    """
+    r = len(sets)
+    size = np.array([len(x) for x in sets])
+    row = np.repeat(np.arange(r), size)
+    order = np.argsort(np.concatenate(sets), kind="stable")
+    column, row = np.concatenate(sets)[order], row[order]
+    start = np.flatnonzero(np.concatenate([[True], column[1:] != column[:-1]]))
+    m = np.diff(np.concatenate([start, [len(column)]]))
+    overlap = np.zeros((r, r), np.float32)
+    dense = np.flatnonzero(m >= max(8, r // 32))
+    for at in range(0, len(dense), DENSE):
+        part = dense[at : at + DENSE]
+        x = np.zeros((r, len(part)), np.float32)
+        for c, g in enumerate(part):
+            x[row[start[g] : start[g] + m[g]], c] = 1
+        overlap += x @ x.T
+    for k in np.unique(m[(m > 1) & (m < max(8, r // 32))]):
+        g = start[m == k]
+        members = row[g[:, None] + np.arange(k)]
+        i, j = np.triu_indices(k, 1)
+        for a, b in zip(i, j, strict=True):
+            np.add.at(overlap, (members[:, a], members[:, b]), 1)
+            np.add.at(overlap, (members[:, b], members[:, a]), 1)
+    links = overlap >= needed(size[:, None], size[None], percent)
+    if of.any() and not of.all():
+        links &= of[:, None] != of[None]
+    np.fill_diagonal(links, False)
+    seen, out = np.zeros(r, bool), []
+    for i in range(r):
+        if not seen[i]:
+            seen[i] = True
+            todo = [i]
+            while todo:
+                x = todo.pop()
+                for j in np.flatnonzero(links[x] & ~seen):
+                    seen[j] = True
+                    out.append((x, int(j)))
+                    todo.append(j)
+    return out
+
+
+def _family_links(docs: DataFrame, families: DataFrame, names: DataFrame, sizes: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
+    """A forest (a, b) of the links within families, whose rows are cut into blocks that meet in pairs."""
+    f = families.join(sizes, "s")
+    per = f.groupBy("k").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_MEMBERS)).cast("int").alias("nb"))
+    f = f.join(broadcast_if_small(materialize(per)), "k").select("s", "k", "nb")
+    f = materialize(f.join(names, "s"))
+    sets = _members(docs, f.select("id"), id_col, text_col, k).join(broadcast_if_small(f.select("s", F.col("k").alias("fam"), "nb")), "s")
+    blk = F.pmod(F.xxhash64("s"), F.col("nb")).cast("int")
+    cells = sets.withColumn("blk", blk).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    cells = cells.select("fam", F.least("blk", "_j").alias("i"), F.greatest("blk", "_j").alias("j"), "blk", "s", "m")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = None
+        held, key = [], None
         for batch in batches:
-            cols = _deduped(before, batch)
-            h, n, s, pos, last = cols
-            i = np.flatnonzero(h[1:] == h[:-1])
-            if len(i):
-                yield _gather([_pairs(n, pos, s, last, i, i + 1, percent)])
-            before = [c[-1:] for c in cols] if len(h) else before
+            for fam, i, j, blk, s, m in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (fam, i, j) != key:
+                    yield from settle(held, key)
+                    held, key = [], (fam, i, j)
+                held.append((blk, s, m))
+        yield from settle(held, key)
+
+    def settle(held: list[tuple], key: tuple | None) -> Iterator[pa.RecordBatch]:
+        held = list({s: (b, s, m) for b, s, m in held}.values())
+        if len(held) > 1:
+            of = np.array([b == key[2] for b, _, _ in held]) if key[1] != key[2] else np.zeros(len(held), bool)
+            links = forest([np.frombuffer(m, np.uint64) for _, _, m in held], of, percent)
+            yield pa.RecordBatch.from_arrays([pa.array([held[x[k]][1] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(cells.repartition(parts, "fam", "i", "j").sortWithinPartitions("fam", "i", "j").mapInArrow(run, "a bigint, b bigint"))
 
-    return _apart(entries).mapInArrow(run, PAIR)
+
+def _members(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """(s, m): the sets, as bytes, of the documents with these ids."""
+    ids = broadcast_if_small(materialize(ids.select(F.col("id").alias("_wanted")).distinct()))
+    texts = docs.join(ids, docs[id_col] == ids["_wanted"], "left_semi").select(F.col(text_col).cast("string").alias("t"))
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in pieces(batch, 0, PIECE):
+                sets = shingle_sets(rows.column(0), k)
+                yield pa.RecordBatch.from_arrays([pa.array([set_key(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["s", "m"])
+
+    return texts.mapInArrow(members, "s bigint, m binary")
 
 
 def _product(entries: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components within each block; entries (h, i, j, n, s, pos, last, k, blk) are sorted so."""
+    """Pairs of different components within each block; entries (h, i, j, n, s, last, k, blk) are sorted so."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
-        for _, bi, bj, n, s, pos, last, comp, blk in _runs(batches, 3):
+        for _, bi, bj, n, s, last, comp, blk in _runs(batches, 3):
             one = np.concatenate([[True], s[1:] != s[:-1]])
-            n, s, pos, last, comp, blk = (x[one] for x in (n, s, pos, last, comp, blk))
+            n, s, last, comp, blk = (x[one] for x in (n, s, last, comp, blk))
             across = bi[0] != bj[0]
             upto = np.searchsorted(n, n * 100 // percent, "right")
             for x in range(len(s) - 1):
                 j = np.arange(x + 1, upto[x])
                 j = j[(comp[j] != comp[x]) & ((blk[j] != blk[x]) if across else True)]
                 if len(j):
-                    parts.append(_pairs(n, pos, s, last, np.full(len(j), x), j, percent))
+                    parts.append(_pairs(n, s, last, np.full(len(j), x), j, percent))
                     size += len(j)
                     if size > 500_000:
                         yield _gather(parts)
@@ -300,21 +413,38 @@ def _product(entries: DataFrame, percent: int) -> DataFrame:
         if parts:
             yield _gather(parts)
 
-    return entries.select("h", "i", "j", "n", "s", "pos", "last", "k", "blk").mapInArrow(run, PAIR)
+    return entries.select("h", "i", "j", "n", "s", "last", "k", "blk").mapInArrow(run, PAIR)
+
+
+def _share(n: Column, percent: int) -> Column:
+    """share() of a column."""
+    return F.greatest(F.lit(1), F.floor(n * (100 - percent) / 200)).cast("bigint")
+
+
+def _front(n: Column, percent: int) -> Column:
+    """front() of a column."""
+    return F.least(n, n - F.ceil(n * percent / 100) + _share(n, percent)).cast("bigint")
+
+
+def _enough(pairs: DataFrame, percent: int) -> DataFrame:
+    """Counts of a pair added up; pairs whose count, and what may follow their fronts, can reach the overlap needed."""
+    pairs = pairs.groupBy("a", "b").agg(*(F.min(x).alias(x) for x in ("na", "nb", "la", "lb")), F.sum("c").alias("c"))
+
+    def place(x: str) -> Column:  # in global order, where the top bit counts as the largest
+        return F.col(x).bitwiseXOR(F.lit(-(1 << 63)))
+
+    def after(x: str) -> Column:
+        return F.col(x) - _front(F.col(x), percent)
+
+    follow = F.when(place("la") <= place("lb"), after("na")).otherwise(after("nb"))
+    return pairs.where((F.col("c") + follow) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).where(F.col("c") >= _share(F.least("na", "nb"), percent))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, names: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of set names whose whole sets link. names: (s, id) of one document for each set."""
     pairs = materialize(pairs.select("a", "b"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
-    ids = broadcast_if_small(materialize(names.join(wanted, "s", "left_semi").select("id")))
-    texts = docs.join(ids, docs[id_col] == ids["id"], "left_semi").select(F.col(text_col).cast("string").alias("t"))
-
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows in pieces(batch, 0, PIECE):
-                sets = shingle_sets(rows.column(0), k)
-                yield pa.RecordBatch.from_arrays([pa.array([set_key(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["s", "m"])
+    sets = materialize(_members(docs, names.join(wanted, "s", "left_semi"), id_col, text_col, k))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -326,7 +456,6 @@ def _verified(pairs: DataFrame, docs: DataFrame, names: DataFrame, id_col: str,
                 ok.append(int((large[at] == small).sum()) >= needed(len(x), len(y), percent))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
-    sets = materialize(texts.mapInArrow(members, "s bigint, m binary").dropDuplicates(["s"]))
     both = pairs.join(sets.select(F.col("s").alias("a"), F.col("m").alias("ma")), "a").join(sets.select(F.col("s").alias("b"), F.col("m").alias("mb")), "b")
     return materialize(both.select("a", "b", "ma", "mb").mapInArrow(compare, "a bigint, b bigint"))
 
@@ -344,42 +473,35 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if k < 1 or not 0 < percent <= 100:
         raise ValueError("k must be 1 or more and percent from 1 to 100")
     seen = materialize(_scan(docs, id_col, text_col, k, percent))
-    rows = seen.where("is_doc").select("id", "n", "s")
+    rows = seen.where("kind = 0").select("id", "n", "s")
     total = rows.count()
     # At most 2 * front / n * FREQUENT columns of an average set: a number that does not grow with the input.
-    hot = seen.where("NOT is_doc").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") * FREQUENT >= max(total, 20 * FREQUENT)).select("h").toPandas()["h"].to_numpy(np.int64)
+    hot = seen.where("kind = 1").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") * FREQUENT >= max(total, 20 * FREQUENT)).select("h").toPandas()["h"].to_numpy(np.int64)
     entries = materialize(_shared(_entries(docs, text_col, hot.view(np.uint64), k, percent)))
+    # A set that links shares so many columns with sets at all; the smallest that it links with asks for fewest.
+    able = entries.groupBy("s").agg(F.count("*").alias("c"), F.min("n").alias("n"))
+    able = able.where(F.col("c") >= _share(F.ceil(F.col("n") * percent / 100), percent)).select("s")
+    entries = materialize(entries.join(broadcast_if_small(materialize(able)), "s", "left_semi").select("h", "n", "s", "last"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by_set = materialize(rows.where("n > 0").groupBy("s").agg(F.min("id").alias("id"), F.count("*").alias("size")))
     names = by_set.select("s", "id")
 
-    near = _neighbours(entries, percent).groupBy("a", "b").agg(F.sum("c").alias("c"))
-    best = near.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b")
-    other = near.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b")).select("a", "b")
-    links = _verified(best.union(other).distinct(), docs, names, id_col, text_col, k, percent)
-    first = materialize(connected_components(links))
+    first = _families(seen.where("kind = 2").select("h", "s"))
+    sizes = rows.where("n > 0").select("s", "n").distinct()
+    inner = _family_links(docs, first, names, sizes, id_col, text_col, k, percent)
 
-    known = entries.join(first.select(F.col("node").alias("s"), F.col("component").alias("_k")), "s", "left").withColumn("k", F.coalesce("_k", "s")).drop("_k")
+    known = entries.join(first.withColumnRenamed("k", "_k"), "s", "left").withColumn("k", F.coalesce("_k", "s")).drop("_k")
     known = materialize(known)
     wide = known.groupBy("h").agg(F.count("*").alias("m"), F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo <> hi")
     wide = wide.select("h", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb"))
     cells = known.join(broadcast_if_small(materialize(wide)), "h").withColumn("blk", F.pmod(F.xxhash64("s"), F.col("nb")))
     cells = cells.withColumn("_j", F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("nb") - 1).cast("bigint"))))
-    cells = cells.select("h", F.least("blk", "_j").alias("i"), F.greatest("blk", "_j").alias("j"), "n", "s", "pos", "last", "k", "blk")
+    cells = cells.select("h", F.least("blk", "_j").alias("i"), F.greatest("blk", "_j").alias("j"), "n", "s", "last", "k", "blk")
     cells = cells.repartition(parts, "h", "i", "j").sortWithinPartitions("h", "i", "j", "n", "s")
-    pairs = _product(cells, percent).groupBy("a", "b").agg(*(F.first(x).alias(x) for x in ("na", "nb", "la", "lb")), F.sum("c").alias("c"))
-    # last is a column in global order as an unsigned number: compare with the top bit flipped.
-    order = lambda x: F.col(x).bitwiseXOR(F.lit(-(1 << 63)))
-    left = lambda x: F.ceil(F.col(x) * percent / 100).cast("bigint") - 1
-    follow = F.when(order("la") <= order("lb"), left("na")).otherwise(left("nb"))
-    enough = (F.col("c") + follow) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
-    more = _verified(pairs.where(enough), docs, names, id_col, text_col, k, percent)
-
-    node = first.select(F.col("node").alias("s"), F.col("component").alias("k"))
-    ka = more.join(node.select(F.col("s").alias("a"), F.col("k").alias("ka")), "a", "left").join(node.select(F.col("s").alias("b"), F.col("k").alias("kb")), "b", "left")
-    upper = materialize(connected_components(ka.select(F.coalesce("ka", "a").alias("a"), F.coalesce("kb", "b").alias("b"))))
-    sets = by_set.join(node, "s", "left").withColumn("k", F.coalesce("k", "s"))
-    sets = sets.join(upper.select(F.col("node").alias("k"), F.col("component").alias("_top")), "k", "left").withColumn("k", F.coalesce("_top", "k")).drop("_top")
+    more = _verified(_enough(_product(cells, percent), percent), docs, names, id_col, text_col, k, percent)
+
+    node = materialize(connected_components(inner.union(more)))
+    sets = by_set.join(node.select(F.col("node").alias("s"), F.col("component").alias("k")), "s", "left").withColumn("k", F.coalesce("k", "s"))
     low = sets.groupBy("k").agg(F.min("id").alias("component_id"), F.sum("size").alias("members")).where("members > 1")
     values = materialize(sets.select("s", "k").join(low, "k").select("s", "component_id"))
     out = attach(rows.withColumn("s", F.when(F.col("n") > 0, F.col("s"))), values, "s", ["component_id"], "id")
