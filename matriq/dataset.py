@@ -126,3 +126,27 @@ def schema(ds: Dataset) -> DataFrame:
         one = df.agg(F.count("*").alias("n_rows")).select(F.lit(part).alias("part"), F.lit(name).alias("name"), "n_rows", F.lit(len(df.columns)).alias("n_columns"))
         out = one if out is None else out.union(one)
     return out
+
+
+#: What must be there before an action: parts of the dataset by name.
+NEEDS = {
+    "neighbors": [("obsm", "X_pca")],
+    "umap": [("obsp", "connectivities")],
+    "leiden": [("obsp", "connectivities")],
+    "pca_loadings": [("obsm", "X_pca"), ("varm", "PCs")],
+    "find_similar_genes": [("varp", "gene_connectivities")],
+    "cluster_genes": [("varp", "gene_connectivities")],
+    "spatial_neighbors": [("obsm", "spatial")],
+    "spatial_autocorr": [("obsp", "spatial_connectivities")],
+    "contourize": [("obsm", "spatial")],
+    "multicontour": [("obsm", "spatial")],
+}
+
+
+def missing(ds: Dataset, action: str) -> list[str]:
+    """Names of parts that an action needs and the dataset lacks."""
+    return [name for part, name in NEEDS.get(action, []) if name not in getattr(ds, part) and not (name == "spatial" and "X_spatial" in ds.obsm)]
+
+
+def spatial_key(ds: Dataset) -> str | None:
+    return next((k for k in ("spatial", "X_spatial") if k in ds.obsm), None)

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matriq.operators.order import positions
+
 
 def project_on_line(points: DataFrame, line: list[tuple[float, float]]) -> DataFrame:
     """(cell_id, position, distance): place along a polyline as a fraction of its length, and distance from it.
@@ -145,7 +147,7 @@ def heatmap(x: DataFrame, cells: DataFrame, genes: list[int], n_bins: int = 50,
     cells: (cell_id, ord), in which order they stand. Cell k of n belongs to the bin whose whole-number edges of an even division
     hold it. Means count zeros by the cells of a bin; scale rescales each gene to 0..1; peak is the gene's largest bin.
     """
-    ranked = _positions(cells)
+    ranked = positions(cells, "ord", "cell_id")
     n = F.broadcast(cells.agg(F.count("*").alias("_n")))  # one row
     b = F.least(F.lit(n_bins), F.col("_n"))
     placed = ranked.crossJoin(n).select("cell_id", F.floor(((F.col("_k") + 1) * b - 1) / F.col("_n")).cast("int").alias("bin"))
@@ -161,16 +163,3 @@ def heatmap(x: DataFrame, cells: DataFrame, genes: list[int], n_bins: int = 50,
     top = g.groupBy("gene_id").agg(F.max_by("bin", F.struct("value", -F.col("bin"))).alias("peak"))
     g = g.join(F.broadcast(top), "gene_id")
     return g.select("gene_id", "bin", F.round("value", places).alias("value"), "peak")
-
-
-def _positions(cells: DataFrame, parts: int = 64) -> DataFrame:
-    """(cell_id, _k) from 0 in order of ord, cell_id: ranges are numbered apart and shifted by the counts before them."""
-    cut = cells.stat.approxQuantile("ord", [i / parts for i in range(1, parts)], 0.005) if dict(cells.dtypes)["ord"] in ("double", "float", "int", "bigint") else []
-    part = F.lit(0)
-    for q in sorted(set(cut)):
-        part = part + F.when(F.col("ord") > q, 1).otherwise(0)
-    p = cells.withColumn("_p", part)
-    before = p.groupBy("_p").agg(F.count("*").alias("_c"))
-    before = before.withColumn("_b", F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).drop("_c")  # as many rows as parts
-    k = F.row_number().over(Window.partitionBy("_p").orderBy("ord", "cell_id")) - 1
-    return p.withColumn("_r", k).join(F.broadcast(before), "_p").select("cell_id", (F.col("_r") + F.col("_b")).alias("_k"))

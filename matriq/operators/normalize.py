@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,3 +130,36 @@ def binned(values: DataFrame, column: str = "value", n: int = 60) -> DataFrame:
     r = F.broadcast(v.agg(F.min("v").alias("lo"), F.max("v").alias("hi")))  # one row
     place: Column = F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(F.least(F.lit(n - 1), F.floor((F.col("v") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / n))))
     return v.crossJoin(r).groupBy(place.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+
+
+def local_quadratic(x: np.ndarray, y: np.ndarray, span: float = 0.3) -> np.ndarray:
+    """Locally weighted quadratic fit of y at each x (tricube weights over the nearest share of points)."""
+    k = max(3, int(np.ceil(span * len(x))))
+    out = np.empty(len(x))
+    for i, c in enumerate(x):
+        d = np.abs(x - c)
+        near = np.argpartition(d, min(k, len(x)) - 1)[:k]
+        w = np.sqrt((1 - np.minimum(d[near] / max(d[near].max(), 1e-12), 1) ** 3) ** 3 + 1e-12)
+        z = np.vander(x[near] - c, 3, increasing=True)
+        out[i] = np.linalg.lstsq(z * w[:, None], y[near] * w, rcond=None)[0][0]
+    return out
+
+
+def highly_variable_v3(x: DataFrame, var: DataFrame, n_cells: int, n_top: int = 2000, span: float = 0.3) -> DataFrame:
+    """(gene_id, means, variances, variances_norm, highly_variable) of counts: variance of values scaled by the deviation that the
+    mean predicts, cut at the root of the number of cells. The fit reads one row a gene; the scaled sums are Spark's.
+    """
+    m = moments(x, n_cells).select("gene_id", "mean", (F.col("var") * n_cells / (n_cells - 1)).alias("var"))
+    g = var.select("gene_id").join(F.broadcast(m), "gene_id", "left").na.fill(0.0).orderBy("gene_id").toPandas()
+    ok = (g["var"] > 0).to_numpy()
+    reg = np.zeros(len(g))
+    if ok.any():
+        reg[ok] = np.sqrt(10 ** local_quadratic(np.log10(g["mean"][ok].to_numpy()), np.log10(g["var"][ok].to_numpy()), span))
+    table = x.sparkSession.createDataFrame([(int(i), float(a), float(v), float(r)) for i, a, v, r in zip(g["gene_id"], g["mean"], g["var"], reg, strict=True)], "gene_id int, means double, variances double, _r double")
+    cut = F.least("value", F.col("means") + n_cells**0.5 * F.col("_r"))
+    sums = x.join(F.broadcast(table), "gene_id").groupBy("gene_id").agg(F.sum(cut).alias("_s"), F.sum(cut * cut).alias("_q"))
+    j = table.join(F.broadcast(sums), "gene_id", "left").na.fill(0.0)
+    norm = (n_cells * F.col("means") * F.col("means") + F.col("_q") - 2 * F.col("means") * F.col("_s")) / ((n_cells - 1) * F.col("_r") * F.col("_r"))
+    j = j.withColumn("variances_norm", F.when(F.col("_r") > 0, norm).otherwise(F.lit(0.0)))
+    k = F.row_number().over(Window.orderBy(F.col("variances_norm").desc(), "gene_id"))  # one row a gene
+    return j.select("gene_id", "means", "variances", "variances_norm", ((k <= n_top) & (F.col("_r") > 0)).alias("highly_variable"))

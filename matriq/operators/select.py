@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matriq.operators.order import kth
+
 
 def _bounds(stats: DataFrame, bounds: list[tuple[str, float | None, float | None]]) -> Column:
     """All given bounds at once; none given keeps everything."""
@@ -131,23 +133,18 @@ def threshold(values: DataFrame, mode: str, lo: float | None = None, hi: float |
 
 
 def default_thresholds(values: DataFrame) -> DataFrame:
-    """(above, lo, hi): the middle one (index n // 2) of positive values, else the lower quarter, else the midpoint; and both quarters.
-
-    Values are counted before they are ordered, so the window runs over distinct values.
-    """
-    v = values.where(F.col("value").isNotNull() & ~F.isnan("value")).groupBy("value").agg(F.count("*").alias("m"))
-    w = Window.orderBy("value")  # over distinct values, which a display histogram bounds
-    v = v.withColumn("_to", F.sum("m").over(w)).withColumn("_pos", F.sum(F.when(F.col("value") > 0, F.col("m")).otherwise(0)).over(w))
-    n = v.agg(F.sum("m").alias("n"), F.sum(F.when(F.col("value") > 0, F.col("m")).otherwise(0)).alias("p"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-    at = v.crossJoin(F.broadcast(n)).select(  # n is one row
-        F.when(F.col("_pos") > F.floor(F.col("p") / 2), F.col("value")).alias("mid"),
-        F.when(F.col("_to") > F.floor(F.col("n") * 0.25), F.col("value")).alias("q1"),
-        F.when(F.col("_to") > F.floor(F.col("n") * 0.75), F.col("value")).alias("q3"),
-        "p", "lo", "hi",
-    )
-    out = at.agg(F.min(F.when(F.col("mid") > 0, F.col("mid"))).alias("mid"), F.min("q1").alias("q1"), F.min("q3").alias("q3"), F.max("p").alias("p"), F.max("lo").alias("lo"), F.max("hi").alias("hi"))
-    other = F.when(F.col("q1") > F.col("lo"), F.col("q1")).otherwise((F.col("lo") + F.col("hi")) / 2)
-    return out.select(F.when(F.col("p") > 0, F.col("mid")).otherwise(other).alias("above"), F.col("q1").alias("lo"), F.col("q3").alias("hi"))
+    """(above, lo, hi), one row: the middle one (index n // 2) of positive values, else the lower quarter, else the midpoint; both quarters."""
+    v = values.where(F.col("value").isNotNull() & ~F.isnan("value")).select(F.col("value").cast("double").alias("value"))
+    n, p, low, high = v.agg(F.count("*"), F.count_if(F.col("value") > 0), F.min("value"), F.max("value")).first()
+    spark, schema = values.sparkSession, "above double, lo double, hi double"
+    if not n:
+        return spark.createDataFrame([], schema)
+    q1, q3 = kth(v, "value", [int(n * 0.25), int(n * 0.75)], n)
+    if p:
+        above = kth(v.where("value > 0"), "value", [p // 2], p)[0]
+    else:
+        above = q1 if q1 > low else (low + high) / 2
+    return spark.createDataFrame([(above, q1, q3)], schema)
 
 
 def combine_selections(current: DataFrame, new: DataFrame, mode: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matriq.operators.graph import median_nearest, smooth
-from matriq.operators.stats import adjust_bh
+from matriq.operators.stats import adjust_bh, permuted
 
 
 def suggest(points: DataFrame) -> DataFrame:
@@ -77,12 +77,7 @@ def lr_significance(x: DataFrame, genes: DataFrame, near: DataFrame, mean: DataF
     used = log_rate(x).join(F.broadcast(genes.select("gene_id").distinct()), "gene_id", "left_semi")
     lig = used.join(F.broadcast(genes.where("side = 'ligand'")), "gene_id").groupBy("interaction", "cell_id").agg(F.sum("value").alias("value"))
     rec = used.join(F.broadcast(genes.where("side = 'receptor'")), "gene_id").groupBy("interaction", "cell_id").agg(F.sum("value").alias("value"))
-    keys = [section] if section else []
-    many = cells.select("cell_id", *keys).withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n_perm))))
-    order = Window.partitionBy("perm", *keys)
-    a = many.withColumn("_k", F.row_number().over(order.orderBy("cell_id")))
-    b = many.withColumn("_k", F.row_number().over(order.orderBy(F.xxhash64("cell_id", "perm", F.lit(seed)), "cell_id"))).withColumnRenamed("cell_id", "other")
-    swap = a.join(b, ["perm", "_k", *keys]).select("perm", "cell_id", "other")
+    swap = permuted(cells, seed, section, n_perm)
     moved = lig.join(swap, "cell_id").select(F.col("other").alias("cell_id"), "interaction", "perm", "value")
     left = _spread(mean, _spread(near, moved, ["interaction", "perm"]), ["interaction", "perm"]).withColumnRenamed("value", "l")
     right = _spread(mean, rec, ["interaction"]).withColumnRenamed("value", "r")

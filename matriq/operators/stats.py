@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from matriq.functions.special import f_tail, normal_two_sided, spline_basis, t_two_sided
+from matriq.operators.order import positions
 from matriq.zeros import average_rank
 
 
@@ -209,22 +210,39 @@ def gearys_c(x: DataFrame, edges: DataFrame, n_cells: int) -> DataFrame:
     return side.join(prod, "gene_id", "left").crossJoin(w).select("gene_id", ((n_cells - 1) * top / (2 * F.col("ws") * (F.col("s2") - n_cells * F.col("m") * F.col("m")))).alias("c"))
 
 
-def permuted(cells: DataFrame, seed: int, within: str | None = None) -> DataFrame:
-    """(cell_id, other): a permutation of cells, within each value of a column if given, by a seeded hash of the id."""
-    part = Window.partitionBy(within) if within else Window.partitionBy()
-    a = cells.withColumn("_k", F.row_number().over(part.orderBy("cell_id")))
-    b = cells.select(F.col("cell_id").alias("other"), *([F.col(within)] if within else []), F.row_number().over(part.orderBy(F.xxhash64("cell_id", F.lit(seed)), "cell_id")).alias("_k"))
-    return a.join(b, [within, "_k"] if within else ["_k"]).select("cell_id", "other")
+def permuted(cells: DataFrame, seed: int, within: str | None = None, n: int = 1) -> DataFrame:
+    """(perm, cell_id, other): n permutations of cells, within each value of a column if given, by seeded hashes of the id.
+
+    The number of the permutation is a column, so that any number of them is one plan.
+    """
+    by = ["perm", *([within] if within else [])]
+    many = cells.select("cell_id", *by[1:]).withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    a = positions(many, "cell_id", "cell_id", by)
+    b = positions(many.select(F.col("cell_id").alias("other"), *by, F.xxhash64("cell_id", "perm", F.lit(seed)).alias("_h")), "_h", "other", by)
+    return a.join(b, [*by, "_k"]).select("perm", "cell_id", "other")
 
 
 def autocorrelation_test(x: DataFrame, edges: DataFrame, cells: DataFrame, n_cells: int, n_perms: int = 20, seed: int = 0) -> DataFrame:
     """(gene_id, i, p, padj, spatially_variable): Moran's I and the share of permutations that reach it."""
     real = morans_i(x, edges, n_cells)
-    null = None
-    for k in range(n_perms):
-        p = permuted(cells.select("cell_id"), seed + k)
-        moved = x.join(p, "cell_id").select(F.col("other").alias("cell_id"), "gene_id", "value")
-        one = morans_i(moved, edges, n_cells).select("gene_id", F.col("i").alias("n_i"))
-        null = one if null is None else null.union(one)
+    moved = x.join(permuted(cells.select("cell_id"), seed, n=n_perms), "cell_id").select(F.col("other").alias("cell_id"), F.struct("gene_id", "perm").alias("gene_id"), "value")
+    null = morans_i(moved, edges, n_cells).select(F.col("gene_id.gene_id").alias("gene_id"), F.col("i").alias("n_i"))
     out = real.join(null, "gene_id").groupBy("gene_id", "i").agg(((F.count_if(F.col("n_i") >= F.col("i")) + 1) / (n_perms + 1)).alias("p"))
     return adjust_bh(out).withColumn("spatially_variable", (F.col("p") < 0.05) & (F.col("i") > 0))
+
+
+def spatially_variable(tested: DataFrame, statistic: str = "i", top_n: int = 50, level: float = 0.05) -> DataFrame:
+    """Genes below the level, strongest first: largest Moran's I above 0, or smallest Geary's C below 1."""
+    c = F.col(statistic)
+    ok = c > 0 if statistic == "i" else c < 1
+    return tested.where((F.col("p") < level) & ok).orderBy(c.desc() if statistic == "i" else c, "gene_id").limit(top_n)
+
+
+def line_modules(associated: DataFrame, limit: int = 300) -> DataFrame:
+    """(gene_id, shape, module) of at most `limit` best genes of spline_association, whose profiles are 50 numbers each."""
+    from matriq.functions import profiles
+
+    top = associated.orderBy(F.col("score").desc(), "gene_id").limit(limit).select("gene_id", "profile").toPandas()
+    p = profiles.unit(np.stack(top["profile"])) if len(top) else np.zeros((0, 50))
+    rows = [(int(g), s, int(m)) for g, s, m in zip(top["gene_id"], profiles.shapes(p) if len(p) else [], profiles.modules(p), strict=True)]
+    return associated.sparkSession.createDataFrame(rows, "gene_id int, shape string, module int")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from matriq import bindings
 from matriq.operators import cluster, contour, geometry, graph, linear, read, signal, stats
+from matriq.operators.order import cell_order
 from matriq.plans.base import A, B, q6, query, r6
 from matriq.plans.matrix import rounded
 from matriq.sources import tenx
@@ -169,6 +170,18 @@ def heatmap_bins(spark, d):
     return geometry.heatmap(ds.x, ds.obs.select("cell_id", F.col("acctbal").alias("ord")), list(range(1, 7)), 20)
 
 
+@query(
+    "heatmap_by_category",
+    f"""{A_}, c AS (SELECT cell_id, acctbal, list_position(['BUILDING', 'MACHINERY'], segment) AS k FROM obs), v AS (SELECT cell_id, CASE WHEN k IS NULL OR k = 0 THEN 2.0 ELSE k - 1 END * 2 AS ord FROM c),
+o AS (SELECT cell_id, row_number() OVER (ORDER BY ord, cell_id) - 1 AS k, count(*) OVER () AS n FROM v), b AS (SELECT cell_id, CAST(floor(((k + 1) * 12 - 1) / n) AS INT) AS bin FROM o),
+m AS (SELECT b.bin, g.gene_id, avg(coalesce(x.value, 0)) AS v FROM b CROSS JOIN (SELECT gene_id FROM var WHERE gene_id <= 3) g LEFT JOIN x ON x.cell_id = b.cell_id AND x.gene_id = g.gene_id GROUP BY 1, 2)
+SELECT gene_id, bin, round(v, 4) + 0.0 AS value, (arg_max(bin, v) OVER (PARTITION BY gene_id))::INT AS peak FROM m""",
+)
+def heatmap_by_category(spark, d):
+    ds = bindings.counts(spark, d)
+    return geometry.heatmap(ds.x, cell_order(ds.obs, "segment", ["BUILDING", "MACHINERY"]), [1, 2, 3], 12, scale=False)
+
+
 def _field(ds):
     return ds.x.where("gene_id = 3").select("cell_id", (F.col("value") + 1).alias("value"))
 

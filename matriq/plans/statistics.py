@@ -158,3 +158,20 @@ def spline_f(spark, d):
     t = project_on_line(embedding_view(ds.obsm["spatial"]), LINE).select("cell_id", F.col("position").alias("t"))
     out = stats.spline_association(ds.x, t, 3)
     return rounded(out.select("gene_id", "f", "r2", "p", "padj", "amplitude", "direction"), "gene_id")
+
+
+@query("line_modules")
+def line_modules(spark, d):
+    from matriq.operators.geometry import project_on_line
+    from matriq.operators.read import embedding_view
+    from matriq.plans.spatial import LINE
+
+    ds = bindings.vectors(spark, d)
+    t = project_on_line(embedding_view(ds.obsm["spatial"]), LINE).select("cell_id", F.col("position").alias("t"))
+    return stats.line_modules(stats.spline_association(ds.x, t, 3), 40)
+
+
+@query("hvg_v3")
+def hvg_v3(spark, d):
+    ds = bindings.counts(spark, d)
+    return rounded(normalize.highly_variable_v3(ds.x, ds.var, ds.obs.count(), 8, 0.6).drop("highly_variable"), "gene_id")
