@@ -100,18 +100,21 @@ def subset_name(drop: list[int]) -> str:
 
 
 def elbow(ratio: np.ndarray) -> int:
-    """Components up to the point farthest below the chord of the falling curve; 1 at least."""
+    """Index of the elbow of a falling curve: the first inner point that lies a deviation below the chord and after which the
+    next step is less than half as steep; else the point of the largest bend."""
     r = np.asarray(ratio, float)
     if len(r) < 3:
-        return len(r)
-    x, y = np.linspace(0, 1, len(r)), (r - r.min()) / max(np.ptp(r), 1e-300)
-    return int(np.argmax(1 - x - y)) + 1
+        return max(0, min(len(r) - 1, 10))
+    below = np.linspace(1, 0, len(r)) - (r - r.min()) / (np.ptp(r) + 1e-10)
+    step = np.abs(np.diff(r))
+    found = np.flatnonzero((below[1:-1] > below.std()) & (step[1:] < 0.5 * step[:-1]))
+    return int(found[0]) + 1 if len(found) else int(np.abs(np.diff(r, 2)).argmax()) + 1
 
 
 def variance_table(ratio: np.ndarray) -> list[dict]:
     """Per component: number, share of variance, running sum, and whether it is the elbow."""
     e = elbow(ratio)
-    return [{"pc": i + 1, "ratio": float(v), "cumulative": float(c), "elbow": i + 1 == e} for i, (v, c) in enumerate(zip(ratio, np.cumsum(ratio), strict=True))]
+    return [{"pc": i + 1, "ratio": float(v), "cumulative": float(c), "elbow": i == e} for i, (v, c) in enumerate(zip(ratio, np.cumsum(ratio), strict=True))]
 
 
 def correlation(x: DataFrame, n_cells: int, genes: DataFrame | None = None) -> DataFrame:
@@ -162,7 +165,7 @@ def gene_pca(x: DataFrame, n_cells: int, genes: list[int], n_comps: int = 20, sc
     ratio = values / max(values.sum(), 1e-300)
     m = min(n_comps, p - 1)
     if auto:
-        m = min(m, max(5, elbow(ratio[:m])))
+        m = min(m, max(5, elbow(ratio[:m]) + 1))
     v = vectors[:, :m] * np.sqrt(values[:m])
     rows = [(int(gene), [float(c) for c in r]) for gene, r in zip(genes, v, strict=True)]
     return x.sparkSession.createDataFrame(rows, "gene_id int, v array<double>"), ratio[:m]

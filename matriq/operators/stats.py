@@ -173,6 +173,13 @@ def spline_association(x: DataFrame, positions: DataFrame, n_knots: int = 5, top
     return out if top_n is None else out.orderBy(F.col("score").desc(), "gene_id").limit(top_n)
 
 
+def rising_and_falling(associated: DataFrame, level: float = 0.05, top_n: int = 50) -> DataFrame:
+    """Significant genes of spline_association, the best by score of each direction: side is positive or negative."""
+    ok = associated.where((F.col("padj") < level) & (F.col("direction") != 0)).withColumn("side", F.when(F.col("direction") > 0, "positive").otherwise("negative"))
+    k = F.row_number().over(Window.partitionBy("side").orderBy(F.col("score").desc(), "gene_id"))  # one row a gene
+    return ok.withColumn("k", k).where(F.col("k") <= top_n).drop("profile")
+
+
 def pooled_positions(parts: list[tuple[DataFrame, bool]]) -> DataFrame:
     """(cell_id, t) of several lines, some reversed; a cell counts once for each line that it is on."""
     out = None

@@ -344,3 +344,61 @@ def test_gene_set_clusterings_cover_genes(spark):
     for method in ("hierarchical", "kmeans", "dbscan", "auto"):
         got = values(cluster.cluster_gene_set(x, obs, list(range(10)), method, k=2, eps=0.3), "gene_id", "cluster")
         assert len({got[g] for g in range(5)}) == 1 and len({got[g] for g in range(5, 10)}) == 1 and got[0] != got[5]
+
+
+def test_elbow_and_shapes(spark):
+    from matriq.functions import profiles
+
+    assert linear.elbow(np.array([0.5, 0.2, 0.05, 0.04, 0.035, 0.03, 0.028])) == 2
+    assert linear.elbow(np.array([0.6, 0.4])) == 1
+    t = np.linspace(0, 1, 50)
+    p = profiles.unit(np.array([t, 1 - t, np.exp(-((t - 0.5) ** 2) / 0.02), 1 - np.exp(-((t - 0.5) ** 2) / 0.02), np.zeros(50)]))
+    assert profiles.shapes(p) == ["increasing", "decreasing", "peak", "trough", "complex"]
+    assert profiles.modules(np.array([t, t**1.1, 1 - t])).tolist() == [1, 1, 0]
+    x = spark.createDataFrame([(c, g, float(v)) for c in range(60) for g, v in enumerate((c, 60 - c, (c * 7919) % 61)) if v], "cell_id long, gene_id int, value double")
+    pos = spark.range(60).select(F.col("id").alias("cell_id"), (F.col("id") / 59).alias("t"))
+    got = {r["gene_id"]: r["side"] for r in stats.rising_and_falling(stats.spline_association(x, pos, 3)).collect()}
+    assert got == {0: "positive", 1: "negative"}
+    assert stats.line_modules(stats.spline_association(x, pos, 3)).count() == 3
+
+
+def test_thresholds_and_places(spark):
+    from matriq.operators.order import kth, positions
+
+    rng = np.random.default_rng(8)
+    v = rng.integers(-50, 50, 501).tolist()
+    df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], "cell_id long, value double")
+    assert kth(df, "value", [0, 100, 500], 501) == [sorted(map(float, v))[k] for k in (0, 100, 500)]
+    got = {r["cell_id"]: r["_k"] for r in positions(df, "value", "cell_id").collect()}
+    assert got == {i: k for k, (_, i) in enumerate(sorted((x, i) for i, x in enumerate(v)))}
+    low = select.default_thresholds(df.where("value < 0")).first()
+    n = sorted(x for x in v if x < 0)
+    assert low["lo"] == n[len(n) // 4] and select.default_thresholds(df.where("value > 99")).count() == 0
+
+
+def test_variable_genes_v3_prefer_the_overdispersed(spark):
+    rng = np.random.default_rng(9)
+    v = rng.poisson(5, size=(300, 30)).astype(float)
+    v[:, 7] = np.where(np.arange(300) % 10 == 0, 50, 0)
+    x = spark.createDataFrame([(c, g, float(v[c, g])) for c in range(300) for g in range(30) if v[c, g]], "cell_id long, gene_id int, value double")
+    out = normalize.highly_variable_v3(x, spark.range(30).select(F.col("id").cast("int").alias("gene_id")), 300, 1, 0.9)
+    assert [r["gene_id"] for r in out.where("highly_variable").collect()] == [7]
+
+
+def test_tasks_complete_fail_and_cancel(spark):
+    import time
+
+    from matriq.tasks import Tasks
+
+    tasks = Tasks(spark)
+    state = {}
+    done = tasks.submit("sum", lambda report: spark.range(10).agg(F.sum("id")).first()[0], lambda v: state.setdefault("v", v))
+    bad = tasks.submit("bad", lambda report: 1 / 0)
+    slow = tasks.submit("slow", lambda report: time.sleep(1) or 5, lambda v: state.setdefault("slow", v))
+    tasks.cancel(slow.id)
+    for _ in range(100):
+        if all(t.ended for t in (done, bad, slow)):
+            break
+        time.sleep(0.1)
+    assert (done.status, bad.status, slow.status) == ("completed", "failed", "cancelled")
+    assert state == {"v": 45} and done.result == 45 and bad.error
