@@ -78,12 +78,12 @@ def decontaminate(
     prints = _fingerprints(item, window, k, []).select(
         F.explode_outer(F.when(F.col("_n") < window, F.array(F.element_at(_any_gram("_h", short), 1))).otherwise(F.col("_prints"))).alias("_print")
     )
-    prints = broadcast_if_small(materialize(prints.distinct()).withColumn("_known", F.lit(True)))
+    prints = broadcast_if_small(prints.distinct())
     marked = _fingerprints(_hashed(docs, id_col, text_col), window, k, short)
     found = marked.select("_id", F.explode_outer("_prints").alias("_print")).where("_print IS NOT NULL").join(prints, "_print", "left_semi").select("_id").distinct()
     found = materialize(found)
 
-    spans = materialize(_windows(item, window, short).select(F.col("_id").alias("_item"), "_a", "_b", "_n").distinct())
+    spans = _windows(item, window, short).select(F.col("_id").alias("_item"), "_a", "_b", "_n").distinct()
     again = docs.join(broadcast_if_small(found), docs[id_col].eqNullSafe(found["_id"]), "left_semi")
     hits = _windows(_hashed(again, id_col, text_col), window, short).join(broadcast_if_small(spans), ["_a", "_b", "_n"])
     hits = materialize(hits.select("_id", "_item", "_at", "_n").distinct())
