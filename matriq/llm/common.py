@@ -48,6 +48,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df, whose session sends at most `rows` rows a batch to Python from now on: texts may be long, and two tasks share an executor."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= rows:
+        df.sparkSession.conf.set(name, str(rows))
+    return df
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z alone, as the contracts say."""
     return F.translate(c, ASCII_UPPER, ASCII_LOWER)

@@ -19,7 +19,7 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return body, at - at[0], null
 
 
-def pieces(batch: pa.RecordBatch, column: int, limit: int, most: int = 2048) -> list[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: int, limit: int, most: int = 1024) -> list[pa.RecordBatch]:
     """The batch cut into runs of at most `most` rows with about `limit` bytes of text each; a longer text is a run of its own."""
     out, start = [], 0
     _, at, _ = flat(batch.column(column))

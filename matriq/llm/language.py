@@ -16,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matriq.llm.common import read
+from matriq.llm.common import read, small_batches
 from matriq.llm.features import flat, pieces
 
 ORDER, SPACE = 4, 4096
 #: At most so many labelled rows of each language are fitted on, and so many of them are landmarks.
 FIT_ROWS, LANDMARKS, RIDGE = 400, 48, 1e-2
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 18
 UNDECIDED = "und"
 
 
@@ -142,7 +142,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
                 arrays = [rows.column(i) for i, c in enumerate(cols) if c in outer]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(best.tolist(), pa.string()), pa.array(top, pa.float64())], names=[*outer, *names])
 
-    return docs.select(*cols).mapInArrow(run, schema)
+    return small_batches(docs).select(*cols).mapInArrow(run, schema)
 
 
 def fold_of(c, folds: int):

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from matriq.llm.common import read
+from matriq.llm.common import read, small_batches
 
 SPACE = "▁".encode()
 CONTROL, USER, BYTE = 3, 4, 6
@@ -219,7 +219,7 @@ def encode_pieces(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_co
                 types = {"n_tokens": pa.int64(), "n_bytes": pa.int64(), "ids": pa.list_(pa.int32()), "begins": pa.list_(pa.int64()), "ends": pa.list_(pa.int64())}
                 yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(v, types.get(k, pa.string())) for k, v in out.items())], names=[id_col, *out])
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return small_batches(docs).select(id_col, text_col).mapInArrow(run, schema)
 
 
 def default_model() -> bytes:

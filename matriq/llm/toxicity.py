@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matriq.llm.common import read
+from matriq.llm.common import read, small_batches
 from matriq.llm.features import pieces
 from matriq.llm.language import bounded_sample, fold_of
 
@@ -289,11 +289,11 @@ def _features(docs: DataFrame, lexicon: Lexicon, cols: list[str], text_col: str)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
         for batch in batches:
-            for rows in pieces(batch, len(cols), 8 << 20):
+            for rows in pieces(batch, len(cols), 1 << 20):
                 x = [scorer.features(t or "").tolist() for t in rows.column(len(cols)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(x, pa.list_(pa.float64()))], names=[*cols, "_x"])
 
-    return docs.select(*cols, text_col).mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in cols) + ", _x array<double>")
+    return small_batches(docs).select(*cols, text_col).mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in cols) + ", _x array<double>")
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
