@@ -1,10 +1,10 @@
 """N-gram Jaccard join as a blocked sparse matrix product.
 
 Rows are distinct shingle sets, columns are shingles. In a global order of columns (frequent ones last,
-else by hash) two sets that link share l columns among their first n - ceil(T n / 100) + l, so only
-those entries of the incidence matrix are multiplied, and only of sets that share as many columns with any. Blocks of columns are multiplied in separate
-tasks, overlap counts of a pair add up, and a pair goes on only if its count and what may still
-follow reach the overlap that its sizes ask for. What goes on is compared in full.
+else by hash) two sets that link share l columns among their first n - ceil(T n / 100) + l, so only those
+entries of the incidence matrix are multiplied, and only of sets that share as many columns with sets of
+fitting sizes. Blocks of columns are multiplied in separate tasks, overlap counts of a pair add up, and pairs
+below the l of their sizes are discarded. The others are compared in full.
 
 No group is expanded into all its pairs. Sets that agree in a band of least hashes form families first; a family's
 product is taken block by block of rows, within tasks that give out a forest of its links alone, and the product by
@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matriq.llm.common import attach, broadcast_if_small, materialize, read
+from matriq.llm.common import attach, broadcast_if_small, materialize, read, small_batches
 from matriq.llm.components import connected_components
 from matriq.llm.features import flat, mix, pieces
 
-PIECE = 2 << 20
+PIECE = 1 << 18
 #: A column is frequent if at least 1/FREQUENT of the documents have it near the front of their set.
 FREQUENT = 1000
-CHUNK = 2_000_000
+CHUNK = 500_000
 #: Rows of a column that one block holds; longer columns are multiplied block by block.
 BLOCK = 2000
 #: And members of their sets: 32 MB.
@@ -38,7 +38,7 @@ SALTS = 64
 #: Names of sets that a task remembers, so as not to repeat the entries of copies.
 REMEMBERED = 200_000
 #: Sets in one band's agreement are of one family: likely from a similarity of 0.7, rare below 0.4.
-BANDS, BAND_ROWS = 12, 4
+BANDS, BAND_ROWS = 16, 3
 HOT = np.uint64(1 << 63)
 _M = np.uint64(0x9E3779B97F4A7C15 | 1)
 _FACTORS = mix(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -148,7 +148,7 @@ def _scan(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) ->
 
         def often() -> pa.RecordBatch:
             h, c = np.unique(np.concatenate(held), return_counts=True)
-            h, c = h[c >= 3], c[c >= 3]
+            h, c = h[c >= 2], c[c >= 2]
             return table(1, len(h), h=h.view(np.int64), c=c.astype(np.int64))
 
         for batch in batches:
@@ -177,14 +177,14 @@ def _scan(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) ->
 
 
 def _entries(docs: DataFrame, text_col: str, hot: np.ndarray, k: int, percent: int) -> DataFrame:
-    """(h, s, n, last): the front entries of each document's row. h has its top bit set for frequent columns."""
+    """(h, s, n): the front entries of each document's row. h has its top bit set for frequent columns."""
     sent = docs.sparkSession.sparkContext.broadcast(np.sort(hot))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, met = sent.value, set()
         for batch in batches:
             for rows in pieces(batch, 0, PIECE):
-                out: list[list[np.ndarray]] = [[], [], [], []]
+                out: list[list[np.ndarray]] = [[], [], []]
                 for s in shingle_sets(rows.column(0), k):
                     key = set_key(s)
                     if len(s) and key not in met:
@@ -192,12 +192,12 @@ def _entries(docs: DataFrame, text_col: str, hot: np.ndarray, k: int, percent: i
                             met.clear()
                         met.add(key)
                         h = ordered(s, frequent)[: front(len(s), percent)]
-                        for to, v in zip(out, (h.view(np.int64), key, len(s), h[-1:].view(np.int64)), strict=True):
+                        for to, v in zip(out, (h.view(np.int64), key, len(s)), strict=True):
                             to.append(np.broadcast_to(np.asarray(v, np.int64), len(h)))
                 if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["h", "s", "n", "last"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["h", "s", "n"])
 
-    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "h bigint, s bigint, n bigint, last bigint")
+    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "h bigint, s bigint, n bigint")
 
 
 def ordered(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
@@ -226,16 +226,14 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndar
         yield rest
 
 
-PAIR = "a bigint, b bigint, na bigint, nb bigint, la bigint, lb bigint, c bigint"
+PAIR = "a bigint, b bigint, n bigint, c bigint"
 
 
-def _pairs(n, s, last, i, j, percent: int) -> tuple[np.ndarray, ...]:
+def _pairs(n, s, i, j, percent: int) -> tuple[np.ndarray, ...]:
     """Of index pairs i, j with n[i] <= n[j]: those whose sizes let them link, the smaller name first."""
     ok = (n[j] * percent <= n[i] * 100) & (s[i] != s[j])
     i, j = i[ok], j[ok]
-    swap = s[i] > s[j]
-    i, j = np.where(swap, j, i), np.where(swap, i, j)
-    return s[i], s[j], n[i], n[j], last[i], last[j], np.ones(len(i), np.int64)
+    return np.minimum(s[i], s[j]), np.maximum(s[i], s[j]), n[i], np.ones(len(i), np.int64)
 
 
 def _gather(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
@@ -245,8 +243,8 @@ def _gather(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     cols = [c[order] for c in cols]
     new = np.concatenate([[True], (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])]) if len(order) else np.zeros(0, bool)
     at = np.flatnonzero(new)
-    count = np.add.reduceat(cols[6], at) if len(at) else cols[6]
-    return pa.RecordBatch.from_arrays([*(pa.array(c[at]) for c in cols[:6]), pa.array(count)], names=["a", "b", "na", "nb", "la", "lb", "c"])
+    count = np.add.reduceat(cols[3], at) if len(at) else cols[3]
+    return pa.RecordBatch.from_arrays([*(pa.array(c[at]) for c in cols[:3]), pa.array(count)], names=["a", "b", "n", "c"])
 
 
 def _apart(entries: DataFrame) -> DataFrame:
@@ -256,21 +254,24 @@ def _apart(entries: DataFrame) -> DataFrame:
     """
     parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salt = F.when(F.col("h") < 0, F.pmod(F.xxhash64("s"), F.lit(SALTS))).otherwise(F.lit(0))
-    return entries.withColumn("_salt", salt).repartition(parts, "h", "_salt").drop("_salt").sortWithinPartitions("h", "n", "s").select("h", "n", "s", "last")
+    return entries.withColumn("_salt", salt).repartition(parts, "h", "_salt").drop("_salt").sortWithinPartitions("h", "n", "s").select("h", "n", "s")
 
 
-def _shared(entries: DataFrame) -> DataFrame:
-    """Entries, once for each set, of columns that two sets or more have, and all of frequent ones. One row is held at a time."""
-    names = ["h", "n", "s", "last"]
+def _shared(entries: DataFrame, percent: int) -> DataFrame:
+    """Entries, once for each set, that share their column with a set of a size to link with, and all of frequent columns.
+
+    In order of size the sizes nearest to a set's are those beside it. One row is held at a time.
+    """
+    names = ["h", "n", "s"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, met = None, False
         for batch in batches:
             cols = _deduped(last, batch)
-            h = cols[0]
+            h, n, _ = cols
             if not len(h):
                 continue
-            same = h[1:] == h[:-1]
+            same = (h[1:] == h[:-1]) & (n[1:] * percent <= n[:-1] * 100)
             keep = np.concatenate([[met], same])[:-1] | same | (h[:-1] < 0)
             if keep.any():
                 yield pa.RecordBatch.from_arrays([pa.array(c[:-1][keep]) for c in cols], names=names)
@@ -279,7 +280,14 @@ def _shared(entries: DataFrame) -> DataFrame:
         if last is not None and (met or last[0][0] < 0):
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in last], names=names)
 
-    return _apart(entries).mapInArrow(run, "h bigint, n bigint, s bigint, last bigint")
+    return _apart(entries).mapInArrow(run, "h bigint, n bigint, s bigint")
+
+
+def _able(entries: DataFrame, percent: int) -> DataFrame:
+    """Entries of sets that share as many columns with any as the smallest that they may link with asks for."""
+    able = entries.groupBy("s").agg(F.count("*").alias("c"), F.min("n").alias("n"))
+    able = able.where(F.col("c") >= _share(F.ceil(F.col("n") * percent / 100), percent)).select("s")
+    return materialize(entries.join(broadcast_if_small(materialize(able)), "s", "left_semi").select("h", "n", "s"))
 
 
 def _deduped(last: list[np.ndarray] | None, batch: pa.RecordBatch) -> list[np.ndarray]:
@@ -392,20 +400,20 @@ def _members(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, k: int
 
 
 def _product(entries: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components within each block; entries (h, i, j, n, s, last, k, blk) are sorted so."""
+    """Pairs of different components within each block; entries (h, i, j, n, s, k, blk) are sorted so."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
-        for _, bi, bj, n, s, last, comp, blk in _runs(batches, 3):
+        for _, bi, bj, n, s, comp, blk in _runs(batches, 3):
             one = np.concatenate([[True], s[1:] != s[:-1]])
-            n, s, last, comp, blk = (x[one] for x in (n, s, last, comp, blk))
+            n, s, comp, blk = (x[one] for x in (n, s, comp, blk))
             across = bi[0] != bj[0]
             upto = np.searchsorted(n, n * 100 // percent, "right")
             for x in range(len(s) - 1):
                 j = np.arange(x + 1, upto[x])
                 j = j[(comp[j] != comp[x]) & ((blk[j] != blk[x]) if across else True)]
                 if len(j):
-                    parts.append(_pairs(n, s, last, np.full(len(j), x), j, percent))
+                    parts.append(_pairs(n, s, np.full(len(j), x), j, percent))
                     size += len(j)
                     if size > 500_000:
                         yield _gather(parts)
@@ -413,7 +421,7 @@ def _product(entries: DataFrame, percent: int) -> DataFrame:
         if parts:
             yield _gather(parts)
 
-    return entries.select("h", "i", "j", "n", "s", "last", "k", "blk").mapInArrow(run, PAIR)
+    return entries.select("h", "i", "j", "n", "s", "k", "blk").mapInArrow(run, PAIR)
 
 
 def _share(n: Column, percent: int) -> Column:
@@ -421,23 +429,10 @@ def _share(n: Column, percent: int) -> Column:
     return F.greatest(F.lit(1), F.floor(n * (100 - percent) / 200)).cast("bigint")
 
 
-def _front(n: Column, percent: int) -> Column:
-    """front() of a column."""
-    return F.least(n, n - F.ceil(n * percent / 100) + _share(n, percent)).cast("bigint")
-
-
 def _enough(pairs: DataFrame, percent: int) -> DataFrame:
-    """Counts of a pair added up; pairs whose count, and what may follow their fronts, can reach the overlap needed."""
-    pairs = pairs.groupBy("a", "b").agg(*(F.min(x).alias(x) for x in ("na", "nb", "la", "lb")), F.sum("c").alias("c"))
-
-    def place(x: str) -> Column:  # in global order, where the top bit counts as the largest
-        return F.col(x).bitwiseXOR(F.lit(-(1 << 63)))
-
-    def after(x: str) -> Column:
-        return F.col(x) - _front(F.col(x), percent)
-
-    follow = F.when(place("la") <= place("lb"), after("na")).otherwise(after("nb"))
-    return pairs.where((F.col("c") + follow) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).where(F.col("c") >= _share(F.least("na", "nb"), percent))
+    """Counts of a pair added up; pairs (a, b) whose fronts have as much in common as the smaller size asks for."""
+    pairs = pairs.groupBy("a", "b").agg(F.min("n").alias("n"), F.sum("c").alias("c"))
+    return pairs.where(F.col("c") >= _share(F.col("n"), percent)).select("a", "b")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, names: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
@@ -472,16 +467,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     if k < 1 or not 0 < percent <= 100:
         raise ValueError("k must be 1 or more and percent from 1 to 100")
+    docs = small_batches(docs)
     seen = materialize(_scan(docs, id_col, text_col, k, percent))
     rows = seen.where("kind = 0").select("id", "n", "s")
     total = rows.count()
     # At most 2 * front / n * FREQUENT columns of an average set: a number that does not grow with the input.
     hot = seen.where("kind = 1").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") * FREQUENT >= max(total, 20 * FREQUENT)).select("h").toPandas()["h"].to_numpy(np.int64)
-    entries = materialize(_shared(_entries(docs, text_col, hot.view(np.uint64), k, percent)))
-    # A set that links shares so many columns with sets at all; the smallest that it links with asks for fewest.
-    able = entries.groupBy("s").agg(F.count("*").alias("c"), F.min("n").alias("n"))
-    able = able.where(F.col("c") >= _share(F.ceil(F.col("n") * percent / 100), percent)).select("s")
-    entries = materialize(entries.join(broadcast_if_small(materialize(able)), "s", "left_semi").select("h", "n", "s", "last"))
+    entries = _able(materialize(_shared(_entries(docs, text_col, hot.view(np.uint64), k, percent), percent)), percent)
+    # Without the sets that went, columns of others may be left alone.
+    entries = _able(materialize(_shared(entries, percent)), percent)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by_set = materialize(rows.where("n > 0").groupBy("s").agg(F.min("id").alias("id"), F.count("*").alias("size")))
     names = by_set.select("s", "id")
@@ -496,7 +490,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     wide = wide.select("h", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb"))
     cells = known.join(broadcast_if_small(materialize(wide)), "h").withColumn("blk", F.pmod(F.xxhash64("s"), F.col("nb")))
     cells = cells.withColumn("_j", F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("nb") - 1).cast("bigint"))))
-    cells = cells.select("h", F.least("blk", "_j").alias("i"), F.greatest("blk", "_j").alias("j"), "n", "s", "last", "k", "blk")
+    cells = cells.select("h", F.least("blk", "_j").alias("i"), F.greatest("blk", "_j").alias("j"), "n", "s", "k", "blk")
     cells = cells.repartition(parts, "h", "i", "j").sortWithinPartitions("h", "i", "j", "n", "s")
     more = _verified(_enough(_product(cells, percent), percent), docs, names, id_col, text_col, k, percent)
 
