@@ -19,14 +19,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matriq.llm.common import attach, broadcast_if_small, materialize, read
+from matriq.llm.common import attach, broadcast_if_small, materialize, read, small_batches
 from matriq.llm.features import flat, mix, pieces
 from matriq.llm.ngram_join import _power
 
 LENGTH, GRAM = 400, 32
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: Bytes that one transform takes; a least hash with more is settled by hashes of its windows.
 TEXT = 2_000_000
+#: Texts of several least hashes are joined up to this size.
+BATCH = 400_000
 #: Bytes compared outright when suffixes are sorted; extension begins there.
 SEED = 16
 END = 255
@@ -247,7 +249,7 @@ def _extended(texts: DataFrame, parts: int, length: int) -> DataFrame:
         held, size, last = [], 0, None
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[2] != last and size >= TEXT // 2:
+                if row[2] != last and size >= min(BATCH, TEXT):
                     yield table(settle(held))
                     held, size = [], 0
                 last = row[2]
@@ -273,7 +275,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     if not 8 < gram < length or length <= SEED:
         raise ValueError("gram must be over 8 and below length")
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+    rows = small_batches(docs).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     found = materialize(_blocks(rows, length, gram))
     kinds = materialize(
         found.groupBy("least", "s", "u").agg(F.count("*").alias("c"), F.min(F.struct("k", "a", "n", "twice")).alias("at")).select("least", "s", "u", "c", "at.*")
