@@ -1,8 +1,9 @@
 """Language ID by string kernels: blended-spectrum presence, Nystrom landmarks, one-versus-rest kernel ridge regression.
 
-A text is the set of its byte n-grams of 1 to ORDER bytes, hashed to SPACE slots: a 0/1 row. The kernel of two
-texts is the size of the slots' intersection over the root of the sizes' product. Scores of a batch are two
-matrix products: rows by landmarks, kernels by weights.
+A text is cut into blocks of equal size, of at most BLOCK bytes. A block is the set of the byte n-grams of 1 to ORDER
+bytes that begin in it, hashed to SPACE slots: a 0/1 row. The kernel of two blocks is the size of the slots'
+intersection over the root of the sizes' product. Scores of a batch are two matrix products: rows by landmarks,
+kernels by weights; a text's score is the mean of its blocks', so that no length of text fills the slots.
 """
 
 from __future__ import annotations
@@ -19,35 +20,47 @@ from pyspark.sql import functions as F
 from matriq.llm.common import read, small_batches
 from matriq.llm.features import flat, pieces
 
-ORDER, SPACE = 4, 4096
+ORDER, SPACE, BLOCK = 4, 4096, 2048
+#: Blocks whose rows are in memory at once: 8 MB.
+BLOCKS = 512
 #: At most so many labelled rows of each language are fitted on, and so many of them are landmarks.
 FIT_ROWS, LANDMARKS, RIDGE = 400, 48, 1e-2
 BATCH_BYTES = 1 << 18
 UNDECIDED = "und"
 
 
-def presence(column: pa.Array) -> np.ndarray:
-    """0/1 rows (float32) of hashed byte n-grams, case-folded for ASCII; spaces and their like are one byte, digits another."""
-    body, at, _ = flat(column)
+def presence(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """0/1 rows (float32) of the blocks' hashed byte n-grams, each block's text, and its share of it; at most BLOCKS at a time.
+
+    Case-folded for ASCII; spaces and their like are one byte, digits another. Every n-gram of a text is in one block; empty texts have one too.
+    """
     fold = np.arange(256, dtype=np.uint8)
     fold[65:91] += 32
     fold[48:58] = 48
     fold[:33] = 32
-    body = fold[body]
-    n = len(at) - 1
-    rows = np.repeat(np.arange(n, dtype=np.int64), np.diff(at))
-    seen = np.zeros(n * SPACE, np.float32)
-    code = np.zeros(len(body), np.uint32)
-    slot0 = rows * SPACE
-    for k in range(1, ORDER + 1):
-        if len(body) < k:
-            break
-        m = len(body) - k + 1
-        code = (code[:m] << np.uint32(8)) | body[k - 1 :]
-        inside = rows[:m] == rows[k - 1 :]
-        hashed = ((code + np.uint32(k)) * np.uint32(0x9E3779B1)) >> np.uint32(32 - SPACE.bit_length() + 1)
-        seen[(slot0[:m] + hashed)[inside]] = 1
-    return seen.reshape(n, SPACE)
+    body, at, _ = flat(column)
+    blocks = np.maximum(-(-np.diff(at) // BLOCK), 1)
+    text = np.repeat(np.arange(len(blocks)), blocks)
+    place = np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    first = at[text] + place * np.diff(at)[text] // blocks[text]
+    start = np.append(first, at[-1])
+    for lo in range(0, len(text), BLOCKS):
+        of = text[lo : lo + BLOCKS]
+        begin, end = int(start[lo]), int(start[lo + len(of)])
+        part = fold[body[begin : end + ORDER - 1]]
+        row = np.repeat(np.arange(len(of), dtype=np.int64), np.diff(start[lo : lo + len(of) + 1]))
+        left = at[of + 1][row] - np.arange(begin, end)
+        seen = np.zeros(len(of) * SPACE, np.float32)
+        code = np.zeros(len(part), np.uint32)
+        for k in range(1, ORDER + 1):
+            m = len(part) - k + 1
+            if m < 1:
+                break
+            code = (code[:m] << np.uint32(8)) | part[k - 1 :]
+            hashed = ((code + np.uint32(k)) * np.uint32(0x9E3779B1)) >> np.uint32(32 - SPACE.bit_length() + 1)
+            m = min(m, len(row))
+            seen[(row[:m] * SPACE + hashed[:m])[left[:m] >= k]] = 1
+        yield seen.reshape(len(of), SPACE), of, 1 / blocks[of]
 
 
 @dataclass
@@ -61,23 +74,37 @@ class LanguageModel:
         return rows @ self.landmarks.T / (size[:, None] * np.sqrt(np.maximum(self.landmarks.sum(1), 1))[None])
 
     def scores(self, column: pa.Array) -> np.ndarray:
-        """(n, languages) regression values, about 1 for a text's own language and 0 for others."""
-        return self.kernels(presence(column)) @ self.weights
+        """(n, languages) regression values, about 1 for a text's own language and 0 for others: the mean over its blocks."""
+        out = np.zeros((len(column), len(self.languages)))
+        for rows, of, share in presence(column):
+            np.add.at(out, of, (self.kernels(rows) @ self.weights) * share[:, None])
+        return out
 
 
 def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> LanguageModel:
-    """Landmarks are the first texts of each language as given; ridge regression in their Nystrom feature space."""
+    """Landmarks are the middle blocks of the first texts of each language as given; ridge regression of all blocks in their Nystrom feature space."""
     languages = sorted(set(langs))
-    rows = presence(pa.array(texts, pa.large_string()))
+    column = pa.array(texts, pa.large_string())
     y = (np.array(langs)[:, None] == np.array(languages)[None]).astype(np.float64)
     chosen = np.concatenate([np.flatnonzero(y[:, k])[:landmarks] for k in range(len(languages))]) if languages else np.zeros(0, int)
-    model = LanguageModel(languages, rows[chosen], np.zeros((len(chosen), len(languages)), np.float32))
+    model = LanguageModel(languages, np.zeros((len(chosen), SPACE), np.float32), np.zeros((len(chosen), len(languages)), np.float32))
     if not languages:
         return model
-    k, inner = model.kernels(rows).astype(np.float64), model.kernels(rows[chosen]).astype(np.float64)
+    for i, c in enumerate(chosen):
+        middle = max(-(-len(texts[c].encode()) // BLOCK), 1) // 2
+        for rows, _, _ in presence(column.slice(c, 1)):
+            if 0 <= middle < len(rows):
+                model.landmarks[i] = rows[middle]
+            middle -= len(rows)
     weight = 1 / y.sum(0)[y.argmax(1)]
-    left = (k * weight[:, None]).T @ k + ridge * inner + 1e-9 * np.eye(len(chosen))
-    model.weights = np.linalg.solve(left, (k * weight[:, None]).T @ y).astype(np.float32)
+    left = ridge * model.kernels(model.landmarks).astype(np.float64) + 1e-9 * np.eye(len(chosen))
+    right = np.zeros((len(chosen), len(languages)))
+    for rows, of, share in presence(column):
+        k = model.kernels(rows).astype(np.float64)
+        kw = (k * (weight[of] * share)[:, None]).T
+        left += kw @ k
+        right += kw @ y[of]
+    model.weights = np.linalg.solve(left, right).astype(np.float32)
     return model
 
 
@@ -134,7 +161,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
                 letters = np.array([has_letter(t.as_py()) for t in texts], bool)
                 best, top = np.full(n, UNDECIDED, object), np.zeros(n)
                 if m.languages and n:
-                    s = m.scores(texts).astype(np.float64)
+                    s = m.scores(texts)
                     e = np.exp(8 * (s - s.max(1, keepdims=True)))
                     win = e.argmax(1)
                     best = np.where(letters, np.array(m.languages, object)[win], UNDECIDED)

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,6 +194,27 @@ def test_language_odd(spark, odd, empty):
     assert kept.columns == ["doc_id", "score", "text", "a", "b"]
 
 
+def test_language_of_long_texts(spark, big):
+    docs = common.read(spark, big, "documents").where("lang IS NOT NULL AND text IS NOT NULL")
+    held = language.fold_of(F.col("doc_id"), 4) == 2
+    model = language.train(docs.where(~held), "doc_id", "text", "lang")
+    texts = docs.where(held).select("lang", "text").orderBy("doc_id").toPandas().groupby("lang")["text"].apply(" ".join)
+    rows = [(lang, (t * (size // len(t) + 1))[:size]) for lang, t in texts.items() for size in (10**6, 3 * 10**6)]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    got = [tuple(r) for r in language.identify(df, model, id_col="lang").select("lang", "lang_pred").collect()]
+    assert len(got) == 8 and all(a == b for a, b in got)
+
+
+def test_language_blocks_hold_every_gram():
+    texts = ["", "ab", "héllo wörld 12 " * 700, "x" * language.BLOCK, None]
+    at = [(int(i), float(w), r) for rows, of, share in language.presence(pa.array(texts, pa.large_string())) for r, i, w in zip(rows, of, share, strict=True)]
+    assert [sum(i == k for i, _, _ in at) for k in range(5)] == [1, 1, -(-len(texts[2].encode()) // language.BLOCK), 1, 1]
+    assert all(abs(sum(w for i, w, _ in at if i == k) - 1) < 1e-9 for k in range(5))
+    whole = np.max([r for i, _, r in at if i == 2], axis=0)
+    once = [r for rows, _, _ in language.presence(pa.array(["héllo wörld 12 " * 30])) for r in rows]
+    assert len(once) == 1 and (whole == once[0]).all() and not at[0][2].any()
+
+
 def test_language_never_sees_held_out_labels(spark, sf_dir):
     docs = common.read(spark, sf_dir, "documents")
     held = [r[0] for r in docs.select("doc_id").collect() if zlib.crc32(str(r[0]).encode()) % 4 == 2]
