@@ -22,8 +22,11 @@ RULES = [
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 ]
-CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
-REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["']?[^"'>]*?\burl\s*=\s*([^"'\s>]+)"""
+LINK, META = r"(?is)<link\b[^>]*>", r"(?is)<meta\b[^>]*>"
+IS_CANONICAL = r"""(?is)\brel\s*=\s*["']?canonical\b"""
+IS_REFRESH = r"""(?is)\bhttp-equiv\s*=\s*["']?refresh\b"""
+HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
+REFRESH_URL = r"""(?is)\bcontent\s*=\s*["']?[^"'>]*?\burl\s*=\s*([^"'\s>]+)"""
 
 
 def rest_of(url: Column) -> Column:
@@ -60,19 +63,47 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str, str]])
     return reduce(lambda a, b: F.when(b.isNotNull() & (a.isNull() | (b["size"] > a["size"])), b).otherwise(a), fits[1:], fits[0])
 
 
+def targets_of(html: Column) -> Column:
+    """Targets of all canonical links and all refresh redirects, as written; null for null HTML."""
+    links = F.filter(F.regexp_extract_all(html, F.lit(LINK), F.lit(0)), lambda t: t.rlike(IS_CANONICAL))
+    metas = F.filter(F.regexp_extract_all(html, F.lit(META), F.lit(0)), lambda t: t.rlike(IS_REFRESH))
+    return F.concat(F.transform(links, lambda t: F.regexp_extract(t, HREF, 1)), F.transform(metas, lambda t: F.regexp_extract(t, REFRESH_URL, 1)))
+
+
+def resolved(host: Column, path: Column, to: Column) -> Column:
+    """Host, path and query of a target without :// or leading slash, seen from a page's host and path; null if it has a scheme."""
+    to_path, to_query = F.regexp_extract(to, r"^[^?#]*", 0), F.regexp_extract(to, r"^[^?#]*([^#]*)", 1)
+    folder = F.regexp_extract(path, r"(?s)^/(.*/)?", 1)
+    steps = F.split(F.concat(folder, to_path), "/", -1)
+    kept = F.aggregate(
+        steps,
+        F.array().cast("array<string>"),
+        lambda a, s: F.when(s == ".", a).when(s == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(s))),
+    )
+    end = F.when(F.element_at(steps, -1).isin(".", "..") & (F.size(kept) > 0), "/").otherwise("")
+    found = F.when(to_path == "", F.concat(host, path, to_query)).otherwise(F.concat(host, F.lit("/"), F.array_join(kept, "/"), end, to_query))
+    return F.when(~to.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:") & ~to.startswith("#"), found)
+
+
 def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(src, dst) page keys of the canonical links and refresh redirects in the pages' HTML."""
+    """(src, dst) page keys of the canonical links and refresh redirects in the pages' HTML.
+
+    Targets without a host are seen from the page's URL (a base element is not read), dot segments of relative ones
+    resolved. Those with a scheme but no :// (mailto:) name no page, and a fragment alone is the page itself.
+    """
     rest = rest_of(F.col(url_col))
     found = pages.select(
         key_of(rest).alias("src"),
         host_of(rest).alias("_host"),
-        F.explode(F.array(F.regexp_extract(html_col, CANONICAL, 1), F.regexp_extract(html_col, REFRESH, 1))).alias("_to"),
+        path_of(rest).alias("_path"),
+        F.explode(targets_of(F.col(html_col))).alias("_to"),
     ).where("_to <> '' AND src IS NOT NULL")
     to = F.col("_to")
     target = (
         F.when(to.contains("://"), rest_of(to))
         .when(to.startswith("//"), to.substr(F.lit(3), F.length(to)))
         .when(to.startswith("/"), F.concat("_host", to))
+        .otherwise(resolved(F.col("_host"), F.col("_path"), to))
     )
     return found.select("src", key_of(target).alias("dst")).where("dst IS NOT NULL AND src <> dst").distinct()
 
@@ -88,7 +119,7 @@ def filter_urls(
     """One row per input row: id, host, path, rule, verdict.
 
     The longest rule that fits decides. A page without one takes the decision of its aliases, the
-    URLs that canonical links, redirects and `edges` (src, dst as URLs) connect with it: allow if a
+    URLs that all canonical links, all redirects (see link_edges) and `edges` (src, dst as URLs) connect with it: allow if a
     rule allows any of them, else block if a rule blocks any, else allow. A null URL, or one without
     ://, has an empty host and path, fits no rule, has no alias and is allowed. Null HTML has no
     links; repeated rows and repeated ids each keep their row; no pages give no rows. Rules of equal

@@ -3,6 +3,7 @@
 import random
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -367,6 +368,38 @@ def test_url_aliases(spark, empty):
     assert url_filters.filter_urls(df.limit(0)).count() == 0
 
 
+def test_url_aliases_of_every_tag(spark):
+    link = lambda u: f'<link href="{u}" rel=canonical>'
+    fresh = lambda u: f"<meta http-equiv='refresh' content='0; URL={u}'>"
+    pages = [
+        (0, "http://a.org/1", link("http://b.org/x") + "<p>" + link("http://c.net/es/1")),
+        (1, "http://d.org/1", fresh("http://b.org/y") + fresh("http://b.org/z") + fresh("//c.net/fr/2")),
+        (2, "http://e.org/1", link("/5") + fresh("http://a.org/1")),
+        (3, "http://f.org/1", '<link rel="alternate" href="http://c.net/es/1"><link rel="next">' + fresh("") + link("http://b.org/w")),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = url_filters.filter_urls(df).toPandas()
+    assert got.sort_values("page_id")["verdict"].tolist() == ["block", "block", "block", "allow"]
+    duck = duckdb.connect()
+    duck.register("pages", df.toPandas())
+    assert rows(got) == rows(duck.sql(url_filters.SQL).df())
+
+
+def test_url_relative_targets(spark):
+    cases = [
+        ("http://a.net/x/y.html?q=1", "page.html", "a.net/x/page.html"), ("http://a.net/x/y.html", "../es/1", "a.net/es/1"),
+        ("http://a.net/x/y.html?q=1", "?id=3#f", "a.net/x/y.html?id=3"), ("http://A.net", "es/./2/../3?a=../b", "a.net/es/3?a=../b"),
+        ("http://a.net/x/y/z", "../../../..", "a.net/"), ("http://a.net/x/y/z", "..", "a.net/x/"), ("http://a.net/x/y/", ".", None),
+        ("http://a.net/x/y", "#top", None), ("http://a.net/x/y", "mailto:me@b.org", None), ("http://a.net/x/y", "/z", "a.net/z"), ("no scheme", "z", None),
+    ]
+    for url, to, want in cases:
+        df = spark.createDataFrame([(url, f'<link rel="canonical" href="{to}">')], "url string, html string")
+        got = [r["dst"] for r in url_filters.link_edges(df).collect()]
+        assert got == ([want] if want else []), (url, to, got)
+    df = spark.createDataFrame([(0, "http://b.net/x/y", '<link rel="canonical" href="../fr/1">')], "page_id long, url string, html string")
+    assert url_filters.filter_urls(df).first()["verdict"] == "block"
+
+
 def test_pipeline_is_brute_force(spark, duck, sf_dir):
     import regex
 
