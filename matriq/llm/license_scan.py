@@ -5,10 +5,14 @@ DataFrame functions only.
 
 from __future__ import annotations
 
+import re
+from functools import cache
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matriq.llm.common import ascii_lower, attach, broadcast_if_small, materialize, read
+from matriq.llm.common import ascii_lower, attach, materialize, read
 
 # The published wording of licences and of the notices that name one.
 _GRANT_MIT = (
@@ -65,6 +69,59 @@ KNOWN = [
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC0-1.0", "Licensed under CC0 1.0."),
 ]
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+    "following conditions are met: {0} Redistributions of source code must retain the above copyright notice, this list of "
+    "conditions and the following disclaimer. {1} Redistributions in binary form must reproduce the above copyright notice, "
+    "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+    "distribution. {3}"
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, '
+    "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+    "DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT {4} OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, "
+    "EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF "
+    "USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, "
+    "STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF "
+    "ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_BSD_THIRD = (
+    "{2} Neither the name of the {5} nor the names of its contributors may be used to endorse or promote products derived "
+    "from this software without specific prior written permission. "
+)
+#: Usual headings of the short licences; the long ones have theirs in the text.
+HEADINGS = {
+    "MIT": ["", "MIT", "MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "MIT License (Expat)", "Expat License"],
+    "ISC": ["", "ISC", "ISC License", "The ISC License", "ISC License (ISC)", "ISC License (ISCL)"],
+    "BSD-2-Clause": ["", "BSD-2-Clause", "BSD License", "BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License", "FreeBSD License"],
+    "BSD-3-Clause": ["", "BSD-3-Clause", "BSD License", "BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License", "Modified BSD License"],
+}
+_FSF = r"51 Franklin Street, Fifth Floor, Boston, MA\s+02110-1301\s+USA"
+_FSF_BEFORE = "59 Temple Place, Suite 330, Boston, MA 02111-1307 USA"
+
+
+@cache
+def whole_licenses() -> list[tuple[str, str]]:
+    """(license, text) of whole licences: the short ones under each usual heading, the long ones with and without the part after their terms.
+
+    Each long text stands as its publisher wraps it and in one line after its copyright line: lines that begin with "copyright" are not in the canonical form.
+    """
+    short = [("MIT", _GRANT_MIT)]
+    short += [("ISC", g + " " + _NO_WARRANTY_ISC) for g in (_GRANT_ISC, _GRANT_ISC.replace("and/or", "and"))]
+    for marks in (("1.", "2.", "3."), ("*", "*", "*")):
+        for who in ("HOLDER", "HOLDERS", "OWNER"):
+            short.append(("BSD-2-Clause", _BSD.format(*marks, "", who)))
+            short += [("BSD-3-Clause", _BSD.format(*marks, _BSD_THIRD.format(*marks, "", "", name), who)) for name in ("copyright holder", "copyright holders", "copyright owner", "author")]
+    out = [(name, f"{heading}\n{rights}\n{text}") for name, text in short for heading in HEADINGS[name] for rights in ("", "All rights reserved.")]
+    for path in sorted((Path(__file__).parent / "licenses").glob("*.txt")):
+        text = path.read_text()
+        end = re.search(r"(?m)^ *END OF TERMS AND CONDITIONS$", text)
+        for t in [text, *([text[: end.end()], text[: end.start()]] if end else [])]:
+            for u in dict.fromkeys((t, re.sub(_FSF, _FSF_BEFORE, t))):
+                owner = re.search(r"(?im)^ *copyright \(c\).*\n", u[:500])
+                first = owner.end() if owner else 0
+                out += [(path.stem, u), (path.stem, u[:first] + " ".join(u[first:].split()))]
+    return out
+
+
 #: Spellings that count as the same word; a pattern and what replaces it, in turn.
 SPELLINGS = [
     (r"\blicen[cs](e|es|ed|ing|ee|or)\b", r"licens$1"),
@@ -77,7 +134,7 @@ SPELLINGS = [
 ]
 COPYRIGHT_LINE = r"(?m)^[^\na-z0-9]*(?:copyright\b|\(c\)|©)[^\n]*(?:\n|$)"
 PUNCTUATION = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
-#: Every known text has one of these stems; a line without any can't be one.
+#: Every text of KNOWN has one of these stems; the SQL, which knows KNOWN alone, reads no other lines.
 STEMS = r"(?i)licen[cs]e|permission"
 
 
@@ -89,9 +146,9 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(t, PUNCTUATION, " "))
 
 
-def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    """(digest, license) of the known texts, one row a digest; the first name wins."""
-    rows = [(i, name, text) for i, (name, text) in enumerate(known)]
+def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(digest, license) of the known texts (KNOWN and the whole licences if not given), one row a digest; the first name wins."""
+    rows = [(i, name, text) for i, (name, text) in enumerate([*KNOWN, *whole_licenses()] if known is None else known)]
     df = spark.createDataFrame(rows, "i int, license string, text string")
     df = df.select("i", "license", F.unhex(F.sha2(canonical(F.col("text")), 256)).alias("digest"))
     return df.groupBy("digest").agg(F.min_by("license", "i").alias("license"))
@@ -101,16 +158,18 @@ def scan_licenses(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", tex
     """One row per input row: id, license (of the whole text, or null), n_license_lines, line_licenses (sorted names), digest.
 
     The whole canonical text is looked up by its SHA-256 among known (digest, license), and so is each
-    whole line that names a licence. Null counts as empty; what is empty once canonical matches nothing
+    whole line of it. Null counts as empty; what is empty once canonical matches nothing
     unless known holds the digest of "". Repeated rows each keep their row; those that repeat an id
     pool their lines. No documents: no rows. Extra columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
     whole = materialize(rows.select("_id", F.unhex(F.sha2(canonical(F.col("_t")), 256)).alias("_digest")))
     names = materialize(known.select(F.col("digest").alias("_digest"), F.col("license").alias("_license")))
-    out = whole.join(F.broadcast(names), "_digest", "left") if _few(names) else attach(whole, names, "_digest", ["_license"], "_id")
-    named = rows.where(F.col("_t").rlike(STEMS)).select("_id", F.explode(F.split("_t", r"\n")).alias("_line")).where(F.col("_line").rlike(STEMS))
-    lines = named.select("_id", F.unhex(F.sha2(canonical(F.col("_line")), 256)).alias("_digest")).join(broadcast_if_small(names), "_digest")
+    few = _few(names)
+    out = whole.join(F.broadcast(names), "_digest", "left") if few else attach(whole, names, "_digest", ["_license"], "_id")
+    lines = rows.select("_id", F.explode(F.split(F.coalesce("_t", F.lit("")), r"\n")).alias("_line"))
+    lines = lines.select("_id", F.unhex(F.sha2(canonical(F.col("_line")), 256)).alias("_digest"))
+    lines = lines.join(F.broadcast(names), "_digest") if few else attach(lines, names, "_digest", ["_license"], "_id").where("_license IS NOT NULL")
     found = lines.groupBy(F.col("_id").alias("_of")).agg(F.count("*").alias("_n"), F.array_sort(F.collect_set("_license")).alias("_names"))
     out = out.join(found, out["_id"].eqNullSafe(found["_of"]), "left")
     return out.select(
