@@ -16,7 +16,10 @@ from matriq.llm.pieces import default_model, encode_pieces
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs but those whose doc_id is in gone (column gone_id); their texts stay where they are unless gone is large."""
+    """docs but those whose doc_id is in gone (column gone_id); their texts stay where they are unless gone is large.
+
+    By doc_id alone: where an id repeats with different texts, all of its rows go; rows of null id stay.
+    """
     gone = broadcast_if_small(materialize(gone))
     return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
 
