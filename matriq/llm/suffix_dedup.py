@@ -6,6 +6,9 @@ that occur twice as a whole are settled by counting. The others of a least hash
 text, whose Burrows-Wheeler transform is extended backward, breadth first: the common prefixes of
 neighbouring suffixes come out by increasing length, until LENGTH; what is left undefined then shares
 LENGTH bytes or more.
+
+Beside the removal, passages of PASSAGE words that another text has too are reported, which may be shorter than
+LENGTH bytes. Windows of words are dealt out likewise, and those whose least hash another text has are compared.
 """
 
 from __future__ import annotations
@@ -19,11 +22,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matriq.llm.common import attach, broadcast_if_small, materialize, read, small_batches
-from matriq.llm.features import flat, mix, pieces
-from matriq.llm.ngram_join import _power
+from matriq.llm.common import attach, broadcast_if_small, discard, materialize, read, small_batches
+from matriq.llm.features import flat, mix, pieces, powers, word_hashes
 
 LENGTH, GRAM = 400, 32
+#: Words of a passage that is reported, and of the grams that windows of so many words are dealt out by.
+PASSAGE, WORD_GRAM = 50, 16
 PIECE = 1 << 18
 #: Bytes that one transform takes; a least hash with more is settled by hashes of its windows.
 TEXT = 2_000_000
@@ -35,13 +39,13 @@ END = 255
 
 
 def _sums(body: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    up, down = _power(len(body) + 1)
+    up, down = powers(len(body) + 1)
     with np.errstate(over="ignore"):
         return np.concatenate([np.zeros(1, np.uint64), np.cumsum((body.astype(np.uint64) + np.uint64(1)) * up[: len(body)], dtype=np.uint64)]), down
 
 
 def gram_hashes(body: np.ndarray, size: int) -> np.ndarray:
-    """A 64-bit hash of each `size` neighbouring bytes."""
+    """A 64-bit hash of each `size` neighbouring bytes, or words given by their hashes."""
     sums, down = _sums(body)
     with np.errstate(over="ignore"):
         return mix((sums[size:] - sums[:-size]) * down[: len(body) - size + 1])
@@ -196,11 +200,6 @@ def _texts(docs: DataFrame, places: DataFrame, wide: bool, length: int) -> DataF
     """Text of blocks at places (k, a, n, least, c). wide: instead, two hashes of each of their windows."""
     per = places.groupBy("k").agg(F.collect_list(F.struct("a", "n", "least", "c")).alias("at"))  # no more than its document's length allows
 
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            k = [_row_key(i, t.encode()) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), b.column(1)], names=["k", "t"])
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in pieces(batch, 1, PIECE):
@@ -222,7 +221,7 @@ def _texts(docs: DataFrame, places: DataFrame, wide: bool, length: int) -> DataF
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if x and isinstance(x[0], bytes) else pa.int64()) for x in out], names=names)
 
     names = ["k", "a", "g", "o", "c"] if wide else ["k", "a", "least", "part", "c"]
-    named = docs.mapInArrow(name, "k bigint, t string")
+    named = docs.mapInArrow(_named, "k bigint, t string")
     keys = broadcast_if_small(materialize(per.select("k")))
     joined = named.join(keys, "k", "left_semi").dropDuplicates(["k"]).join(per, "k")
     return joined.select("k", "t", "at").mapInArrow(cut, "k bigint, a bigint, g bigint, o bigint, c bigint" if wide else "k bigint, a bigint, least bigint, part binary, c bigint")
@@ -265,9 +264,81 @@ def _extended(texts: DataFrame, parts: int, length: int) -> DataFrame:
     return texts.repartition(parts, "least").sortWithinPartitions("least").mapInArrow(run, "k bigint, a bigint, b bigint")
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, keep_text: bool = False) -> DataFrame:
+def _word_blocks(docs: DataFrame, words: int, gram: int) -> DataFrame:
+    """(k, a, n, least): runs of n words from word a on, of rows (id, t), whose windows of `words` words have one least gram hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in pieces(batch, 1, PIECE):
+                hashed, edge = word_hashes(rows.column(1))
+                row, a, n, least, _ = blocks(hashed, edge, words, gram)
+                if len(row):
+                    used = np.unique(row)
+                    keys = np.zeros(rows.num_rows, np.int64)
+                    keys[used] = [_row_key(rows.column(0)[int(r)].as_py(), rows.column(1)[int(r)].as_py().encode()) for r in used]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[row]), pa.array((a - edge[row]).astype(np.int64)), pa.array(n.astype(np.int64)), pa.array(least.view(np.int64))], names=["k", "a", "n", "least"])
+
+    return docs.mapInArrow(run, "k bigint, a bigint, n bigint, least bigint")
+
+
+def _word_windows(docs: DataFrame, places: DataFrame, words: int) -> DataFrame:
+    """(k, a, w): a 128-bit hash of each window of `words` words of the runs at places (k, a, n) of rows (id, t)."""
+    per = materialize(places.groupBy("k").agg(F.collect_list(F.struct("a", "n")).alias("at")))  # no more than its document's length allows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in pieces(batch, 1, PIECE):
+                hashed, edge = word_hashes(b.column(1))
+                ks, starts = [], []
+                for i, (k, at) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                    starts += [edge[i] + p["a"] + np.arange(p["n"] - words + 1) for p in at]
+                    ks += [np.full(p["n"] - words + 1, k) for p in at]
+                if starts:
+                    at, k = np.concatenate(starts), np.concatenate(ks)
+                    first = edge[np.searchsorted(edge, at, "right") - 1]
+                    two = np.stack([gram_hashes(hashed, words)[at], gram_hashes(hashed[::-1], words)[::-1][at]], 1)
+                    w = pa.Array.from_buffers(pa.binary(16), len(at), [None, pa.py_buffer(two.tobytes())]).cast(pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array((at - first).astype(np.int64)), w], names=["k", "a", "w"])
+
+    named = docs.mapInArrow(_named, "k bigint, t string")
+    keys = broadcast_if_small(materialize(per.select("k")))
+    joined = named.join(keys, "k", "left_semi").dropDuplicates(["k"]).join(per, "k")
+    return joined.select("k", "t", "at").mapInArrow(run, "k bigint, a bigint, w binary")
+
+
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        k = [_row_key(i, t.encode()) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), b.column(1)], names=["k", "t"])
+
+
+def _passages(rows: DataFrame, words: int, gram: int) -> DataFrame:
+    """(k, n_passage_words) of rows (id, t) with words in a passage of `words` words that a row of another name has too."""
+    found = materialize(_word_blocks(rows, words, gram))
+    shared = materialize(_of_several(found, "least"))
+    open_ = materialize(attach(found, shared, "least", ["_several"], "k", "_n").where("_several").select("k", "a", "n"))
+    windows = materialize(_word_windows(rows, open_, words))
+    again = materialize(_of_several(windows, "w"))
+    at = attach(windows, again, "w", ["_several"], "k", "_n").where("_several")
+    starts = F.array_sort(F.collect_set("a"))  # no more than its document's length allows
+    per = at.groupBy("k").agg(starts.alias("at"))
+    steps = F.zip_with(F.slice("at", 2, F.size("at")), F.slice("at", F.lit(1), F.size("at") - 1), lambda y, x: F.least(y - x, F.lit(words).cast("bigint")))
+    out = materialize(per.select("k", F.aggregate(steps, F.lit(words).cast("bigint"), lambda x, y: x + y).alias("n_passage_words")))
+    discard(found, shared, open_, windows, again)
+    return out
+
+
+def _of_several(df: DataFrame, key: str) -> DataFrame:
+    """(key, _several, _n) of the keys that rows of two names k or more have."""
+    per = df.groupBy(key).agg(F.count("*").alias("_n"), F.min("k").alias("_lo"), F.max("k").alias("_hi"))
+    return per.where("_lo <> _hi").select(key, F.lit(True).alias("_several"), "_n")
+
+
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, keep_text: bool = False, passage: int = 0) -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256, and with keep_text also spans and kept.
 
+    With a passage of so many words, also n_passage_words: the words (A-Z as a-z, parted by ASCII white space) in runs of
+    `passage` words that a row of another id or text has too; nothing is removed for that.
     Bytes are those of the UTF-8 text. A byte goes if it lies in a string of `length` bytes that starts
     at another place of the input too, of the same text or another; overlaps count. Null counts as empty; texts
     shorter than length lose nothing. Repeated rows are texts of their own, so their long strings go
@@ -285,7 +356,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     open_ = materialize(kinds.select("least", "c", "k", "a", "n").join(per.select("least", "wide"), "least"))
     spans = []
 
-    whole = attach(found, materialize(kinds.where("c > 1").groupBy("s").agg(F.collect_set("u").alias("us"))), "s", ["us"], "k")
+    whole_kinds = materialize(kinds.where("c > 1").groupBy("s").agg(F.sum("c").alias("n"), F.collect_set("u").alias("us")))
+    whole = attach(found, whole_kinds, "s", ["us"], "k", "n")
     spans.append(whole.where(F.array_contains("us", F.col("u"))).select("k", "a", (F.col("a") + F.col("n")).alias("b")))
 
     total = open_.groupBy("wide").agg(F.sum("n").alias("n")).collect()
@@ -302,12 +374,15 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     for s in spans[1:]:
         out = out.union(s)
     gone = materialize(out.distinct().groupBy("k").agg(F.collect_list(F.struct("a", "b")).alias("gone")))  # no more than its text's length allows
-    return _cut(rows, gone, id_col, keep_text)
+    discard(found, kinds, whole_kinds, open_, *([windows] if sums.get(True) else []))
+    if passage:
+        gone = materialize(gone.join(_passages(rows, passage, WORD_GRAM), "k", "full"))
+    return _cut(rows, gone, id_col, keep_text, passage > 0)
 
 
-def _cut(rows: DataFrame, gone: DataFrame, id_col: str, keep_text: bool) -> DataFrame:
+def _cut(rows: DataFrame, gone: DataFrame, id_col: str, keep_text: bool, passage: bool) -> DataFrame:
     id_type = rows.schema["id"].dataType.simpleString()
-    schema = f"`{id_col}` {id_type}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", spans array<struct<a:bigint,b:bigint>>, kept binary" if keep_text else "")
+    schema = f"`{id_col}` {id_type}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", spans array<struct<a:bigint,b:bigint>>, kept binary" if keep_text else "") + (", n_passage_words bigint" if passage else "")
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -334,13 +409,15 @@ def _cut(rows: DataFrame, gone: DataFrame, id_col: str, keep_text: bool) -> Data
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])), pa.binary()]
                 names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"]
                 n = 6 if keep_text else 4
-                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(v, t) for v, t in zip(out[:n], types, strict=False))], names=[id_col, *names[:n]])
+                more = {"n_passage_words": b.column(3).fill_null(0)} if passage else {}
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(v, t) for v, t in zip(out[:n], types, strict=False)), *more.values()], names=[id_col, *names[:n], *more])
 
     named = rows.mapInArrow(name, f"id {id_type}, t string, k bigint")
-    few = gone.select(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("gone")), F.lit(0)).alias("spans")).first()
+    few = gone.select(F.count("*").alias("rows"), F.coalesce(F.sum(F.greatest(F.size("gone"), F.lit(0))), F.lit(0)).alias("spans")).first()
     gone = F.broadcast(gone) if few["rows"] <= 200_000 and few["spans"] <= 1_000_000 else gone  # 20 MB at most
-    return named.join(gone, "k", "left").select("id", "t", "gone").mapInArrow(run, schema)
+    return named.join(gone, "k", "left").select("id", "t", "gone", *(["n_passage_words"] if passage else [])).mapInArrow(run, schema)
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_substrings(read(spark, sf_dir, "documents"))
+    """The removal of 400-byte strings; n_passage_words beside it, since passages of 50 words are often shorter than 400 bytes."""
+    return dedup_substrings(read(spark, sf_dir, "documents"), passage=PASSAGE)
