@@ -12,7 +12,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matriq.llm.common import ascii_lower, attach, materialize, read
+from matriq.llm.common import ascii_lower, attach, materialize, read, small
 
 # The published wording of licences and of the notices that name one.
 _GRANT_MIT = (
@@ -122,15 +122,15 @@ def whole_licenses() -> list[tuple[str, str]]:
     return out
 
 
-#: Spellings that count as the same word; a pattern and what replaces it, in turn.
+#: Spellings that count as the same word; a string that texts with any of them have, a pattern and what replaces it, in turn.
 SPELLINGS = [
-    (r"\blicen[cs](e|es|ed|ing|ee|or)\b", r"licens$1"),
-    (r"\bsub-?licen[cs](e|es|ed|ing)\b", r"sublicens$1"),
-    (r"\bnon-?infringement\b", "noninfringement"),
-    (r"\bver(?:sion|\.)? ?(?=[0-9])|\bv\.? ?(?=[0-9])", "version "),
-    (r"\borganis(e|es|ed|ing|ation|ations)\b", r"organiz$1"),
-    (r"\bmerchantibility\b", "merchantability"),
-    (r"\bhttps?://", ""),
+    ("licen", r"\blicen[cs](e|es|ed|ing|ee|or)\b", r"licens$1"),
+    ("licen", r"\bsub-?licen[cs](e|es|ed|ing)\b", r"sublicens$1"),
+    ("infringement", r"\bnon-?infringement\b", "noninfringement"),
+    ("v", r"\bver(?:sion|\.)? ?(?=[0-9])|\bv\.? ?(?=[0-9])", "version "),
+    ("organis", r"\borganis(e|es|ed|ing|ation|ations)\b", r"organiz$1"),
+    ("merchantibility", r"\bmerchantibility\b", "merchantability"),
+    ("http", r"\bhttps?://", ""),
 ]
 COPYRIGHT_LINE = r"(?m)^[^\na-z0-9]*(?:copyright\b|\(c\)|©)[^\n]*(?:\n|$)"
 PUNCTUATION = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
@@ -138,19 +138,32 @@ PUNCTUATION = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 STEMS = r"(?i)licen[cs]e|permission"
 
 
-def canonical(text: Column) -> Column:
-    """Lower case, no copyright lines, one spelling, runs of spaces and punctuation as one space."""
-    t = F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, "")
-    for pattern, to in SPELLINGS:
-        t = F.regexp_replace(t, pattern, to)
-    return F.trim(F.regexp_replace(t, PUNCTUATION, " "))
+def canonical_lines(df: DataFrame, text_col: str) -> DataFrame:
+    """df with _lines, the text's lines in lower case, no copyright lines, one spelling, runs of spaces and punctuation as one space; no empty ones.
+
+    A column each step, so that none is worked out twice, and a pattern is only tried on texts that have what it needs.
+    """
+    t = F.col("_line_text")
+    out = df.withColumn("_line_text", ascii_lower(F.coalesce(F.col(text_col), F.lit(""))))
+    marked = t.contains("copyright") | t.contains("(c)") | t.contains("©")
+    out = out.withColumn("_line_text", F.when(marked, F.regexp_replace(t, COPYRIGHT_LINE, "")).otherwise(t))
+    for has, pattern, to in SPELLINGS:
+        out = out.withColumn("_line_text", F.when(t.contains(has), F.regexp_replace(t, pattern, to)).otherwise(t))
+    out = out.withColumn("_line_text", F.regexp_replace(t, PUNCTUATION.replace("[^", r"[^\n"), " "))
+    lines = F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    return out.withColumn("_lines", lines).drop("_line_text")
+
+
+def canonical(lines: Column) -> Column:
+    """The canonical form of the whole text: its canonical lines as one."""
+    return F.array_join(lines, " ")
 
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
     """(digest, license) of the known texts (KNOWN and the whole licences if not given), one row a digest; the first name wins."""
     rows = [(i, name, text) for i, (name, text) in enumerate([*KNOWN, *whole_licenses()] if known is None else known)]
     df = spark.createDataFrame(rows, "i int, license string, text string")
-    df = df.select("i", "license", F.unhex(F.sha2(canonical(F.col("text")), 256)).alias("digest"))
+    df = canonical_lines(df, "text").select("i", "license", F.unhex(F.sha2(canonical(F.col("_lines")), 256)).alias("digest"))
     return df.groupBy("digest").agg(F.min_by("license", "i").alias("license"))
 
 
@@ -158,19 +171,21 @@ def scan_licenses(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", tex
     """One row per input row: id, license (of the whole text, or null), n_license_lines, line_licenses (sorted names), digest.
 
     The whole canonical text is looked up by its SHA-256 among known (digest, license), and so is each
-    whole line of it. Null counts as empty; what is empty once canonical matches nothing
+    line of it that is not empty. Null counts as empty; what is empty once canonical matches nothing
     unless known holds the digest of "". Repeated rows each keep their row; those that repeat an id
     pool their lines. No documents: no rows. Extra columns are ignored.
     """
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
-    whole = materialize(rows.select("_id", F.unhex(F.sha2(canonical(F.col("_t")), 256)).alias("_digest")))
+    rows = canonical_lines(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")), "_t")
+    every = F.concat(
+        F.array(F.struct(F.lit(True).alias("whole"), canonical(F.col("_lines")).alias("s"))),
+        F.transform("_lines", lambda x: F.struct(F.lit(False).alias("whole"), x.alias("s"))),
+    )
+    each = rows.select("_id", F.explode_outer(every).alias("_e")).select("_id", F.col("_e.whole").alias("_whole"), F.unhex(F.sha2(F.col("_e.s"), 256)).alias("_digest"))
     names = materialize(known.select(F.col("digest").alias("_digest"), F.col("license").alias("_license")))
-    few = _few(names)
-    out = whole.join(F.broadcast(names), "_digest", "left") if few else attach(whole, names, "_digest", ["_license"], "_id")
-    lines = rows.select("_id", F.explode(F.split(F.coalesce("_t", F.lit("")), r"\n")).alias("_line"))
-    lines = lines.select("_id", F.unhex(F.sha2(canonical(F.col("_line")), 256)).alias("_digest"))
-    lines = lines.join(F.broadcast(names), "_digest") if few else attach(lines, names, "_digest", ["_license"], "_id").where("_license IS NOT NULL")
-    found = lines.groupBy(F.col("_id").alias("_of")).agg(F.count("*").alias("_n"), F.array_sort(F.collect_set("_license")).alias("_names"))
+    each = each if small(names) else materialize(each)
+    met = materialize(attach(each, names, "_digest", ["_license"], "_id").where("_whole OR _license IS NOT NULL"))
+    found = met.where("NOT _whole").groupBy(F.col("_id").alias("_of")).agg(F.count("*").alias("_n"), F.array_sort(F.collect_set("_license")).alias("_names"))
+    out = met.where("_whole")
     out = out.join(found, out["_id"].eqNullSafe(found["_of"]), "left")
     return out.select(
         F.col("_id").alias(id_col),
@@ -181,10 +196,6 @@ def scan_licenses(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", tex
     )
 
 
-def _few(names: DataFrame) -> bool:
-    return names.limit(100_001).count() <= 100_000
-
-
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scan_licenses(read(spark, sf_dir, "documents"), known_digests(spark))
     return out.select("doc_id", "license", "n_license_lines", F.array_join("line_licenses", ",").alias("line_licenses"), F.lower(F.hex("digest")).alias("canonical_sha256"))
@@ -195,7 +206,7 @@ def _sql_canonical(text: str) -> str:
         return "'" + s.replace("'", "''") + "'"
 
     t = f"regexp_replace(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {quoted(COPYRIGHT_LINE)}, '', 'g')"
-    for pattern, to in SPELLINGS:
+    for _, pattern, to in SPELLINGS:
         pattern = pattern.replace("(?=[0-9])", "([0-9])")
         to = "version \\1\\2" if "version" in to else to.replace("$1", "\\1")
         t = f"regexp_replace({t}, {quoted(pattern)}, {quoted(to)}, 'g')"
