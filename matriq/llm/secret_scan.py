@@ -20,8 +20,15 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
 #: Bits; the most that 20 characters can have is 4.32, random hex digits have about 3.4, prose letters about 3.3.
 HEX_BITS, MIXED_BITS = 2.95, 3.75
-#: Candidates that are no secrets: words without a digit, numbers, and strings that say they are examples.
-ALLOW = r"^[^0-9]*$|^[0-9._=+/-]*$|(?i)example|placeholder|your[_-]?(?:key|token|secret)|x{6,}|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+_WORD = r"(?:[A-Z]?[a-z]+|[A-Z]+)"
+#: Candidates that are no secrets: words and paths of words, numbers, strings that say they are examples, and UUIDs.
+ALLOW = (
+    rf"^{_WORD}?(?:[/_=+-]++{_WORD})*+[/_=+-]*$|^[0-9._=+/-]*$|(?i:example|placeholder|your[_-]?(?:key|token|secret)|x{{6,}})"
+    r"|^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
+)
+#: Characters of a candidate that are looked at in one go, and spans that are added to a list before it is put away.
+CHUNK, RUN = 256, 64
+_SPAN = "array<struct<s:int,k:int,e:int,m:string>>"
 
 
 def spans(text: Column, pattern: str, kind: str, whole: int | None, group: int | None = None) -> Column:
@@ -32,44 +39,55 @@ def spans(text: Column, pattern: str, kind: str, whole: int | None, group: int |
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     walk = F.aggregate(
         F.zip_with(found, F.slice(pieces, F.lit(1), F.size(found)), lambda m, p: F.struct(m.alias("m"), p.alias("p"))),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,k:int,e:int,m:string>>").alias("out")),
+        F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("run"), F.array().cast(f"array<{_SPAN}>").alias("runs")),
         lambda a, z: _step(a, z, kind),
-        lambda a: a["out"],
+        lambda a: F.flatten(F.concat(a["runs"], F.array(a["run"]))),
     )
     kept = walk if whole is None else F.filter(walk, lambda x: F.length(x["m"] if group is None else F.regexp_extract(x["m"], pattern, group)) >= whole)
-    return F.when(F.size(found) > 0, kept).otherwise(F.array().cast("array<struct<s:int,k:int,e:int,m:string>>"))
+    return F.when(F.size(found) > 0, kept).otherwise(F.array().cast(_SPAN))
 
 
 def _step(a: Column, z: Column, kind: str) -> Column:
+    """One match more. Lists are copied when they grow, so a full run is put away and a new one begun."""
     s = a["at"] + F.length(z["p"])
     e = s + F.length(z["m"])
-    one = F.struct(s.alias("s"), F.lit(KINDS.index(kind)).alias("k"), e.alias("e"), z["m"].alias("m"))
-    return F.struct(e.alias("at"), F.concat(a["out"], F.array(one)).alias("out"))
+    one = F.array(F.struct(s.alias("s"), F.lit(KINDS.index(kind)).alias("k"), e.alias("e"), z["m"].alias("m")))
+    full = F.size(a["run"]) >= RUN
+    run, runs = F.when(full, one).otherwise(F.concat(a["run"], one)), F.when(full, F.concat(a["runs"], F.array(a["run"]))).otherwise(a["runs"])
+    return F.struct(e.alias("at"), run.alias("run"), runs.alias("runs"))
 
 
 def window_bits(s: Column, size: int = WINDOW) -> Column:
     """The largest Shannon entropy of any `size` neighbouring characters of an ASCII string; 0 if it has fewer.
 
-    Counts by character code move with the window: one goes up, one goes down, and the sum of
-    c log2 c changes by those two terms alone.
+    As the window moves, the count of one character goes up and that of another down, and the sum of c log2 c changes by
+    those two terms alone. Long strings are cut into chunks that overlap by less than a window, so work grows with the length.
     """
+    parts = F.regexp_extract_all(s, F.lit(f"(?s).{{1,{CHUNK - size + 1}}}"), F.lit(0))
+    after = F.concat(F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.substring(p, 1, size - 1)), F.array(F.lit("")))
+    chunks = F.zip_with(parts, after, lambda p, q: F.concat(p, q))
+    return F.coalesce(F.array_max(F.transform(chunks, lambda c: _chunk_bits(c, size))), F.lit(0.0))
 
-    def term(c: Column) -> Column:
-        return F.when(c > 0, c * F.log2(c)).otherwise(F.lit(0.0))
+
+def _chunk_bits(c: Column, size: int) -> Column:
+    terms = [n * math.log2(n) if n else 0.0 for n in range(size + 2)]
+    #: By a character's count before it: what one more adds to the sum, and what one less does.
+    more = F.array(*(F.lit(y - x) for x, y in zip(terms, terms[1:], strict=False)))
+    less = F.array(*(F.lit(x - y) for x, y in zip([0.0, *terms], terms, strict=False)))
+
+    def count(window: Column, n: Column, char: Column) -> Column:
+        return n - F.length(F.replace(window, char, F.lit("")))
 
     def step(a: Column, i: Column) -> Column:
-        code = F.ascii(F.substring(s, i, F.lit(1)))
-        gone = F.when(i > size, F.ascii(F.substring(s, i - size, F.lit(1)))).otherwise(F.lit(-1))
-        n = F.transform(a["n"], lambda x, j: x + F.when(j == code, 1).otherwise(0) - F.when(j == gone, 1).otherwise(0))
-        up, down = F.get(a["n"], code), F.coalesce(F.get(a["n"], gone), F.lit(0))
-        change = term(up + 1) - term(up) + F.when(gone >= 0, term(down - 1) - term(down)).otherwise(F.lit(0.0))
-        total = a["sum"] + F.when(gone == code, F.lit(0.0)).otherwise(change)
-        bits = math.log2(size) - total / size
-        best = F.when(i >= size, F.greatest(a["best"], bits)).otherwise(a["best"])
-        return F.struct(n.alias("n"), total.alias("sum"), best.alias("best"))
+        new, old = F.substring(c, i, F.lit(1)), F.substring(c, i - size, F.lit(1))
+        window = F.substring(c, i - size, F.lit(size))
+        rise = F.get(more, count(window, F.lit(size), new))
+        change = F.when(i <= size, F.get(more, count(F.substring(c, F.lit(1), i - 1), i - 1, new))).when(new == old, 0.0).otherwise(rise + F.get(less, count(window, F.lit(size), old)))
+        total = a["sum"] + change
+        return F.struct(total.alias("sum"), F.when(i >= size, F.least(a["least"], total)).otherwise(a["least"]).alias("least"))
 
-    start = F.struct(F.array_repeat(F.lit(0), 128).alias("n"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(s)), start, step, lambda a: a["best"])
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(math.inf).alias("least"))
+    return F.aggregate(F.sequence(F.lit(1), F.length(c)), start, step, lambda a: F.when(a["least"] < math.inf, math.log2(size) - a["least"] / size).otherwise(0.0))
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -82,7 +100,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     their row; no documents: no rows; extra columns are ignored.
     """
     t = F.coalesce(F.col(text_col), F.lit(""))
-    none = F.array().cast("array<struct<s:int,k:int,e:int,m:string>>")
+    none = F.array().cast(_SPAN)
     rows = docs.select(F.col(id_col).alias("_id"), t.alias("_t"))
     # A cheap look first: few texts hold any candidate, and the others need no spans.
     some = F.col("_t").rlike(ASSIGN)
@@ -93,7 +111,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.when(F.col("_t").contains("AKIA"), spans(F.col("_t"), ACCESS, "access", LEAST["access"])).otherwise(none).alias("_access"),
         F.when(F.col("_t").rlike(long_hex), spans(F.col("_t"), long_hex, "hex", None)).otherwise(none).alias("_hex"),
         F.when(
-            F.col("_t").rlike(rf"(?=[A-Za-z+/_=-]*[0-9]){CANDIDATE}"),
+            F.col("_t").rlike(CANDIDATE),
             F.filter(spans(F.col("_t"), CANDIDATE, "entropy", None), lambda x: ~x["m"].rlike(ALLOW)),
         ).otherwise(none).alias("_try"),
     )
@@ -125,7 +143,7 @@ FROM (SELECT doc_id, pieces, found, unnest(range(1, len(found) + 1)) AS i
 WHERE {keep}"""
 
 
-_ALLOW_SQL = ALLOW.replace("(?i)example|placeholder|your[_-]?(?:key|token|secret)|x{6,}|", "(?i:example|placeholder|your[_-]?(?:key|token|secret)|x{6,})|")
+_ALLOW_SQL = ALLOW.replace("++", "+").replace("*+", "*")
 SQL = f"""
 WITH base AS ({_sql_spans("assign", ASSIGN, "len(regexp_extract(found[i], '" + ASSIGN.replace("'", "''") + f"', 2)) >= {LEAST['assign']}")}
 UNION ALL {_sql_spans("access", ACCESS, f"len(found[i]) >= {LEAST['access']}")}
