@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from matriq.llm.common import attach, broadcast_if_small, materialize, read, small_batches
 from matriq.llm.components import connected_components
-from matriq.llm.features import flat, mix, pieces
+from matriq.llm.features import mix, pieces, word_hashes
 
 PIECE = 1 << 18
 #: A column is frequent if at least 1/FREQUENT of the documents have it near the front of their set.
@@ -42,50 +42,18 @@ BANDS, BAND_ROWS = 16, 3
 HOT = np.uint64(1 << 63)
 _M = np.uint64(0x9E3779B97F4A7C15 | 1)
 _FACTORS = mix(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64)) | np.uint64(1)
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number modulo 2**64, and of its inverse."""
-    if not len(_powers) or len(_powers["up"]) < n:
-        inverse = np.uint64(pow(int(_M), -1, 1 << 64))
-        with np.errstate(over="ignore"):
-            for name, x in (("up", _M), ("down", inverse)):
-                p = np.full(max(n, PIECE * 2), x, np.uint64)
-                p[0] = 1
-                _powers[name] = np.multiply.accumulate(p)
-    return _powers["up"], _powers["down"]
 
 
 def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
     """For each text the sorted distinct 64-bit hashes of its k-word shingles; of fewer words, of the whole sequence."""
-    body, at, _ = flat(column)
-    n = len(at) - 1
-    lower = np.arange(256, dtype=np.uint8)
-    lower[65:91] += 32
-    body = lower[body]
-    gap = np.zeros(256, bool)
-    gap[[9, 10, 11, 12, 13, 32]] = True
-    space = gap[body]
-    first = np.zeros(len(body) + 1, bool)
-    first[at[:-1]] = True
-    first = first[:-1]
-    before = np.concatenate([[True], space[:-1]]) | first if len(body) else space
-    starts = np.flatnonzero(~space & before)
-    after = np.concatenate([space[1:] | first[1:], [True]]) if len(body) else space
-    ends = np.flatnonzero(~space & after) + 1
-    up, down = _power(len(body) + 1)
+    words, edge = word_hashes(column)
+    n, total = len(edge) - 1, len(words)
     with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((body.astype(np.uint64) + np.uint64(1)) * up[: len(body)], dtype=np.uint64)])
-        words = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-        doc = np.searchsorted(at, starts, "right") - 1
-        total = len(words)
         hashed = words.copy()
         for j in range(1, k):
             m = max(total - j, 0)
             hashed[:m] = mix(hashed[:m] * _M + words[j : j + m])
         hashed[:] = mix(hashed)
-    edge = np.searchsorted(doc, np.arange(n + 1))
     out = []
     for i in range(n):
         a, b = edge[i], edge[i + 1]
@@ -109,8 +77,11 @@ def set_key(s: np.ndarray) -> int:
 
 
 def share(n, percent: int):
-    """How many columns of their fronts two sets have in common at least, if the smaller has n members and they link."""
-    return np.maximum(1, n * (100 - percent) // 200)
+    """How many columns of their fronts two sets have in common at least, if the smaller has n members and they link.
+
+    Never more than the least overlap that they link with, which is the whole set's at low percents.
+    """
+    return np.maximum(1, np.minimum(n * (100 - percent) // 200, -(-percent * n // 100)))
 
 
 def front(n: int, percent: int) -> int:
@@ -426,7 +397,7 @@ def _product(entries: DataFrame, percent: int) -> DataFrame:
 
 def _share(n: Column, percent: int) -> Column:
     """share() of a column."""
-    return F.greatest(F.lit(1), F.floor(n * (100 - percent) / 200)).cast("bigint")
+    return F.greatest(F.lit(1), F.least(F.floor(n * (100 - percent) / 200), F.ceil(n * percent / 100))).cast("bigint")
 
 
 def _enough(pairs: DataFrame, percent: int) -> DataFrame:
