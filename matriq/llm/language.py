@@ -8,16 +8,15 @@ kernels by weights; a text's score is the mean of its blocks', so that no length
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from matriq.llm.common import read, small_batches
+from matriq.llm.common import attach, materialize, read, small_batches
 from matriq.llm.features import flat, pieces
 
 ORDER, SPACE, BLOCK = 4, 4096, 2048
@@ -109,14 +108,13 @@ def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: f
 
 
 def bounded_sample(rows: DataFrame, id_col: str, class_col: str, per_class: int) -> DataFrame:
-    """At most per_class rows of each class: those whose hash of id is smallest. One count by class, then a filter on the hash."""
-    # 10,000 classes at most are driver-side numbers; beyond that a column is no label.
-    counts = rows.groupBy(class_col).agg(F.count("*").alias("n")).limit(10_000).collect()
+    """At most per_class rows of each class: those whose hash of id is smallest. A filter on the hash leaves little over that to each class's sort."""
+    counts = materialize(rows.where(F.col(class_col).isNotNull()).groupBy(class_col).agg(F.count("*").alias("_size")))
     share = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    cut = F.lit(0.0)
-    for c, n in counts:
-        cut = F.when(F.col(class_col) == c, F.lit(min(1.0, 1.5 * per_class / n + 20 / n))).otherwise(cut)
-    return rows.withColumn("_share", share).where(F.col("_share") <= cut)
+    cut = F.lit(1.5 * per_class + 20) / F.col("_size")
+    few = attach(rows, counts, class_col, ["_size"], id_col, "_size").withColumn("_share", share).where(F.col("_share") <= cut)
+    k = F.row_number().over(Window.partitionBy(class_col).orderBy("_share", id_col))
+    return few.withColumn("_k", k).where(F.col("_k") <= per_class).drop("_k", "_size")
 
 
 def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = FIT_ROWS) -> LanguageModel:
@@ -130,11 +128,9 @@ def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_la
     return fit(got["t"].tolist(), got["l"].tolist())
 
 
-_LETTER = re.compile(r"[^\W\d_]")
-
-
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    """Whether a character is a letter, of Unicode's category L: no digit, fraction or number letter."""
+    return bool(text) and any(map(str.isalpha, text))
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

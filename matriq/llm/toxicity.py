@@ -28,7 +28,10 @@ EDITS, FUZZY_FROM = 1, 5
 STEMS = (4, 5, 6, 7, 8)
 #: Fitting reads at most so many labelled rows of each class.
 FIT_ROWS = 4000
-MAX_TERMS, LEAST_SHARE, LEAST_DOCS, PRECISION = 2000, 0.01, 5, 0.95
+#: An entry stands in this share of the toxic rows or more, so there are at most a hundred times as many as a toxic row has words and stems.
+LEAST_SHARE, LEAST_DOCS, PRECISION = 0.01, 5, 0.95
+#: Rows of a class that agree in so many least word hashes count once.
+SKETCH = 4
 WINDOW, NEAR = 40, 6
 THRESHOLD = 0.7
 # Marks of quotation, words that report speech, words of address.
@@ -170,15 +173,21 @@ class Scorer:
 
 
 def quoted(text: str, starts: list[int]) -> list[bool]:
-    """Whether each of the ascending places lies between a mark of quotation and its closing one on the same line."""
-    out, pairs = [], []
+    """Whether each of the ascending places lies between a mark of quotation and its closing one on the same line, however long."""
+    out, pairs, next_ = [], [], {}
+    line = -1
     for m in re.finditer("[" + "".join(QUOTES) + "]", text):
         if pairs and m.start() <= pairs[-1][1]:
             continue
-        end = text.find(QUOTES[m.group()], m.end())
-        line = text.find("\n", m.end())
-        if end >= 0 and (line < 0 or end < line) and end - m.start() <= 400:
-            pairs.append((m.start(), end))
+        if line < m.end():
+            line = text.find("\n", m.end())
+            line = len(text) if line < 0 else line
+        mark = QUOTES[m.group()]
+        if next_.get(mark, -1) < m.end():  # looked for once between two closing marks, so the search is linear
+            end = text.find(mark, m.end())
+            next_[mark] = len(text) if end < 0 else end
+        if next_[mark] < line:
+            pairs.append((m.start(), next_[mark]))
     k = 0
     for s in starts:
         while k < len(pairs) and pairs[k][1] < s:
@@ -214,7 +223,6 @@ def learn_lexicon(counts: Iterable[tuple[str, int, int]], toxic: int, clean: int
         p, q = a / max(toxic, 1), (b + 0.5) / max(clean, 1)
         if a >= least and p / (p + q) >= PRECISION:
             rated.append((math.log(p / q), a, t))
-    rated = sorted(rated, key=lambda x: (-x[0], -x[1], x[2]))[:MAX_TERMS]
     return Lexicon({t: w for w, _, t in rated if t[0] != "*"}, {t[1:]: w for w, _, t in rated if t[0] == "*"})
 
 
@@ -236,8 +244,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, rounds: int = 60
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = FIT_ROWS) -> ToxicityModel:
     """Fit on at most per_class labelled rows of each class (a bound, whatever the input's size).
 
-    Copies would make a text's chance words look telling, so of rows with the same least word hash one
-    counts. Without rows of both classes every score is the share of toxic rows, 0.5 if there are none.
+    Copies would make a text's chance words look telling, so of a class's rows with the same SKETCH least word hashes
+    one counts. Without rows of both classes every score is the share of toxic rows, 0.5 if there are none.
     """
     l = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_i")).agg(F.max(label_col).cast("int").alias("_y"))
     ids = docs.select(F.col(id_col).alias("_i")).join(l, "_i")
@@ -246,8 +254,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            low = [min(map(stable, WORD.findall(t.lower())), default=0) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(low, pa.int64())], names=["_i", "_low"])
+            low = [",".join(map(str, sorted(set(map(stable, set(WORD.findall(t.lower())))))[:SKETCH])) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(low, pa.string())], names=["_i", "_y", "_low"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = Counter(), Counter()
@@ -258,7 +266,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([found[1][w] for w in words], pa.int64()), pa.array([found[0][w] for w in words], pa.int64())], names=["w", "a", "b"])
 
     id_type = rows.schema["_i"].dataType.simpleString()
-    one = rows.mapInArrow(least, f"_i {id_type}, _low bigint").groupBy("_low").agg(F.min("_i").alias("_i"))
+    one = rows.mapInArrow(least, f"_i {id_type}, _y int, _low string").groupBy("_y", "_low").agg(F.min("_i").alias("_i"))
     alone = rows.join(F.broadcast(one.select("_i")), "_i")
     sizes = {r["_y"]: r["n"] for r in alone.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
@@ -269,7 +277,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     least_docs = max(LEAST_DOCS, LEAST_SHARE * toxic)
     rate = F.col("a") / toxic
     counts = counts.where((F.col("a") >= least_docs) & (rate / (rate + (F.col("b") + 0.5) / clean) >= PRECISION))
-    lexicon = learn_lexicon(counts.orderBy((F.col("a") / (F.col("b") + 0.5)).desc(), "w").limit(MAX_TERMS).toPandas().itertuples(index=False), toxic, clean)
+    lexicon = learn_lexicon(counts.toPandas().itertuples(index=False), toxic, clean)
     fitted = _features(rows, lexicon, ["_i", "_y"], "_t").toPandas().sort_values("_i")
     x, y = np.stack(fitted["_x"]) if len(fitted) else np.zeros((0, FEATURES)), fitted["_y"].to_numpy()
     return ToxicityModel(lexicon, *logistic(x, y))
@@ -283,7 +291,7 @@ def stable(word: str) -> int:
 
 
 def _features(docs: DataFrame, lexicon: Lexicon, cols: list[str], text_col: str) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(lexicon)  # MAX_TERMS entries at most
+    sent = docs.sparkSession.sparkContext.broadcast(lexicon)  # bounded by LEAST_SHARE
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
