@@ -83,13 +83,18 @@ def decontaminate(
     found = marked.select("_id", F.explode_outer("_prints").alias("_print")).where("_print IS NOT NULL").join(prints, "_print", "left_semi").select("_id").distinct()
     found = materialize(found)
 
-    spans = _windows(item, window, short).select(F.col("_id").alias("_item"), "_a", "_b", "_n").distinct()
+    spans = materialize(_windows(item, window, short).select("_a", "_b", "_n", F.col("_id").alias("_item")).distinct())
     again = docs.join(broadcast_if_small(found), docs[id_col].eqNullSafe(found["_id"]), "left_semi")
-    hits = _windows(_hashed(again, id_col, text_col), window, short).join(broadcast_if_small(spans), ["_a", "_b", "_n"])
-    hits = materialize(hits.select("_id", "_item", "_at", "_n").distinct())
-    words = hits.select("_id", F.explode(F.sequence(F.col("_at"), F.col("_at") + F.col("_n") - 1)).alias("_w")).distinct()
-    n_hit = words.groupBy("_id").agg(F.count("*").alias("n_hit"))
-    by_item = hits.select("_id", F.col("_item").cast("string").alias("_item")).distinct()
+    # A window counts once however many items have it; the items come in by the windows that a document has.
+    distinct = broadcast_if_small(materialize(spans.select("_a", "_b", "_n").distinct()))
+    hits = materialize(_windows(_hashed(again, id_col, text_col), window, short).join(distinct, ["_a", "_b", "_n"], "left_semi"))
+    ends = F.array_sort(F.collect_set(F.struct("_at", (F.col("_at") + F.col("_n")).alias("_end"))))  # no more than the document has words
+    none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
+    covered = F.aggregate(
+        "_spans", none, lambda x, s: F.struct((x["n"] + F.greatest(s["_end"] - F.greatest(x["end"], s["_at"]), F.lit(0))).alias("n"), F.greatest(x["end"], s["_end"]).alias("end")), lambda x: x["n"].cast("long")
+    )
+    n_hit = hits.groupBy("_id").agg(ends.alias("_spans")).select("_id", covered.alias("n_hit"))
+    by_item = hits.select("_id", "_a", "_b", "_n").distinct().join(broadcast_if_small(spans), ["_a", "_b", "_n"]).select("_id", F.col("_item").cast("string").alias("_item")).distinct()
     named = by_item.groupBy("_id").agg(F.count("*").alias("n_items"), F.array_sort(F.collect_list("_item")).alias("items"))
     hit = n_hit.join(named, n_hit["_id"].eqNullSafe(named["_id"])).select(n_hit["_id"].alias("_hit_id"), "n_hit", "n_items", "items")
     counts = docs.select(F.col(id_col).alias("_id"), F.size(words_of(F.col(text_col))).cast("long").alias("n_words"))

@@ -64,10 +64,11 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str, str]])
 
 
 def targets_of(html: Column) -> Column:
-    """Targets of all canonical links and all refresh redirects, as written; null for null HTML."""
+    """Targets of all canonical links and all refresh redirects, &amp; as &; null for null HTML."""
     links = F.filter(F.regexp_extract_all(html, F.lit(LINK), F.lit(0)), lambda t: t.rlike(IS_CANONICAL))
     metas = F.filter(F.regexp_extract_all(html, F.lit(META), F.lit(0)), lambda t: t.rlike(IS_REFRESH))
-    return F.concat(F.transform(links, lambda t: F.regexp_extract(t, HREF, 1)), F.transform(metas, lambda t: F.regexp_extract(t, REFRESH_URL, 1)))
+    found = F.concat(F.transform(links, lambda t: F.regexp_extract(t, HREF, 1)), F.transform(metas, lambda t: F.regexp_extract(t, REFRESH_URL, 1)))
+    return F.transform(found, lambda t: F.replace(t, F.lit("&amp;"), F.lit("&")))
 
 
 def resolved(host: Column, path: Column, to: Column) -> Column:
@@ -165,9 +166,9 @@ tags AS (
   SELECT k, host, unnest(regexp_extract_all(html, '(?is)<link\b[^>]*>')) AS tag, 0 AS kind FROM p WHERE k IS NOT NULL
   UNION ALL SELECT k, host, unnest(regexp_extract_all(html, '(?is)<meta\b[^>]*>')), 1 FROM p WHERE k IS NOT NULL),
 goes AS (
-  SELECT k, host, regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS t FROM tags
+  SELECT k, host, regexp_extract(replace(tag, '&amp;', '&'), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS t FROM tags
   WHERE kind = 0 AND regexp_matches(tag, '(?is)\brel\s*=\s*["'']?canonical\b')
-  UNION ALL SELECT k, host, regexp_extract(tag, '(?is)\bcontent\s*=\s*["'']?[^"''>]*?\burl\s*=\s*([^"''\s>]+)', 1) FROM tags
+  UNION ALL SELECT k, host, regexp_extract(replace(tag, '&amp;', '&'), '(?is)\bcontent\s*=\s*["'']?[^"''>]*?\burl\s*=\s*([^"''\s>]+)', 1) FROM tags
   WHERE kind = 1 AND regexp_matches(tag, '(?is)\bhttp-equiv\s*=\s*["'']?refresh\b')),
 rests AS (SELECT k, CASE WHEN strpos(t, '://') > 0 THEN substr(t, strpos(t, '://') + 3) WHEN t LIKE '//%' THEN substr(t, 3) WHEN t LIKE '/%' THEN host || t END AS r FROM goes WHERE t <> ''),
 split AS (SELECT k, {_SQL_SPLIT} FROM rests WHERE r IS NOT NULL),

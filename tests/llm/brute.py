@@ -54,6 +54,16 @@ def substrings(rows, length):
     return out
 
 
+def passages(rows, n):
+    """Words in runs of n that another row has too."""
+    texts = [(i, re.findall(r"[^\x20\x09-\x0D]+", lower(t))) for i, t in rows]
+    of = collections.defaultdict(set)
+    for k, (_, w) in enumerate(texts):
+        for p in range(len(w) - n + 1):
+            of[tuple(w[p : p + n])].add(k)
+    return {i: len({q for p in range(len(w) - n + 1) if len(of[tuple(w[p : p + n])]) > 1 for q in range(p, p + n)}) for i, w in texts}
+
+
 def contaminated(rows, items, window=10):
     def words(t):
         return [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t)) if w]

@@ -50,23 +50,30 @@ def test_sql(spark, duck, sf_dir, name):
     assert rows(got) == rows(want)
 
 
-def test_components_of_chains_stars_and_loops(spark):
+@pytest.mark.parametrize("rows", [200_000, 3])
+def test_components_of_chains_stars_and_loops(spark, monkeypatch, rows):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", rows)
     e = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 120)] + [(7, 7), (500, 500), (None, 3)]
     got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(e, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 120)}, 500: 500}
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_attach_with_a_hot_key(spark):
+@pytest.mark.parametrize("rows,count", [(200_000, False), (10, False), (10, True)])
+def test_attach_with_a_hot_key(spark, monkeypatch, rows, count):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", rows)
     r = spark.range(5000).select("id", F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 7 == 0, None).otherwise(F.col("id")).alias("k"))
     v = spark.range(0, 5000, 2).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    got = common.attach(r, v, "k", ["v"], "id").collect()
+    if count:
+        v = v.join(r.groupBy("k").agg(F.count("*").alias("c")), "k", "left")
+    got = common.attach(r, v, "k", ["v"], "id", "c" if count else None).collect()
     assert len(got) == 5000
     assert all(x["v"] == (None if x["k"] is None or x["k"] % 2 else 2 * x["k"]) for x in got)
 
 
-@pytest.mark.parametrize("digest_all", [True, False])
-def test_exact_dedup_odd(odd, empty, digest_all):
+@pytest.mark.parametrize("digest_all,rows", [(True, 200_000), (False, 200_000), (True, 1), (False, 1)])
+def test_exact_dedup_odd(odd, empty, monkeypatch, digest_all, rows):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", rows)
     got = sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(odd, digest_all=digest_all).collect()), key=str)
     by = {r[0]: r[1:] for r in got}
     assert len(got) == 14
@@ -97,6 +104,18 @@ def test_join_is_brute_force(spark, empty, monkeypatch, k, percent, block):
     assert ngram_join.jaccard_components(empty, k=k, percent=percent).count() == 0
 
 
+@pytest.mark.parametrize("percent", [1, 10, 20, 33, 34, 50, 100])
+def test_join_at_other_percents(spark, percent):
+    rng = random.Random(8)
+    texts = []
+    for _ in range(40):
+        shared = words(rng, 20, 10**6).split()
+        texts += [" ".join(shared + words(rng, rng.randrange(0, 120), 10**6).split()) for _ in range(2)]
+    want = brute.components(list(enumerate(texts)), 2, percent)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(table(spark, texts), k=2, percent=percent).collect()}
+    assert got == want
+
+
 def test_join_finds_every_pair_without_families(spark, monkeypatch):
     """Where families catch nothing, the product by columns alone gives the same components."""
     monkeypatch.setattr(ngram_join, "_families", lambda b: b.where("false").select("s", F.lit(0).cast("long").alias("k")))
@@ -140,11 +159,27 @@ def test_substrings_are_brute_force(spark, odd, empty, monkeypatch, limit):
     want = brute.substrings(list(enumerate(texts)), 400)
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.dedup_substrings(table(spark, texts)).collect()}
     assert got == want
-    assert suffix_dedup.dedup_substrings(empty).count() == 0
+    assert suffix_dedup.dedup_substrings(empty, passage=50).count() == 0
+
+
+@pytest.mark.parametrize("rows", [200_000, 5])
+def test_passages_are_brute_force(spark, odd, monkeypatch, rows):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", rows)
+    rng = random.Random(9)
+    passage = "  ".join(words(rng, 60, 10**6).split())
+    texts = [words(rng, rng.randrange(0, 80)) + " " + " ".join(passage.split()[rng.randrange(20) : rng.randrange(45, 61)]) + "\n" + words(rng, 20) for _ in range(30)]
+    texts += [passage, passage.upper(), "é " * 49, "é " * 50, "é " * 51, None, "", " ", "b " * 200]
+    got = {r["doc_id"]: r["n_passage_words"] for r in suffix_dedup.dedup_substrings(table(spark, texts), passage=50).collect()}
+    assert got == brute.passages(list(enumerate(texts)), 50)
+    got = {r["doc_id"]: r["n_passage_words"] for r in suffix_dedup.dedup_substrings(odd, passage=50).collect()}
+    assert got[0] == got[None] == 0 and got[4] == got[5] == got[6] == 300 and got[8] == got[9] == 30_000
 
 
 def test_substrings_on_tables_and_odd(spark, duck, sf_dir, odd):
-    want = brute.substrings(duck.sql("SELECT doc_id, text FROM documents").fetchall(), 400)
+    docs = duck.sql("SELECT doc_id, text FROM documents").fetchall()
+    want = brute.passages(docs, 50)
+    assert {r["doc_id"]: r["n_passage_words"] for r in QUERIES["op6_suffix_dedup"](spark, sf_dir).collect()} == want
+    want = brute.substrings(docs, 400)
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in QUERIES["op6_suffix_dedup"](spark, sf_dir).collect()} == want
     got = suffix_dedup.dedup_substrings(odd, keep_text=True).collect()
     assert len(got) == 14 and {r["n_removed"] for r in got if r["doc_id"] in (8, 9)} == {max(r["n_bytes"] for r in got)}
@@ -206,6 +241,17 @@ def test_language_of_long_texts(spark, big):
     assert len(got) == 8 and all(a == b for a, b in got)
 
 
+def test_language_needs_a_letter():
+    texts = [None, "", "½ ² 12", "Ⅷ ⅳ", "_ - 7", "ª", "x", "1 é"]
+    assert [language.has_letter(t) for t in texts] == [False] * 5 + [True] * 3
+
+
+def test_samples_are_bounded_for_every_class(spark):
+    rows_ = spark.range(30_000).select("id", F.when(F.col("id") < 20_000, -1).otherwise(F.col("id") % 12_000).alias("c"))
+    got = language.bounded_sample(rows_, "id", "c", 50).groupBy("c").agg(F.count("*").alias("n")).toPandas()
+    assert len(got) == 10_001 and got["n"].max() == 50 and got.set_index("c")["n"][-1] == 50
+
+
 def test_language_blocks_hold_every_gram():
     texts = ["", "ab", "héllo wörld 12 " * 700, "x" * language.BLOCK, None]
     at = [(int(i), float(w), r) for rows, of, share in language.presence(pa.array(texts, pa.large_string())) for r, i, w in zip(rows, of, share, strict=True)]
@@ -226,7 +272,15 @@ def test_language_never_sees_held_out_labels(spark, sf_dir):
 def test_toxicity_held_out(spark, big):
     got = QUERIES["op3_toxicity"](spark, big).where("held_out").join(common.read(spark, big, "labels"), "doc_id")
     r = got.agg(F.count_if(F.expr("predicted = 1 AND toxic = 1")).alias("tp"), F.count_if(F.expr("toxic = 1")).alias("p"), F.count_if(F.expr("predicted = 1 AND toxic = 0")).alias("fp"), F.count_if(F.expr("toxic = 0")).alias("n")).first()
-    assert r["tp"] / r["p"] > 0.8 and r["fp"] / r["n"] < 0.02
+    print("recall", r["tp"] / r["p"], "false positives", r["fp"] / r["n"])
+    assert r["tp"] / r["p"] >= 0.9 and r["fp"] / r["n"] < 0.02
+
+
+def test_quotations_of_any_length():
+    inside = toxicity.quoted('he "' + "a " * 400 + 'idiot" but idiot "open\nidiot" « x » idiot', [804, 815, 827, 842])
+    assert inside == [True, False, False, False]
+    many = "«" * 200_000 + " idiot"
+    assert toxicity.quoted(many, [200_001]) == [False]
 
 
 def test_automaton_is_edit_distance():
@@ -317,6 +371,8 @@ def test_license_scan_odd(spark, odd, empty):
     mit = dict(license_scan.KNOWN[::-1])["MIT"]
     texts = ["MIT License\n\nCopyright (c) 2020 Someone\n\n" + license_scan.KNOWN[1][1].replace(", ", ",\n"), "x\nReleased under the MIT Licence\ny", mit + " more", None, ""]
     got = {r["doc_id"]: (r["license"], r["line_licenses"]) for r in license_scan.scan_licenses(table(spark, texts), known).collect()}
+    canonical = license_scan.canonical_lines(spark.createDataFrame([("The Sub-Licence, V 2.0\n(C) 2020 x\n\n see HTTP://a.b",)], "s string"), "s").first()["_lines"]
+    assert canonical == ["the sublicense version 2 0", "see a b"]
     assert got[0][0] == "MIT" and got[1] == (None, ["MIT"]) and got[2][0] is None and got[3] == got[4] == (None, [])
     assert license_scan.scan_licenses(empty, known).count() == 0 and license_scan.scan_licenses(odd, known).count() == 14
 
@@ -378,9 +434,24 @@ def test_secret_spans(spark, odd, empty):
     assert secret_scan.scan_secrets(empty).count() == 0 and secret_scan.scan_secrets(odd).count() == 14
 
 
+def test_secrets_in_long_texts(spark):
+    import time
+
+    rng = random.Random(11)
+    letters = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(10**6))
+    mixed = "".join(rng.choice("abcdefgABCDEFGXYZuvw") for _ in range(10**6))
+    many = " ".join(f"token=abcdefgh{i}" for i in range(5000))
+    for text, n, found in ((letters, 0, 0), (mixed, 0, 1), ("a-" * 500_000, 0, 0), ("A" * 10**6, 0, 0), (many, 5000, 0), ("password" + " " * 10**6, 0, 0)):
+        began = time.time()
+        r = secret_scan.scan_secrets(table(spark, [text])).first()
+        assert (r["n_assign"], len(r["found"])) == (n, found) and time.time() - began < 40, text[:20]
+    r = secret_scan.scan_secrets(table(spark, ["say QwErTyUiOpAsDfGhJkLz and SomePath/To/The/Place andSoOnAndOnAndOnAndOn"])).first()
+    assert [x["m"] for x in r["found"]] == ["QwErTyUiOpAsDfGhJkLz"]
+
+
 def test_window_entropy(spark):
     rng = random.Random(7)
-    strings = ["".join(rng.choice("abcdef0123XYZ") for _ in range(rng.randrange(20, 50))) for _ in range(30)]
+    strings = ["".join(rng.choice("abcdef0123XYZ") for _ in range(rng.randrange(20, 50))) for _ in range(30)] + ["".join(rng.choice("abcdef0123XYZ") for _ in range(n)) for n in (19, 235, 236, 237, 256, 600)]
 
     def bits(s):
         best = 0.0
