@@ -265,7 +265,7 @@ def _extended(texts: DataFrame, parts: int, length: int) -> DataFrame:
 
 
 def _word_blocks(docs: DataFrame, words: int, gram: int) -> DataFrame:
-    """(k, a, n, least): runs of n words from word a on, of rows (id, t), whose windows of `words` words have one least gram hash."""
+    """(k, a, n, least, s): runs of n words from word a on, of rows (id, t), whose windows of `words` words have one least gram hash; s is a hash of the run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,34 +276,43 @@ def _word_blocks(docs: DataFrame, words: int, gram: int) -> DataFrame:
                     used = np.unique(row)
                     keys = np.zeros(rows.num_rows, np.int64)
                     keys[used] = [_row_key(rows.column(0)[int(r)].as_py(), rows.column(1)[int(r)].as_py().encode()) for r in used]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[row]), pa.array((a - edge[row]).astype(np.int64)), pa.array(n.astype(np.int64)), pa.array(least.view(np.int64))], names=["k", "a", "n", "least"])
+                    sums, down = _sums(hashed)
+                    with np.errstate(over="ignore"):
+                        s = mix((sums[a + n] - sums[a]) * down[a] + n.astype(np.uint64))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[row]), pa.array((a - edge[row]).astype(np.int64)), pa.array(n.astype(np.int64)), pa.array(least.view(np.int64)), pa.array(s.view(np.int64))], names=["k", "a", "n", "least", "s"])
 
-    return docs.mapInArrow(run, "k bigint, a bigint, n bigint, least bigint")
+    return docs.mapInArrow(run, "k bigint, a bigint, n bigint, least bigint, s bigint")
 
 
 def _word_windows(docs: DataFrame, places: DataFrame, words: int) -> DataFrame:
-    """(k, a, w): a 128-bit hash of each window of `words` words of the runs at places (k, a, n) of rows (id, t)."""
-    per = materialize(places.groupBy("k").agg(F.collect_list(F.struct("a", "n")).alias("at")))  # no more than its document's length allows
+    """(k, a, w, many): a 128-bit hash of each window of `words` words of the runs at places (k, a, n, many) of rows (id, t)."""
+    per = materialize(places.groupBy("k").agg(F.collect_list(F.struct("a", "n", "many")).alias("at")))  # no more than its document's length allows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in pieces(batch, 1, PIECE):
                 hashed, edge = word_hashes(b.column(1))
-                ks, starts = [], []
+                ks, starts, many = [], [], []
                 for i, (k, at) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)):
-                    starts += [edge[i] + p["a"] + np.arange(p["n"] - words + 1) for p in at]
-                    ks += [np.full(p["n"] - words + 1, k) for p in at]
+                    for p in at:
+                        m = p["n"] - words + 1
+                        starts.append(edge[i] + p["a"] + np.arange(m))
+                        ks.append(np.full(m, k))
+                        many.append(np.full(m, p["many"]))
                 if starts:
-                    at, k = np.concatenate(starts), np.concatenate(ks)
+                    at = np.concatenate(starts)
                     first = edge[np.searchsorted(edge, at, "right") - 1]
                     two = np.stack([gram_hashes(hashed, words)[at], gram_hashes(hashed[::-1], words)[::-1][at]], 1)
                     w = pa.Array.from_buffers(pa.binary(16), len(at), [None, pa.py_buffer(two.tobytes())]).cast(pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array((at - first).astype(np.int64)), w], names=["k", "a", "w"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ks)), pa.array((at - first).astype(np.int64)), w, pa.array(np.concatenate(many))], names=["k", "a", "w", "many"])
 
-    named = docs.mapInArrow(_named, "k bigint, t string")
-    keys = broadcast_if_small(materialize(per.select("k")))
-    joined = named.join(keys, "k", "left_semi").dropDuplicates(["k"]).join(per, "k")
-    return joined.select("k", "t", "at").mapInArrow(run, "k bigint, a bigint, w binary")
+    return docs.mapInArrow(_named, "k bigint, t string").join(_light(per), "k").select("k", "t", "at").mapInArrow(run, "k bigint, a bigint, w binary, many boolean")
+
+
+def _light(per: DataFrame) -> DataFrame:
+    """per (k, at: an array), to be broadcast if it has few rows and entries: 20 MB at most."""
+    size = per.select(F.count("*").alias("rows"), F.coalesce(F.sum(F.greatest(F.size("at"), F.lit(0))), F.lit(0)).alias("entries")).first()
+    return F.broadcast(per) if size["rows"] <= 200_000 and size["entries"] <= 1_000_000 else per
 
 
 def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,27 +322,34 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _passages(rows: DataFrame, words: int, gram: int) -> DataFrame:
-    """(k, n_passage_words) of rows (id, t) with words in a passage of `words` words that a row of another name has too."""
+    """(k, n_passage_words) of rows (id, t) with words in a passage of `words` words that a row of another name has too.
+
+    Runs that a row of another name has whole are settled by counting. The others that share their least hash with a row of
+    another name are cut into windows, and so is one of each kind that is settled.
+    """
     found = materialize(_word_blocks(rows, words, gram))
-    shared = materialize(_of_several(found, "least"))
-    open_ = materialize(attach(found, shared, "least", ["_several"], "k", "_n").where("_several").select("k", "a", "n"))
-    windows = materialize(_word_windows(rows, open_, words))
-    again = materialize(_of_several(windows, "w"))
-    at = attach(windows, again, "w", ["_several"], "k", "_n").where("_several")
-    starts = F.array_sort(F.collect_set("a"))  # no more than its document's length allows
-    per = at.groupBy("k").agg(starts.alias("at"))
-    steps = F.zip_with(F.slice("at", 2, F.size("at")), F.slice("at", F.lit(1), F.size("at") - 1), lambda y, x: F.least(y - x, F.lit(words).cast("bigint")))
-    out = materialize(per.select("k", F.aggregate(steps, F.lit(words).cast("bigint"), lambda x, y: x + y).alias("n_passage_words")))
-    discard(found, shared, open_, windows, again)
+    per = found.groupBy("least").agg(F.count("*").alias("_n"), F.min("k").alias("lo"), F.max("k").alias("hi"), (F.min("s") != F.max("s")).alias("_mixed"))
+    shared = materialize(per.where("lo <> hi").select("least", "_n", "_mixed"))
+    open_ = materialize(attach(found, shared, "least", ["_mixed"], "k", "_n").where("_mixed IS NOT NULL"))
+    kinds = open_.where("_mixed").groupBy("least", "s").agg(F.count("*").alias("_n"), F.min(F.struct("k", "a", "n")).alias("at"), (F.min("k") != F.max("k")).alias("many"))
+    kinds = materialize(kinds.where("many").select(F.xxhash64("least", "s").alias("kind"), "_n", "at.*", "many").dropDuplicates(["kind"]))
+    known = attach(open_.withColumn("kind", F.when(F.col("_mixed"), F.xxhash64("least", "s"))), kinds, "kind", ["many"], "k", "_n")
+    known = materialize(known.select("k", "a", "n", (F.coalesce("many", F.lit(False)) | ~F.col("_mixed")).alias("many")))
+    whole = known.where("many").select("k", "a", (F.col("a") + F.col("n")).alias("b"))
+    windows = materialize(_word_windows(rows, known.where("NOT many").union(kinds.select("k", "a", "n", "many")), words))
+    again = windows.groupBy("w").agg(F.count("*").alias("_n"), F.min("k").alias("lo"), F.max("k").alias("hi"), F.bool_or("many").alias("_any"))
+    again = materialize(again.where("lo <> hi OR _any").select("w", "_n", F.lit(True).alias("_again")))
+    part = attach(windows.where("NOT many"), again, "w", ["_again"], "k", "_n").where("_again").select("k", "a", (F.col("a") + words).alias("b"))
+    spans = F.array_sort(F.collect_set(F.struct("a", "b")))  # no more than its document's length allows
+    none = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("b"))
+    covered = F.aggregate(
+        "at", none, lambda x, s: F.struct((x["n"] + F.greatest(s["b"] - F.greatest(x["b"], s["a"]), F.lit(0))).alias("n"), F.greatest(x["b"], s["b"]).alias("b")), lambda x: x["n"]
+    )
+    out = materialize(whole.union(part).groupBy("k").agg(spans.alias("at")).select("k", covered.alias("n_passage_words")))
+    discard(found, shared, open_, kinds, known, windows, again)
     return out
 
 
-def _of_several(df: DataFrame, key: str) -> DataFrame:
-    """(key, _several, _n) of the keys that rows of two names k or more have."""
-    per = df.groupBy(key).agg(F.count("*").alias("_n"), F.min("k").alias("_lo"), F.max("k").alias("_hi"))
-    return per.where("_lo <> _hi").select(key, F.lit(True).alias("_several"), "_n")
-
-
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, keep_text: bool = False, passage: int = 0) -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256, and with keep_text also spans and kept.
 

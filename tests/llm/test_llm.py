@@ -169,6 +169,8 @@ def test_passages_are_brute_force(spark, odd, monkeypatch, rows):
     passage = "  ".join(words(rng, 60, 10**6).split())
     texts = [words(rng, rng.randrange(0, 80)) + " " + " ".join(passage.split()[rng.randrange(20) : rng.randrange(45, 61)]) + "\n" + words(rng, 20) for _ in range(30)]
     texts += [passage, passage.upper(), "é " * 49, "é " * 50, "é " * 51, None, "", " ", "b " * 200]
+    twice = words(rng, 70, 10**6)
+    texts += [twice + " x y z " + twice, "q " + " ".join(twice.split()[5:60])]
     got = {r["doc_id"]: r["n_passage_words"] for r in suffix_dedup.dedup_substrings(table(spark, texts), passage=50).collect()}
     assert got == brute.passages(list(enumerate(texts)), 50)
     got = {r["doc_id"]: r["n_passage_words"] for r in suffix_dedup.dedup_substrings(odd, passage=50).collect()}
