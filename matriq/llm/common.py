@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 HEAVY = 1024
 #: Rows that may be broadcast; a row here is two or three longs, so this is about 5 MB.
 BROADCAST_ROWS = 200_000
+#: Values that attach() broadcasts: so few that joins of any size worth measuring go one way.
+ATTACH_ROWS = 20_000
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _written: list[tuple[SparkSession, str, DataFrame]] = []
@@ -92,7 +94,7 @@ def attach(rows: DataFrame, values: DataFrame, key: str, add: Sequence[str], spr
     `spread`. Null keys match nothing and are spread likewise. count: a column of values with the number of rows of each
     key, where that is known. rows should be cheap to read twice; values are a written table.
     """
-    if small(values):
+    if small(values, ATTACH_ROWS):
         return rows.join(F.broadcast(values.select(F.col(key).alias("_hk"), *add)), F.col(key) == F.col("_hk"), "left").select(*rows.columns, *add)
     total = rows.count()
     counts = values.select(key, F.col(count).alias("_n")) if count else rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))

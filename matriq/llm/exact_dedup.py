@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matriq.llm.common import attach, materialize, read, small
+from matriq.llm.common import ATTACH_ROWS, attach, materialize, read, small
 
 SPACES = r"[\x20\x09-\x0D]+"
 PREFIX_CHARS = 64
@@ -50,7 +50,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rows = keys
     else:
         # Few groups are broadcast, so the digest can wait for that join; else it goes through the shuffle in place of the text.
-        again = among(_keys(docs, id_col, text_col, "_t")) if small(alike) else among(_keys(docs, id_col, text_col, "_full"))
+        again = among(_keys(docs, id_col, text_col, "_t")) if small(alike, ATTACH_ROWS) else among(_keys(docs, id_col, text_col, "_full"))
         full = materialize(again.where("_alike").select("_id", "_full" if "_full" in again.columns else _full().alias("_full")))
         rows = full.unionByName(among(keys).where("_alike IS NULL").select("_id"), allowMissingColumns=True)
     groups = full.groupBy("_full").agg(

@@ -12,7 +12,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matriq.llm.common import ascii_lower, attach, materialize, read, small
+from matriq.llm.common import ATTACH_ROWS, ascii_lower, attach, materialize, read, small
 
 # The published wording of licences and of the notices that name one.
 _GRANT_MIT = (
@@ -182,7 +182,7 @@ def scan_licenses(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", tex
     )
     each = rows.select("_id", F.explode_outer(every).alias("_e")).select("_id", F.col("_e.whole").alias("_whole"), F.unhex(F.sha2(F.col("_e.s"), 256)).alias("_digest"))
     names = materialize(known.select(F.col("digest").alias("_digest"), F.col("license").alias("_license")))
-    each = each if small(names) else materialize(each)
+    each = each if small(names, ATTACH_ROWS) else materialize(each)
     met = materialize(attach(each, names, "_digest", ["_license"], "_id").where("_whole OR _license IS NOT NULL"))
     found = met.where("NOT _whole").groupBy(F.col("_id").alias("_of")).agg(F.count("*").alias("_n"), F.array_sort(F.collect_set("_license")).alias("_names"))
     out = met.where("_whole")

@@ -53,6 +53,7 @@ def test_sql(spark, duck, sf_dir, name):
 @pytest.mark.parametrize("rows", [200_000, 3])
 def test_components_of_chains_stars_and_loops(spark, monkeypatch, rows):
     monkeypatch.setattr(common, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(common, "ATTACH_ROWS", rows)
     e = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 120)] + [(7, 7), (500, 500), (None, 3)]
     got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(e, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 120)}, 500: 500}
@@ -62,6 +63,7 @@ def test_components_of_chains_stars_and_loops(spark, monkeypatch, rows):
 @pytest.mark.parametrize("rows,count", [(200_000, False), (10, False), (10, True)])
 def test_attach_with_a_hot_key(spark, monkeypatch, rows, count):
     monkeypatch.setattr(common, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(common, "ATTACH_ROWS", rows)
     r = spark.range(5000).select("id", F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 7 == 0, None).otherwise(F.col("id")).alias("k"))
     v = spark.range(0, 5000, 2).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     if count:
@@ -74,6 +76,7 @@ def test_attach_with_a_hot_key(spark, monkeypatch, rows, count):
 @pytest.mark.parametrize("digest_all,rows", [(True, 200_000), (False, 200_000), (True, 1), (False, 1)])
 def test_exact_dedup_odd(odd, empty, monkeypatch, digest_all, rows):
     monkeypatch.setattr(common, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(common, "ATTACH_ROWS", rows)
     got = sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(odd, digest_all=digest_all).collect()), key=str)
     by = {r[0]: r[1:] for r in got}
     assert len(got) == 14
@@ -165,6 +168,7 @@ def test_substrings_are_brute_force(spark, odd, empty, monkeypatch, limit):
 @pytest.mark.parametrize("rows", [200_000, 5])
 def test_passages_are_brute_force(spark, odd, monkeypatch, rows):
     monkeypatch.setattr(common, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(common, "ATTACH_ROWS", rows)
     rng = random.Random(9)
     passage = "  ".join(words(rng, 60, 10**6).split())
     texts = [words(rng, rng.randrange(0, 80)) + " " + " ".join(passage.split()[rng.randrange(20) : rng.randrange(45, 61)]) + "\n" + words(rng, 20) for _ in range(30)]
