@@ -6,8 +6,8 @@ import numpy as np
 
 from matriq.functions.cluster import correlate, cut, linkage
 
-#: Correlations that count as a clear or a weak trend, the share of a profile that is its edge, and how far a bump stands out.
-CLEAR, WEAK, EDGE, BUMP = 0.7, 0.3, 0.15, 0.2
+#: The part of a profile's ups and downs that a shape must account for.
+SHARE = 0.8
 
 
 def unit(profiles: np.ndarray) -> np.ndarray:
@@ -18,19 +18,20 @@ def unit(profiles: np.ndarray) -> np.ndarray:
 
 
 def shapes(profiles: np.ndarray) -> list[str]:
-    """increasing, decreasing, peak, trough or complex, for rows scaled to 0..1, all at once."""
-    p = np.asarray(profiles, float)
-    n = p.shape[1]
-    lo, hi = int(n * EDGE), int(n * (1 - EDGE))
-    t = np.linspace(0, 1, n)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        r = np.nan_to_num(((p - p.mean(1, keepdims=True)) @ (t - t.mean())) / (n * p.std(1) * t.std()))
-    edge = (p[:, :lo].mean(1) + p[:, hi:].mean(1)) / 2
-    top, low = p.argmax(1), p.argmin(1)
-    peak = (top >= lo) & (top <= hi) & (p.max(1) > edge + BUMP)
-    trough = (low >= lo) & (low <= hi) & (p.min(1) < edge - BUMP)
-    rules = [(r > CLEAR, "increasing"), (r < -CLEAR, "decreasing"), (peak, "peak"), (trough, "trough"), (r > WEAK, "increasing"), (r < -WEAK, "decreasing")]
-    return np.select([x for x, _ in rules], [y for _, y in rules], "complex").tolist()
+    """increasing, decreasing, peak, trough or complex, by how much of all ups and downs each shape accounts for.
+
+    Of the summed steps, a rising profile's are up; a peak's are one climb to its top and one fall from it, a trough's the
+    reverse. The first that accounts for SHARE of the sum names the profile; flat profiles are complex.
+    """
+    out = []
+    for p in np.asarray(profiles, float):
+        step = np.diff(p)
+        ways = np.abs(step).sum()
+        up = step[step > 0].sum()
+        one_top, one_low = 2 * p.max() - p[0] - p[-1], p[0] + p[-1] - 2 * p.min()
+        parts = {"increasing": up, "decreasing": ways - up, "peak": one_top, "trough": one_low}
+        out.append(next((name for name, part in parts.items() if ways > 0 and part >= SHARE * ways), "complex"))
+    return out
 
 
 def modules(profiles: np.ndarray, height: float = 0.5) -> np.ndarray:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from matriq.functions import cluster as local
 from matriq.operators.linear import MAX_GENES, gram
-from matriq.zeros import dense
+from matriq.zeros import average_rank, dense
 
 #: Edges that local clustering takes; larger graphs go by label propagation in DataFrames.
 MAX_EDGES = 1_000_000
@@ -73,39 +73,65 @@ def kmeans(m: DataFrame, k: int, tries: int = 10, seed: int = 0) -> DataFrame:
     return out.join(F.broadcast(rank), "p").select("cell_id", "cluster")
 
 
-def cluster_gene_set(x: DataFrame, obs: DataFrame, genes: list[int], method: str = "hierarchical", k: int = 3, eps: float = 0.5, corr: str = "pearson", min_points: int = 3) -> DataFrame:
-    """(gene_id, cluster) of a gene set, -1 for noise or none: hierarchical (Ward), kmeans, dbscan, or auto modules.
+def gene_correlations(x: DataFrame, obs: DataFrame, genes: list[int], how: str = "pearson") -> np.ndarray:
+    """Correlations of the listed genes (MAX_GENES at most) over all cells of obs, zeros included: pearson, spearman or bicor. Genes that don't vary have zeros.
 
-    Pearson distances come from products that Spark has summed; the rank and biweight kinds, and auto, need the profiles, of
-    at most 4000 genes by a sample of cells that is stated: those of the 2000 smallest id hashes.
+    A transform of the values that is 0 for a zero keeps the matrix sparse, so products are summed over non-zeros: ranks, or
+    biweighted deviations, less what a zero gets. Medians and deviations are one row a gene.
+    """
+    n = obs.count()
+    x = x.join(obs.select("cell_id"), "cell_id", "left_semi").where(F.col("gene_id").isin(genes)).select("cell_id", "gene_id", "value")
+    base = np.zeros(len(genes))
+    if how == "spearman":
+        x = x.where("value <> 0") if x.where("value < 0").isEmpty() else dense(x, obs, genes)
+        zero = x.groupBy("gene_id").agg(((n - F.count("*") + 1) / 2).alias("_zero"))  # one row a gene; a gene without zeros loses a constant
+        x = average_rank(x, "gene_id", F.lit(n)).join(F.broadcast(zero), "gene_id").select("cell_id", "gene_id", (F.col("rank") - F.col("_zero")).alias("value"))
+    elif how == "bicor":
+        every = dense(x, obs, genes)
+        med = every.groupBy("gene_id").agg(F.median("value").alias("m"))
+        mad = every.join(F.broadcast(med), "gene_id").groupBy("gene_id", "m").agg(F.median(F.abs(F.col("value") - F.col("m"))).alias("d"), F.avg("value").alias("a"))
+        stats = mad.toPandas().set_index("gene_id").reindex(genes)  # one row a gene
+        m, d, a = (stats[c].to_numpy(float) for c in ("m", "d", "a"))
+        u = -m / (9 * np.where(d > 0, d, 1))
+        base = np.where(d > 0, np.where(np.abs(u) < 1, -m * (1 - u * u) ** 2, 0), -a)
+        given = x.sparkSession.createDataFrame([(int(g), *map(float, r)) for g, r in zip(genes, zip(m, d, a, base, strict=True), strict=True)], "gene_id int, m double, d double, a double, b double")
+        dev = F.col("value") - F.col("m")
+        v = dev / (9 * F.col("d"))
+        z = F.when(F.col("d") > 0, F.when(F.abs(v) < 1, dev * (1 - v * v) * (1 - v * v)).otherwise(0.0)).otherwise(F.col("value") - F.col("a"))
+        x = x.join(F.broadcast(given), "gene_id").select("cell_id", "gene_id", (z - F.col("b")).alias("value"))
+    elif how != "pearson":
+        raise ValueError(f"correlation {how!r}")
+    g, s = gram(x, genes)
+    if how == "bicor":  # about the weighted deviations themselves, not their mean
+        c = g + np.outer(base, s) + np.outer(s, base) + n * np.outer(base, base)
+    else:
+        c = g - np.outer(s, s) / max(n, 1)
+    size = np.sqrt(np.maximum(np.diag(c), 0))
+    varies = size > 1e-9 * max(size.max(initial=0), 1e-300)
+    return np.where(np.outer(varies, varies), np.clip(c / np.outer(np.where(varies, size, 1), np.where(varies, size, 1)), -1, 1), 0.0)
+
+
+def cluster_gene_set(x: DataFrame, obs: DataFrame, genes: list[int], method: str = "hierarchical", k: int = 3, eps: float = 0.5, corr: str | None = None, min_points: int = 3) -> DataFrame:
+    """(gene_id, cluster) of a gene set of at most MAX_GENES, -1 for noise or none: hierarchical (Ward), kmeans, dbscan, or auto modules.
+
+    Correlations are over all cells: those named, else bicor for auto and pearson for the others. kmeans runs on points whose
+    inner products are the correlations, which are the standardised profiles but for a rotation.
     """
     if len(genes) > MAX_GENES:
         raise ValueError(f"more than {MAX_GENES} genes")
     spark = x.sparkSession
-    if method in ("hierarchical", "dbscan") and corr == "pearson":
-        g, s = gram(x, genes)
-        n = obs.count()
-        cov = g - np.outer(s, s) / n
-        sd = np.sqrt(np.maximum(np.diag(cov), 1e-300))
-        c = np.clip(cov / np.outer(sd, sd), -1, 1)
-        d = np.maximum(1 - c, 0)
-    else:
-        few = obs.select("cell_id").orderBy(F.xxhash64("cell_id"), "cell_id").limit(2000)
-        cells = dense(x, few, genes).groupBy("cell_id").agg(F.sort_array(F.collect_list(F.struct("gene_id", "value"))).alias("r"))
-        rows = cells.orderBy("cell_id").select(F.col("r.value").alias("v")).toPandas()["v"]
-        order = np.argsort(np.argsort(genes))
-        v = np.stack(rows).T[order] if len(rows) else np.zeros((len(genes), 0))
-        d = np.maximum(1 - local.correlate(v, corr), 0)
+    c = gene_correlations(x, obs, genes, corr or ("bicor" if method == "auto" else "pearson"))
+    d = np.maximum(1 - c, 0)
     if method == "hierarchical":
         label = local.cut(local.linkage(d, "ward"), len(d), k=k)
     elif method == "dbscan":
         label = local.dbscan(d, eps, min_points)
     elif method == "auto":
-        label = local.modules(v, corr)
+        plain = c if corr == "pearson" else gene_correlations(x, obs, genes)
+        label = local.modules(c, local.coordinates(plain))
     elif method == "kmeans":
-        z = (v - v.mean(1, keepdims=True)) / np.maximum(v.std(1, keepdims=True), 1e-300)
-        m = spark.createDataFrame([(int(g), [float(q) for q in r]) for g, r in zip(genes, z, strict=True)], "cell_id long, v array<double>")
+        m = spark.createDataFrame([(int(g), [float(q) for q in r]) for g, r in zip(genes, local.coordinates(c), strict=True)], "cell_id long, v array<double>")
         return kmeans(m, k).select(F.col("cell_id").cast("int").alias("gene_id"), F.col("cluster").cast("int").alias("cluster"))
     else:
         raise ValueError(f"method {method!r}")
-    return spark.createDataFrame([(int(g), int(c)) for g, c in zip(genes, label, strict=True)], "gene_id int, cluster int")
+    return spark.createDataFrame([(int(g), int(v)) for g, v in zip(genes, label, strict=True)], "gene_id int, cluster int")

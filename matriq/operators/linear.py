@@ -99,16 +99,24 @@ def subset_name(drop: list[int]) -> str:
     return "X_pca_noPC" + "_".join(map(str, sorted(drop)))
 
 
-def elbow(ratio: np.ndarray) -> int:
-    """Index of the elbow of a falling curve: the first inner point that lies a deviation below the chord and after which the
-    next step is less than half as steep; else the point of the largest bend."""
-    r = np.asarray(ratio, float)
-    if len(r) < 3:
-        return max(0, min(len(r) - 1, 10))
-    below = np.linspace(1, 0, len(r)) - (r - r.min()) / (np.ptp(r) + 1e-10)
-    step = np.abs(np.diff(r))
-    found = np.flatnonzero((below[1:-1] > below.std()) & (step[1:] < 0.5 * step[:-1]))
-    return int(found[0]) + 1 if len(found) else int(np.abs(np.diff(r, 2)).argmax()) + 1
+def elbow(ratio: np.ndarray, sensitivity: float = 1.0) -> int:
+    """Index of the knee of a falling, convex curve, by Kneedle (Satopaa et al., 2011).
+
+    Curve and index are scaled to 0..1; the gap between the flipped curve and the diagonal is greatest at a knee. A local
+    maximum of the gap is one if, before the next, the gap falls by `sensitivity` mean steps of the index. The first counts,
+    else the largest gap. Curves of fewer than three points, or flat ones, have their knee at the end.
+    """
+    y = np.asarray(ratio, float)
+    n = len(y)
+    if n < 3 or np.ptp(y) == 0:
+        return max(n - 1, 0)
+    x = np.linspace(0, 1, n)
+    gap = (y.max() - y) / np.ptp(y) - x
+    tops = [i for i in range(1, n - 1) if gap[i] > gap[i - 1] and gap[i] >= gap[i + 1]]
+    for i, upto in zip(tops, [*tops[1:], n], strict=True):
+        if gap[i:upto].min() < gap[i] - sensitivity * np.diff(x).mean():
+            return i
+    return int(gap.argmax())
 
 
 def variance_table(ratio: np.ndarray) -> list[dict]:

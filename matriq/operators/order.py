@@ -28,6 +28,17 @@ def positions(df: DataFrame, ord_col: str, tie: str, by: Sequence[str] = (), nam
     return out.withColumn(name, F.col("_r") + F.col("_b")).drop("_p", "_r", "_b")
 
 
+def draw_order(values: DataFrame) -> DataFrame:
+    """(cell_id, value, weight, place): the place, from 1, in which cells are drawn, later ones on top.
+
+    Order is by weight (highlighted cells last), then by value, then by cell. Weights are few.
+    """
+    placed = positions(values, "value", "cell_id", ["weight"])
+    below = values.groupBy("weight").agg(F.count("*").alias("_c"))
+    below = below.select("weight", (F.sum("_c").over(Window.orderBy("weight")) - F.col("_c")).alias("_w"))
+    return placed.join(F.broadcast(below), "weight").select("cell_id", "value", "weight", (F.col("_k") + F.col("_w") + 1).alias("place"))
+
+
 def kth(df: DataFrame, column: str, ks: Sequence[int], n: int) -> list[float]:
     """The values at places ks (from 0) of a numeric column of n values, exactly.
 

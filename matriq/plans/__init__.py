@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from matriq.plans import base, matrix, spatial, statistics, tables  # noqa: F401  (they register their queries)
+from matriq.plans import base, files, matrix, spatial, statistics, tables  # noqa: F401  (they register their queries)
 
 
 def queries() -> dict:

@@ -317,15 +317,11 @@ def gmt_export(spark, d):
     return gs.gmt_lines(var.select(F.concat(F.lit("set"), F.col("gene_id") % 3).alias("set_name"), F.lit("up").alias("direction"), F.col("gene_id").alias("pos"), F.col("gene_name").alias("gene")))
 
 
-@query("draw_order", f"{A_} SELECT cell_id, value, row_number() OVER (ORDER BY value, cell_id) AS place FROM (SELECT cell_id, coalesce(value, 0) AS value FROM obs LEFT JOIN (SELECT cell_id, value FROM x WHERE gene_id = 7) USING (cell_id)) ORDER BY value DESC, cell_id DESC LIMIT 100")
+@query("draw_order", f"{A_} SELECT cell_id, value, weight, row_number() OVER (ORDER BY weight, value, cell_id) AS place FROM (SELECT cell_id, coalesce(value, 0) AS value, CASE WHEN segment = 'BUILDING' THEN 1 ELSE 0 END AS weight FROM obs LEFT JOIN (SELECT cell_id, value FROM x WHERE gene_id = 7) USING (cell_id))")
 def draw_order(spark, d):
+    from matriq.operators import order
     from matriq.operators.score import expression
 
     ds = bindings.counts(spark, d)
-    n = ds.obs.count()
-    top = expression(ds.x, ds.obs, 7).orderBy(F.col("value").desc(), F.col("cell_id").desc()).limit(100)
-    from pyspark.sql import Window
-
-    return top.withColumn("place", (n - 100 + F.row_number().over(Window.orderBy("value", "cell_id"))).cast("long"))
-
-
+    weight = ds.obs.select("cell_id", F.when(F.col("segment") == "BUILDING", 1).otherwise(0).alias("weight"))
+    return order.draw_order(expression(ds.x, ds.obs, 7).join(weight, "cell_id"))

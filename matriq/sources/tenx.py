@@ -12,10 +12,10 @@ def read_trio(spark: SparkSession, matrix: str, barcodes: str, features: str) ->
     """Counts in Matrix Market form, genes by cells, 1-based; gzip or plain. Repeated gene names get -1, -2, ..."""
     lines = spark.read.text(matrix).select(F.trim("value").alias("v")).where(~F.col("v").startswith("%"))
     part = F.split("v", r"\s+")
-    size = spark.read.text(matrix).where(~F.col("value").startswith("%")).select(F.trim("value").alias("v"))
-    # The first line that is no remark gives the sizes; its third number, the count of entries, is found again by place.
-    head = size.first()[0].split()
-    x = lines.where(F.col("v") != " ".join(head)).where(F.size(part) >= 3)
+    # The first line that is no remark gives the sizes. It goes once; an entry that happens to look like it stays.
+    head = lines.first()[0]
+    again = lines.where(F.col("v") == head).count() - 1
+    x = lines.where(F.col("v") != head).unionAll(spark.createDataFrame([(head,)] * again, "v string")).where(F.size(part) >= 3)
     x = x.select((part[1].cast("long") - 1).alias("cell_id"), (part[0].cast("int") - 1).alias("gene_id"), part[2].cast("double").alias("value")).where("value <> 0")
     obs = _numbered(spark, barcodes).select(F.col("n").alias("cell_id"), F.split("value", "\t")[0].alias("cell_name"))
     f = F.split("value", "\t")

@@ -216,7 +216,7 @@ def test_planted_modules_are_recovered():
     f = rng.normal(size=(2, 200))
     v = np.vstack([f[0] + 0.15 * rng.normal(size=(8, 200)), f[1] + 0.15 * rng.normal(size=(8, 200)), rng.normal(size=(4, 200))])
     for how in ("pearson", "spearman", "bicor"):
-        m = local.modules(v, how)
+        m = local.modules(local.correlate(v, how), local.coordinates(local.correlate(v)))
         assert len(set(m[:8])) == 1 and len(set(m[8:16])) == 1 and m[0] != m[8]
     bad = v.copy()
     bad[0, 0] = 1e4
@@ -346,6 +346,21 @@ def test_gene_set_clusterings_cover_genes(spark):
         assert len({got[g] for g in range(5)}) == 1 and len({got[g] for g in range(5, 10)}) == 1 and got[0] != got[5]
 
 
+def test_gene_correlations_are_those_of_all_cells(spark):
+    rng = np.random.default_rng(3)
+    for v in (np.maximum(rng.normal(size=(6, 90)), 0), rng.normal(size=(6, 90))):
+        v[5] = 0
+        v[1] = v[0] + 0.1 * v[1]
+        x = spark.createDataFrame([(c, g, float(v[g, c])) for g in range(6) for c in range(90) if v[g, c]], "cell_id long, gene_id int, value double")
+        obs = spark.range(90).withColumnRenamed("id", "cell_id")
+        for how in ("pearson", "spearman", "bicor"):
+            got, want = cluster.gene_correlations(x, obs, list(range(6)), how), local.correlate(v, how)
+            want[5] = want[:, 5] = 0
+            assert np.allclose(got, want, atol=1e-9), how
+    e = local.coordinates(local.correlate(v[:5]))
+    assert np.allclose(e @ e.T, local.correlate(v[:5]), atol=1e-9)
+
+
 def test_elbow_and_shapes(spark):
     from matriq.functions import profiles
 
