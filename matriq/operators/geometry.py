@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,11 +121,22 @@ def convex_hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
     return half(p) + half(p[::-1])
 
 
-def hull_corners(points: DataFrame, directions: int = 64) -> list[tuple[float, float]]:
-    """Hull of the extreme points in many directions: a polygon within the hull, of one row a direction."""
-    angles = [2 * math.pi * k / directions for k in range(directions)]
-    row = points.agg(*(F.max_by(F.struct("x", "y"), F.col("x") * math.cos(a) + F.col("y") * math.sin(a)).alias(f"p{k}") for k, a in enumerate(angles))).first()
-    return convex_hull([(p["x"], p["y"]) for p in row if p is not None])
+def hull_corners(points: DataFrame, groups: int = 16) -> list[tuple[float, float]]:
+    """Corners of the convex hull, exactly: hulls of partitions, of `groups` groups of their corners, and of those.
+
+    Only corners travel. Points without a finite coordinate do not count.
+    """
+
+    def corners(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: list[tuple[float, float]] = []
+        for b in batches:
+            kept = convex_hull(kept + list(zip(b["x"].tolist(), b["y"].tolist(), strict=True)))
+        yield pd.DataFrame(kept, columns=["x", "y"], dtype=float)
+
+    limit = F.lit(float("inf"))
+    p = points.select(*(F.col(c).cast("double").alias(c) for c in ("x", "y"))).where((F.abs("x") < limit) & (F.abs("y") < limit))
+    few = p.mapInPandas(corners, "x double, y double").repartition(groups, "x", "y").mapInPandas(corners, "x double, y double")
+    return convex_hull([(r["x"], r["y"]) for r in few.collect()])
 
 
 def shape_follows(shape: list[tuple[float, float]], hull: list[tuple[float, float]]) -> bool:

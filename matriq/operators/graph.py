@@ -80,9 +80,40 @@ def drop_cross_section(edges: DataFrame, obs: DataFrame, section: str) -> DataFr
     return out.where("_a = _b").select(*edges.columns)
 
 
-def spatial_neighbors(points: DataFrame, obs: DataFrame | None = None, k: int = 6, radius: float | None = None, section: str | None = None) -> DataFrame:
-    """(src, dst, w) with w = 1: the k nearest made symmetric, or all within the radius; within sections if named."""
-    if radius is not None:
+def rings(edges: DataFrame, n: int) -> DataFrame:
+    """(src, dst, ring): pairs by the least number of edges between them, up to n."""
+    e = edges.select("src", "dst").distinct()
+    found = last = e.withColumn("ring", F.lit(1))
+    for ring in range(2, n + 1):
+        step = last.select("src", F.col("dst").alias("_m")).join(e.select(F.col("src").alias("_m"), "dst"), "_m").where("src <> dst").select("src", "dst").distinct()
+        last = step.join(found, ["src", "dst"], "left_anti").withColumn("ring", F.lit(ring))
+        found = found.unionByName(last)
+        if e.sparkSession.sparkContext.getCheckpointDir():
+            found, last = found.checkpoint(), last.checkpoint()
+    return found
+
+
+def lattice(points: DataFrame, k: int = 6) -> DataFrame:
+    """(src, dst) of points on a grid, both ways: the k nearest, without those farther than 1.3 times the middle distance, which border points have."""
+    e = nearest(points.select("cell_id", F.array("x", "y").alias("v")), k)
+    middle = e.agg(F.percentile_approx("d", 0.5, 100000).alias("_d"))  # one row; a tolerance, so it may be approximate on large inputs
+    e = e.crossJoin(F.broadcast(middle)).where(F.col("d") <= 1.3 * F.col("_d")).select("src", "dst")
+    return e.union(e.select("dst", "src")).distinct()
+
+
+def spatial_neighbors(points: DataFrame, obs: DataFrame | None = None, k: int = 6, radius: float | None = None, section: str | None = None, kind: str = "nearest", n_rings: int = 1) -> DataFrame:
+    """(src, dst, w) with w = 1, within sections if named.
+
+    kind: nearest (k, made symmetric), grid (pairs up to n_rings steps apart on a lattice of k neighbours) or delaunay; with a
+    radius, nearest takes all pairs within it and delaunay drops longer edges.
+    """
+    if kind == "grid":
+        e = rings(lattice(points, k), n_rings).select("src", "dst")
+    elif kind == "delaunay":
+        e = delaunay_edges(points, radius).select("src", "dst")
+    elif kind != "nearest":
+        raise ValueError(f"kind {kind!r}")
+    elif radius is not None:
         e = within(points, radius).select("src", "dst")
     else:
         e = nearest(points.select("cell_id", F.array("x", "y").alias("v")), k).select("src", "dst")

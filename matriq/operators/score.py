@@ -96,7 +96,7 @@ def ucell(x: DataFrame, obs: DataFrame, n_genes: int, up: list[int], down: list[
     if not up:
         return obs.select("cell_id", F.lit(0.0).alias("value"))
     m = min(max(max_rank, len(up), len(down), 1), n_genes)
-    ranked = average_rank(x.where("value > 0").select("cell_id", "gene_id", "value"), "cell_id", F.lit(n_genes), descending=True)
+    ranked = average_rank(x.where("value > 0").select("cell_id", "gene_id", "value"), "cell_id", F.lit(n_genes), descending=True, small=True)
     held = F.least(F.col("rank"), F.lit(float(m)))
     cols = [F.count("*").alias("_nnz")]
     for name, g in (("up", up), ("down", down)):

@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from matriq.lineage import cut
 from matriq.operators.graph import median_nearest, smooth
-from matriq.operators.stats import adjust_bh, permuted
+from matriq.operators.order import running
+from matriq.operators.stats import adjust_bh_spread, permuted
 
 
 def suggest(points: DataFrame) -> DataFrame:
@@ -70,7 +72,7 @@ def lr_significance(x: DataFrame, genes: DataFrame, near: DataFrame, mean: DataF
     """(interaction, cell_id, score, p, padj, significant): each score among those of permuted ligands, pooled over permutations.
 
     The permutation is a column, not a loop: ligand values are joined once with (perm, cell, other) and every later
-    step has perm as one more key. A pair's null scores are counted by value before they are ranked.
+    step has perm as one more key. A pair's null scores are counted by value and cut into ranges before they are ranked.
     """
     real = lr_scores(x, genes, near, mean)
     real = smooth(real.select("cell_id", F.col("interaction").alias("gene_id"), F.col("score").alias("value")), near, cells).select(F.col("gene_id").alias("interaction"), "cell_id", F.col("value").alias("score"))
@@ -87,13 +89,12 @@ def lr_significance(x: DataFrame, genes: DataFrame, near: DataFrame, mean: DataF
     t = whole.groupBy("src").agg(F.sum("w").alias("_t"))
     null = _spread(whole.join(t, "src").select("src", "dst", (F.col("w") / F.col("_t")).alias("w")), null, ["interaction", "perm"])
     total = cells.agg((F.count("*") * n_perm).alias("m"))
-    steps = null.groupBy("interaction", F.col("value").alias("score")).agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("own"))
-    both = steps.union(real.groupBy("interaction", "score").agg(F.lit(0).cast("long").alias("n"), F.count("*").alias("own")))
-    both = both.groupBy("interaction", "score").agg(F.sum("n").alias("n"), F.sum("own").alias("own"))
-    reach = F.sum("n").over(Window.partitionBy("interaction").orderBy(F.col("score").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = both.withColumn("ge", reach).where("own > 0").select("interaction", "score", "ge")
-    p = real.join(ranked, ["interaction", "score"]).crossJoin(F.broadcast(total)).withColumn("p", (F.col("ge") + 1) / (F.col("m") + 1))  # total is one row
-    p = adjust_bh(p, "interaction")
+    steps = null.groupBy("interaction", F.col("value").alias("score")).agg(F.count("*").alias("n"))
+    # Real scores go among them with a count of 0, after equal null scores, so nothing is joined by a sum of floats.
+    both = real.select("interaction", "score", F.lit(0).cast("long").alias("n"), "cell_id").unionByName(steps, allowMissingColumns=True)
+    ranked = running(cut(both), "score", "n", ["interaction"], "ge", descending=True)
+    p = ranked.where("cell_id IS NOT NULL").select("interaction", "cell_id", "score", "ge").crossJoin(F.broadcast(total)).withColumn("p", (F.col("ge") + 1) / (F.col("m") + 1))  # total is one row
+    p = adjust_bh_spread(cut(p), "interaction")
     return p.select("interaction", "cell_id", "score", "p", "padj", ((F.col("padj") < level) & (F.col("score") > 0)).alias("significant"))
 
 

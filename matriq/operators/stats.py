@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from matriq.functions.special import f_tail, normal_two_sided, spline_basis, t_two_sided
-from matriq.operators.order import positions
+from matriq.operators.order import positions, running
 from matriq.zeros import average_rank
 
 
@@ -41,7 +41,7 @@ def rank_sums(x: DataFrame, groups: DataFrame) -> DataFrame:
     inside = x.where("value > 0").join(groups, "cell_id").select("gene_id", "value", F.col("label").alias("group"))
     ranked = average_rank(inside.crossJoin(total), "gene_id", F.col("n"))
     per = ranked.groupBy("gene_id", "group").agg(F.sum("rank").alias("r"), F.count("*").alias("k"))
-    nnz = ranked.groupBy("gene_id").agg(F.count("*").alias("nnz"))
+    nnz = inside.groupBy("gene_id").agg(F.count("*").alias("nnz"))
     every = F.broadcast(sizes).crossJoin(nnz).crossJoin(total)  # groups are the categories of one annotation
     zeros = F.col("n") - F.col("nnz")
     k = F.coalesce("k", F.lit(0))
@@ -86,7 +86,7 @@ def log2fc(m1: Column, m2: Column) -> Column:
 
 
 def adjust_bh(p: DataFrame, by: str | None = None, column: str = "p") -> DataFrame:
-    """p with padj, Benjamini-Hochberg within each `by`: n p / rank, running minimum from the largest."""
+    """p with padj, Benjamini-Hochberg within each `by`: n p / rank, running minimum from the largest. One row a gene."""
     part = Window.partitionBy(by) if by else Window.partitionBy()
     k = F.row_number().over(part.orderBy(column))
     raw = p.withColumn("_q", F.col(column) * F.count("*").over(part) / k)
@@ -94,6 +94,15 @@ def adjust_bh(p: DataFrame, by: str | None = None, column: str = "p") -> DataFra
     return raw.withColumn("padj", F.least(F.greatest(low, F.lit(0.0)), F.lit(1.0))).drop("_q")
 
 
+def adjust_bh_spread(p: DataFrame, by: str, column: str = "p") -> DataFrame:
+    """As adjust_bh, for groups of any size: equal p share a row, and running sums and minima are cut into ranges. Null p stay null and do not count."""
+    steps = p.where(F.col(column).isNotNull()).groupBy(by, column).agg(F.count("*").alias("_m"))
+    steps = running(steps, column, "_m", [by], "_k", total="_n").select(by, column, (F.col(column) * F.col("_n") / F.col("_k")).alias("_q"))
+    low = running(steps, column, "_q", [by], "_low", descending=True, least=True)
+    low = low.select(by, column, F.least(F.greatest("_low", F.lit(0.0)), F.lit(1.0)).alias("padj"))
+    return p.join(low, [by, column], "left")
+
+
 def adjust_bonferroni(p: DataFrame, column: str = "p") -> DataFrame:
     n = F.broadcast(p.agg(F.count("*").alias("_n")))  # one row
     return p.crossJoin(n).withColumn("padj", F.least(F.col(column) * F.col("_n"), F.lit(1.0))).drop("_n")
@@ -189,6 +198,18 @@ def pooled_positions(parts: list[tuple[DataFrame, bool]]) -> DataFrame:
     return out
 
 
+def varies(total: str, mean_part: Column) -> Column:
+    """total - mean_part, a divisor; null where nothing but rounding is left."""
+    return F.when(F.col(total) - mean_part > 1e-12 * F.col(total), F.col(total) - mean_part)
+
+
+def edge_products(x: DataFrame, edges: DataFrame) -> DataFrame:
+    """(gene_id, xx): sum of w xi xj over edges. Neighbours' values are summed a cell and gene first, so the second join is of non-zeros, not of edges times non-zeros."""
+    near = edges.select("src", "dst", "w").join(x.select(F.col("cell_id").alias("dst"), "gene_id", "value"), "dst")
+    near = near.groupBy(F.col("src").alias("cell_id"), "gene_id").agg(F.sum(F.col("w") * F.col("value")).alias("_lag"))
+    return x.select("cell_id", "gene_id", "value").join(near, ["cell_id", "gene_id"]).groupBy("gene_id").agg(F.sum(F.col("value") * F.col("_lag")).alias("xx"))
+
+
 def morans_i(x: DataFrame, edges: DataFrame, n_cells: int) -> DataFrame:
     """(gene_id, i) over weighted edges; zeros come in through the mean alone, so only non-zeros are joined.
 
@@ -198,12 +219,11 @@ def morans_i(x: DataFrame, edges: DataFrame, n_cells: int) -> DataFrame:
     out_w, in_w = edges.groupBy(F.col("src").alias("cell_id")).agg(F.sum("w").alias("ow")), edges.groupBy(F.col("dst").alias("cell_id")).agg(F.sum("w").alias("iw"))
     a = x.join(out_w, "cell_id", "left").join(in_w, "cell_id", "left").na.fill(0.0, ["ow", "iw"])
     side = a.groupBy("gene_id").agg((F.sum("value") / n_cells).alias("m"), F.sum(F.col("value") * F.col("value")).alias("s2"), F.sum(F.col("value") * (F.col("ow") + F.col("iw"))).alias("lin"))
-    prod = edges.join(x.select(F.col("cell_id").alias("src"), "gene_id", F.col("value").alias("xi")), "src")
-    prod = prod.join(x.select(F.col("cell_id").alias("dst"), "gene_id", F.col("value").alias("xj")), ["dst", "gene_id"]).groupBy("gene_id").agg(F.sum(F.col("w") * F.col("xi") * F.col("xj")).alias("xx"))
+    prod = edge_products(x, edges)
     j = side.join(prod, "gene_id", "left").crossJoin(w)
     m = F.col("m")
     top = F.coalesce("xx", F.lit(0.0)) - m * F.col("lin") + m * m * F.col("ws")
-    return j.select("gene_id", (n_cells / F.col("ws") * top / (F.col("s2") - n_cells * m * m)).alias("i"))
+    return j.select("gene_id", (n_cells / varies("ws", F.lit(0.0)) * top / varies("s2", n_cells * m * m)).alias("i"))
 
 
 def gearys_c(x: DataFrame, edges: DataFrame, n_cells: int) -> DataFrame:
@@ -211,31 +231,33 @@ def gearys_c(x: DataFrame, edges: DataFrame, n_cells: int) -> DataFrame:
     w = F.broadcast(edges.agg(F.sum("w").alias("ws")))  # one row
     degree = edges.select(F.col("src").alias("cell_id"), "w").union(edges.select("dst", "w")).groupBy("cell_id").agg(F.sum("w").alias("deg"))
     side = x.join(degree, "cell_id", "left").na.fill(0.0, ["deg"]).groupBy("gene_id").agg((F.sum("value") / n_cells).alias("m"), F.sum(F.col("value") * F.col("value")).alias("s2"), F.sum(F.col("value") * F.col("value") * F.col("deg")).alias("sq"))
-    prod = edges.join(x.select(F.col("cell_id").alias("src"), "gene_id", F.col("value").alias("xi")), "src")
-    prod = prod.join(x.select(F.col("cell_id").alias("dst"), "gene_id", F.col("value").alias("xj")), ["dst", "gene_id"]).groupBy("gene_id").agg(F.sum(F.col("w") * F.col("xi") * F.col("xj")).alias("xx"))
+    prod = edge_products(x, edges)
     top = F.col("sq") - 2 * F.coalesce("xx", F.lit(0.0))
-    return side.join(prod, "gene_id", "left").crossJoin(w).select("gene_id", ((n_cells - 1) * top / (2 * F.col("ws") * (F.col("s2") - n_cells * F.col("m") * F.col("m")))).alias("c"))
+    return side.join(prod, "gene_id", "left").crossJoin(w).select("gene_id", ((n_cells - 1) * top / (2 * varies("ws", F.lit(0.0)) * varies("s2", n_cells * F.col("m") * F.col("m")))).alias("c"))
 
 
 def permuted(cells: DataFrame, seed: int, within: str | None = None, n: int = 1) -> DataFrame:
-    """(perm, cell_id, other): n permutations of cells, within each value of a column if given, by seeded hashes of the id.
+    """(perm, cell_id, other): n permutations of cells, within each value of a column if given, by hashes of (id, number, seed).
 
     The number of the permutation is a column, so that any number of them is one plan.
     """
     by = ["perm", *([within] if within else [])]
     many = cells.select("cell_id", *by[1:]).withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    digest = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("cell_id").cast("string"), F.col("perm").cast("string"), F.lit(str(seed)))), 1, 15), 16, 10).cast("long")
     a = positions(many, "cell_id", "cell_id", by)
-    b = positions(many.select(F.col("cell_id").alias("other"), *by, F.xxhash64("cell_id", "perm", F.lit(seed)).alias("_h")), "_h", "other", by)
+    b = positions(many.select(F.col("cell_id").alias("other"), *by, digest.alias("_h")), "_h", "other", by)
     return a.join(b, [*by, "_k"]).select("perm", "cell_id", "other")
 
 
 def autocorrelation_test(x: DataFrame, edges: DataFrame, cells: DataFrame, n_cells: int, n_perms: int = 20, seed: int = 0) -> DataFrame:
-    """(gene_id, i, p, padj, spatially_variable): Moran's I and the share of permutations that reach it."""
+    """(gene_id, i, p, padj, spatially_variable): Moran's I and the share of permutations that reach it; null where a gene does not vary."""
     real = morans_i(x, edges, n_cells)
     moved = x.join(permuted(cells.select("cell_id"), seed, n=n_perms), "cell_id").select(F.col("other").alias("cell_id"), F.struct("gene_id", "perm").alias("gene_id"), "value")
     null = morans_i(moved, edges, n_cells).select(F.col("gene_id.gene_id").alias("gene_id"), F.col("i").alias("n_i"))
-    out = real.join(null, "gene_id").groupBy("gene_id", "i").agg(((F.count_if(F.col("n_i") >= F.col("i")) + 1) / (n_perms + 1)).alias("p"))
-    return adjust_bh(out).withColumn("spatially_variable", (F.col("p") < 0.05) & (F.col("i") > 0))
+    out = real.join(null, "gene_id").groupBy("gene_id", "i").agg(F.count_if(F.col("n_i") >= F.col("i")).alias("_c"))
+    out = out.select("gene_id", "i", F.when(F.col("i").isNotNull() & ~F.isnan("i"), (F.col("_c") + 1) / (n_perms + 1)).alias("p"))
+    fixed = out.where("p IS NULL").withColumn("padj", F.lit(None).cast("double"))
+    return adjust_bh(out.where("p IS NOT NULL")).unionByName(fixed).withColumn("spatially_variable", (F.col("p") < 0.05) & (F.col("i") > 0))
 
 
 def spatially_variable(tested: DataFrame, statistic: str = "i", top_n: int = 50, level: float = 0.05) -> DataFrame:

@@ -44,6 +44,26 @@ def spatial_sections(spark, d):
     return graph.spatial_neighbors(_points(ds), ds.obs, section="section")
 
 
+@query("spatial_radius", f"{B_} SELECT a.cell_id AS src, b.cell_id AS dst, 1.0::DOUBLE AS w FROM pts a JOIN pts b ON a.cell_id <> b.cell_id AND a.section = b.section WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 0.03")
+def spatial_radius(spark, d):
+    ds = bindings.vectors(spark, d)
+    return graph.spatial_neighbors(_points(ds), ds.obs, radius=0.03, section="section")
+
+
+GRID = f"{KNN2}, k6 AS (SELECT * FROM k WHERE rank <= 6), h AS (SELECT src, dst FROM k6 WHERE d <= 1.3 * (SELECT quantile_disc(d, 0.5) FROM k6)), g AS (SELECT src, dst FROM h UNION SELECT dst, src FROM h)"
+
+
+@query("spatial_rings", f"{GRID}, g2 AS (SELECT a.src, b.dst FROM g a JOIN g b ON a.dst = b.src WHERE a.src <> b.dst EXCEPT SELECT * FROM g) SELECT src, dst, 1 AS ring FROM g UNION ALL SELECT src, dst, 2 FROM g2")
+def spatial_rings(spark, d):
+    return graph.rings(graph.lattice(_points(bindings.vectors(spark, d))), 2)
+
+
+@query("spatial_grid", f"{GRID}, g2 AS (SELECT src, dst FROM g UNION SELECT a.src, b.dst FROM g a JOIN g b ON a.dst = b.src WHERE a.src <> b.dst) SELECT g2.src, g2.dst, 1.0::DOUBLE AS w FROM g2 JOIN pts a ON a.cell_id = src JOIN pts b ON b.cell_id = dst WHERE a.section = b.section")
+def spatial_grid(spark, d):
+    ds = bindings.vectors(spark, d)
+    return graph.spatial_neighbors(_points(ds), ds.obs, section="section", kind="grid", n_rings=2)
+
+
 def _graph(ds):
     return graph.spatial_neighbors(_points(ds))
 
@@ -91,7 +111,17 @@ def geary(spark, d):
     return rounded(stats.gearys_c(ds.x, _graph(ds), ds.obs.count()), "gene_id")
 
 
-@query("autocorrelation_test")
+PERM = """pn AS (SELECT unnest(range(1, 6)) AS perm), pa AS (SELECT perm, cell_id, row_number() OVER (PARTITION BY perm ORDER BY cell_id) AS k FROM pts, pn),
+pb AS (SELECT perm, other, row_number() OVER (PARTITION BY perm ORDER BY h, other) AS k FROM (SELECT perm, cell_id AS other, ('0x' || substr(md5(cell_id || '|' || perm || '|0'), 1, 15))::BIGINT AS h FROM pts, pn)),
+sw AS (SELECT perm, cell_id, other FROM pa JOIN pb USING (perm, k))"""
+
+
+@query("autocorrelation_test", f"""{MORAN}, {PERM}, z6 AS (SELECT * FROM z WHERE gene_id < 6), zm AS (SELECT perm, other AS cell_id, gene_id, z FROM z6 JOIN sw USING (cell_id)),
+t AS (SELECT a.gene_id, sum(a.z * b.z) AS t, count(*) AS w FROM g JOIN z6 a ON a.cell_id = src JOIN z6 b ON b.cell_id = dst AND a.gene_id = b.gene_id GROUP BY 1), q AS (SELECT gene_id, sum(z * z) AS q FROM z6 GROUP BY 1),
+tn AS (SELECT a.gene_id, a.perm, sum(a.z * b.z) AS tn FROM g JOIN zm a ON a.cell_id = src JOIN zm b ON b.cell_id = dst AND a.gene_id = b.gene_id AND a.perm = b.perm GROUP BY 1, 2),
+p AS (SELECT gene_id, n / w * t / q AS i, (SELECT count(*) FROM tn WHERE tn.gene_id = t.gene_id AND tn >= t.t) AS c FROM t JOIN q USING (gene_id), n),
+b AS (SELECT gene_id, i, (c + 1) / 6 AS p, (c + 1) / 6 * count(*) OVER () / row_number() OVER (ORDER BY c) AS q FROM p)
+SELECT gene_id, {q6('i')} AS i, {q6('p')} AS p, {q6('least(1, min(q) OVER (ORDER BY p DESC RANGE UNBOUNDED PRECEDING))')} AS padj FROM b""")
 def autocorrelation_test(spark, d):
     ds = bindings.vectors(spark, d)
     return rounded(stats.autocorrelation_test(ds.x.where("gene_id < 6"), _graph(ds), ds.obs, ds.obs.count(), 5).drop("spatially_variable"), "gene_id")
@@ -309,7 +339,16 @@ def lr_score(spark, d):
     return rounded(signal.lr_scores(x, genes, near, mean), "interaction", "cell_id")
 
 
-@query("lr_null")
+@query("lr_null", f"""{LR}, {PERM}, wn AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS w FROM (SELECT src, dst, sum(w) AS w FROM (SELECT src, dst, w FROM nw UNION ALL SELECT cell_id, cell_id, 1.0 FROM pts) GROUP BY 1, 2)),
+r0 AS (SELECT interaction, cell_id, l2.v * r2.v AS v FROM l2 JOIN r2 USING (interaction, cell_id)), rs AS (SELECT interaction, src AS cell_id, sum(w * v) AS score FROM wn JOIN r0 ON dst = cell_id GROUP BY 1, 2),
+m0 AS (SELECT interaction, perm, other AS cell_id, v FROM sd JOIN sw USING (cell_id) WHERE side = 'ligand'),
+m1 AS (SELECT interaction, perm, src AS cell_id, sum(w * v) AS v FROM nw JOIN m0 ON dst = cell_id GROUP BY 1, 2, 3), m2 AS (SELECT interaction, perm, src AS cell_id, sum(w * v) AS v FROM mw JOIN m1 ON dst = cell_id GROUP BY 1, 2, 3),
+m3 AS (SELECT interaction, perm, cell_id, m2.v * r2.v AS v FROM m2 JOIN r2 USING (interaction, cell_id)), ns AS (SELECT interaction, src AS cell_id, sum(w * v) AS v FROM wn JOIN m3 ON dst = cell_id GROUP BY interaction, perm, src),
+c AS (SELECT interaction, rs.cell_id, score, count(ns.v) AS c FROM rs LEFT JOIN ns USING (interaction) WHERE ns.v >= score OR ns.v IS NULL GROUP BY 1, 2, 3),
+p AS (SELECT interaction, cell_id, score, (coalesce(c, 0) + 1) / ((SELECT count(*) FROM pts) * 5 + 1) AS p FROM rs LEFT JOIN c USING (interaction, cell_id, score)),
+b AS (SELECT *, p * count(*) OVER (PARTITION BY interaction) / row_number() OVER (PARTITION BY interaction ORDER BY p) AS q FROM p),
+a AS (SELECT interaction, score, least(1, min(q) OVER (PARTITION BY interaction ORDER BY p DESC RANGE UNBOUNDED PRECEDING)) AS padj FROM b)
+SELECT interaction, {q6("count(*) FILTER (padj < 0.05 AND score > 0)")} AS n_significant, {q6('avg(score)')} AS mean_score FROM a GROUP BY 1""")
 def lr_null(spark, d):
     x, genes, near, mean, ds = _lr(spark, d)
     return rounded(signal.lr_summary(signal.lr_significance(x, genes, near, mean, ds.obs, 5)), "interaction")
@@ -331,7 +370,10 @@ def leiden(spark, d):
     return cluster.communities(graph.fuzzy_connectivities(graph.nearest(ds.obsm["X_vec"], 10), 10), ds.obs)
 
 
-@query("label_propagation")
+_ROUNDS = ", ".join(f"l{k} AS (SELECT src AS cell_id, c FROM (SELECT src, c, row_number() OVER (PARTITION BY src ORDER BY sum(w) DESC, c) AS r FROM lg JOIN l{k - 1} ON dst = cell_id GROUP BY src, c) WHERE r = 1)" for k in range(1, 5))
+
+
+@query("label_propagation", f"{NB}, lg AS (SELECT src, dst, 1.0 AS w FROM g UNION ALL SELECT cell_id, cell_id, 0.5 FROM pts), l0 AS (SELECT cell_id, cell_id AS c FROM pts), {_ROUNDS} SELECT cell_id, CAST(c AS VARCHAR) AS cluster FROM l4")
 def label_propagation(spark, d):
     ds = bindings.vectors(spark, d)
     return cluster.propagate(_graph(ds), ds.obs, 4)

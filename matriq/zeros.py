@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matriq.operators.order import running
+
 #: Genes that dense() takes at most; every cell gets a row for each.
 MAX_DENSE = 2000
 
@@ -27,17 +29,20 @@ def moments(x: DataFrame, n: int | Column, by: str = "gene_id") -> DataFrame:
     return g.select(by, "nnz", mean.alias("mean"), (F.col("s2") / n - mean * mean).alias("var"))
 
 
-def average_rank(x: DataFrame, by: str, n: Column, descending: bool = False) -> DataFrame:
+def average_rank(x: DataFrame, by: str, n: Column, descending: bool = False, small: bool = False) -> DataFrame:
     """x with column rank, the average rank among n non-negative values of which the rest are zeros.
 
     A zero's rank is (z + 1) / 2 ascending, nnz + (z + 1) / 2 descending, where z = n - nnz.
-    Equal values of a group are counted first, so windows run over distinct values.
+    Equal values of a group are counted first, so windows run over distinct values; a group's distinct values are cut into
+    ranges, so no task has to hold them all. small: groups are many and each fits in a task, as the genes of a cell do.
     """
     # Equal values share one row: groups with few distinct values stay small.
     steps = x.groupBy(by, "value").agg(F.count("*").alias("_m"))
-    order = F.col("value").desc() if descending else F.col("value").asc()
-    w = Window.partitionBy(by).orderBy(order)
-    before = F.sum("_m").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_m")
-    steps = steps.withColumn("_r", before + (F.col("_m") + 1) / 2).withColumn("_nnz", F.sum("_m").over(Window.partitionBy(by)))
+    if small:
+        w = Window.partitionBy(by).orderBy(F.col("value").desc() if descending else F.col("value").asc())
+        steps = steps.withColumn("_upto", F.sum("_m").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("_nnz", F.sum("_m").over(Window.partitionBy(by)))
+    else:
+        steps = running(steps, "value", "_m", [by], "_upto", descending, total="_nnz")
+    steps = steps.withColumn("_r", F.col("_upto") - F.col("_m") + (F.col("_m") + 1) / 2).drop("_upto")
     shift = F.lit(0) if descending else n - F.col("_nnz")
     return x.join(steps.drop("_m"), [by, "value"]).withColumn("rank", F.col("_r") + shift).drop("_r", "_nnz")

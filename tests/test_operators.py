@@ -417,3 +417,55 @@ def test_tasks_complete_fail_and_cancel(spark):
         time.sleep(0.1)
     assert (done.status, bad.status, slow.status) == ("completed", "failed", "cancelled")
     assert state == {"v": 45} and done.result == 45 and bad.error
+
+
+def test_running_by_ranges(spark):
+    from matriq.operators.order import running
+
+    rng = np.random.default_rng(5)
+    rows = [(int(g), float(v), int(m)) for g in range(3) for v, m in zip(rng.permutation(400) / (g + 1), rng.integers(0, 9, 400), strict=True)]
+    df = spark.createDataFrame(rows, "g int, v double, m long")
+    for descending in (False, True):
+        for least in (False, True):
+            got = {(r["g"], r["v"]): (r["u"], r["t"]) for r in running(df, "v", "m", ["g"], "u", descending, least, "t").collect()}
+            for g in range(3):
+                mine = sorted(((v, m) for k, v, m in rows if k == g), reverse=descending)
+                upto = (np.minimum.accumulate if least else np.cumsum)([m for _, m in mine])
+                assert [got[g, v] for v, _ in mine] == [(u, sum(m for _, m in mine)) for u in upto]
+    assert running(df.where("g > 9"), "v", "m", ["g"], "u").count() == 0
+
+
+def test_bh_spread_as_bh(spark):
+    rows = [(i, f"g{i % 2}", ((i * 37) % 50 + 1) / 60) for i in range(120)]
+    p = spark.createDataFrame([*rows, (999, "g0", None)], "i int, g string, p double")
+    a = {r["i"]: r["padj"] for r in stats.adjust_bh_spread(p, "g").collect()}
+    b = {r["i"]: r["padj"] for r in stats.adjust_bh(p.where("p IS NOT NULL"), "g").collect()}
+    assert a.pop(999) is None and a == pytest.approx(b)
+
+
+def test_hull_is_exact(spark):
+    rng = np.random.default_rng(2)
+    xy = np.vstack([rng.normal(size=(500, 2)), [[np.cos(a), np.sin(a)] for a in np.linspace(0, 6.2, 90)] * np.array([9.0, 9.0])])
+    p = spark.createDataFrame([(float(a), float(b)) for a, b in xy] + [(None, 1.0), (float("nan"), 0.0)], "x double, y double").repartition(7)
+    assert geometry.hull_corners(p) == geometry.convex_hull([tuple(map(float, c)) for c in xy])
+    assert geometry.hull_corners(p.where("x > 99")) == []
+
+
+def test_neighbours_on_a_grid(spark):
+    at = {(i, j): 10 * i + j for i in range(6) for j in range(6)}
+    p = spark.createDataFrame([(c, float(i), float(j)) for (i, j), c in at.items()], "cell_id long, x double, y double")
+    near = {(r["src"], r["dst"]): r["ring"] for r in graph.rings(graph.lattice(p, 4), 3).collect()}
+    want = {(a, b): abs(i - k) + abs(j - m) for (i, j), a in at.items() for (k, m), b in at.items() if 0 < abs(i - k) + abs(j - m) <= 3}
+    assert near == want
+    kinds = [graph.spatial_neighbors(p, kind="grid", k=4), graph.spatial_neighbors(p, kind="delaunay", radius=1.1)]
+    assert [{(r["src"], r["dst"]) for r in e.collect()} for e in kinds] == [{e for e, d in want.items() if d == 1}] * 2
+    with pytest.raises(ValueError):
+        graph.spatial_neighbors(p, kind="other")
+
+
+def test_autocorrelation_of_a_constant_gene_is_null(spark):
+    x = spark.createDataFrame([(c, g, 2.0 if g else float(c)) for c in range(8) for g in (0, 1)], "cell_id long, gene_id int, value double")
+    cells = spark.createDataFrame([(c,) for c in range(8)], "cell_id long")
+    e = spark.createDataFrame([(c, c + d, 1.0) for c in range(8) for d in (-1, 1) if 0 <= c + d < 8], "src long, dst long, w double")
+    got = {r["gene_id"]: (r["p"], r["padj"]) for r in stats.autocorrelation_test(x, e, cells, 8, 9).collect()}
+    assert got[1] == (None, None) and 0 < got[0][0] <= 1
