@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Genes whose products meet in one matrix on the driver: 4000 x 4000 doubles are 128 MB.
 MAX_GENES = 4000
+#: Genes of a block and cells of a chunk in products(): a dense chunk by two blocks is at most about 32 MB.
+GENE_BLOCK, CELL_CHUNK = 512, 4096
 
 
 def gram(x: DataFrame, genes: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -21,23 +25,23 @@ def gram(x: DataFrame, genes: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """
     if len(genes) > MAX_GENES:
         raise ValueError(f"{len(genes)} genes; at most {MAX_GENES}")
-    place = {g: i for i, g in enumerate(genes)}
-    p = len(genes)
-    rows = x.where(F.col("gene_id").isin(genes)).groupBy("cell_id").agg(F.collect_list(F.struct("gene_id", "value")).alias("r"))
+    order = np.argsort(genes, kind="stable")
+    known, p = np.asarray(genes)[order], len(genes)
+    rows = x.where(F.col("gene_id").isin(genes)).groupBy("cell_id").agg(F.collect_list(F.struct("gene_id", F.col("value").cast("double").alias("value"))).alias("r"))
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         g, s = np.zeros((p, p)), np.zeros(p)
         for pdf in batches:
             for at in range(0, len(pdf), 512):
-                z = np.zeros((min(512, len(pdf) - at), p))
-                for i, r in enumerate(pdf["r"].iloc[at : at + 512]):
-                    for e in r:
-                        z[i, place[e["gene_id"]]] = e["value"]
+                part = pdf.iloc[at : at + 512]
+                z = np.zeros((len(part), p))
+                row = np.repeat(np.arange(len(part)), part["g"].map(len).to_numpy())
+                z[row, order[np.searchsorted(known, np.concatenate(part["g"].to_list()))]] = np.concatenate(part["v"].to_list())
                 g += z.T @ z
                 s += z.sum(0)
         yield pd.DataFrame({"i": np.arange(p), "row": list(g), "s": s})
 
-    parts = rows.select("r").mapInPandas(add, "i int, row array<double>, s double")
+    parts = rows.select(F.col("r.gene_id").alias("g"), F.col("r.value").alias("v")).mapInPandas(add, "i int, row array<double>, s double")
     total = parts.groupBy("i").agg(F.array(*(F.sum(F.col("row")[j]) for j in range(p))).alias("row"), F.sum("s").alias("s")) if p <= 128 else None
     if total is None:
         flat = parts.select("i", "s", F.posexplode("row").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"), F.sum("s").alias("s"))
@@ -125,13 +129,47 @@ def variance_table(ratio: np.ndarray) -> list[dict]:
     return [{"pc": i + 1, "ratio": float(v), "cumulative": float(c), "elbow": i == e} for i, (v, c) in enumerate(zip(ratio, np.cumsum(ratio), strict=True))]
 
 
+def products(x: DataFrame, n_genes: int, n_cells: int) -> DataFrame:
+    """(a, b, xy): sum_c x_ca x_cb of gene pairs a < b that share a cell, as matrix products of blocks of genes over chunks of cells.
+
+    A non-zero goes to every pair of blocks that its gene's block is in, so n_genes / GENE_BLOCK copies meet in place of a row for
+    each pair of genes of a cell. A group is at most CELL_CHUNK cells, give or take, by two blocks; its sums leave it, one row a pair.
+    """
+    blocks, chunks = max(1, math.ceil(n_genes / GENE_BLOCK)), max(1, math.ceil(n_cells / CELL_CHUNK))
+    mine = F.pmod(F.xxhash64("gene_id"), F.lit(blocks)).cast("int")
+    chunk = F.pmod(F.xxhash64(F.col("cell_id"), F.lit("chunk")), F.lit(chunks)).cast("int")
+    rows = x.select("cell_id", "gene_id", F.col("value").cast("double").alias("value"), mine.alias("blk"), chunk.alias("chunk"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = rows.withColumn("i", F.least("blk", "other")).withColumn("j", F.greatest("blk", "other")).drop("other")
+    kind = dict(x.dtypes)["gene_id"]
+
+    def multiply(group: pa.Table) -> pa.Table:
+        i, j = group["i"][0].as_py(), group["j"][0].as_py()
+        blk, value = group["blk"].to_numpy(), group["value"].to_numpy()
+        cell, row = np.unique(group["cell_id"].to_numpy(), return_inverse=True)
+        gene, col = np.unique(group["gene_id"].to_numpy(), return_inverse=True)
+        side = np.zeros(len(gene), blk.dtype)
+        side[col] = blk
+        z = np.zeros((len(cell), len(gene)))
+        np.add.at(z, (row, col), value)
+        left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
+        g = z[:, left].T @ z[:, right]
+        u, v = np.nonzero(g)
+        a, b, xy = gene[left[u]], gene[right[v]], g[u, v]
+        keep = a < b if i == j else np.ones(len(a), bool)
+        a, b, xy = a[keep], b[keep], xy[keep]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "xy": xy})
+
+    parts = rows.groupBy("i", "j", "chunk").applyInArrow(multiply, f"a {kind}, b {kind}, xy double")
+    return parts.groupBy("a", "b").agg(F.sum("xy").alias("xy"))
+
+
 def correlation(x: DataFrame, n_cells: int, genes: DataFrame | None = None) -> DataFrame:
-    """(a, b, r) Pearson of gene pairs, a < b. Non-zeros of a cell meet each other; zeros come in through the means."""
+    """(a, b, r) Pearson of gene pairs, a < b. Products of non-zeros are block products; zeros come in through the means."""
     if genes is not None:
         x = x.join(F.broadcast(genes.select("gene_id")), "gene_id", "left_semi")
     s = F.broadcast(x.groupBy("gene_id").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("ss")))
-    y = x.select("cell_id", F.col("gene_id").alias("b"), F.col("value").alias("vb"))
-    xy = x.select("cell_id", F.col("gene_id").alias("a"), F.col("value").alias("va")).join(y, "cell_id").where("a < b").groupBy("a", "b").agg(F.sum(F.col("va") * F.col("vb")).alias("xy"))
+    xy = products(x, x.select("gene_id").distinct().count(), n_cells)
     every = s.select(F.col("gene_id").alias("a"), F.col("s").alias("sa"), F.col("ss").alias("ssa")).join(s.select(F.col("gene_id").alias("b"), F.col("s").alias("sb"), F.col("ss").alias("ssb")), F.col("a") < F.col("b"))
     j = every.join(xy, ["a", "b"], "left")
     top = F.coalesce("xy", F.lit(0.0)) - F.col("sa") * F.col("sb") / n_cells
@@ -145,8 +183,7 @@ def gene_neighbors(x: DataFrame, n_cells: int, k: int = 10, metric: str = "pears
         e = correlation(x, n_cells).select("a", "b", (1 - F.coalesce("r", F.lit(0.0))).alias("d"))
     else:
         s = F.broadcast(x.groupBy("gene_id").agg(F.sum(F.col("value") * F.col("value")).alias("ss")))
-        y = x.select("cell_id", F.col("gene_id").alias("b"), F.col("value").alias("vb"))
-        xy = x.select("cell_id", F.col("gene_id").alias("a"), F.col("value").alias("va")).join(y, "cell_id").where("a < b").groupBy("a", "b").agg(F.sum(F.col("va") * F.col("vb")).alias("xy"))
+        xy = products(x, x.select("gene_id").distinct().count(), n_cells)
         j = s.select(F.col("gene_id").alias("a"), F.col("ss").alias("qa")).join(s.select(F.col("gene_id").alias("b"), F.col("ss").alias("qb")), F.col("a") < F.col("b")).join(xy, ["a", "b"], "left")
         dot = F.coalesce("xy", F.lit(0.0))
         d = 1 - dot / F.sqrt(F.col("qa") * F.col("qb")) if metric == "cosine" else F.sqrt(F.greatest(F.col("qa") + F.col("qb") - 2 * dot, F.lit(0.0)))

@@ -74,7 +74,12 @@ def list_graphs(spark, d):
     return read.list_graphs(ds.with_part("obsp", "connectivities", _graph(ds)))
 
 
-@query("knn_connectivities")
+@query("knn_connectivities", f"""{KNN.replace('WITH ', 'WITH RECURSIVE ', 1)}, q AS (SELECT src, list(d ORDER BY rank) AS ds, coalesce(min(d) FILTER (d > 0), 0) AS rho, avg(d) AS m FROM k WHERE rank <= 10 GROUP BY 1),
+it AS (SELECT src, ds, rho, 0::DOUBLE AS lo, 'inf'::DOUBLE AS hi, 1::DOUBLE AS sigma, 0 AS step FROM q
+       UNION ALL SELECT src, ds, rho, CASE WHEN t > log2(10) THEN lo ELSE sigma END, CASE WHEN t > log2(10) THEN sigma ELSE hi END, CASE WHEN t > log2(10) THEN (lo + sigma) / 2 WHEN hi = 'inf' THEN sigma * 2 ELSE (sigma + hi) / 2 END, step + 1
+       FROM (SELECT *, list_sum(list_transform(ds, lambda z: exp(-greatest(z - rho, 0) / sigma))) AS t FROM it) WHERE step < 64 AND abs(t - log2(10)) >= 1e-5),
+sg AS (SELECT src, arg_max(sigma, step) AS sigma FROM it GROUP BY 1), a AS (SELECT src, dst, exp(-greatest(d - rho, 0) / greatest(sigma, 1e-3 * m)) AS a FROM k JOIN q USING (src) JOIN sg USING (src) WHERE rank <= 10)
+SELECT src, dst, {q6('CASE WHEN count(*) > 1 THEN sum(a) - product(a) ELSE sum(a) END')} AS w FROM (SELECT * FROM a UNION ALL SELECT dst, src, a FROM a) GROUP BY 1, 2""")
 def knn_connectivities(spark, d):
     out = graph.fuzzy_connectivities(graph.nearest(bindings.vectors(spark, d).obsm["X_vec"], 10), 10)
     return rounded(out, "src", "dst")

@@ -48,7 +48,24 @@ def ttest(spark, d):
     return rounded(stats.t_test(normalize.log_normalized(ds.x), _groups(ds), "BUILDING", "MACHINERY").drop("df"), "gene_id")
 
 
-@query("diffexp")
+#: Two groups of log values by rank or by moments. Error function and incomplete beta as their series of positive terms.
+PAIR = f"""{A_}, {NORM}, pr AS (SELECT * FROM obs WHERE segment IN ('BUILDING', 'MACHINERY')), n AS (SELECT count(*) AS n FROM pr),
+z AS (SELECT o.cell_id, o.segment, g.gene_id, coalesce(lx.value, 0) AS v FROM pr o CROSS JOIN var g LEFT JOIN lx ON lx.cell_id = o.cell_id AND lx.gene_id = g.gene_id),
+m AS (SELECT gene_id, segment, avg(v) AS m, var_samp(v) AS v, count(*) AS n, avg(CASE WHEN v > 0 THEN 1 ELSE 0 END) AS f FROM z GROUP BY 1, 2),
+ab AS (SELECT a.gene_id, log2((exp(a.m) - 1 + 1e-9) / (exp(b.m) - 1 + 1e-9)) AS fold, a.f AS i, b.f AS o, a.v / a.n AS s1, b.v / b.n AS s2, a.m - b.m AS gap, a.n AS n1, b.n AS n2
+       FROM m a JOIN m b USING (gene_id) WHERE a.segment = 'BUILDING' AND b.segment = 'MACHINERY')"""
+NORMAL_P = "CASE WHEN score = 0 THEN 1 WHEN abs(score) > 9 THEN 0 ELSE 1 - list_sum(list_transform(range(0, 200), lambda k: exp(-score * score / 2 + (2 * k + 1) * ln(abs(score) / sqrt(2)) - lgamma(k + 1.5)))) END"
+T_P = "CASE WHEN y = 0 THEN 1 ELSE 1 - list_sum(list_transform(range(0, 400), lambda k: exp(lgamma(0.5 + h + k) - lgamma(1.5 + k) - lgamma(h) + (k + 0.5) * ln(y) + h * ln(1 - y)))) END"
+ENDS = f"""e AS (SELECT q.*, fold, i, o FROM q JOIN ab USING (gene_id)),
+k AS (SELECT *, 'up' AS direction, row_number() OVER (ORDER BY round(score, 9) DESC, gene_id) AS k FROM e WHERE fold > 0
+      UNION ALL SELECT *, 'down', row_number() OVER (ORDER BY round(score, 9), gene_id) FROM e WHERE fold < 0)
+SELECT gene_id, direction, {q6('score')} AS score, {q6('p')} AS p, {q6('padj')} AS padj, {q6('fold')} AS log2fc, {q6('i')} AS in_fraction, {q6('o')} AS out_fraction FROM k WHERE k <= 10"""
+
+
+@query("diffexp", f"""{PAIR}, r AS (SELECT *, rank() OVER (PARTITION BY gene_id ORDER BY v) + (count(*) OVER (PARTITION BY gene_id, v) - 1) / 2 AS r FROM z),
+w AS (SELECT gene_id, sum(r) AS rs, count(*) AS n1, any_value(n) AS n FROM r, n WHERE segment = 'BUILDING' GROUP BY 1),
+s AS (SELECT gene_id, (rs - n1 * (n + 1) / 2) / sqrt(n1 * (n - n1) * (n + 1) / 12) AS score FROM w), p AS (SELECT *, {NORMAL_P} AS p FROM s),
+b AS (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p) AS bh FROM p), q AS (SELECT gene_id, score, p, least(1, greatest(0, min(bh) OVER (ORDER BY p DESC RANGE UNBOUNDED PRECEDING))) AS padj FROM b), {ENDS}""")
 def diffexp(spark, d):
     ds = bindings.counts(spark, d)
     return rounded(stats.differential(normalize.log_normalized(ds.x), _groups(ds), "BUILDING", "MACHINERY"), "gene_id", "direction")
@@ -69,7 +86,8 @@ def diffexp_scores(spark, d):
     return rounded(out, "gene_id", "direction")
 
 
-@query("diffexp_ttest")
+@query("diffexp_ttest", f"""{PAIR}, s AS (SELECT gene_id, gap / sqrt(s1 + s2) AS score, (s1 + s2) ** 2 / (s1 * s1 / (n1 - 1) + s2 * s2 / (n2 - 1)) AS df FROM ab WHERE s1 + s2 > 0),
+p AS (SELECT *, {T_P} AS p FROM (SELECT *, score * score / (df + score * score) AS y, df / 2 AS h FROM s)), q AS (SELECT gene_id, score, p, least(1, p * count(*) OVER ()) AS padj FROM p), {ENDS}""")
 def diffexp_ttest(spark, d):
     ds = bindings.counts(spark, d)
     return rounded(stats.differential(normalize.log_normalized(ds.x), _groups(ds), "BUILDING", "MACHINERY", "t-test", "bonferroni"), "gene_id", "direction")
@@ -196,7 +214,14 @@ def line_modules(spark, d):
     return stats.line_modules(stats.spline_association(ds.x, t, 3), 40)
 
 
-@query("hvg_v3")
+@query("hvg_v3", f"""{A_}, n AS (SELECT count(*) AS n FROM obs), mo AS (SELECT gene_id, m, (s2 - n * m * m) / (n - 1) AS v FROM (SELECT var.gene_id, coalesce(sum(value), 0) / any_value(n) AS m, coalesce(sum(value * value), 0) AS s2, any_value(n) AS n FROM var LEFT JOIN x USING (gene_id), n GROUP BY 1)),
+pt AS (SELECT gene_id, log10(m) AS lx, log10(v) AS ly FROM mo WHERE v > 0), k AS (SELECT CAST(greatest(3, ceil(0.6 * count(*))) AS INT) AS k FROM pt),
+nb AS (SELECT a.gene_id, b.lx - a.lx AS dx, b.ly, row_number() OVER (PARTITION BY a.gene_id ORDER BY abs(b.lx - a.lx), b.gene_id) AS r FROM pt a, pt b),
+nw AS (SELECT gene_id, dx / h AS u, ly, (1 - least(abs(dx) / h, 1) ** 3) ** 3 + 1e-12 AS w FROM (SELECT *, greatest(max(abs(dx)) OVER (PARTITION BY gene_id), 1e-12) AS h FROM nb, k WHERE r <= k)),
+s AS (SELECT gene_id, sum(w) AS a, sum(w * u) AS b, sum(w * u ** 2) AS c, sum(w * u ** 3) AS d, sum(w * u ** 4) AS e, sum(w * ly) AS p, sum(w * u * ly) AS q, sum(w * u * u * ly) AS r FROM nw GROUP BY 1),
+rg AS (SELECT mo.gene_id, m, v, coalesce(sqrt(10 ** ((p * (c * e - d * d) - b * (q * e - d * r) + c * (q * d - c * r)) / (a * (c * e - d * d) - b * (b * e - d * c) + c * (b * d - c * c)))), 0) AS g FROM mo LEFT JOIN s USING (gene_id)),
+cl AS (SELECT gene_id, sum(y) AS s1, sum(y * y) AS s2 FROM (SELECT gene_id, least(value, m + sqrt(n) * g) AS y FROM x JOIN rg USING (gene_id), n) GROUP BY 1)
+SELECT gene_id, {q6('m')} AS means, {q6('v')} AS variances, {q6('CASE WHEN g > 0 THEN (n * m * m + coalesce(s2, 0) - 2 * m * coalesce(s1, 0)) / ((n - 1) * g * g) ELSE 0 END')} AS variances_norm FROM rg LEFT JOIN cl USING (gene_id), n""")
 def hvg_v3(spark, d):
     ds = bindings.counts(spark, d)
     return rounded(normalize.highly_variable_v3(ds.x, ds.var, ds.obs.count(), 8, 0.6).drop("highly_variable"), "gene_id")

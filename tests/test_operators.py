@@ -469,3 +469,15 @@ def test_autocorrelation_of_a_constant_gene_is_null(spark):
     e = spark.createDataFrame([(c, c + d, 1.0) for c in range(8) for d in (-1, 1) if 0 <= c + d < 8], "src long, dst long, w double")
     got = {r["gene_id"]: (r["p"], r["padj"]) for r in stats.autocorrelation_test(x, e, cells, 8, 9).collect()}
     assert got[1] == (None, None) and 0 < got[0][0] <= 1
+
+
+def test_products_of_gene_blocks(spark, monkeypatch):
+    """Several blocks and chunks give every pair's sum once, for gene numbers that are not places."""
+    monkeypatch.setattr(linear, "GENE_BLOCK", 7)
+    monkeypatch.setattr(linear, "CELL_CHUNK", 11)
+    m = np.random.default_rng(0).poisson(0.4, (60, 40)).astype(float)
+    x = spark.createDataFrame([(i, 3 * j + 5, float(m[i, j])) for i in range(60) for j in range(40) if m[i, j]], "cell_id long, gene_id int, value double")
+    got = {(r.a, r.b): r.xy for r in linear.products(x, 40, 60).collect()}
+    g = m.T @ m
+    assert got == {(3 * i + 5, 3 * j + 5): g[i, j] for i in range(40) for j in range(i + 1, 40) if g[i, j]}
+    assert linear.products(x.limit(0), 0, 0).count() == 0
