@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matriq.llm import decontaminate, exact_dedup, language, license_scan, ngram_join, pieces, secret_scan, suffix_dedup, toxicity, url_filters
+from matriq.llm import decontaminate, exact_dedup, language, license_scan, mixing, ngram_join, pieces, search, secret_scan, suffix_dedup, toxicity, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_scan": secret_scan.op8_secret_scan,
         "op9_url_filters": url_filters.op9_url_filters,
         "op10_decontaminate": decontaminate.op10_decontaminate,
+        "op11_search": search.op11_search,
+        "op13_mixing": mixing.op13_mixing,
     }
 
 
@@ -31,4 +33,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_secret_scan": secret_scan.SQL,
         "op9_url_filters": url_filters.SQL,
         "op10_decontaminate": decontaminate.SQL,
+        "op11_search": search.SQL,
+        "op13_mixing": mixing.SQL,
     }
