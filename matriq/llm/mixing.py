@@ -19,7 +19,7 @@ from matriq.operators.order import positions
 
 GAP = r"\x20\x09-\x0D"
 #: Ranges that a source's keys are cut into in a round, and the rows at the edge that one task sorts.
-RANGES, EDGE_ROWS = 1024, 50_000
+RANGES, EDGE_ROWS = 1024, 2000
 #: A document's quality weight by its label; documents without one are between.
 GOOD, UNKNOWN, POOR = 2.0, 1.0, 0.5
 

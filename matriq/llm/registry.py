@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matriq.llm import decontaminate, exact_dedup, language, license_scan, mixing, ngram_join, pieces, search, secret_scan, suffix_dedup, toxicity, url_filters
+from matriq.llm import alignment, decontaminate, exact_dedup, language, license_scan, mixing, ngram_join, pieces, search, secret_scan, suffix_dedup, toxicity, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_url_filters": url_filters.op9_url_filters,
         "op10_decontaminate": decontaminate.op10_decontaminate,
         "op11_search": search.op11_search,
+        "op12_alignment": alignment.op12_alignment,
         "op13_mixing": mixing.op13_mixing,
     }
 
