@@ -9,21 +9,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matriq.functions import cluster as local
+from matriq.lineage import cut
+from matriq.operators.communities import leiden, ranked
 from matriq.operators.linear import MAX_GENES, gram
 from matriq.zeros import average_rank, dense
 
-#: Edges that local clustering takes; larger graphs go by label propagation in DataFrames.
+#: Edges that a layout takes.
 MAX_EDGES = 1_000_000
 
 
 def communities(edges: DataFrame, nodes: DataFrame, resolution: float = 1.0, seed: int = 0) -> DataFrame:
-    """(cell_id, cluster): modularity communities of up to MAX_EDGES edges, label propagation beyond. Largest is 0."""
-    if edges.limit(MAX_EDGES + 1).count() > MAX_EDGES:
-        return propagate(edges, nodes)
-    ids = np.sort(nodes.select("cell_id").toPandas()["cell_id"].to_numpy())
-    e = edges.select("src", "dst", "w").toPandas().sort_values(["src", "dst"])
-    label = local.leiden(np.searchsorted(ids, e["src"]), np.searchsorted(ids, e["dst"]), e["w"].to_numpy(float), len(ids), resolution, seed)
-    return edges.sparkSession.createDataFrame([(int(i), str(c)) for i, c in zip(ids, label, strict=True)], "cell_id long, cluster string")
+    """(cell_id, cluster): modularity communities (Leiden) as rounds of joins, numbered as text; the largest is 0."""
+    return ranked(leiden(edges, nodes, resolution, seed))
 
 
 def propagate(edges: DataFrame, nodes: DataFrame, rounds: int = 10) -> DataFrame:
@@ -34,8 +31,8 @@ def propagate(edges: DataFrame, nodes: DataFrame, rounds: int = 10) -> DataFrame
     for k in range(rounds):
         votes = e.join(labels, F.col("dst") == F.col("cell_id")).groupBy("src", "c").agg(F.sum("w").alias("w"))
         labels = votes.groupBy(F.col("src").alias("cell_id")).agg(F.max_by("c", F.struct("w", -F.col("c"))).alias("c"))
-        if k % 3 == 2 and edges.sparkSession.sparkContext.getCheckpointDir():
-            labels = labels.checkpoint()
+        if k % 3 == 2:
+            labels = cut(labels)
     return labels.select("cell_id", F.col("c").cast("string").alias("cluster"))
 
 
@@ -55,7 +52,7 @@ def gene_clusters(varp: DataFrame, var: DataFrame, resolution: float = 0.5, seed
     e = half.union(half.select("dst", "src", "w")).groupBy("src", "dst").agg(F.sum("w").alias("w"))
     nodes = e.select(F.col("src").alias("cell_id")).distinct()
     c = communities(e, nodes, resolution, seed).select(F.col("cell_id").cast("int").alias("gene_id"), "cluster")
-    return var.select("gene_id").join(F.broadcast(c), "gene_id", "left").select("gene_id", F.coalesce("cluster", F.lit("unclustered")).alias("cluster"))
+    return var.select("gene_id").join(c, "gene_id", "left").select("gene_id", F.coalesce("cluster", F.lit("unclustered")).alias("cluster"))
 
 
 def gene_modules(clusters: DataFrame) -> DataFrame:

@@ -3,58 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Vectors in a block; two blocks meet in one task.
-BLOCK = 2048
-
-
-def nearest(m: DataFrame, k: int, metric: str = "euclidean", blocks: int | None = None) -> DataFrame:
-    """(src, dst, d, rank): the k nearest others of each vector, exactly; ties by dst.
-
-    Vectors are cut into blocks; each pair of blocks is one matrix product in a task, which keeps k rows a
-    vector, and the candidates of a vector are merged by a window. Work is quadratic, memory is two blocks.
-    """
-    n = m.count()
-    nb = blocks or max(1, -(-n // BLOCK))
-    a = m.select("cell_id", "v").withColumn("_b", F.pmod(F.xxhash64("cell_id"), F.lit(nb)).cast("int"))
-    ids = F.array(*(F.lit(i) for i in range(nb))) if nb <= 200 else F.sequence(F.lit(0), F.lit(nb - 1))
-    left = a.withColumn("_o", F.explode(ids)).select(F.col("cell_id").alias("id1"), F.col("v").alias("v1"), F.col("_b").alias("i"), F.col("_o").alias("j"))
-    right = a.withColumn("_o", F.explode(ids)).select(F.col("cell_id").alias("id2"), F.col("v").alias("v2"), F.col("_o").alias("i2"), F.col("_b").alias("j2"))
-
-    def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
-            return pd.DataFrame({"src": [], "dst": [], "d": []})
-        p, q = np.stack(x["v1"]).astype(float), np.stack(y["v2"]).astype(float)
-        if metric in ("cosine", "pearson"):
-            if metric == "pearson":
-                p, q = p - p.mean(1, keepdims=True), q - q.mean(1, keepdims=True)
-            p, q = (z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-300) for z in (p, q))
-            d = 1 - p @ q.T
-        else:
-            d = np.sqrt(np.maximum((p * p).sum(1)[:, None] + (q * q).sum(1)[None] - 2 * p @ q.T, 0))
-        xi, yi = x["id1"].to_numpy(), y["id2"].to_numpy()
-        d = np.where(xi[:, None] == yi[None], np.inf, d)
-        keep = min(k + 1, len(yi))
-        part = np.argpartition(d, keep - 1, axis=1)[:, :keep]
-        rows = np.repeat(np.arange(len(xi)), keep)
-        cols = part.ravel()
-        if metric == "euclidean":  # once more without the product's cancellation
-            dist = np.sqrt(((p[rows] - q[cols]) ** 2).sum(1))
-        else:
-            dist = d[rows, cols]
-        ok = xi[rows] != yi[cols]
-        return pd.DataFrame({"src": xi[rows][ok], "dst": yi[cols][ok], "d": dist[ok]})
-
-    found = left.groupBy("i", "j").cogroup(right.groupBy("i2", "j2")).applyInPandas(meet, "src long, dst long, d double")
-    rank = F.row_number().over(Window.partitionBy("src").orderBy("d", "dst"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
-
+from matriq.lineage import cut
+from matriq.operators.neighbors import nearest
 
 def within(points: DataFrame, radius: float, section: str | None = None) -> DataFrame:
     """(src, dst, d) of points (cell_id, x, y[, section]) at most radius apart: an equality join on grid squares.
@@ -88,8 +47,7 @@ def rings(edges: DataFrame, n: int) -> DataFrame:
         step = last.select("src", F.col("dst").alias("_m")).join(e.select(F.col("src").alias("_m"), "dst"), "_m").where("src <> dst").select("src", "dst").distinct()
         last = step.join(found, ["src", "dst"], "left_anti").withColumn("ring", F.lit(ring))
         found = found.unionByName(last)
-        if e.sparkSession.sparkContext.getCheckpointDir():
-            found, last = found.checkpoint(), last.checkpoint()
+        found, last = cut(found), cut(last)
     return found
 
 
@@ -125,21 +83,34 @@ def spatial_neighbors(points: DataFrame, obs: DataFrame | None = None, k: int =
 def fuzzy_connectivities(knn: DataFrame, k: int) -> DataFrame:
     """(src, dst, w): UMAP's weights exp(-(d - rho) / sigma) with sigma such that a cell's sum is log2 k, joined by a + b - ab."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = pdf["d"].to_numpy(float)
-        rho = d[d > 0].min() if (d > 0).any() else 0.0
-        lo, hi, sigma = 0.0, math.inf, 1.0
-        for _ in range(64):
-            total = np.exp(-np.maximum(d - rho, 0) / sigma).sum()
-            if abs(total - math.log2(k)) < 1e-5:
-                break
-            if total > math.log2(k):
-                hi, sigma = sigma, (lo + sigma) / 2
-            else:
-                lo, sigma = sigma, sigma * 2 if hi == math.inf else (sigma + hi) / 2
-        return pd.DataFrame({"src": pdf["src"], "dst": pdf["dst"], "a": np.exp(-np.maximum(d - rho, 0) / max(sigma, 1e-3 * d.mean()))})
-
-    a = knn.select("src", "dst", "d").groupBy("src").applyInPandas(one, "src long, dst long, a double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch.column(1)
+            size = np.diff(found.offsets.to_numpy())
+            flat = found.flatten().to_numpy(zero_copy_only=False)
+            row, place = np.repeat(np.arange(len(size)), size), np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+            d = np.full((len(size), size.max(initial=1)), np.inf)
+            d[row, place] = flat
+            some = np.where(d > 0, d, np.inf).min(1)
+            over = np.maximum(d - np.where(np.isfinite(some), some, 0.0)[:, None], 0)
+            lo, hi, sigma = np.zeros(len(size)), np.full(len(size), np.inf), np.ones(len(size))
+            going = np.arange(len(size))
+            for _ in range(64):
+                total = np.exp(-over[going] / sigma[going, None]).sum(1)
+                wrong = np.abs(total - math.log2(k)) >= 1e-5
+                going, much = going[wrong], (total > math.log2(k))[wrong]
+                up, down = going[~much], going[much]
+                hi[down] = sigma[down]
+                sigma[down] = (lo[down] + sigma[down]) / 2
+                lo[up] = sigma[up]
+                sigma[up] = np.where(np.isinf(hi[up]), sigma[up] * 2, (sigma[up] + hi[up]) / 2)
+            mean = np.bincount(row, flat, len(size)) / np.maximum(size, 1)
+            a = np.exp(-over / np.maximum(sigma, 1e-3 * mean)[:, None])[row, place]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.ListArray.from_arrays(found.offsets, pa.array(a))], names=["src", "dst", "a"])
+
+    own = knn.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("d", "dst"))).alias("e"))  # k of each
+    own = own.select("src", F.col("e.d").alias("d"), F.col("e.dst").alias("dst")).mapInArrow(run, "src long, dst array<long>, a array<double>")
+    a = cut(own.select("src", F.explode(F.arrays_zip("dst", "a")).alias("e")).select("src", "e.dst", "e.a"))
     both = a.select("src", "dst", "a").union(a.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "a"))
     s, p, n = F.sum("a"), F.product("a"), F.count("*")
     return both.groupBy("src", "dst").agg(F.when(n > 1, s - p).otherwise(s).alias("w"))
@@ -169,8 +140,8 @@ def smooth(x: DataFrame, edges: DataFrame, cells: DataFrame, steps: int = 1, sel
     a = row_normalized(edges.select("src", "dst", "w").union(loops).groupBy("src", "dst").agg(F.sum("w").alias("w")))
     for k in range(steps):
         x = a.join(x.withColumnRenamed("cell_id", "dst"), "dst").groupBy(F.col("src").alias("cell_id"), "gene_id").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
-        if k + 1 < steps and x.sparkSession.sparkContext.getCheckpointDir():
-            x = x.checkpoint()
+        if k + 1 < steps:
+            x = cut(x)
     return x
 
 

@@ -7,10 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from matriq.lineage import cut
+
 #: Ranges that a column of numbers is cut into before its rows are numbered.
 PARTS = 64
 #: Ranges that each group of `running` is cut into.
 RANGES = 32
+#: Groups whose cuts, RANGES numbers each, are broadcast; more are joined by a shuffle.
+MAX_GROUPS = 20_000
 
 
 def positions(df: DataFrame, ord_col: str, tie: str, by: Sequence[str] = (), name: str = "_k") -> DataFrame:
@@ -34,21 +38,32 @@ def running(df: DataFrame, value: str, amount: str, by: Sequence[str], name: str
     """df with `name`: the sum (least: the minimum) of `amount` over a group's rows up to each row, in order of `value`.
 
     Among equal values larger amounts come first. A group of any size is cut by its own quantiles into RANGES ranges; windows
-    run within a range, and what the ranges before it come to is added. Quantiles are one row a group, which is broadcast, so
-    groups are genes or pairs, not cells. Amounts are not negative. total: name of a column for the sum over a group.
+    run within a range, and what the ranges before it come to is added. Approximate quantiles depend on the order in which
+    parts meet, and sums of floats may, so rows and cuts are each written once: rows and the ranges' sums see the same.
+    Amounts are not negative. total: name of a column for the sum over a group.
     """
+    df = cut(df)
+    return _running(df, quantiles(df, value, amount, by, total), value, amount, by, name, descending, least)
+
+
+def quantiles(df: DataFrame, value: str, amount: str, by: Sequence[str], total: str | None = None) -> DataFrame:
+    """(by, _cuts, total): each group's values that part its ranges, about equally full, written once."""
     shares = F.array(*(F.lit(i / RANGES) for i in range(1, RANGES)))
-    # The amount is read here too: with the same columns everywhere the branches share one exchange.
     some = F.when(F.col(amount) >= 0, F.col(value))
-    cuts = df.groupBy(*by).agg(F.percentile_approx(some, shares, F.lit(1000)).alias("_cuts"), *([F.sum(amount).alias(total)] if total else []))
-    p = df.join(F.broadcast(cuts), [*by]) if by else df.crossJoin(cuts)  # without groups one row
+    return cut(df.groupBy(*by).agg(F.percentile_approx(some, shares, F.lit(1000)).alias("_cuts"), *([F.sum(amount).alias(total)] if total else [])))
+
+
+def _running(df: DataFrame, cuts: DataFrame, value: str, amount: str, by: Sequence[str], name: str, descending: bool, least: bool) -> DataFrame:
+    """running() by cuts that are given; any cuts give the same sums."""
+    few = (lambda t: F.broadcast(t)) if cuts.limit(MAX_GROUPS + 1).count() <= MAX_GROUPS else (lambda t: t)
+    p = df.join(few(cuts), [*by]) if by else df.crossJoin(F.broadcast(cuts))  # without groups one row
     p = p.withColumn("_p", F.coalesce(F.size(F.filter("_cuts", lambda c: F.col(value) > c)), F.lit(0))).drop("_cuts")
     up_to = F.min if least else F.sum
     turn = (lambda c: F.col(c).desc()) if descending else F.col
     rows = Window.partitionBy(*by, "_p").orderBy(turn(value), F.col(amount).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ends = p.groupBy(*by, "_p").agg(up_to(amount).alias("_a"))
     ends = ends.withColumn("_b", up_to("_a").over(Window.partitionBy(*by).orderBy(turn("_p")).rowsBetween(Window.unboundedPreceding, -1))).drop("_a")
-    out = p.withColumn(name, up_to(amount).over(rows)).join(F.broadcast(ends), [*by, "_p"])
+    out = p.withColumn(name, up_to(amount).over(rows)).join(few(ends), [*by, "_p"])
     whole = F.least(name, "_b") if least else F.col(name) + F.coalesce("_b", F.lit(0))
     return out.withColumn(name, whole).drop("_p", "_b")
 

@@ -92,7 +92,7 @@ def lr_significance(x: DataFrame, genes: DataFrame, near: DataFrame, mean: DataF
     steps = null.groupBy("interaction", F.col("value").alias("score")).agg(F.count("*").alias("n"))
     # Real scores go among them with a count of 0, after equal null scores, so nothing is joined by a sum of floats.
     both = real.select("interaction", "score", F.lit(0).cast("long").alias("n"), "cell_id").unionByName(steps, allowMissingColumns=True)
-    ranked = running(cut(both), "score", "n", ["interaction"], "ge", descending=True)
+    ranked = running(both, "score", "n", ["interaction"], "ge", descending=True)
     p = ranked.where("cell_id IS NOT NULL").select("interaction", "cell_id", "score", "ge").crossJoin(F.broadcast(total)).withColumn("p", (F.col("ge") + 1) / (F.col("m") + 1))  # total is one row
     p = adjust_bh_spread(cut(p), "interaction")
     return p.select("interaction", "cell_id", "score", "p", "padj", ((F.col("padj") < level) & (F.col("score") > 0)).alias("significant"))

@@ -23,7 +23,7 @@ def scratch(spark: SparkSession) -> str:
     """A new path in the shared folder of spark.checkpoint.dir; in a temporary one only where that is unset and all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="matriq-")
     return f"{found.rstrip('/')}/files-{uuid.uuid4().hex}"

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from matriq import bindings
 from matriq.operators import cluster, contour, geometry, graph, linear, read, signal, stats
+from matriq.operators.communities import modularity as measure
 from matriq.operators.order import cell_order
 from matriq.plans.base import A, B, q6, query, r6
 from matriq.plans.matrix import rounded
@@ -375,6 +376,15 @@ def leiden(spark, d):
     return cluster.communities(graph.fuzzy_connectivities(graph.nearest(ds.obsm["X_vec"], 10), 10), ds.obs)
 
 
+@query("modularity", f"""{NB}, d AS (SELECT src AS cell_id, count(*)::DOUBLE AS k FROM g GROUP BY 1), m AS (SELECT sum(k) AS m FROM d), s AS (SELECT section, sum(k) AS s FROM d JOIN pts USING (cell_id) GROUP BY 1),
+i AS (SELECT count(*) AS i FROM g JOIN pts a ON a.cell_id = src JOIN pts b ON b.cell_id = dst WHERE a.section = b.section) SELECT {q6('i / m - 0.8 * (SELECT sum(s * s) FROM s) / (m * m)')} AS q FROM i, m""")
+def modularity(spark, d):
+    """Of sections, on the spatial graph."""
+    ds = bindings.vectors(spark, d)
+    q = measure(_graph(ds), ds.obs.select("cell_id", F.col("section").alias("cluster")), 0.8)
+    return spark.createDataFrame([(q,)], "q double").select(r6("q").alias("q"))
+
+
 _ROUNDS = ", ".join(f"l{k} AS (SELECT src AS cell_id, c FROM (SELECT src, c, row_number() OVER (PARTITION BY src ORDER BY sum(w) DESC, c) AS r FROM lg JOIN l{k - 1} ON dst = cell_id GROUP BY src, c) WHERE r = 1)" for k in range(1, 5))
 
 

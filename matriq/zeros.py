@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matriq.lineage import cut
 from matriq.operators.order import running
 
 #: Genes that dense() takes at most; every cell gets a row for each.
@@ -36,6 +37,8 @@ def average_rank(x: DataFrame, by: str, n: Column, descending: bool = False, sma
     Equal values of a group are counted first, so windows run over distinct values; a group's distinct values are cut into
     ranges, so no task has to hold them all. small: groups are many and each fits in a task, as the genes of a cell do.
     """
+    if not small:
+        x = cut(x)  # values meet their ranks by equality: both must see the same
     # Equal values share one row: groups with few distinct values stay small.
     steps = x.groupBy(by, "value").agg(F.count("*").alias("_m"))
     if small:

@@ -11,7 +11,7 @@ from matriq.dataset import Dataset, Registry
 from matriq.functions import cluster as local
 from matriq.functions.delaunay import triangulate
 from matriq.functions.special import beta_regularized, f_tail, spline_basis, t_two_sided
-from matriq.operators import annotate, cluster, contour, geometry, graph, linear, normalize, read, score, select, signal, stats
+from matriq.operators import annotate, cluster, communities, contour, geometry, graph, linear, neighbors, normalize, order, read, score, select, signal, stats
 from matriq.sources import gene_sets, store, tenx
 from matriq.streaming import counts as streaming
 
@@ -143,15 +143,72 @@ def test_weights_sum_to_one(spark):
     assert all(abs(r["w"] - 1) < 1e-9 for r in w.collect())
 
 
-def test_nearest_in_blocks_is_exact(spark):
+def brute_nearest(v, ids, k, metric):
+    if metric == "euclidean":
+        d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(2))
+    else:
+        z = v - v.mean(1, keepdims=True) if metric == "pearson" else v
+        size = np.linalg.norm(z, axis=1, keepdims=True)
+        z = np.where(size > 0, z / np.where(size > 0, size, 1), 0)
+        d = 1 - z @ z.T
+    d = d.round(9)
+    return {(ids[i], ids[j], r + 1) for i in range(len(v)) for r, j in enumerate([j for j in np.lexsort((ids, d[i])) if j != i][:k])}
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine", "pearson"])
+@pytest.mark.parametrize("cells,block", [(None, 2048), (7, 2048), (12, 5)])
+def test_nearest_in_cells_is_exact(spark, monkeypatch, metric, cells, block):
+    """Clusters, copies, more copies than neighbours, and vectors of zeros."""
+    monkeypatch.setattr(neighbors, "BLOCK", block)
+    monkeypatch.setattr(neighbors, "VISITORS", 2 * block)
     rng = np.random.default_rng(1)
-    v = rng.normal(size=(70, 4))
-    m = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "cell_id long, v array<double>")
-    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(2))
-    np.fill_diagonal(d, np.inf)
-    want = {(i, int(j)) for i in range(70) for j in np.argsort(d[i], kind="stable")[:3]}
-    for blocks in (1, 4):
-        assert {(r["src"], r["dst"]) for r in graph.nearest(m, 3, blocks=blocks).collect()} == want
+    v = np.vstack([rng.normal(size=(90, 4)) + 6 * rng.normal(size=(6, 4)).repeat(15, 0), np.zeros((3, 4)), np.ones((1, 4)).repeat(9, 0)])
+    v[20:26] = v[3]
+    ids = rng.permutation(len(v)) + 5
+    m = spark.createDataFrame([(int(i), r.tolist()) for i, r in zip(ids, v, strict=True)] + [(1000, None)], "cell_id long, v array<double>")
+    got = graph.nearest(m, 3, metric, cells).collect()
+    if metric == "euclidean":
+        assert {(r["src"], r["dst"], r["rank"]) for r in got} == brute_nearest(v, ids, 3, metric)
+    else:  # distances of 0 by products are so but for rounding, which may part ties: compare distances
+        place = {int(i): n for n, i in enumerate(ids)}
+        z = v - v.mean(1, keepdims=True) if metric == "pearson" else v
+        size = np.linalg.norm(z, axis=1, keepdims=True)
+        z = np.where(size > 1e-12, z / np.where(size > 0, size, 1), 0)
+        d = 1 - z @ z.T
+        np.fill_diagonal(d, np.inf)
+        for r in got:
+            assert r["d"] == pytest.approx(d[place[r["src"]], place[r["dst"]]], abs=1e-9)
+            assert r["d"] == pytest.approx(np.sort(d[place[r["src"]]])[r["rank"] - 1], abs=1e-9)
+    assert len(got) == 3 * len(v)
+    assert graph.nearest(m.limit(0), 3).count() == 0
+
+
+def test_nearest_on_a_grid_breaks_ties_by_id(spark):
+    p = grid(spark, 8).select("cell_id", F.array("x", "y").cast("array<double>").alias("v"))
+    rows = sorted((r["cell_id"], r["v"]) for r in p.collect())
+    want = brute_nearest(np.array([v for _, v in rows]), np.array([i for i, _ in rows]), 5, "euclidean")
+    for cells in (1, 8):
+        assert {(r["src"], r["dst"], r["rank"]) for r in graph.nearest(p, 5, cells=cells).collect()} == want
+
+
+def test_nearest_compares_few_pairs(spark, monkeypatch):
+    """Four times the vectors: far less than sixteen times the pairs."""
+    rng = np.random.default_rng(2)
+    seen, compare = [], neighbors._compare
+
+    def counted(visits, placed, metric, keep):
+        n = placed.groupBy("cell").agg(F.count("*").alias("n"))
+        seen.append(visits.select(F.explode("cells").alias("cell")).join(n, "cell").agg(F.sum("n")).first()[0])
+        return compare(visits, placed, metric, keep)
+
+    monkeypatch.setattr(neighbors, "_compare", counted)
+    pairs = []
+    for n in (1000, 4000):
+        seen.clear()
+        m = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rng.uniform(size=(n, 3)))], "cell_id long, v array<double>")
+        assert graph.nearest(m, 5, cells=round(n**0.5)).count() == 5 * n
+        pairs.append(sum(seen))
+    assert pairs[1] < 9 * pairs[0] and pairs[1] < 0.15 * 4000**2
 
 
 def test_smoothing_keeps_constants(spark):
@@ -205,10 +262,33 @@ def test_signal_is_found_and_negative_control_is_not(spark):
     genes = spark.createDataFrame([("near", "ligand", 0), ("near", "receptor", 1), ("far", "ligand", 0), ("far", "receptor", 2)], "interaction string, side string, gene_id int")
     near = graph.gaussian_weights(p, 3.0)
     mean = graph.row_normalized(graph.within(p, 1.0).withColumn("w", F.lit(1.0)).select("src", "dst", "w"))
-    t = signal.lr_significance(x, genes, near, mean, p, 5)
-    top = {r["interaction"]: r for r in signal.lr_summary(t).collect()}
-    assert top["near"]["mean_score"] > 5 * top["far"]["mean_score"] if "far" in top else True
-    assert top["near"]["n_significant"] > 0
+    for seed in (0, 1, 2):
+        t = signal.lr_significance(x, genes, near, mean, p, 25, seed)
+        top = {r["interaction"]: r for r in signal.lr_summary(t).collect()}
+        assert top["near"]["n_significant"] > 0
+        if "far" in top:
+            assert top["near"]["mean_score"] > 5 * top["far"]["mean_score"] and top["far"]["n_significant"] == 0
+
+
+@pytest.mark.parametrize("descending,least", [(False, False), (True, False), (True, True)])
+def test_running_sums_hold_for_any_cuts(spark, descending, least):
+    """Cuts made from the same rows in another order differ; sums and minima must not."""
+    rng = np.random.default_rng(4)
+    v = np.round(rng.exponential(size=30_000), 3)
+    a = rng.integers(0, 5, len(v))
+    df = spark.createDataFrame([(int(i % 3), float(x), int(y)) for i, (x, y) in enumerate(zip(v, a, strict=True))], "g int, v double, a long")
+    df = df.groupBy("g", "v").agg(F.sum("a").alias("a"))
+    turned = order.cut(df.orderBy(F.col("v").desc()).coalesce(1))
+    first, second = order.quantiles(order.cut(df), "v", "a", ["g"]), order.quantiles(turned.repartition(7, "v"), "v", "a", ["g"])
+    want = {}
+    for g, group in df.toPandas().groupby("g"):
+        group = group.sort_values("v", ascending=not descending)
+        want |= {(g, x): s for x, s in zip(group["v"], group["a"].cummin() if least else group["a"].cumsum(), strict=True)}
+    for cuts in (first, second, first.select("g", F.array(F.lit(0.5), F.lit(0.5)).alias("_cuts"))):
+        got = order._running(turned, cuts, "v", "a", ["g"], "r", descending, least)
+        assert {(r["g"], r["v"]): r["r"] for r in got.collect()} == want
+    plan = order.running(df, "v", "a", ["g"], "r")._jdf.queryExecution().toString()
+    assert "percentile_approx" not in plan.lower()
 
 
 def test_planted_modules_are_recovered():
@@ -481,3 +561,32 @@ def test_products_of_gene_blocks(spark, monkeypatch):
     g = m.T @ m
     assert got == {(3 * i + 5, 3 * j + 5): g[i, j] for i in range(40) for j in range(i + 1, 40) if g[i, j]}
     assert linear.products(x.limit(0), 0, 0).count() == 0
+
+
+def planted(n, groups, inside, outside, seed):
+    rng = np.random.default_rng(seed)
+    of = np.arange(n) % groups
+    i, j = np.triu_indices(n, 1)
+    hit = rng.random(len(i)) < np.where(of[i] == of[j], inside, outside)
+    return of, list(zip(i[hit].tolist(), j[hit].tolist(), (0.5 + rng.random(hit.sum())).tolist(), strict=True))
+
+
+def test_communities_of_joins(spark):
+    """Planted groups are found, resolution parts or joins, seeds repeat, parts are no worse than by single moves, and lone nodes stay alone."""
+    of, edges = planted(90, 3, 0.35, 0.02, 5)
+    e = spark.createDataFrame(edges + [(7, 7, 9.0), (3, None, 1.0)], "src long, dst long, w double")
+    nodes = spark.range(92).select(F.col("id").alias("cell_id"))
+    got = values(cluster.communities(e, nodes), column="cluster")
+    assert len(got) == 92 and len({got[i] for i in range(90)}) == 3 and all(len({got[i] for i in range(90) if of[i] == g}) == 1 for g in range(3))
+    assert got[90] != got[91] and {got[i] for i in range(90)} == {"0", "1", "2"}
+    src, dst, w = (np.array(x) for x in zip(*edges, strict=True))
+    single = local.leiden(src, dst, w, 90)
+    both = [communities.modularity(e.where("dst IS NOT NULL"), spark.createDataFrame([(i, str(c)) for i, c in items], "cell_id long, cluster string")) for items in (list(got.items()), list(enumerate(single)))]
+    assert both[0] >= both[1] - 1e-9
+    assert communities.leiden(e.where("w < 0"), nodes).where("c <> cell_id").count() == 0
+
+
+def test_low_resolution_joins_communities(spark):
+    _, edges = planted(12, 2, 0.9, 0.1, 6)
+    e = spark.createDataFrame(edges, "src long, dst long, w double")
+    assert cluster.communities(e, spark.range(12).select(F.col("id").alias("cell_id")), 0.05).select("cluster").distinct().count() == 1
