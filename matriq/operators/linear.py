@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,10 +11,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from matriq.lineage import cut
+
 #: Genes whose products meet in one matrix on the driver: 4000 x 4000 doubles are 128 MB.
 MAX_GENES = 4000
 #: Genes of a block and cells of a chunk in products(): a dense chunk by two blocks is at most about 32 MB.
 GENE_BLOCK, CELL_CHUNK = 512, 4096
+#: Numbers of a thin matrix of the driver (400 MB), non-zeros that a task multiplies at once, and columns of a basis beyond 2 k.
+MAX_THIN, NON_ZEROS, MAX_BASIS = 50_000_000, 1 << 16, 400
+#: Residual of an eigenvector, by the largest eigenvalue.
+TOLERANCE = 1e-9
 
 
 def gram(x: DataFrame, genes: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -63,24 +69,104 @@ def signed(v: np.ndarray) -> np.ndarray:
     return v * np.where(v[top, np.arange(v.shape[1])] < 0, -1.0, 1.0)
 
 
+def cell_rows(x: DataFrame, genes: list[int]) -> DataFrame:
+    """(cell_id, g, v), written once: of each cell with non-zeros of the genes, their places in the list and their values."""
+    index = x.sparkSession.createDataFrame(pd.DataFrame({"gene_id": np.asarray(genes, np.int64), "_g": np.arange(len(genes), dtype=np.int32)}))
+    few = x.join(F.broadcast(index), "gene_id").where("value <> 0")  # one row a gene, MAX_THIN numbers at most
+    rows = few.groupBy("cell_id").agg(F.collect_list(F.struct(F.col("_g").cast("int").alias("g"), F.col("value").cast("double").alias("v"))).alias("r"))
+    return cut(rows.select("cell_id", F.col("r.g").alias("g"), F.col("r.v").alias("v")))
+
+
+def covariance_times(rows: DataFrame, mean: np.ndarray, n: int, w: np.ndarray) -> np.ndarray:
+    """The covariance of all genes, over n cells, times a thin matrix w (genes by few), in one pass over the rows of cells.
+
+    A task multiplies its cells' non-zeros with w, centres, and multiplies back: what leaves it is one thin matrix. As centred columns
+    sum to 0, cells without non-zeros add nothing.
+    """
+    p, m = w.shape
+    sent = rows.sparkSession.sparkContext.broadcast((w, mean @ w))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, shift = sent.value
+        z = np.zeros((p, m))
+        for batch in batches:
+            size = np.diff(batch.column(0).offsets.to_numpy())
+            g, v = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in (0, 1))
+            ends = np.cumsum(size)
+            first = 0
+            while first < len(size):
+                start = int(ends[first] - size[first])
+                last = max(first + 1, int(np.searchsorted(ends, start + NON_ZEROS, "right")))
+                part = slice(start, int(ends[last - 1]))
+                row = np.repeat(np.arange(last - first), size[first:last])
+                y = np.add.reduceat(v[part, None] * w[g[part]], ends[first:last] - size[first:last] - start) - shift
+                order = np.argsort(g[part], kind="stable")
+                gene = g[part][order]
+                begin = np.flatnonzero(np.diff(gene, prepend=-1))
+                z[gene[begin]] += np.add.reduceat((v[part, None] * y[row])[order], begin)
+                first = last
+        some = np.flatnonzero(z.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.ListArray.from_arrays(np.arange(len(some) + 1, dtype=np.int32) * m, z[some].ravel())], names=["i", "z"])
+
+    parts = rows.select("g", "v").mapInArrow(add, "i int, z array<double>")
+    got = parts.groupBy("i").agg(F.array(*(F.sum(F.col("z")[j]) for j in range(m))).alias("z")).toPandas()  # one row a gene
+    out = np.zeros((p, m))
+    if len(got):
+        out[got["i"]] = np.stack(got["z"])
+    return out / (n - 1)
+
+
+def block_lanczos(times: Callable[[np.ndarray], np.ndarray], p: int, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The k largest eigenvalues of a symmetric p by p matrix, falling, and their vectors, from products with thin matrices alone.
+
+    A block Krylov space of random start grows until the residuals of k Ritz pairs are below TOLERANCE of the largest
+    value, or it is invariant, or has MAX_BASIS columns more than 2 k; it is kept orthogonal in full.
+    """
+    width = min(p, k + 8)
+    q, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(p, width)))
+    basis, image = np.zeros((p, 0)), np.zeros((p, 0))
+    while True:
+        z = times(q)
+        basis, image = np.hstack([basis, q]), np.hstack([image, z])
+        t = basis.T @ image
+        values, s = np.linalg.eigh((t + t.T) / 2)
+        values, s = values[::-1][:k], s[:, ::-1][:, :k]
+        error = np.linalg.norm(image @ s - basis @ s * values, axis=0).max(initial=0)
+        rest = z
+        for _ in range(2):
+            rest = rest - basis @ (basis.T @ rest)
+        u, size, _ = np.linalg.svd(rest, full_matrices=False)
+        q = u[:, size > 1e-12 * max(np.abs(values).max(initial=0), 1e-300)][:, : p - basis.shape[1]]
+        q, _ = np.linalg.qr(q - basis @ (basis.T @ q))
+        if error <= TOLERANCE * max(values.max(initial=0), 1e-300) and basis.shape[1] >= k or not q.shape[1] or basis.shape[1] >= 2 * k + MAX_BASIS:
+            return np.maximum(values, 0), basis @ s
+
+
 def pca(x: DataFrame, cells: DataFrame, genes: list[int], n_comps: int = 50) -> tuple[DataFrame, DataFrame, np.ndarray, np.ndarray]:
-    """(scores (cell_id, v), loadings (gene_id, v), variance, ratio): centred, not scaled, from the genes' covariance.
+    """(scores (cell_id, v), loadings (gene_id, v), variance, ratio): centred, not scaled, for any number of genes.
 
-    Scores are one pass: a sum over a cell's non-zeros less the mean's part, so cells are never made dense.
+    Components are the eigenvectors of the genes' covariance by block Lanczos: each step is one pass over the cells' non-zeros, and
+    no genes-by-genes matrix is made; the driver holds genes by a few hundred columns. Scores are one pass more: a sum over a
+    cell's non-zeros less the mean's part, so cells are never made dense.
     """
-    n = cells.count()
-    g, s = gram(x, genes)
-    k = min(n_comps, min(n, len(genes)) - 1)
-    cov = (g - np.outer(s, s) / n) / (n - 1)
-    values, vectors = np.linalg.eigh(cov)
-    values, vectors = np.maximum(values[::-1], 0), signed(vectors[:, ::-1][:, :k])
+    n, p = cells.count(), len(genes)
+    k = min(n_comps, min(n, p) - 1)
+    if p * (3 * n_comps + MAX_BASIS) > MAX_THIN:
+        raise ValueError(f"{p} genes by {n_comps} components; products of thin matrices are for {MAX_THIN} numbers at most")
+    rows = cell_rows(x.join(cells.select("cell_id"), "cell_id", "left_semi"), genes)
+    flat = rows.select(F.explode(F.arrays_zip("g", "v")).alias("e")).groupBy("e.g").agg(F.sum("e.v").alias("s"), F.sum(F.col("e.v") * F.col("e.v")).alias("q")).toPandas()  # one row a gene
+    mean, square = np.zeros(p), np.zeros(p)
+    mean[flat["g"]], square[flat["g"]] = flat["s"] / n, flat["q"]
+    total = (square - n * mean * mean).sum() / max(n - 1, 1)
+    values, vectors = block_lanczos(lambda w: covariance_times(rows, mean, n, w), p, k)
+    vectors = signed(vectors)
     spark = x.sparkSession
     load = spark.createDataFrame([(int(gene), [float(c) for c in row]) for gene, row in zip(genes, vectors, strict=True)], "gene_id int, v array<double>")
-    shift = vectors.T @ (s / n)
+    shift = vectors.T @ mean
     part = x.join(F.broadcast(load), "gene_id").groupBy("cell_id").agg(*(F.sum(F.col("value") * F.col("v")[i]).alias(f"_{i}") for i in range(k)))
     v = F.array(*(F.coalesce(F.col(f"_{i}"), F.lit(0.0)) - float(shift[i]) for i in range(k)))
     scores = cells.select("cell_id").join(part, "cell_id", "left").select("cell_id", v.alias("v"))
-    return scores, load, values[:k], values[:k] / max(values.sum(), 1e-300)
+    return scores, load, values, values / max(total, 1e-300)
 
 
 def top_loadings(load: DataFrame, top_n: int = 10) -> DataFrame:

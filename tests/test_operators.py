@@ -590,3 +590,50 @@ def test_low_resolution_joins_communities(spark):
     _, edges = planted(12, 2, 0.9, 0.1, 6)
     e = spark.createDataFrame(edges, "src long, dst long, w double")
     assert cluster.communities(e, spark.range(12).select(F.col("id").alias("cell_id")), 0.05).select("cluster").distinct().count() == 1
+
+
+def test_pca_agrees_with_eigh(spark):
+    rng = np.random.default_rng(3)
+    dense = rng.poisson(0.4, size=(60, 40)) * rng.normal(2, 1, size=(60, 40)) * np.linspace(3, 0.2, 40)
+    dense[5] = 0
+    rows = [(i, j * 3, float(v)) for i, r in enumerate(dense) for j, v in enumerate(r) if v] + [(99, 0, 50.0), (1, 1, 50.0)]
+    x = spark.createDataFrame(rows, "cell_id long, gene_id int, value double")
+    cells = spark.range(60).select(F.col("id").alias("cell_id"))
+    scores, load, var, ratio = linear.pca(x, cells, list(range(0, 120, 3)), 6)
+    values_, vectors = np.linalg.eigh(np.cov(dense.T))
+    assert var == pytest.approx(values_[::-1][:6], rel=1e-7) and ratio == pytest.approx(values_[::-1][:6] / values_.sum(), rel=1e-7)
+    got = np.array([r["v"] for r in load.orderBy("gene_id").collect()])
+    want = linear.signed(vectors[:, ::-1][:, :6])
+    assert got == pytest.approx(want, abs=1e-6)
+    found = {r["cell_id"]: r["v"] for r in scores.collect()}
+    assert np.array([found[i] for i in range(60)]) == pytest.approx((dense - dense.mean(0)) @ want, abs=1e-5)
+
+
+def test_pca_of_twenty_thousand_genes(spark):
+    """Three planted components among 20,000 genes: no genes-by-genes matrix fits here, sums of squares do."""
+    genes, n = 20_000, 120
+    rng = np.random.default_rng(0)
+    factors = rng.normal(size=(n, 3)) * (9, 6, 4)
+    load = np.zeros((3, genes))
+    for k in range(3):
+        load[k, rng.choice(genes, 40, replace=False)] = rng.normal(size=40)
+    dense = factors @ load
+    some = np.argwhere(dense != 0)
+    noise = np.column_stack([rng.integers(0, n, 5000), rng.integers(0, genes, 5000)])
+    dense[noise[:, 0], noise[:, 1]] += rng.normal(size=5000) * 0.1
+    some = np.unique(np.vstack([some, noise]), axis=0)
+    x = spark.createDataFrame([(int(i), int(j), float(dense[i, j])) for i, j in some], "cell_id long, gene_id int, value double")
+    _, found, var, _ = linear.pca(x, spark.range(n).select(F.col("id").alias("cell_id")), list(range(genes)), 3)
+    centred = dense - dense.mean(0)
+    _, size, right = np.linalg.svd(centred, full_matrices=False)
+    assert var == pytest.approx(size[:3] ** 2 / (n - 1), rel=1e-7)
+    got = np.array([r["v"] for r in found.orderBy("gene_id").collect()])
+    assert np.abs((got * right[:3].T).sum(0)) == pytest.approx(1, abs=1e-6)
+
+
+def test_block_lanczos_of_low_rank_and_flat_spectra():
+    rng = np.random.default_rng(1)
+    b = rng.normal(size=(50, 3))
+    for a in (b @ b.T, np.eye(50), np.zeros((50, 50)), np.diag(np.arange(50.0))):
+        v, u = linear.block_lanczos(lambda w, a=a: a @ w, 50, 5)
+        assert v == pytest.approx(np.linalg.eigvalsh(a)[::-1][:5], abs=1e-7) and a @ u == pytest.approx(u * v, abs=1e-6)
