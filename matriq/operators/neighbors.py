@@ -20,8 +20,8 @@ from matriq.lineage import cut
 ONE_CELL, MAX_CELLS = 4096, 4096
 #: Vectors that pivots are fitted on, for each pivot, and rounds of fitting.
 SAMPLE, ROUNDS = 8, 4
-#: Candidates and visitors of a cell that meet in one task.
-BLOCK, VISITORS = 2048, 4096
+#: Candidates and visitors that meet in one task, and visitors that are compared at once. Small cells that lie together share a bin.
+BLOCK, VISITORS, CHUNK = 8192, 16384, 1024
 #: Parts that copies of one vector are ranked in before they meet.
 SALTS = 32
 #: Small tables that are broadcast.
@@ -29,6 +29,7 @@ FEW = 20_000
 #: Relative slack of bounds, far above rounding errors.
 SLACK = 1e-9
 
+VISITS = "uid bigint, v array<double>, within double, bins array<int>, cells array<array<int>>"
 PLACED = "uid bigint, v array<double>, ids array<bigint>, cell int, r double"
 
 
@@ -102,6 +103,21 @@ class Cells:
         self.centres = centres
         self.n = np.zeros(len(centres), np.int64)
         self.near, self.far = np.zeros(len(centres)), np.zeros(len(centres))
+        self.bin = np.zeros(len(centres), np.int32)
+
+    def gather(self, size: int) -> None:
+        """Bins of cells that lie together and hold at most `size` vectors, by halving along the widest axis; a larger cell is a bin of its own."""
+        todo, number = [np.flatnonzero(self.n > 0)], 0
+        while todo:
+            c = todo.pop()
+            if len(c) > 1 and self.n[c].sum() > size:
+                wide = np.ptp(self.centres[c], axis=0).argmax()
+                c = c[np.argsort(self.centres[c, wide], kind="stable")]
+                half = int(np.clip(np.searchsorted(np.cumsum(self.n[c]), self.n[c].sum() / 2), 1, len(c) - 1))
+                todo += [c[:half], c[half:]]
+            elif len(c):
+                self.bin[c] = number
+                number += 1
 
     def home(self, q: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
         """(distances to the centres, mask of the nearest cells that together hold `keep` vectors)."""
@@ -127,10 +143,6 @@ class Cells:
         return (np.maximum(least, plane) <= (within * (1 + SLACK) + SLACK * scale)[:, None]) & ~home & (self.n > 0)[None]
 
 
-def _lists(mask: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(mask.sum(1))]), pa.int32()), pa.array(np.nonzero(mask)[1], pa.int32()))
-
-
 def _placed(u: DataFrame, cells: Cells, metric: str) -> DataFrame:
     """u with the cell of each vector and its distance from the centre."""
 
@@ -146,7 +158,7 @@ def _placed(u: DataFrame, cells: Cells, metric: str) -> DataFrame:
 
 
 def _visits(queries: DataFrame, cells: Cells, metric: str, keep: int, first: bool) -> DataFrame:
-    """(uid, v, within, cells) of queries (uid, v, within): the cells at home, or those beyond that its distance doesn't rule out."""
+    """VISITS of queries (uid, v, within): the cells at home, or those beyond that its distance doesn't rule out, by bin. Queries without any are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -154,35 +166,60 @@ def _visits(queries: DataFrame, cells: Cells, metric: str, keep: int, first: boo
                 part = b.slice(at, 512)
                 q = embedded(points(part.column(1)), metric, True)
                 mask = cells.home(q, keep)[1] if first else cells.further(q, part.column(2).to_numpy(zero_copy_only=False), keep)
-                yield pa.RecordBatch.from_arrays([*part.columns, _lists(mask)], names=["uid", "v", "within", "cells"])
-
-    return queries.select("uid", "v", "within").mapInArrow(run, "uid bigint, v array<double>, within double, cells array<int>")
-
-
-def _compare(visits: DataFrame, placed: DataFrame, metric: str, keep: int) -> DataFrame:
-    """(src, dst, d): of each visit and block of the cell, the `keep` nearest ids within the query's distance."""
-    sizes = placed.groupBy("cell").agg(F.count("*").alias("_n"))
-    calls = visits.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("_m"))
-    plan = sizes.join(calls, "cell").select("cell", F.ceil(F.col("_n") / BLOCK).alias("_nb"), F.ceil(F.col("_m") / VISITORS).alias("_nq"))
-    plan = F.broadcast(cut(plan))  # MAX_CELLS rows at most
+                i, cell = np.nonzero(mask)
+                order = np.lexsort((cells.bin[cell], i))
+                i, cell, of = i[order], cell[order], cells.bin[cell[order]]
+                starts = np.flatnonzero((np.diff(i, prepend=-1) != 0) | (np.diff(of, prepend=-1) != 0))
+                inner = pa.ListArray.from_arrays(pa.array(np.append(starts, len(i)), pa.int32()), pa.array(cell, pa.int32()))
+                outer = pa.array(np.searchsorted(i[starts], np.arange(part.num_rows + 1)), pa.int32())
+                lists = [pa.ListArray.from_arrays(outer, pa.array(of[starts], pa.int32())), pa.ListArray.from_arrays(outer, inner)]
+                out = pa.RecordBatch.from_arrays([*part.columns, *lists], names=["uid", "v", "within", "bins", "cells"])
+                yield out.filter(pa.array(mask.any(1)))
+
+    return queries.select("uid", "v", "within").mapInArrow(run, VISITS)
+
+
+def _compare(visits: DataFrame, placed: DataFrame, cells: Cells, metric: str, keep: int, calls: dict[int, int] | None = None) -> DataFrame:
+    """(src, dst, d): of each visit to a bin's block, the `keep` nearest ids of the cells it is for, within the query's distance. calls: visits of each bin, if known."""
+    spark = placed.sparkSession
+    size = np.bincount(cells.bin, cells.n)
+    calls = calls or {r["bin"]: r["m"] for r in visits.select(F.explode("bins").alias("bin")).groupBy("bin").agg(F.count("*").alias("m")).collect()}  # MAX_CELLS rows at most
+    plan = [(b, int(-(-size[b] // BLOCK)), -(-m // VISITORS)) for b, m in calls.items()]
+    bins = F.broadcast(spark.createDataFrame(plan, "bin int, _nb int, _nq int"))
+    of = F.broadcast(spark.createDataFrame([(int(c), int(cells.bin[c])) for c in np.flatnonzero(cells.n)], "cell int, bin int"))
     part = lambda n, salt: F.pmod(F.xxhash64("uid", F.lit(salt)), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
-    left = visits.select("uid", "v", "within", F.explode("cells").alias("cell")).join(plan, "cell").withColumn("qb", part("_nq", 1)).withColumn("cb", every("_nb")).select("cell", "qb", "cb", "uid", "v", "within")
-    right = placed.join(plan, "cell").withColumn("cb", part("_nb", 2)).withColumn("qb", every("_nq")).select("cell", "qb", "cb", "uid", "v", "ids")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = visits.select("uid", "v", "within", F.explode(F.arrays_zip("bins", "cells")).alias("e")).select("uid", "v", "within", F.col("e.bins").alias("bin"), "e.cells")
+    left = left.join(bins, "bin").withColumn("qb", part("_nq", 1)).withColumn("cb", every("_nb")).select("bin", "qb", "cb", "uid", "v", "within", "cells")
+    right = placed.join(of, "cell").join(bins, "bin").withColumn("cb", part("_nb", 2)).withColumn("qb", every("_nq")).select("bin", "qb", "cb", "uid", "v", "ids", "cell")
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-        none = pa.table({"src": pa.array([], pa.int64()), "dst": pa.array([], pa.int64()), "d": pa.array([], pa.float64())})
         if not a.num_rows or not b.num_rows:
-            return none
-        a, b = a.combine_chunks(), b.combine_chunks()
+            return pa.table({"src": pa.array([], pa.int64()), "dst": pa.array([], pa.int64()), "d": pa.array([], pa.float64())})
+        a, b = a.combine_chunks(), b.sort_by("cell").combine_chunks()
         q, c = (embedded(points(t["v"].chunk(0)), metric, query) for t, query in ((a, True), (b, False)))
-        mid = c.mean(0)
-        x, y = q - mid, c - mid
-        square = (x * x).sum(1)[:, None] + (y * y).sum(1)[None]
-        d2 = square - 2 * x @ y.T
-        k = min(keep, len(c))
-        worst = np.minimum(np.partition(d2, k - 1, axis=1)[:, k - 1], (a["within"].to_numpy() * (1 + SLACK)) ** 2)
-        i, j = np.nonzero(d2 <= worst[:, None] + 1e-12 * square)
+        within = (a["within"].to_numpy() * (1 + SLACK)) ** 2
+        lists = a["cells"].chunk(0)
+        cell = lists.flatten().to_numpy()
+        visitor = np.repeat(np.arange(len(q)), np.diff(lists.offsets.to_numpy()))
+        order = np.argsort(cell, kind="stable")
+        cell, visitor = cell[order], visitor[order]
+        known, begin = np.unique(b["cell"].to_numpy(), return_index=True)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for name, lo, hi in zip(known, begin, [*begin[1:], len(c)], strict=True):
+            mid = c[lo:hi].mean(0)
+            y = c[lo:hi] - mid
+            yy, k = (y * y).sum(1)[None], min(keep, hi - lo)
+            who = visitor[slice(*np.searchsorted(cell, [name, name + 1]))]
+            for at in range(0, len(who), CHUNK):
+                mine = who[at : at + CHUNK]
+                x = q[mine] - mid
+                square = (x * x).sum(1)[:, None] + yy
+                d2 = square - 2 * x @ y.T
+                worst = np.minimum(np.partition(d2, k - 1, axis=1)[:, k - 1], within[mine])
+                u, v = np.nonzero(d2 <= worst[:, None] + 1e-12 * square)
+                found.append((mine[u], v + lo))
+        i, j = (np.concatenate([f[s] for f in found]) if found else np.zeros(0, int) for s in (0, 1))
         uid = b["uid"].to_numpy()
         ids = b["ids"].chunk(0)
         many = np.diff(ids.offsets.to_numpy())
@@ -199,7 +236,7 @@ def _compare(visits: DataFrame, placed: DataFrame, metric: str, keep: int) -> Da
                 i, d, j = np.repeat(i, times), np.repeat(d, times), np.repeat(start[j], times) + at
         return pa.table({"src": a["uid"].to_numpy()[i], "dst": ids[j], "d": d})
 
-    key = ["cell", "qb", "cb"]
+    key = ["bin", "qb", "cb"]
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(meet, "src long, dst long, d double")
 
 
@@ -214,28 +251,41 @@ def nearest(m: DataFrame, k: int, metric: str = "euclidean", cells: int | None =
     """(src, dst, d, rank): the k nearest others of each vector of m (cell_id, v), exactly; ties by dst.
 
     metric: euclidean, cosine or pearson (distances of 1 - r). cells: number of cells, if not the root of the number of vectors.
-    The driver holds pivots and one row a cell. Cells that are large, or visited by many, are cut into blocks, so no task holds
-    more than BLOCK candidates and about VISITORS queries. Copies of a vector are compared once. Null vectors are left out.
+    The driver holds pivots and one row a cell. Cells that are large, or visited by many, are cut into blocks, and small
+    ones that lie together meet their visitors in one task, which holds about BLOCK candidates and VISITORS queries. Copies
+    of a vector are compared once. Null vectors are left out.
     """
     keep = k + 1
     u, others = distinct_vectors(m, keep)
     n = u.count()
     if not n:
         return m.sparkSession.createDataFrame([], "src long, dst long, d double, rank int")
-    book = Cells(pivots(u, cells or (1 if n <= ONE_CELL else min(MAX_CELLS, round(n**0.5))), metric))
+    cells = cells or (1 if n <= ONE_CELL else min(MAX_CELLS, round(n**0.5)))
+    if cells == 1:  # all in one cell, which has no need of a pivot
+        book = Cells(np.zeros((1, 1)))
+        book.n[0] = n
+        placed = u.withColumn("cell", F.lit(0))
+        visits = placed.select(F.col("uid").alias("uid"), F.col("v").alias("v"), F.lit(float("inf")).alias("within"), F.array(F.lit(0)).alias("bins"), F.array(F.array(F.lit(0))).alias("cells"))
+        return _expanded(_best(_compare(visits, placed, book, metric, keep, {0: n}), keep), others, k)
+    book = Cells(pivots(u, cells, metric))
     placed = cut(_placed(u, book, metric))
     for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("r").alias("near"), F.max("r").alias("far")).collect():  # MAX_CELLS rows at most
         book.n[r["cell"]], book.near[r["cell"]], book.far[r["cell"]] = r["n"], r["near"], r["far"]
+    book.gather(BLOCK)
     asked = placed.select("uid", "v", F.lit(float("inf")).alias("within"))
-    best = _best(_compare(_visits(asked, book, metric, keep, True), placed, metric, keep), keep)
-    if len(book.centres) > 1:
-        best = cut(best)
-        worst = F.when(F.size("best") >= keep, F.element_at("best", -1)["d"]).otherwise(float("inf"))
-        worst = worst if metric == "euclidean" else F.sqrt(2 * F.greatest(worst, F.lit(0.0)))
-        bound = best.select(F.col("src").alias("uid"), worst.alias("within"))
-        visits = cut(_visits(placed.select("uid", "v").join(bound, "uid"), book, metric, keep, False).where(F.size("cells") > 0))
-        more = _compare(visits, placed, metric, keep)
-        best = _best(best.select("src", F.explode("best").alias("b")).select("src", "b.dst", "b.d").unionByName(more), keep)
+    best = _best(_compare(_visits(asked, book, metric, keep, True), placed, book, metric, keep), keep)
+    best = cut(best)
+    worst = F.when(F.size("best") >= keep, F.element_at("best", -1)["d"]).otherwise(float("inf"))
+    worst = worst if metric == "euclidean" else F.sqrt(2 * F.greatest(worst, F.lit(0.0)))
+    bound = best.select(F.col("src").alias("uid"), worst.alias("within"))
+    visits = cut(_visits(placed.select("uid", "v").join(bound, "uid"), book, metric, keep, False))
+    more = _compare(visits, placed, book, metric, keep)
+    best = _best(best.select("src", F.explode("best").alias("b")).select("src", "b.dst", "b.d").unionByName(more), keep)
+    return _expanded(best, others, k)
+
+
+def _expanded(best: DataFrame, others: DataFrame | None, k: int) -> DataFrame:
+    """(src, dst, d, rank) of every row: copies of a vector share what was found for it, but for themselves."""
     best = best.withColumn("cell_id", F.col("src"))
     if others is not None:
         best = cut(best)

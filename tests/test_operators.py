@@ -156,7 +156,7 @@ def brute_nearest(v, ids, k, metric):
 
 
 @pytest.mark.parametrize("metric", ["euclidean", "cosine", "pearson"])
-@pytest.mark.parametrize("cells,block", [(None, 2048), (7, 2048), (12, 5)])
+@pytest.mark.parametrize("cells,block", [(None, 8192), (7, 8192), (12, 5), (12, 40)])
 def test_nearest_in_cells_is_exact(spark, monkeypatch, metric, cells, block):
     """Clusters, copies, more copies than neighbours, and vectors of zeros."""
     monkeypatch.setattr(neighbors, "BLOCK", block)
@@ -196,10 +196,10 @@ def test_nearest_compares_few_pairs(spark, monkeypatch):
     rng = np.random.default_rng(2)
     seen, compare = [], neighbors._compare
 
-    def counted(visits, placed, metric, keep):
+    def counted(visits, placed, cells, metric, keep):
         n = placed.groupBy("cell").agg(F.count("*").alias("n"))
-        seen.append(visits.select(F.explode("cells").alias("cell")).join(n, "cell").agg(F.sum("n")).first()[0])
-        return compare(visits, placed, metric, keep)
+        seen.append(visits.select(F.explode(F.flatten("cells")).alias("cell")).join(n, "cell").agg(F.sum("n")).first()[0])
+        return compare(visits, placed, cells, metric, keep)
 
     monkeypatch.setattr(neighbors, "_compare", counted)
     pairs = []
