@@ -117,6 +117,20 @@ def geary(spark, d):
     return rounded(stats.gearys_c(ds.x, _graph(ds), ds.obs.count()), "gene_id")
 
 
+@query("autocorrelation_analytic", f"""{MORAN}, t AS (SELECT a.gene_id, sum(a.z * b.z) AS t, sum((a.z - b.z) ** 2) AS u, count(*)::DOUBLE AS w FROM g JOIN z a ON a.cell_id = src JOIN z b ON b.cell_id = dst AND a.gene_id = b.gene_id GROUP BY 1),
+q AS (SELECT gene_id, sum(z * z) AS q, count(*) * sum(z ** 4) / sum(z * z) ** 2 AS b FROM z GROUP BY 1), dg AS (SELECT src, count(*)::DOUBLE AS d FROM g GROUP BY 1),
+em AS (SELECT sum(d) AS s0, 2 * sum(d) AS s1, sum(4 * d * d) AS s2 FROM dg), nn AS (SELECT n::DOUBLE AS n FROM n),
+v AS (SELECT gene_id, n, n / w * t / q AS i, (n - 1) * u / (2 * w * q) AS c,
+(n * ((n * n - 3 * n + 3) * s1 - n * s2 + 3 * s0 * s0) - b * ((n * n - n) * s1 - 2 * n * s2 + 6 * s0 * s0)) / ((n - 1) * (n - 2) * (n - 3) * s0 * s0) - 1 / ((n - 1) * (n - 1)) AS vi,
+((n - 1) * s1 * (n * n - 3 * n + 3 - (n - 1) * b) - 0.25 * (n - 1) * s2 * (n * n + 3 * n - 6 - (n * n - n + 2) * b) + s0 * s0 * (n * n - 3 - (n - 1) * (n - 1) * b)) / (n * (n - 2) * (n - 3) * s0 * s0) AS vc
+FROM t JOIN q USING (gene_id), em, nn)
+SELECT gene_id, {q6('i')} AS i, {q6('c')} AS c, {q6('(i + 1 / (n - 1)) / sqrt(vi)')} AS i_z, {q6('(c - 1) / sqrt(vc)')} AS c_z FROM v""")
+def autocorrelation_analytic(spark, d):
+    """All genes; the graph has each edge both ways, once."""
+    ds = bindings.vectors(spark, d)
+    return rounded(stats.autocorrelation_analytic(ds.x, _graph(ds), ds.obs.count()).drop("i_p", "c_p"), "gene_id")
+
+
 PERM = """pn AS (SELECT unnest(range(1, 6)) AS perm), pa AS (SELECT perm, cell_id, row_number() OVER (PARTITION BY perm ORDER BY cell_id) AS k FROM pts, pn),
 pb AS (SELECT perm, other, row_number() OVER (PARTITION BY perm ORDER BY h, other) AS k FROM (SELECT perm, cell_id AS other, ('0x' || substr(md5(cell_id || '|' || perm || '|0'), 1, 15))::BIGINT AS h FROM pts, pn)),
 sw AS (SELECT perm, cell_id, other FROM pa JOIN pb USING (perm, k))"""

@@ -637,3 +637,38 @@ def test_block_lanczos_of_low_rank_and_flat_spectra():
     for a in (b @ b.T, np.eye(50), np.zeros((50, 50)), np.diag(np.arange(50.0))):
         v, u = linear.block_lanczos(lambda w, a=a: a @ w, 50, 5)
         assert v == pytest.approx(np.linalg.eigvalsh(a)[::-1][:5], abs=1e-7) and a @ u == pytest.approx(u * v, abs=1e-6)
+
+
+@pytest.mark.parametrize("randomised", [True, False])
+def test_analytic_autocorrelation(spark, randomised):
+    """Variances against those of many random placements, or of normal values, on a graph of uneven weights; p by the tail."""
+    rng = np.random.default_rng(2)
+    n, m = 14, 40_000
+    w = rng.random((n, n)) * (rng.random((n, n)) < 0.4) * (1 - np.eye(n))
+    v = np.where(rng.random(n) < 0.3, 0, rng.exponential(size=n))
+    e = spark.createDataFrame([(i, j, float(w[i, j])) for i, j in np.argwhere(w > 0).tolist()], "src long, dst long, w double")
+    x = spark.createDataFrame([(i, 0, float(a)) for i, a in enumerate(v) if a], "cell_id long, gene_id int, value double")
+    got = stats.autocorrelation_analytic(x, e, n, randomised).first()
+    many = np.array([rng.permutation(v) for _ in range(m)]) if randomised else rng.normal(size=(m, n))
+
+    def both(a):
+        z = a - a.mean(1, keepdims=True)
+        q = (z * z).sum(1)
+        lag = ((a[:, :, None] - a[:, None]) ** 2 * w).sum((1, 2)) if len(a) < 50 else np.concatenate([((b[:, :, None] - b[:, None]) ** 2 * w).sum((1, 2)) for b in np.array_split(a, 100)])
+        return n / w.sum() * np.einsum("ki,ij,kj->k", z, w, z) / q, (n - 1) * lag / (2 * w.sum() * q)
+
+    (i,), (c,) = both(v[None])
+    all_i, all_c = both(many)
+    assert got["i"] == pytest.approx(i) and got["c"] == pytest.approx(c)
+    assert got["i_z"] == pytest.approx((i + 1 / (n - 1)) / all_i.std(), rel=0.03) and got["c_z"] == pytest.approx((c - 1) / all_c.std(), rel=0.03)
+    assert got["i_p"] == pytest.approx(0.5 * math.erfc(abs(got["i_z"]) / 2**0.5)) and got["c_p"] == pytest.approx(0.5 * math.erfc(abs(got["c_z"]) / 2**0.5))
+    assert stats.autocorrelation_analytic(x.withColumn("value", F.lit(1.0)).union(spark.createDataFrame([(k, 0, 1.0) for k in range(n) if not v[k]], x.schema)), e, n).first()["i_z"] is None
+
+
+def test_permuted_geary_finds_blocks(spark):
+    p = grid(spark, 8, 4)
+    x = p.select("cell_id", F.lit(0).alias("gene_id"), F.when(F.col("section") == "A", 5.0).otherwise(0.0).alias("value")).where("value > 0")
+    x = x.union(p.where("(x + y) % 2 = 0").select("cell_id", F.lit(1), F.lit(5.0)))
+    t = stats.autocorrelation_test(x, graph.within(p, 1.0).withColumn("w", F.lit(1.0)), p, 64, 25, statistic="c")
+    assert values(t, "gene_id", "spatially_variable") == {0: True, 1: False}
+    assert [r["gene_id"] for r in stats.spatially_variable(t, "c").collect()] == [0]
