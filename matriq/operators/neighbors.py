@@ -1,8 +1,8 @@
 """Exact nearest neighbours by a partition of space: pivots, cells, and distance bounds that rule whole cells out.
 
-Each distinct vector goes to the cell of its nearest pivot. A first round compares a vector with its own cell, which bounds how
-far its neighbours can be; a second visits the cells that the triangle inequality, or the plane between two pivots, does not
-put farther away than that. Cosine and Pearson distances are squared chords of unit vectors, so the same bounds hold.
+Each distinct vector goes to the cell of its nearest pivot. A first round compares a vector with the cells around it, which
+bounds how far its neighbours can be; a second visits the cells that the triangle inequality, or the plane between two pivots,
+does not put farther away than that. Cosine and Pearson distances are squared chords of unit vectors, so the same bounds hold.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from matriq.lineage import cut
 
 #: Up to so many distinct vectors are one cell; more are cut into about the root of their number, at most MAX_CELLS.
 ONE_CELL, MAX_CELLS = 4096, 4096
+#: Cells that a first round visits.
+HOME = 4
 #: Vectors that pivots are fitted on, for each pivot, and rounds of fitting.
 SAMPLE, ROUNDS = 8, 4
 #: Candidates and visitors that meet in one task, and visitors that are compared at once. Small cells that lie together share a bin.
@@ -120,13 +122,14 @@ class Cells:
                 number += 1
 
     def home(self, q: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
-        """(distances to the centres, mask of the nearest cells that together hold `keep` vectors)."""
+        """(distances to the centres, mask of the HOME nearest cells, or as many as together hold `keep` vectors)."""
         d = distances(q, self.centres)
         mask = np.zeros(d.shape, bool)
         order = np.where(self.n > 0, d, np.inf)
-        first = order.argmin(1)
-        mask[np.arange(len(q)), first] = True
-        for i in np.flatnonzero(self.n[first] < keep):
+        few = min(HOME, d.shape[1])
+        first = np.argpartition(order, few - 1, axis=1)[:, :few]
+        np.put_along_axis(mask, first, True, axis=1)
+        for i in np.flatnonzero(self.n[first].sum(1) < keep):
             by = np.argsort(order[i], kind="stable")
             upto = int(np.searchsorted(np.cumsum(self.n[by]), keep)) + 1
             mask[i, by[:upto]] = True
