@@ -7,13 +7,14 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matriq.lineage import cut
 from matriq.operators.neighbors import nearest
+from matriq.operators.triangulation import edges, triangles
+
 
 def within(points: DataFrame, radius: float, section: str | None = None) -> DataFrame:
     """(src, dst, d) of points (cell_id, x, y[, section]) at most radius apart: an equality join on grid squares.
@@ -153,20 +154,9 @@ def gaussian_weights(points: DataFrame, radius: float, peak: float = 1.0, self_f
 
 
 def delaunay_edges(points: DataFrame, max_radius: float | None = None, section: str | None = None) -> DataFrame:
-    """(src, dst, d), both ways, of the Delaunay triangulation of each section. A section is one task's work, as a slide is one image."""
-    from matriq.functions.delaunay import triangulate
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        xy, ids = pdf[["x", "y"]].to_numpy(float), pdf["cell_id"].to_numpy()
-        pairs = {(int(a), int(b)) for t in triangulate(xy) for a, b in ((t[0], t[1]), (t[1], t[2]), (t[2], t[0]))}
-        both = sorted(pairs | {(b, a) for a, b in pairs})
-        a, b = (np.array([p[i] for p in both], int) for i in (0, 1))
-        d = np.sqrt(((xy[a] - xy[b]) ** 2).sum(1)) if len(both) else np.zeros(0)
-        ok = d <= max_radius if max_radius else np.ones(len(d), bool)
-        return pd.DataFrame({"src": ids[a[ok]] if len(both) else [], "dst": ids[b[ok]] if len(both) else [], "d": d[ok]})
-
-    s = F.col(section) if section else F.lit("all")
-    return points.select("cell_id", "x", "y", s.alias("_s")).groupBy("_s").applyInPandas(lambda p: one(p), "src long, dst long, d double")
+    """(src, dst, d), both ways, of the Delaunay triangulation of each section, in tiles; those longer than max_radius go."""
+    e = edges(triangles(points, section))
+    return e.where(F.col("d") <= max_radius) if max_radius else e
 
 
 def median_nearest(points: DataFrame) -> DataFrame:

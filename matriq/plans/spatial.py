@@ -379,7 +379,10 @@ def gaussian_graph(spark, d):
     return rounded(graph.gaussian_weights(_points(bindings.vectors(spark, d)), 0.03), "src", "dst")
 
 
-@query("delaunay")
+@query("delaunay", f"""{B_}, pr AS (SELECT a.cell_id AS src, b.cell_id AS dst, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2, a.section, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM pts a JOIN pts b ON a.section = b.section AND a.cell_id < b.cell_id WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 0.1),
+th AS (SELECT src, dst, d, (x2 - x1) * (y - y1) - (y2 - y1) * (x - x1) AS side, (x - x1) * (x - x2) + (y - y1) * (y - y2) AS dot FROM pr JOIN pts r ON r.section = pr.section AND r.cell_id <> src AND r.cell_id <> dst),
+ok AS (SELECT src, dst, any_value(d) AS d FROM th GROUP BY 1, 2 HAVING coalesce(max(dot / side) FILTER (side < 0), '-inf'::DOUBLE) <= coalesce(min(dot / side) FILTER (side > 0), 'inf'::DOUBLE))
+SELECT src, dst, {q6('d')} AS d FROM ok UNION ALL SELECT dst, src, {q6('d')} FROM ok""")
 def delaunay(spark, d):
     return rounded(graph.delaunay_edges(_points(bindings.vectors(spark, d)), 0.1, "section"), "src", "dst")
 

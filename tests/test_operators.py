@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from matriq.dataset import Dataset, Registry
 from matriq.functions import cluster as local
+from matriq.functions import stars
 from matriq.functions.delaunay import triangulate
 from matriq.functions.special import beta_regularized, f_tail, spline_basis, t_two_sided
-from matriq.operators import annotate, cluster, communities, contour, geometry, graph, linear, neighbors, normalize, order, read, score, select, signal, stats
+from matriq.operators import annotate, cluster, communities, contour, geometry, graph, linear, neighbors, normalize, order, read, score, select, signal, stats, triangulation
 from matriq.sources import gene_sets, store, tenx
 from matriq.streaming import counts as streaming
 
@@ -331,6 +332,42 @@ def test_triangulation_covers_the_square():
     assert len(triangulate(np.array([[0, 0], [1, 1], [2, 2.0]]))) == 0
 
 
+def test_delaunay_tiles_equal_one_piece(spark, monkeypatch):
+    """Tiles, their rims and later rounds give the triangles of one piece: spread, clustered, on a grid, on a circle, with copies and sections."""
+    monkeypatch.setattr(triangulation, "POINTS", 120)
+    rng = np.random.default_rng(5)
+    turn = np.arange(150) * 2 * np.pi / 150
+    shapes = {
+        "even": rng.random((700, 2)),
+        "dense": np.vstack([rng.normal(size=(300, 2)), rng.normal(size=(400, 2)) * 0.01 + 5]),
+        "grid": np.array([(i, j) for i in range(20) for j in range(20)], float) * 0.1,
+        "ring": np.vstack([np.column_stack([np.cos(turn), np.sin(turn)]), rng.random((150, 2)) * 0.2]),
+        "line": np.column_stack([np.arange(200.0), np.arange(200) * 2.0]),
+        "one": np.array([[3.0, 4.0]]),
+    }
+    rows, want = [], set()
+    for k, (name, p) in enumerate(shapes.items()):
+        ids = 10_000 * k + rng.permutation(len(p))
+        t, _ = stars.around(p, ids, np.arange(len(p)))
+        want |= {(name, *sorted(int(ids[int(i)]) for i in r[:3])) for r in t}
+        rows += [(int(i), float(x), float(y), name) for i, (x, y) in zip(ids, p, strict=True)]
+    rows += [(r[0] + 1_000_000, *r[1:]) for r in rows[:50]] + [(None, 0.5, 0.5, "even"), (77_777, None, 0.5, "even"), (77_778, float("nan"), 0.5, "even")]
+    p = spark.createDataFrame(rows, "cell_id long, x double, y double, kind string")
+    got = [tuple(r) for r in triangulation.triangles(p, "kind").select("section", "a", "b", "c").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert triangulation.triangles(p.where("x > 1e9"), "kind").count() == 0 and graph.delaunay_edges(p.where("x > 1e9")).count() == 0
+
+
+def test_delaunay_triangles_have_empty_circles():
+    for seed in range(3):
+        p = np.random.default_rng(seed).random((200, 2))
+        t, _ = stars.around(p, np.arange(200), np.arange(200))
+        assert set(np.unique(np.sort(t[:, :3]), axis=0, return_counts=True)[1]) == {3}  # each seen from its three corners
+        assert (np.hypot(*(p[None] - t[:, None, 3:5]).transpose(2, 0, 1)) >= t[:, 5:] * (1 - 1e-9)).all()
+        hull = len(geometry.convex_hull([tuple(x) for x in p]))
+        assert len(t) == 3 * (2 * 200 - 2 - hull)
+
+
 def test_pca_matches_numpy(spark):
     rng = np.random.default_rng(3)
     v = rng.poisson(1.0, size=(40, 6)).astype(float)
