@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from matriq.functions.surface import covered, cubic
+from matriq.lineage import cut
 from matriq.operators.graph import median_nearest
 from matriq.operators.score import aggregate_genes
+from matriq.operators.triangulation import triangles
 from matriq.zeros import dense
 
 
@@ -27,49 +30,77 @@ def raw_field(x: DataFrame, obs: DataFrame, genes: list[int], log: bool = True,
 def smooth_field(field: DataFrame, points: DataFrame, section: str | None = None, sigma: float = 2.0, grid: int = 200) -> DataFrame:
     """(cell_id, value): the field on a grid of each section, blurred, and read back at the nearest grid place.
 
-    Grid places take the linear interpolation of the triangle they lie in. Fewer than four points, or points on a
-    line, keep their values. A section is one task's work, as a slide is one image.
+    Grid places take the cubic of the triangle they lie in, others are zero, but for those that cells are nearest to: they take
+    the value of the smallest cell. Sections of fewer than four points, or of points on a line, keep their values.
+    Triangles, places and their blur are rows, so no task holds a section.
     """
-    from matriq.functions.delaunay import triangulate
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, v = pdf[["x", "y"]].to_numpy(float), pdf["value"].to_numpy(float)
-        out = pdf[["cell_id"]].copy()
-        lo, span = p.min(0), np.maximum(np.ptp(p, axis=0), 1e-12)
-        tri = triangulate(p) if len(p) >= 4 else []
-        if not len(tri):
-            out["value"] = v
-            return out
-        q = (p - lo) / span * (grid - 1)
-        z, seen = np.zeros((grid, grid)), np.zeros((grid, grid), bool)
-        for t in tri:
-            a, b, c = q[t]
-            x0, x1 = int(math.floor(min(a[0], b[0], c[0]))), int(math.ceil(max(a[0], b[0], c[0])))
-            y0, y1 = int(math.floor(min(a[1], b[1], c[1]))), int(math.ceil(max(a[1], b[1], c[1])))
-            gx, gy = np.meshgrid(np.arange(max(x0, 0), min(x1, grid - 1) + 1), np.arange(max(y0, 0), min(y1, grid - 1) + 1))
-            det = (b[1] - c[1]) * (a[0] - c[0]) + (c[0] - b[0]) * (a[1] - c[1])
-            if abs(det) < 1e-12:
-                continue
-            u = ((b[1] - c[1]) * (gx - c[0]) + (c[0] - b[0]) * (gy - c[1])) / det
-            w = ((c[1] - a[1]) * (gx - c[0]) + (a[0] - c[0]) * (gy - c[1])) / det
-            hit = (u >= -1e-9) & (w >= -1e-9) & (u + w <= 1 + 1e-9)
-            z[gy[hit], gx[hit]] = (u * v[t[0]] + w * v[t[1]] + (1 - u - w) * v[t[2]])[hit]
-            seen[gy[hit], gx[hit]] = True
-        at = np.rint(q).astype(int)
-        z[at[:, 1], at[:, 0]] = np.where(seen[at[:, 1], at[:, 0]], z[at[:, 1], at[:, 0]], v)
-        if sigma > 0:
-            r = int(4 * sigma + 0.5)
-            k = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
-            k /= k.sum()
-            for axis in (0, 1):
-                z = np.apply_along_axis(lambda m: np.convolve(np.pad(m, r, mode="edge"), k, "valid"), axis, z)
-        out["value"] = z[at[:, 1], at[:, 0]]
-        return out
-
-    s = F.col(section) if section else F.lit("all")
-    cols = ["cell_id", "x", "y", *([section] if section else [])]
-    j = points.select(*cols).join(field, "cell_id").select("cell_id", "x", "y", "value", s.alias("_s"))
-    return j.groupBy("_s").applyInPandas(lambda p: one(p), "cell_id long, value double")
+    s = F.coalesce(F.col(section).cast("string"), F.lit("")) if section else F.lit("")
+    inner = points.select("cell_id", "x", "y", s.alias("s")).join(field.select("cell_id", F.col("value").cast("double").alias("v")), "cell_id")
+    p = placed(cut(inner), grid)
+    t = cut(triangles(p, "s"))
+    whole = t.select(F.col("section").alias("s")).distinct().join(p.groupBy("s").agg(F.count("*").alias("n")).where("n >= 4").select("s"), "s").withColumn("_ok", F.lit(True))
+    z = surface(t, p, grid)
+    own = p.groupBy("s", "gx", "gy").agg(F.min_by("v", "cell_id").alias("z"))
+    z = z.unionByName(own.join(z.select("s", "gx", "gy"), ["s", "gx", "gy"], "left_anti"))
+    out = p.join(blurred(z, grid, sigma), ["s", "gx", "gy"], "left").join(whole, "s", "left")
+    return out.select("cell_id", F.when(F.col("_ok"), F.col("z")).otherwise(F.col("v")).alias("value"))
+
+
+def placed(points: DataFrame, grid: int) -> DataFrame:
+    """points (s, x, y) with their nearest place (gx, gy) on a grid over each section, and its frame (x0, y0, wx, wy). One row a section is joined."""
+    f = points.groupBy("s").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), (F.max("x") - F.min("x")).alias("wx"), (F.max("y") - F.min("y")).alias("wy"))
+    f = f.withColumn("wx", F.greatest("wx", F.lit(1e-12))).withColumn("wy", F.greatest("wy", F.lit(1e-12)))
+    at = [F.rint((F.col(c) - F.col(f"{c}0")) / F.col(f"w{c}") * (grid - 1)).cast("int").alias(f"g{c}") for c in "xy"]
+    return points.join(f, "s").select(*points.columns, *at, "x0", "y0", "wx", "wy")
+
+
+def surface(t: DataFrame, p: DataFrame, grid: int) -> DataFrame:
+    """(s, gx, gy, z): grid places within triangles, by the cubic that meets values and slopes at corners and is smooth across sides.
+
+    Slopes are least squares over a point's neighbours by triangle, nearer ones counting more (1 / d^2).
+    """
+    both = [F.struct(F.col(a).alias("i"), F.col(b).alias("j"), (F.col(f"{b}x") - F.col(f"{a}x")).alias("dx"), (F.col(f"{b}y") - F.col(f"{a}y")).alias("dy")) for a, b in ("ab", "bc", "ca", "ba", "cb", "ac")]
+    e = t.select(F.inline(F.array(*both))).dropDuplicates(["i", "j"])
+    v = p.select(F.col("cell_id").alias("i"), "v")
+    e = e.join(v.select(F.col("i").alias("j"), F.col("v").alias("w")), "j").join(v, "i")
+    d = [F.col("dx"), F.col("dy")]
+    near = d[0] * d[0] + d[1] * d[1]
+    sums = [F.sum(a * b / near) for a, b in ((d[0], d[0]), (d[0], d[1]), (d[1], d[1]), (d[0], F.col("w") - F.col("v")), (d[1], F.col("w") - F.col("v")))]
+    g = e.groupBy("i", "v").agg(*(x.alias(n) for x, n in zip(sums, ("xx", "xy", "yy", "xv", "yv"), strict=True)))
+    det = F.col("xx") * F.col("yy") - F.col("xy") * F.col("xy")
+    flat = det <= 1e-12 * F.col("xx") * F.col("yy")
+    slope = [F.when(flat, 0.0).otherwise(n / det) for n in (F.col("xv") * F.col("yy") - F.col("yv") * F.col("xy"), F.col("yv") * F.col("xx") - F.col("xv") * F.col("xy"))]
+    g = cut(g.select("i", "v", slope[0].alias("p"), slope[1].alias("q")))
+    for c in "abc":
+        t = t.join(g.select(F.col("i").alias(c), F.col("v").alias(f"{c}v"), F.col("p").alias(f"{c}p"), F.col("q").alias(f"{c}q")), c)
+    t = t.withColumnRenamed("section", "s").join(p.groupBy("s").agg(*(F.first(c).alias(c) for c in ("x0", "y0", "wx", "wy"))), "s")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for start in range(0, len(b), 64):
+                part = b.iloc[start : start + 64]
+                v, xy, slopes = (part[[f"{c}{k}" for c in "abc" for k in ks]].to_numpy(float).reshape(len(part), 3, -1) for ks in ("v", "xy", "pq"))
+                at, u, gx, gy = covered((xy - part[["x0", "y0"]].to_numpy()[:, None]) / part[["wx", "wy"]].to_numpy()[:, None] * (grid - 1), grid)
+                yield pd.DataFrame({"s": part["s"].to_numpy()[at], "gx": gx, "gy": gy, "z": cubic(xy[at], v[at, :, 0], slopes[at], u)})
+
+    found = t.mapInPandas(run, "s string, gx int, gy int, z double")
+    return cut(found.groupBy("s", "gx", "gy").agg(F.avg("z").alias("z")))  # a place on a side is in two triangles, of one value
+
+
+def blurred(z: DataFrame, grid: int, sigma: float) -> DataFrame:
+    """(s, gx, gy, z) after a Gaussian blur of a grid that is zero elsewhere and goes on beyond its edges as it is there: one sum by rows, one by columns."""
+    if sigma <= 0:
+        return z
+    r = int(4 * sigma + 0.5)
+    k = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
+    k /= k.sum()
+    inner, edge = (F.array(*(F.lit(float(w)) for w in ws)) for ws in (k[r:], [k[: r + 1 - i].sum() for i in range(r + 1)]))
+    for c in ("gx", "gy"):
+        to = F.explode(F.sequence(F.greatest(F.col(c) - r, F.lit(0)), F.least(F.col(c) + r, F.lit(grid - 1))))
+        far = F.abs(F.col("_to") - F.col(c))
+        weight = F.when(F.col(c).isin(0, grid - 1), F.get(edge, far)).otherwise(F.get(inner, far))
+        z = z.withColumn("_to", to).withColumn("z", F.col("z") * weight).withColumn(c, F.col("_to")).groupBy("s", "gx", "gy").agg(F.sum("z").alias("z"))
+    return z
 
 
 def bands(field: DataFrame, levels: int = 6) -> DataFrame:
@@ -108,8 +139,8 @@ def assign_modules(banded: DataFrame, cutoffs: dict[str, int], edges: DataFrame,
     Voters are neighbours in `edges` (of the same section if named), the k nearest by profile (cell_id, v); the module with
     most votes wins if no other has as many, else the cell is unassigned.
     """
-    cut = F.coalesce(*(F.when(F.col("module") == m, F.lit(c)) for m, c in cutoffs.items()))
-    high = banded.where(F.col("band") >= cut).select("cell_id", "module")
+    least = F.coalesce(*(F.when(F.col("module") == m, F.lit(c)) for m, c in cutoffs.items()))
+    high = banded.where(F.col("band") >= least).select("cell_id", "module")
     n = high.groupBy("cell_id").agg(F.count("*").alias("n_high"), F.min("module").alias("one"))
     single, torn = n.where("n_high = 1").select("cell_id", F.col("one").alias("vote")), n.where("n_high > 1").select("cell_id")
     e = edges.select("src", "dst").distinct()

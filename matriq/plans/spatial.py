@@ -253,6 +253,24 @@ def contour_smooth(spark, d):
     return rounded(contour.smooth_field(_field(ds), _points(ds), "section", 2.0, 40), "cell_id")
 
 
+K5 = "(1 + 2 * list_sum(list_transform(range(1, 9), lambda u: exp(-u * u / 8.0))))"
+
+
+@query("contour_blur", f"""{B_}, f AS (SELECT section, min(x) AS x0, min(y) AS y0, max(x) - min(x) AS wx, max(y) - min(y) AS wy FROM pts GROUP BY 1),
+pl AS (SELECT cell_id, section AS s, CAST(round_even((x - x0) / wx * 39, 0) AS INT) AS gx, CAST(round_even((y - y0) / wy * 39, 0) AS INT) AS gy, e.v[4] + 1 AS v FROM pts JOIN f USING (section) JOIN e USING (cell_id, section)),
+z AS (SELECT s, gx, gy, avg(v) AS z FROM pl GROUP BY 1, 2, 3), k AS (SELECT unnest(range(-8, 9)) AS k),
+bx AS (SELECT q.s, q.gx, z.gy, sum(z.z * exp(-k * k / 8.0) / {K5}) AS z FROM (SELECT DISTINCT s, gx FROM pl) q CROSS JOIN k JOIN z ON z.s = q.s AND z.gx = least(39, greatest(0, q.gx + k)) GROUP BY 1, 2, 3),
+bl AS (SELECT q.s, q.gx, q.gy, sum(b.z * exp(-k * k / 8.0) / {K5}) AS z FROM (SELECT DISTINCT s, gx, gy FROM pl) q CROSS JOIN k JOIN bx b ON b.s = q.s AND b.gx = q.gx AND b.gy = least(39, greatest(0, q.gy + k)) GROUP BY 1, 2, 3)
+SELECT cell_id, pl.gx, pl.gy, {q6('bl.z')} AS value FROM pl JOIN bl ON bl.s = pl.s AND bl.gx = pl.gx AND bl.gy = pl.gy""")
+def contour_blur(spark, d):
+    """Cells' values on a grid of each section (a place has their mean), blurred and read back."""
+    ds = bindings.vectors(spark, d)
+    p = contour.placed(_points(ds).withColumnRenamed("section", "s").join(_field(ds), "cell_id"), 40)
+    z = p.groupBy("s", "gx", "gy").agg(F.avg("value").alias("z"))
+    out = p.join(contour.blurred(z, 40, 2.0), ["s", "gx", "gy"])
+    return rounded(out.select("cell_id", "gx", "gy", F.col("z").alias("value")), "cell_id", "gx", "gy")
+
+
 @query("contour_suggestion", f"{KNN2}, n AS (SELECT median(d) AS d FROM k WHERE rank = 1), s AS (SELECT count(*) AS n, greatest(max(x) - min(x), max(y) - min(y)) AS span FROM pts), g AS (SELECT CAST(greatest(50, least(600, round(sqrt(n)))) AS INT) AS grid, span FROM s) SELECT grid, {q6('greatest(1, least(6, 2 * d / (span / grid)))')} AS sigma FROM g, n")
 def contour_suggestion(spark, d):
     return rounded(contour.suggest_contour(_points(bindings.vectors(spark, d))), "grid")

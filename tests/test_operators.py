@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from matriq.dataset import Dataset, Registry
 from matriq.functions import cluster as local
-from matriq.functions import stars
-from matriq.functions.delaunay import triangulate
+from matriq.functions import stars, surface
 from matriq.functions.special import beta_regularized, f_tail, spline_basis, t_two_sided
 from matriq.operators import annotate, cluster, communities, contour, geometry, graph, linear, neighbors, normalize, order, read, score, select, signal, stats, triangulation
 from matriq.sources import gene_sets, store, tenx
@@ -249,6 +248,67 @@ def test_contour_field_bounds(spark):
     assert values(line) == values(f.where("cell_id < 3"))
 
 
+def test_cubic_of_a_triangle_is_smooth():
+    """Linear fields come out exactly, values and slopes at corners hold, and two triangles meet smoothly at their side."""
+    rng = np.random.default_rng(0)
+    p = rng.random((4, 2)) * [1, 3] + [[0, 0], [2, 0], [2, 3], [0, 3]]
+    f, g = rng.random(4), rng.normal(size=(4, 2))
+
+    def at(x, tri, f=f, g=g):
+        a, b, c = p[list(tri)]
+        u = np.linalg.solve(np.vstack([np.array([a, b, c]).T, np.ones(3)]), np.append(x, 1.0))
+        return surface.cubic(p[None, list(tri)], f[None, list(tri)], g[None, list(tri)], u[None])[0]
+
+    slope = lambda x, tri: [(at(x + h, tri) - at(x - h, tri)) / 2e-5 for h in np.eye(2) * 1e-5]
+    for share in (0.1, 0.35, 0.5, 0.9):
+        x = p[0] + share * (p[2] - p[0])
+        assert at(x, (0, 1, 2)) == pytest.approx(at(x, (0, 2, 3))) and slope(x, (0, 1, 2)) == pytest.approx(slope(x, (0, 2, 3)), abs=1e-3)
+    for i in range(3):
+        assert at(p[i], (0, 1, 2)) == pytest.approx(f[i]) and slope(p[i], (0, 1, 2)) == pytest.approx(list(g[i]), abs=1e-3)
+    flat = p @ [2.0, -1.0] + 3
+    assert at(p[:3].mean(0) + 0.1, (0, 1, 2), flat, np.tile([2.0, -1.0], (4, 1))) == pytest.approx((p[:3].mean(0) + 0.1) @ [2.0, -1.0] + 3)
+
+
+def test_grid_places_of_triangles():
+    q = np.random.default_rng(3).random((30, 3, 2)) * 12 - 1
+    q[0] = [[0, 0], [4, 0], [0, 4]]
+    t, u, gx, gy = surface.covered(q, 10)
+    want = set()
+    for k, (a, b, c) in enumerate(q):
+        for x in range(10):
+            for y in range(10):
+                w = np.linalg.solve(np.array([[a[0], b[0], c[0]], [a[1], b[1], c[1]], [1, 1, 1]]), [x, y, 1])
+                if w.min() >= -1e-9:
+                    want.add((k, x, y))
+    assert set(zip(t.tolist(), gx.tolist(), gy.tolist(), strict=True)) == want and len(t) == len(want)
+    assert np.einsum("nk,nkd->nd", u, q[t]) == pytest.approx(np.column_stack([gx, gy]))
+
+
+def test_blur_equals_a_dense_one(spark):
+    z = np.random.default_rng(0).random((12, 12)) * (np.random.default_rng(1).random((12, 12)) < 0.4)
+    rows = [("a", i, j, float(z[i, j])) for i in range(12) for j in range(12) if z[i, j]]
+    k = np.exp(-0.5 * (np.arange(-6, 7) / 1.5) ** 2)
+    want = z
+    for axis in (0, 1):
+        want = np.apply_along_axis(lambda m: np.convolve(np.pad(m, 6, mode="edge"), k / k.sum(), "valid"), axis, want)
+    got = {(r.gx, r.gy): r.z for r in contour.blurred(spark.createDataFrame(rows, "s string, gx int, gy int, z double"), 12, 1.5).collect()}
+    assert [got.get((i, j), 0.0) for i in range(12) for j in range(12)] == pytest.approx(want.ravel().tolist())
+
+
+def test_contour_sections_do_not_mix(spark):
+    """A linear field is kept inside, sections stay apart, and short, straight or repeated ones have their values."""
+    rng = np.random.default_rng(1)
+    p = [(k, float(x), float(y), "a") for k, (x, y) in enumerate(rng.random((200, 2)))] + [(k + 500, float(x) + 0.1, float(y), "b") for k, (x, y) in enumerate(rng.random((200, 2)))]
+    p += [(900 + k, float(k), 2.0 * k, "line") for k in range(9)] + [(950, 0.0, 0.0, None), (951, 0.0, 0.0, None)]
+    points = spark.createDataFrame(p, "cell_id long, x double, y double, kind string")
+    field = points.select("cell_id", F.when(F.col("kind") == "b", 0.0).when(F.col("kind") == "a", 3 + F.col("x") - F.col("y")).otherwise(F.col("cell_id")).cast("double").alias("value"))
+    got = values(contour.smooth_field(field, points, "kind", 0.0, 80))
+    assert len(got) == 411 and all(got[c] == 0.0 for c in range(500, 700))
+    assert all(got[c] == c for c in got if c >= 900)
+    assert max(abs(got[k] - (3 + x - y)) for k, x, y, s in p if s == "a") < 2 / 79
+    assert contour.smooth_field(field.limit(0), points, "kind").count() == 0
+
+
 def test_signal_is_found_and_negative_control_is_not(spark):
     rng = np.random.default_rng(0)
     cells, n = [], 15
@@ -321,17 +381,6 @@ def test_special_functions():
     assert spline_basis(np.linspace(0, 1, 30), np.array([0.3, 0.6])).sum(1) == pytest.approx(np.ones(30))
 
 
-def test_triangulation_covers_the_square():
-    p = np.random.default_rng(2).random((60, 2))
-    t = triangulate(p)
-    a, b, c = p[t[:, 0]], p[t[:, 1]], p[t[:, 2]]
-    area = np.abs((b[:, 0] - a[:, 0]) * (c[:, 1] - a[:, 1]) - (b[:, 1] - a[:, 1]) * (c[:, 0] - a[:, 0])).sum() / 2
-    hull = np.array(geometry.convex_hull([tuple(x) for x in p]))
-    want = abs(np.dot(hull[:, 0], np.roll(hull[:, 1], -1)) - np.dot(hull[:, 1], np.roll(hull[:, 0], -1))) / 2
-    assert area == pytest.approx(want, rel=0.02)
-    assert len(triangulate(np.array([[0, 0], [1, 1], [2, 2.0]]))) == 0
-
-
 def test_delaunay_tiles_equal_one_piece(spark, monkeypatch):
     """Tiles, their rims and later rounds give the triangles of one piece: spread, clustered, on a grid, on a circle, with copies and sections."""
     monkeypatch.setattr(triangulation, "POINTS", 120)
