@@ -12,7 +12,8 @@ from matriq.functions import cluster as local
 from matriq.lineage import cut
 from matriq.operators.communities import leiden, ranked
 from matriq.operators.linear import MAX_GENES, gram
-from matriq.zeros import average_rank, dense
+from matriq.operators.order import medians, running
+from matriq.zeros import counted
 
 #: Edges that a layout takes.
 MAX_EDGES = 1_000_000
@@ -74,21 +75,25 @@ def gene_correlations(x: DataFrame, obs: DataFrame, genes: list[int], how: str =
     """Correlations of the listed genes (MAX_GENES at most) over all cells of obs, zeros included: pearson, spearman or bicor. Genes that don't vary have zeros.
 
     A transform of the values that is 0 for a zero keeps the matrix sparse, so products are summed over non-zeros: ranks, or
-    biweighted deviations, less what a zero gets. Medians and deviations are one row a gene.
+    biweighted deviations, less what a zero gets. Ranks, medians and deviations are running sums over distinct values, among which
+    a gene's zeros are one. Medians and deviations are one row a gene.
     """
     n = obs.count()
     x = x.join(obs.select("cell_id"), "cell_id", "left_semi").where(F.col("gene_id").isin(genes)).select("cell_id", "gene_id", "value")
     base = np.zeros(len(genes))
     if how == "spearman":
-        x = x.where("value <> 0") if x.where("value < 0").isEmpty() else dense(x, obs, genes)
-        zero = x.groupBy("gene_id").agg(((n - F.count("*") + 1) / 2).alias("_zero"))  # one row a gene; a gene without zeros loses a constant
-        x = average_rank(x, "gene_id", F.lit(n)).join(F.broadcast(zero), "gene_id").select("cell_id", "gene_id", (F.col("rank") - F.col("_zero")).alias("value"))
+        x = cut(x)  # values meet their ranks by equality: both must see the same
+        r = running(counted(x, n), "value", "m", ["gene_id"], "_u").withColumn("rank", F.col("_u") - F.col("m") + (F.col("m") + 1) / 2)
+        r = cut(r.select("gene_id", "value", "rank"))
+        zero = r.where("value = 0").select("gene_id", F.col("rank").alias("_zero"))  # one row a gene; a gene without zeros loses nothing
+        x = x.where("value <> 0").join(r, ["gene_id", "value"]).join(zero, "gene_id", "left").select("cell_id", "gene_id", (F.col("rank") - F.coalesce("_zero", F.lit(0.0))).alias("value"))
     elif how == "bicor":
-        every = dense(x, obs, genes)
-        med = every.groupBy("gene_id").agg(F.median("value").alias("m"))
-        mad = every.join(F.broadcast(med), "gene_id").groupBy("gene_id", "m").agg(F.median(F.abs(F.col("value") - F.col("m"))).alias("d"), F.avg("value").alias("a"))
-        stats = mad.toPandas().set_index("gene_id").reindex(genes)  # one row a gene
-        m, d, a = (stats[c].to_numpy(float) for c in ("m", "d", "a"))
+        steps = cut(counted(x, n))
+        mid = cut(medians(steps, ["gene_id"]).withColumnRenamed("median", "a"))
+        off = steps.join(mid, "gene_id").groupBy("gene_id", F.abs(F.col("value") - F.col("a")).alias("value")).agg(F.sum("m").alias("m"))
+        mean = steps.groupBy("gene_id").agg((F.sum(F.col("value") * F.col("m")) / n).alias("mean"))
+        stats = medians(off, ["gene_id"]).join(mid, "gene_id").join(mean, "gene_id").toPandas().set_index("gene_id").reindex(genes).fillna(0.0)  # one row a gene; others are zero
+        m, d, a = (stats[c].to_numpy(float) for c in ("a", "median", "mean"))
         u = -m / (9 * np.where(d > 0, d, 1))
         base = np.where(d > 0, np.where(np.abs(u) < 1, -m * (1 - u * u) ** 2, 0), -a)
         given = x.sparkSession.createDataFrame([(int(g), *map(float, r)) for g, r in zip(genes, zip(m, d, a, base, strict=True), strict=True)], "gene_id int, m double, d double, a double, b double")

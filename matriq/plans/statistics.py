@@ -93,6 +93,12 @@ def diffexp_ttest(spark, d):
     return rounded(stats.differential(normalize.log_normalized(ds.x), _groups(ds), "BUILDING", "MACHINERY", "t-test", "bonferroni"), "gene_id", "direction")
 
 
+@query("diffexp_logreg")
+def diffexp_logreg(spark, d):
+    ds = bindings.counts(spark, d)
+    return rounded(stats.differential(normalize.log_normalized(ds.x), _groups(ds), "BUILDING", "MACHINERY", "logreg").drop("p", "padj"), "gene_id", "direction")
+
+
 @query("bh_adjust", f"{A_}, p AS (SELECT cell_id, region, (abs(hash_p) % 1000 + 1) / 1001 AS p FROM (SELECT cell_id, region, (cell_id * 7919 + 13) % 100003 AS hash_p FROM obs)), k AS (SELECT *, p * count(*) OVER (PARTITION BY region) / row_number() OVER (PARTITION BY region ORDER BY p) AS q FROM p) SELECT cell_id, {q6('least(1, min(q) OVER (PARTITION BY region ORDER BY p DESC RANGE UNBOUNDED PRECEDING))')} AS padj FROM k")
 def bh_adjust(spark, d):
     obs = bindings.counts(spark, d).obs
@@ -172,6 +178,19 @@ def gene_set_correlation(spark, d):
     return rounded(spark.createDataFrame(rows, "a int, b int, pearson double, spearman double"), "a", "b")
 
 
+@query("gene_set_bicor", f"""{A_}, z AS (SELECT o.cell_id, g.gene_id, coalesce(x.value, 0) AS v FROM obs o CROSS JOIN var g LEFT JOIN x ON x.cell_id = o.cell_id AND x.gene_id = g.gene_id),
+m AS (SELECT gene_id, median(v) AS m, avg(v) AS a FROM z GROUP BY 1), d AS (SELECT gene_id, median(abs(v - m)) AS d FROM z JOIN m USING (gene_id) GROUP BY 1),
+w AS (SELECT cell_id, gene_id, CASE WHEN d = 0 THEN v - a WHEN abs(v - m) < 9 * d THEN (v - m) * (1 - ((v - m) / (9 * d)) ** 2) ** 2 ELSE 0 END AS w FROM z JOIN m USING (gene_id) JOIN d USING (gene_id)),
+s AS (SELECT gene_id, sqrt(sum(w * w)) AS s FROM w GROUP BY 1), t AS (SELECT p.gene_id AS a, q.gene_id AS b, sum(p.w * q.w) AS t FROM w p JOIN w q USING (cell_id) GROUP BY 1, 2)
+SELECT t.a, t.b, {q6('t / (p.s * q.s)')} AS bicor FROM t JOIN s p ON p.gene_id = t.a JOIN s q ON q.gene_id = t.b""")
+def gene_set_bicor(spark, d):
+    """Biweight midcorrelations of all genes over all cells, zeros included."""
+    ds = bindings.counts(spark, d)
+    genes = sorted(r["gene_id"] for r in ds.var.collect())  # one row a gene
+    c = cluster.gene_correlations(ds.x, ds.obs, genes, "bicor")
+    return rounded(spark.createDataFrame([(g, h, float(c[i, j])) for i, g in enumerate(genes) for j, h in enumerate(genes)], "a int, b int, bicor double"), "a", "b")
+
+
 @query("gene_clusters")
 def gene_clusters(spark, d):
     ds = bindings.counts(spark, d)

@@ -30,6 +30,13 @@ def moments(x: DataFrame, n: int | Column, by: str = "gene_id") -> DataFrame:
     return g.select(by, "nnz", mean.alias("mean"), (F.col("s2") / n - mean * mean).alias("var"))
 
 
+def counted(x: DataFrame, n: int) -> DataFrame:
+    """(gene_id, value, m): how often a gene with any value has each of its values among n cells; what the table leaves out counts as zeros."""
+    steps = x.groupBy("gene_id", "value").agg(F.count("*").alias("m"))
+    zero = steps.groupBy("gene_id").agg((F.lit(n) - F.sum(F.when(F.col("value") != 0, F.col("m")).otherwise(0))).alias("m"))
+    return steps.where("value <> 0").union(zero.where("m > 0").select("gene_id", F.lit(0.0), "m"))
+
+
 def average_rank(x: DataFrame, by: str, n: Column, descending: bool = False, small: bool = False) -> DataFrame:
     """x with column rank, the average rank among n non-negative values of which the rest are zeros.
 

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from matriq import zeros
 from matriq.dataset import Dataset, Registry
 from matriq.functions import cluster as local
 from matriq.functions import stars, surface
@@ -512,6 +513,36 @@ def test_gene_set_clusterings_cover_genes(spark):
         assert len({got[g] for g in range(5)}) == 1 and len({got[g] for g in range(5, 10)}) == 1 and got[0] != got[5]
 
 
+def test_logistic_scores_are_the_optimum(spark):
+    rng = np.random.default_rng(2)
+    y = np.repeat([1.0, 0.0], 40)
+    m = rng.poisson(1.0, (80, 5)) * (rng.random((80, 5)) < 0.6) + np.outer(y, [1, 0, 0, 0, 0])
+    m[:, 4] = 0
+    w, design = np.zeros(6), np.column_stack([m, np.ones(80)])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-design @ w))
+        ridge = np.diag([1.0] * 5 + [0.0])
+        w -= np.linalg.solve(design.T @ (design * (p * (1 - p))[:, None]) + ridge, design.T @ (p - y) + ridge @ w)
+    x = spark.createDataFrame([(c, g + 3, float(m[c, g])) for c in range(80) for g in range(5) if m[c, g]], "cell_id long, gene_id int, value double")
+    groups = spark.createDataFrame([(c, "a" if y[c] else "b") for c in range(80)] + [(99, "c")], "cell_id long, label string")
+    got = values(stats.logistic_scores(x, groups, "a", "b"), "gene_id", "score")
+    assert set(got) == {3, 4, 5, 6} and [got[g + 3] for g in range(4)] == pytest.approx(list(w[:4]), abs=1e-5)
+    back = values(stats.logistic_scores(x, groups, "b", "a"), "gene_id", "score")
+    assert [back[g] for g in got] == pytest.approx([-v for v in got.values()], abs=1e-5)
+    top = stats.differential(x, groups, "a", "b", "logreg", top_n=1).collect()
+    assert {r["direction"] for r in top} <= {"up", "down"} and top[0]["gene_id"] == 3 and top[0]["p"] is None
+    assert stats.logistic_scores(x.limit(0), groups, "a", "b").count() == 0
+
+
+def test_medians_with_implicit_zeros(spark):
+    rng = np.random.default_rng(8)
+    m = np.round(rng.normal(size=(61, 7)), 1) * (rng.random((61, 7)) < np.linspace(0.1, 1, 7))
+    x = spark.createDataFrame([(c, g, float(m[c, g])) for c in range(61) for g in range(7) if m[c, g]], "cell_id long, gene_id int, value double")
+    for n in (61, 62):
+        every = np.vstack([m, np.zeros((n - 61, 7))])
+        assert values(order.medians(zeros.counted(x, n), ["gene_id"]), "gene_id", "median") == pytest.approx(dict(enumerate(np.median(every, axis=0))))
+
+
 def test_gene_correlations_are_those_of_all_cells(spark):
     rng = np.random.default_rng(3)
     for v in (np.maximum(rng.normal(size=(6, 90)), 0), rng.normal(size=(6, 90))):
