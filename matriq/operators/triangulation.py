@@ -26,6 +26,8 @@ POINTS = 2048
 STRIPS = 4
 #: Columns of a section and rows of a column at most; beyond them tiles have more points.
 MAX_LINES = 512
+#: Tiles of a task, about, and tasks of a round at most.
+TILES, MAX_TASKS = 4, 20_000
 #: Corners of hulls that travel with a round; with more of them points at the border wait until a tile is a section.
 MAX_CORNERS = 50_000
 
@@ -49,6 +51,7 @@ def triangles(points: DataFrame, section: str | None = None) -> DataFrame:
         corners = _corners(rest)
         columns, lines = _cuts(rest, size)
         placed = rest.mapInPandas(_place(columns, lines), "s string, tile long, own boolean, id long, x double, y double, known array<double>")
+        placed = placed.repartition(min(math.ceil(left / (TILES * size)), MAX_TASKS), "s", "tile")  # small rows, long work: tasks by tiles, not by bytes
         got = cut(placed.groupBy("s", "tile").applyInPandas(_settle(columns, lines, corners), FOUND))
         drop(rest)
         parts.append(got.where("b IS NOT NULL"))
