@@ -789,3 +789,16 @@ def test_permuted_geary_finds_blocks(spark):
     t = stats.autocorrelation_test(x, graph.within(p, 1.0).withColumn("w", F.lit(1.0)), p, 64, 25, statistic="c")
     assert values(t, "gene_id", "spatially_variable") == {0: True, 1: False}
     assert [r["gene_id"] for r in stats.spatially_variable(t, "c").collect()] == [0]
+
+
+def test_layout_of_many_edges_is_contracted(spark, monkeypatch):
+    """Four rings of cliques beyond the driver's edges: every node is placed once, and groups stay apart."""
+    monkeypatch.setattr(cluster, "MAX_EDGES", 300)
+    pairs = [(100 * g + a, 100 * g + b) for g in range(4) for a in range(40) for b in range(40) if a != b and (a - b) % 40 in (1, 2, 3, 37, 38, 39)]
+    edges = spark.createDataFrame([(a, b, 1.0) for a, b in pairs], "src long, dst long, w double")
+    nodes = spark.createDataFrame([(100 * g + a,) for g in range(4) for a in range(40)] + [(999,)], "cell_id long")
+    got = values(cluster.layout(edges, nodes), column="v")
+    assert len(got) == 161 and all(len(v) == 2 and np.isfinite(v).all() for v in got.values())
+    near = np.mean([math.dist(got[a], got[b]) for a, b in pairs])
+    apart = np.mean([math.dist(got[a], got[b]) for a in range(40) for b in range(100, 140)])
+    assert near < apart / 3
