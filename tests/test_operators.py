@@ -802,3 +802,20 @@ def test_layout_of_many_edges_is_contracted(spark, monkeypatch):
     near = np.mean([math.dist(got[a], got[b]) for a, b in pairs])
     apart = np.mean([math.dist(got[a], got[b]) for a in range(40) for b in range(100, 140)])
     assert near < apart / 3
+
+
+def test_gaussian_spread_equals_its_edges(spark, monkeypatch):
+    """Copies of places, cells without values or coordinates, sections and several blocks; no pair is shuffled for the edges."""
+    monkeypatch.setattr(graph, "CHUNK", 16)
+    monkeypatch.setattr(graph, "MAX_CHUNK", 32)
+    rng = np.random.default_rng(3)
+    rows = [(i, float(a), float(b), "s" if i % 3 else "t") for i, (a, b) in enumerate(rng.normal(size=(300, 2)).round(1))] + [(900, None, 1.0, "s"), (901, 9.0, 9.0, None)]
+    pts = spark.createDataFrame(rows, "cell_id long, x double, y double, section string")
+    v = spark.createDataFrame([(i, k, float(rng.integers(-3, 4))) for i in [*range(0, 300, 2), 900, 901, 955] for k in range(3) if (i + k) % 5], "cell_id long, k int, value double")
+    for section in (None, "section"):
+        edges = graph.gaussian_weights(pts, 0.7, section=section)
+        want = {(r["cell_id"], r["k"]): r["value"] for r in signal._spread(edges, v, ["k"]).collect()}
+        got = {(r["cell_id"], r["k"]): r["value"] for r in signal._spread(graph.Gaussian(pts, 0.7, section=section), v, ["k"]).collect()}
+        assert got == pytest.approx(want, abs=1e-12) and len(got) > 600
+        smoothed = [{(r["cell_id"], r["k"]): r["value"] for r in signal._smooth(n, v, ["k"], pts).collect()} for n in (edges, graph.Gaussian(pts, 0.7, section=section))]
+        assert smoothed[1] == pytest.approx(smoothed[0], abs=1e-12)
