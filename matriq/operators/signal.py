@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matriq.lineage import cut
-from matriq.operators.graph import median_nearest, smooth
+from matriq.operators.graph import Gaussian, median_nearest, row_normalized
 from matriq.operators.order import running
 from matriq.operators.stats import adjust_bh_spread, permuted
 
@@ -50,13 +50,26 @@ def log_rate(x: DataFrame) -> DataFrame:
     return x.join(t, "cell_id").select("cell_id", "gene_id", F.log1p(F.col("value") / F.col("_t") * 1e4).alias("value"))
 
 
-def _spread(edges: DataFrame, v: DataFrame, keys: list[str]) -> DataFrame:
+def _spread(edges: DataFrame | Gaussian, v: DataFrame, keys: list[str]) -> DataFrame:
     """Sum of w v over a cell's edges."""
+    if isinstance(edges, Gaussian):
+        return edges.spread(v, keys)
     return edges.select("src", "dst", "w").join(v.withColumnRenamed("cell_id", "dst"), "dst").groupBy(F.col("src").alias("cell_id"), *keys).agg(F.sum(F.col("w") * F.col("value")).alias("value"))
 
 
-def lr_scores(x: DataFrame, genes: DataFrame, near: DataFrame, mean: DataFrame) -> DataFrame:
-    """(interaction, cell_id, score): ligand spread by `near`, both sides averaged by `mean`, subunits summed, sides multiplied.
+def _smooth(edges: DataFrame | Gaussian, v: DataFrame, keys: list[str], cells: DataFrame) -> DataFrame:
+    """v after one step along the edges and a loop of weight 1 a cell, rows summing to 1."""
+    if not isinstance(edges, Gaussian):
+        loops = cells.select(F.col("cell_id").alias("src"), F.col("cell_id").alias("dst"), F.lit(1.0).alias("w"))
+        return _spread(row_normalized(edges.select("src", "dst", "w").union(loops).groupBy("src", "dst").agg(F.sum("w").alias("w"))), v, keys)
+    v = cut(v)
+    rows = edges.points.select("cell_id").unionAll(cells.select("cell_id")).groupBy("cell_id").agg(F.count("*").alias("_t"))  # rows of the Gaussian sum to 1
+    both = edges.spread(v, keys).unionByName(v.select("cell_id", *keys, "value").join(cells.select("cell_id"), "cell_id", "left_semi"))
+    return both.groupBy("cell_id", *keys).agg(F.sum("value").alias("value")).join(rows, "cell_id").select("cell_id", *keys, (F.col("value") / F.col("_t")).alias("value"))
+
+
+def lr_scores(x: DataFrame, genes: DataFrame, near: DataFrame | Gaussian, mean: DataFrame) -> DataFrame:
+    """(interaction, cell_id, score): ligand spread by `near` (edges, or a Gaussian without them), both sides averaged by `mean`, subunits summed, sides multiplied.
 
     Only genes of some pair go into the edge joins.
     """
@@ -68,14 +81,14 @@ def lr_scores(x: DataFrame, genes: DataFrame, near: DataFrame, mean: DataFrame)
     return left.withColumnRenamed("value", "l").join(right.withColumnRenamed("value", "r"), ["interaction", "cell_id"]).select("interaction", "cell_id", (F.col("l") * F.col("r")).alias("score"))
 
 
-def lr_significance(x: DataFrame, genes: DataFrame, near: DataFrame, mean: DataFrame, cells: DataFrame, n_perm: int = 20, seed: int = 0, section: str | None = None, level: float = 0.05) -> DataFrame:
+def lr_significance(x: DataFrame, genes: DataFrame, near: DataFrame | Gaussian, mean: DataFrame, cells: DataFrame, n_perm: int = 20, seed: int = 0, section: str | None = None, level: float = 0.05) -> DataFrame:
     """(interaction, cell_id, score, p, padj, significant): each score among those of permuted ligands, pooled over permutations.
 
     The permutation is a column, not a loop: ligand values are joined once with (perm, cell, other) and every later
     step has perm as one more key. A pair's null scores are counted by value and cut into ranges before they are ranked.
     """
     real = lr_scores(x, genes, near, mean)
-    real = smooth(real.select("cell_id", F.col("interaction").alias("gene_id"), F.col("score").alias("value")), near, cells).select(F.col("gene_id").alias("interaction"), "cell_id", F.col("value").alias("score"))
+    real = _smooth(near, real.withColumnRenamed("score", "value"), ["interaction"], cells).select("interaction", "cell_id", F.col("value").alias("score"))
     used = log_rate(x).join(F.broadcast(genes.select("gene_id").distinct()), "gene_id", "left_semi")
     lig = used.join(F.broadcast(genes.where("side = 'ligand'")), "gene_id").groupBy("interaction", "cell_id").agg(F.sum("value").alias("value"))
     rec = used.join(F.broadcast(genes.where("side = 'receptor'")), "gene_id").groupBy("interaction", "cell_id").agg(F.sum("value").alias("value"))
@@ -84,10 +97,7 @@ def lr_significance(x: DataFrame, genes: DataFrame, near: DataFrame, mean: DataF
     left = _spread(mean, _spread(near, moved, ["interaction", "perm"]), ["interaction", "perm"]).withColumnRenamed("value", "l")
     right = _spread(mean, rec, ["interaction"]).withColumnRenamed("value", "r")
     null = left.join(right, ["interaction", "cell_id"]).select("cell_id", "interaction", "perm", (F.col("l") * F.col("r")).alias("value"))
-    loops = cells.select(F.col("cell_id").alias("src"), F.col("cell_id").alias("dst"), F.lit(1.0).alias("w"))
-    whole = near.select("src", "dst", "w").union(loops).groupBy("src", "dst").agg(F.sum("w").alias("w"))
-    t = whole.groupBy("src").agg(F.sum("w").alias("_t"))
-    null = _spread(whole.join(t, "src").select("src", "dst", (F.col("w") / F.col("_t")).alias("w")), null, ["interaction", "perm"])
+    null = _smooth(near, null, ["interaction", "perm"], cells)
     total = cells.agg((F.count("*") * n_perm).alias("m"))
     steps = null.groupBy("interaction", F.col("value").alias("score")).agg(F.count("*").alias("n"))
     # Real scores go among them with a count of 0, after equal null scores, so nothing is joined by a sum of floats.
