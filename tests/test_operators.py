@@ -819,3 +819,14 @@ def test_gaussian_spread_equals_its_edges(spark, monkeypatch):
         assert got == pytest.approx(want, abs=1e-12) and len(got) > 600
         smoothed = [{(r["cell_id"], r["k"]): r["value"] for r in signal._smooth(n, v, ["k"], pts).collect()} for n in (edges, graph.Gaussian(pts, 0.7, section=section))]
         assert smoothed[1] == pytest.approx(smoothed[0], abs=1e-12)
+
+
+def test_combined_pairs_are_those_of_their_edges(spark):
+    rng = np.random.default_rng(5)
+    pts = spark.createDataFrame([(i, *map(float, rng.uniform(0, 4, 2).round(1)), "s" if i % 3 else "t") for i in range(150)], "cell_id long, x double, y double, section string")
+    sparse = spark.createDataFrame([(int(a), int(b), float(a % 5)) for a, b in rng.integers(0, 160, (400, 2))], "src long, dst long, w double").dropDuplicates(["src", "dst"])
+    for section in (None, "section"):
+        near = graph.Within(pts, 0.7, lambda d: 1 - d, section)
+        want = {(r["src"], r["dst"]): r["w"] for r in graph.combine_graphs([(sparse, 1.0), (near.edges(), 3.0)]).collect()}
+        got = graph.combine_graphs([(sparse, 1.0), (near, 3.0)]).collect()
+        assert len(got) == len(want) and {(r["src"], r["dst"]): r["w"] for r in got} == pytest.approx(want, abs=1e-12)
