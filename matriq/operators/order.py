@@ -21,9 +21,11 @@ def positions(df: DataFrame, ord_col: str, tie: str, by: Sequence[str] = (), nam
     """df with the place, from 0, of each row by (ord_col, tie), within each `by`.
 
     The column's quantiles, as literals of the plan, cut it into ranges; rows are numbered in their range, and
-    the counts of the ranges before, PARTS rows a group, are added.
+    the counts of the ranges before, PARTS rows a group, are added. Other columns without `by` are sorted by Spark's ranges.
     """
     numeric = dict(df.dtypes)[ord_col] in ("double", "float", "int", "bigint", "smallint", "tinyint")
+    if not numeric and not by:
+        return _sorted_positions(df, ord_col, tie, name)
     cuts = sorted(set(df.stat.approxQuantile(ord_col, [i / PARTS for i in range(1, PARTS)], 0.005))) if numeric else []
     part = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: F.col(ord_col) > c)) if cuts else F.lit(0)
     p = df.withColumn("_p", part)
@@ -34,6 +36,19 @@ def positions(df: DataFrame, ord_col: str, tie: str, by: Sequence[str] = (), nam
     return out.withColumn(name, F.col("_r") + F.col("_b")).drop("_p", "_r", "_b")
 
 
+def _sorted_positions(df: DataFrame, ord_col: str, tie: str, name: str) -> DataFrame:
+    """positions() by a sort of all rows: numbered in their part, written once, plus the counts of the parts before."""
+    rows = df.orderBy(ord_col, tie).withColumn("_p", F.spark_partition_id()).withColumn("_r", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    return numbered(cut(rows), ["_p"], "_r", name)
+
+
+def numbered(rows: DataFrame, part: Sequence[str], ord_col: str, name: str) -> DataFrame:
+    """rows with their number, from 0, over parts in order, within which ord_col has no gaps; one row a part is sorted in one task."""
+    before = rows.groupBy(*part).agg(F.count("*").alias("_c"), F.min(ord_col).alias("_m"))
+    before = before.withColumn("_b", F.sum("_c").over(Window.orderBy(*part)) - F.col("_c") - F.col("_m")).drop("_c", "_m")
+    return rows.join(F.broadcast(before), [*part]).withColumn(name, F.col(ord_col) + F.col("_b")).drop(*part, ord_col, "_b")
+
+
 def running(df: DataFrame, value: str, amount: str, by: Sequence[str], name: str, descending: bool = False, least: bool = False, total: str | None = None) -> DataFrame:
     """df with `name`: the sum (least: the minimum) of `amount` over a group's rows up to each row, in order of `value`.
 

@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from matriq import bindings, dataset
+from matriq.lineage import cut
 from matriq.operators import normalize, select
 from matriq.operators.order import positions
 from matriq.plans.base import NORM, A, B, q6, query, r6
@@ -31,16 +32,16 @@ def scratch(spark: SparkSession) -> str:
 
 @query("mtx_round_trip", f"{A_} SELECT cell_name, gene_name, CAST(value AS DOUBLE) AS value FROM x JOIN obs USING (cell_id) JOIN var USING (gene_id)")
 def mtx_round_trip(spark, d):
-    """A Matrix Market folder, written with numbers by name and opened again."""
+    """A Matrix Market folder, written in parts with numbers by name, the sizes in the first, and opened again."""
     ds, path = bindings.counts(spark, d), scratch(spark)
-    x = ds.x.join(ds.obs.select("cell_id", "cell_name"), "cell_id").join(F.broadcast(ds.var), "gene_id").select("cell_name", "gene_name", "value")
+    x = cut(ds.x.join(ds.obs.select("cell_id", "cell_name"), "cell_id").join(F.broadcast(ds.var), "gene_id").select("cell_name", "gene_name", "value"))
     cells, genes = (positions(x.select(c).distinct(), c, c, name=f"{c}_n") for c in ("cell_name", "gene_name"))
     x = x.join(cells, "cell_name").join(F.broadcast(genes), "gene_name")
-    lines = x.select(F.lit(1).alias("part"), F.concat_ws(" ", F.col("gene_name_n") + 1, F.col("cell_name_n") + 1, "value").alias("value"))
-    head = spark.createDataFrame([(0, f"%%MatrixMarket matrix coordinate real general\n{genes.count()} {cells.count()} {x.count()}")], "part int, value string")
-    head.unionAll(lines).coalesce(1).sortWithinPartitions("part").select("value").write.text(f"{path}/matrix.mtx")
+    lines = x.select(F.concat_ws(" ", F.col("gene_name_n") + 1, F.col("cell_name_n") + 1, "value").alias("value"))
+    head = spark.createDataFrame([(f"%%MatrixMarket matrix coordinate real general\n{genes.count()} {cells.count()} {x.count()}",)], "value string").coalesce(1)
+    head.unionAll(lines).write.text(f"{path}/matrix.mtx")
     for c, name in (("cell_name", "barcodes.tsv"), ("gene_name", "features.tsv")):
-        (cells if c == "cell_name" else genes).coalesce(1).sortWithinPartitions(f"{c}_n").select(c).write.text(f"{path}/{name}")
+        (cells if c == "cell_name" else genes).orderBy(f"{c}_n").select(c).write.text(f"{path}/{name}")
     got = tenx.read_trio(spark, *(f"{path}/{n}/part*" for n in ("matrix.mtx", "barcodes.tsv", "features.tsv")))
     return got.x.join(got.obs, "cell_id").join(got.var, "gene_id").select("cell_name", "gene_name", "value")
 

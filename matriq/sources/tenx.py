@@ -6,14 +6,21 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matriq.dataset import Dataset
+from matriq.lineage import cut
+from matriq.operators.order import numbered
 
 
 def read_trio(spark: SparkSession, matrix: str, barcodes: str, features: str) -> Dataset:
-    """Counts in Matrix Market form, genes by cells, 1-based; gzip or plain. Repeated gene names get -1, -2, ..."""
-    lines = spark.read.text(matrix).select(F.trim("value").alias("v")).where(~F.col("v").startswith("%"))
+    """Counts in Matrix Market form, genes by cells, 1-based; gzip or plain. Repeated gene names get -1, -2, ...
+
+    Each may be several files, which follow each other by name.
+    """
+    lines = spark.read.text(matrix).select(F.trim("value").alias("v"), F.col("_metadata.file_name").alias("f")).where(~F.col("v").startswith("%"))
     part = F.split("v", r"\s+")
     # The first line that is no remark gives the sizes. It goes once; an entry that happens to look like it stays.
-    head = lines.first()[0]
+    top = lines.agg(F.min("f")).first()[0]
+    head = lines.where(F.col("f") == top).first()[0]
+    lines = lines.select("v")
     again = lines.where(F.col("v") == head).count() - 1
     x = lines.where(F.col("v") != head).unionAll(spark.createDataFrame([(head,)] * again, "v string")).where(F.size(part) >= 3)
     x = x.select((part[1].cast("long") - 1).alias("cell_id"), (part[0].cast("int") - 1).alias("gene_id"), part[2].cast("double").alias("value")).where("value <> 0")
@@ -26,8 +33,9 @@ def read_trio(spark: SparkSession, matrix: str, barcodes: str, features: str) ->
 
 
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of one file with their number, kept in order by the file's offset: one whole-text read, then an array's positions."""
-    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), r"\r?\n")).alias("n", "value")).where("value <> ''").select(F.col("n").cast("long").alias("n"), "value")
+    """Lines with their number, over files by name: read in parts, numbered within them, plus the lines of the parts before. Empty lines count and go."""
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.regexp_replace("value", "\r$", "").alias("value"), F.col("_metadata.file_name").alias("_f"), F.col("_metadata.file_block_start").alias("_s"), F.monotonically_increasing_id().alias("_r"))
+    return numbered(cut(lines), ["_f", "_s"], "_r", "n").where("rtrim(value) <> ''").select("n", "value")
 
 
 def rebin(bins: DataFrame, factor: int, mask: DataFrame | None = None, size: float = 1.0) -> tuple[DataFrame, DataFrame]:

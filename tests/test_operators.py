@@ -830,3 +830,26 @@ def test_combined_pairs_are_those_of_their_edges(spark):
         want = {(r["src"], r["dst"]): r["w"] for r in graph.combine_graphs([(sparse, 1.0), (near.edges(), 3.0)]).collect()}
         got = graph.combine_graphs([(sparse, 1.0), (near, 3.0)]).collect()
         assert len(got) == len(want) and {(r["src"], r["dst"]): r["w"] for r in got} == pytest.approx(want, abs=1e-12)
+
+
+def test_matrix_market_in_parts_and_places_of_names(spark, tmp_path):
+    """Files follow each other by name, whatever their sizes; lines are numbered over splits of files, empty ones too."""
+    for n in ("matrix.mtx", "barcodes.tsv", "features.tsv"):
+        (tmp_path / n).mkdir()
+    names = [f"cell{i:05d}" if i % 7 else "" for i in range(3000)]
+    (tmp_path / "barcodes.tsv/part-0").write_text("\n".join(names[:10]) + "\n")
+    (tmp_path / "barcodes.tsv/part-1").write_text("\r\n".join(names[10:]) + "\r\n")
+    (tmp_path / "features.tsv/part-0").write_text("k0\tA\nk1\tB\n")
+    (tmp_path / "matrix.mtx/part-0").write_text("%%MatrixMarket matrix coordinate real general\n2 3000 3000\n")
+    (tmp_path / "matrix.mtx/part-1").write_text("".join(f"{i % 2 + 1} {i + 1} {i + 1}\n" for i in range(3000)))
+    ds = tenx.read_trio(spark, *(f"{tmp_path}/{n}/part*" for n in ("matrix.mtx", "barcodes.tsv", "features.tsv")))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        assert values(ds.obs, column="cell_name") == {i: c for i, c in enumerate(names) if c}
+        ds = tenx.read_trio(spark, *(f"{tmp_path}/{n}/part*" for n in ("matrix.mtx", "barcodes.tsv", "features.tsv")))
+        assert values(ds.obs, column="cell_name") == {i: c for i, c in enumerate(names) if c}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert values(ds.x) == {i: i + 1.0 for i in range(3000)}
+    got = order.positions(spark.createDataFrame([(c,) for c in reversed(names) if c], "c string").repartition(5), "c", "c")
+    assert values(got, "c", "_k") == {c: i for i, c in enumerate(c for c in names if c)}
