@@ -135,7 +135,8 @@ def adjust_bonferroni(p: DataFrame, column: str = "p") -> DataFrame:
 
 def differential(x: DataFrame, groups: DataFrame, group1: str, group2: str, method: str = "wilcoxon", correction: str = "benjamini-hochberg", top_n: int = 10, min_fold: float = 0.0, min_in: float = 0.0, max_out: float = 1.0, max_padj: float = 1.0) -> DataFrame:
     """Top genes up and down: gene_id, score, p, padj, log2fc, in_fraction, out_fraction, direction. logreg has scores alone; its p and padj are null."""
-    pair = groups.where(F.col("label").isin(group1, group2))
+    # Both are read several times below, and what they come from is computed once.
+    x, pair = cut(x.select("cell_id", "gene_id", "value")), cut(groups.where(F.col("label").isin(group1, group2)).select("cell_id", "label"))
     m = group_moments(x, pair)
     a = m.where(F.col("group") == group1).select("gene_id", F.col("mean").alias("m1"), F.col("fraction").alias("in_fraction"))
     b = m.where(F.col("group") == group2).select("gene_id", F.col("mean").alias("m2"), F.col("fraction").alias("out_fraction"))
@@ -144,7 +145,7 @@ def differential(x: DataFrame, groups: DataFrame, group1: str, group2: str, meth
     elif method in ("t-test", "t-test_overestim_var"):
         s = t_test(x, pair, group1, group2, method.endswith("var")).select("gene_id", F.col("t").alias("score"), t_p("t", "df").alias("p"))
     elif method == "logreg":
-        s = logistic_scores(x, groups, group1, group2).withColumn("p", F.lit(None).cast("double")).withColumn("padj", F.col("p"))
+        s = logistic_scores(x, pair, group1, group2).withColumn("p", F.lit(None).cast("double")).withColumn("padj", F.col("p"))
     else:
         raise ValueError(f"method {method!r}")
     if method != "logreg":
