@@ -853,3 +853,31 @@ def test_matrix_market_in_parts_and_places_of_names(spark, tmp_path):
     assert values(ds.x) == {i: i + 1.0 for i in range(3000)}
     got = order.positions(spark.createDataFrame([(c,) for c in reversed(names) if c], "c string").repartition(5), "c", "c")
     assert values(got, "c", "_k") == {c: i for i, c in enumerate(c for c in names if c)}
+
+
+def _counting(df):
+    """df, and an accumulator of how many of its rows were made."""
+    made = df.sparkSession.sparkContext.accumulator(0)
+
+    def run(batches):
+        for pdf in batches:
+            made.add(len(pdf))
+            yield pdf
+
+    return df.mapInPandas(run, df.schema), made
+
+
+def test_differential_makes_its_values_once(spark):
+    x = spark.createDataFrame([(c, g, float((c * g) % 5 + 1)) for c in range(20) for g in range(4)], "cell_id long, gene_id int, value double")
+    groups = spark.createDataFrame([(c, "ab"[c % 2]) for c in range(20)], "cell_id long, label string")
+    x, made = _counting(x)
+    for method in ("wilcoxon", "logreg"):
+        before = made.value
+        stats.differential(x, groups, "a", "b", method).collect()
+        assert made.value - before == 80
+
+
+def test_gene_clusters_make_their_graph_once(spark):
+    varp, made = _counting(spark.createDataFrame([(0, 1, 0.0), (1, 2, 0.0)], "gsrc int, gdst int, w double"))
+    cluster.gene_clusters(varp, spark.createDataFrame([(g,) for g in range(4)], "gene_id int")).collect()
+    assert made.value == 2
