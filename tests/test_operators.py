@@ -805,7 +805,7 @@ def test_layout_of_many_edges_is_contracted(spark, monkeypatch):
 
 
 def test_gaussian_spread_equals_its_edges(spark, monkeypatch):
-    """Copies of places, cells without values or coordinates, sections and several blocks; no pair is shuffled for the edges."""
+    """Copies of places, cells without values or coordinates, sections and several blocks."""
     monkeypatch.setattr(graph, "CHUNK", 16)
     monkeypatch.setattr(graph, "MAX_CHUNK", 32)
     rng = np.random.default_rng(3)
