@@ -147,10 +147,24 @@ def default_thresholds(values: DataFrame) -> DataFrame:
     return spark.createDataFrame([(above, q1, q3)], schema)
 
 
+#: Modes of combining a current selection with a new one, by whether a cell is in either. Null ids are not told apart, so none is removed.
+MODES = {"replace": "new", "add": "current OR new", "intersect": "current AND new", "remove": "current AND (NOT new OR cell_id IS NULL)"}
+
+
+def combined(marked: DataFrame, modes: list[str]) -> DataFrame:
+    """(mode, cell_id) of each mode, from cells marked as in the selections (cell_id, current, new): one pass and one sum a cell for all modes.
+
+    A join for each mode would put the sorts and sums of all of them into one task.
+    """
+    cells = marked.groupBy("cell_id").agg(*(F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in ("current", "new")))
+    found = F.array_compact(F.array(*(F.when(F.expr(MODES[m]), F.lit(m)) for m in modes)))
+    return cells.select(F.explode(found).alias("mode"), "cell_id")
+
+
 def combine_selections(current: DataFrame, new: DataFrame, mode: str) -> DataFrame:
     """replace, add, remove or intersect, of tables of cell_id."""
-    a, b = current.select("cell_id"), new.select("cell_id")
-    return {"replace": lambda: b.distinct(), "add": lambda: a.union(b).distinct(), "intersect": lambda: a.intersect(b), "remove": lambda: a.distinct().join(b, "cell_id", "left_anti")}[mode]()
+    mark = lambda df, a: df.select("cell_id", F.lit(a).alias("current"), F.lit(not a).alias("new"))
+    return combined(mark(current, True).union(mark(new, False)), [mode]).select("cell_id")
 
 
 def label_high_low(context: DataFrame, selected: DataFrame, high: str = "high", low: str = "low") -> DataFrame:

@@ -194,12 +194,8 @@ def default_threshold(spark, d):
 @query("selection_algebra", f"{A_} SELECT 'add' AS mode, cell_id FROM obs WHERE segment = 'BUILDING' OR region = 'ASIA' UNION ALL SELECT 'intersect', cell_id FROM obs WHERE segment = 'BUILDING' AND region = 'ASIA' UNION ALL SELECT 'remove', cell_id FROM obs WHERE segment = 'BUILDING' AND region <> 'ASIA' UNION ALL SELECT 'replace', cell_id FROM obs WHERE region = 'ASIA'")
 def selection_algebra(spark, d):
     obs = bindings.counts(spark, d).obs
-    a, b = obs.where("segment = 'BUILDING'"), obs.where("region = 'ASIA'")
-    out = None
-    for mode in ("add", "intersect", "remove", "replace"):
-        one = select.combine_selections(a, b, mode).select(F.lit(mode).alias("mode"), "cell_id")
-        out = one if out is None else out.union(one)
-    return out
+    marked = obs.select("cell_id", (F.col("segment") == "BUILDING").alias("current"), (F.col("region") == "ASIA").alias("new"))
+    return select.combined(marked, ["add", "intersect", "remove", "replace"])
 
 
 @query("label_high_low", f"{A_} SELECT cell_id, CASE WHEN acctbal >= 5000 THEN 'high' ELSE 'low' END AS label FROM obs WHERE region = 'ASIA'")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from matriq import zeros
+from matriq import plans, zeros
 from matriq.dataset import Dataset, Registry
 from matriq.functions import cluster as local
 from matriq.functions import stars, surface
@@ -881,3 +881,20 @@ def test_gene_clusters_make_their_graph_once(spark):
     varp, made = _counting(spark.createDataFrame([(0, 1, 0.0), (1, 2, 0.0)], "gsrc int, gdst int, w double"))
     cluster.gene_clusters(varp, spark.createDataFrame([(g,) for g in range(4)], "gene_id int")).collect()
     assert made.value == 2
+
+
+def test_selections_of_all_modes_are_one_pass(spark, sf_dir):
+    """Repeated and null ids; a task of the query sorts and sums once for all modes, not once for each."""
+    a, b = (spark.createDataFrame([(c,) for c in ids], "cell_id long") for ids in ((1, 1, 2, 3, None), (2, 2, 4, None)))
+    want = {"replace": [2, 4, None], "add": [1, 2, 3, 4, None], "intersect": [2, None], "remove": [1, 3, None]}
+    order_of = lambda c: (c is None, c)
+    for mode, ids in want.items():
+        assert sorted((r["cell_id"] for r in select.combine_selections(a, b, mode).collect()), key=order_of) == ids
+    marked, made = _counting(spark.createDataFrame([(1, True, False), (1, None, True), (2, False, None)], "cell_id long, current boolean, new boolean"))
+    assert sorted(select.combined(marked, [*want]).collect()) == [("add", 1), ("intersect", 1), ("replace", 1)] and made.value == 3
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plans.queries()["selection_algebra"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("HashAggregate(") + plan.count("Sort [") <= 8
