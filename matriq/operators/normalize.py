@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matriq.lineage import cut
 from matriq.zeros import moments
 
 
@@ -67,9 +68,9 @@ def log1p(x: DataFrame, cells: DataFrame | None = None) -> DataFrame:
     return x.join(hit, "cell_id", "left").select("cell_id", "gene_id", F.when(F.col("_on"), F.log1p("value")).otherwise(F.col("value")).alias("value"))
 
 
-def log_normalized(x: DataFrame, target: float | None = None) -> DataFrame:
-    """The view that scores and displays read: totals normalised, then log1p."""
-    return log1p(normalize_total(x, target))
+def log_normalized(x: DataFrame, target: float | None = None, once: bool = False) -> DataFrame:
+    """The view that scores and displays read: totals normalised, then log1p. once: x, which totals, their median and rows read, is computed and written once."""
+    return log1p(normalize_total(cut(x) if once else x, target))
 
 
 def clip(values: DataFrame, percent: float) -> DataFrame:

@@ -68,7 +68,7 @@ s AS (SELECT gene_id, (rs - n1 * (n + 1) / 2) / sqrt(n1 * (n - n1) * (n + 1) / 1
 b AS (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p) AS bh FROM p), q AS (SELECT gene_id, score, p, least(1, greatest(0, min(bh) OVER (ORDER BY p DESC RANGE UNBOUNDED PRECEDING))) AS padj FROM b), {ENDS}""")
 def diffexp(spark, d):
     ds = bindings.counts(spark, d)
-    return rounded(stats.differential(normalize.log_normalized(ds.x), _groups(ds), "BUILDING", "MACHINERY"), "gene_id", "direction")
+    return rounded(stats.differential(normalize.log_normalized(ds.x, once=True), _groups(ds), "BUILDING", "MACHINERY"), "gene_id", "direction")
 
 
 @query("diffexp_scores", f"""{RANKS.replace("FROM obs)", "FROM obs WHERE segment IN ('BUILDING', 'MACHINERY'))").replace("FROM obs o", "FROM (SELECT * FROM obs WHERE segment IN ('BUILDING', 'MACHINERY')) o")},
@@ -90,13 +90,13 @@ def diffexp_scores(spark, d):
 p AS (SELECT *, {T_P} AS p FROM (SELECT *, score * score / (df + score * score) AS y, df / 2 AS h FROM s)), q AS (SELECT gene_id, score, p, least(1, p * count(*) OVER ()) AS padj FROM p), {ENDS}""")
 def diffexp_ttest(spark, d):
     ds = bindings.counts(spark, d)
-    return rounded(stats.differential(normalize.log_normalized(ds.x), _groups(ds), "BUILDING", "MACHINERY", "t-test", "bonferroni"), "gene_id", "direction")
+    return rounded(stats.differential(normalize.log_normalized(ds.x, once=True), _groups(ds), "BUILDING", "MACHINERY", "t-test", "bonferroni"), "gene_id", "direction")
 
 
 @query("diffexp_logreg")
 def diffexp_logreg(spark, d):
     ds = bindings.counts(spark, d)
-    return rounded(stats.differential(normalize.log_normalized(ds.x), _groups(ds), "BUILDING", "MACHINERY", "logreg").drop("p", "padj"), "gene_id", "direction")
+    return rounded(stats.differential(normalize.log_normalized(ds.x, once=True), _groups(ds), "BUILDING", "MACHINERY", "logreg").drop("p", "padj"), "gene_id", "direction")
 
 
 @query("bh_adjust", f"{A_}, p AS (SELECT cell_id, region, (abs(hash_p) % 1000 + 1) / 1001 AS p FROM (SELECT cell_id, region, (cell_id * 7919 + 13) % 100003 AS hash_p FROM obs)), k AS (SELECT *, p * count(*) OVER (PARTITION BY region) / row_number() OVER (PARTITION BY region ORDER BY p) AS q FROM p) SELECT cell_id, {q6('least(1, min(q) OVER (PARTITION BY region ORDER BY p DESC RANGE UNBOUNDED PRECEDING))')} AS padj FROM k")

@@ -898,3 +898,11 @@ def test_selections_of_all_modes_are_one_pass(spark, sf_dir):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("HashAggregate(") + plan.count("Sort [") <= 8
+
+
+def test_normalised_values_are_made_from_counts_once(spark):
+    x, made = _counting(spark.createDataFrame([(c, g, float(c + g + 1)) for c in range(6) for g in range(4)], "cell_id long, gene_id int, value double"))
+    want = {(r["cell_id"], r["gene_id"]): r["value"] for r in normalize.log_normalized(x).collect()}
+    before = made.value
+    got = {(r["cell_id"], r["gene_id"]): r["value"] for r in normalize.log_normalized(x, once=True).collect()}
+    assert got == pytest.approx(want) and made.value - before == 24 < before
