@@ -9,7 +9,7 @@ Refinement starts from single nodes and lets only these move, within their commu
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from matriq.lineage import cut, drop
@@ -61,22 +61,23 @@ class Level:
         stay = F.col("own") - F.col("k") * (F.col("all") - F.col("k")) * cost
         return out.select("u", "c", "k", "all", "part", "loop", "own", (-F.col("b._low")).alias("to"), (F.col("b.value") - stay).alias("gain"))
 
-    def summed(self, offers: DataFrame, wish: Column) -> tuple[float, int]:
-        """Modularity of the communities that offers were made for, and how many nodes wish to move."""
-        by = offers.groupBy("c").agg(F.sum("k").alias("s"), F.sum(F.col("own") + F.col("loop")).alias("i"), F.count_if(wish).alias("n"))
-        inner, outer, n = by.agg(F.sum("i"), F.sum(F.col("s") * F.col("s")), F.sum("n")).first()
-        return inner / self.total - self.resolution * outer / self.total**2, n
+    def offered(self, state: DataFrame, edges: DataFrame, wish: Column) -> tuple[DataFrame, float, int]:
+        """(offers(), written once; modularity of the state's communities; how many nodes wish to move). The figures are observed as offers are written."""
+        seen = Observation()
+        sums = F.sum(F.col("own") + F.col("loop")).alias("inner"), F.sum(F.col("k") * F.col("all")).alias("outer"), F.count_if(wish).alias("n")
+        made = cut(self.offers(state, edges).observe(seen, *sums))
+        got = seen.get
+        return made, got["inner"] / self.total - self.resolution * got["outer"] / self.total**2, got["n"]
 
     def moved(self, offers: DataFrame, edges: DataFrame, turn: str, wish: Column, n: int) -> DataFrame:
         """The state after the moves of an independent set of the n nodes that wish to move."""
-        wishes = offers.where(wish).select("u", F.col("c").alias("out"), "to", _priority(self.seed, turn).alias("p"))
-        side = F.broadcast(wishes) if n <= FEW else wishes
-        other = side.select(F.col("u").alias("v"), F.col("out").alias("_out"), F.col("to").alias("_to"), F.col("p").alias("_q"))
-        against = "(_out = to OR _to = out) AND (_q > p OR (_q = p AND v > u))"
-        beaten = edges.join(side, "u").join(other, "v").where(against).select("u").distinct()
-        moves = wishes.join(beaten, "u", "left_anti").select("u", F.col("to").alias("_to"))
-        moves = F.broadcast(moves) if n <= FEW else moves
-        out = offers.join(moves, "u", "left").select("u", F.coalesce("_to", "c").alias("c"), "k", "part", "loop")
+        few = F.broadcast if n <= FEW else lambda t: t
+        side = few(offers.where(wish).select("u", F.col("c").alias("out"), "to", _priority(self.seed, turn).alias("p")))
+        # One table under two names, so that it is made once.
+        both = edges.alias("e").join(side.alias("a"), F.col("e.u") == F.col("a.u")).join(side.alias("b"), F.col("e.v") == F.col("b.u"))
+        beaten = both.where("(b.out = a.to OR b.to = a.out) AND (b.p > a.p OR (b.p = a.p AND b.u > a.u))").select("a.u").distinct().withColumn("_beaten", F.lit(True))
+        goes = wish & F.col("_beaten").isNull()
+        out = offers.join(few(beaten), "u", "left").select("u", F.when(goes, F.col("to")).otherwise(F.col("c")).alias("c"), "k", "part", "loop")
         return cut(_with_sums(out))
 
     def settled(self, labels: DataFrame) -> tuple[DataFrame, float]:
@@ -88,8 +89,7 @@ class Level:
         best, kept, share, offers = float("-inf"), None, 0, None
         for k in range(ROUNDS):
             wish = F.col("gain") > LEAST * self.total
-            made = cut(self.offers(state, self.edges))
-            now, n = self.summed(made, wish)
+            made, now, n = self.offered(state, self.edges, wish)
             drop(state)
             if now > best + LEAST:
                 if kept is not None:
@@ -116,8 +116,7 @@ class Level:
         single = F.col("all") <= F.col("k") * (1 + 1e-9)
         wish = single & (F.col("gain") > LEAST * self.total)
         for k in range(ROUNDS):
-            offers = cut(self.offers(state, inner))
-            _, n = self.summed(offers, wish)
+            offers, _, n = self.offered(state, inner, wish)
             if not n:
                 drop(offers)
                 break

@@ -184,6 +184,29 @@ def test_nearest_in_cells_is_exact(spark, monkeypatch, metric, cells, block):
     assert graph.nearest(m.limit(0), 3).count() == 0
 
 
+def test_single_precision_loses_no_pair():
+    """Pairs at the limit itself are in, whatever the size of numbers; of those well beyond few are."""
+    rng = np.random.default_rng(4)
+    for size in (1e-140, 1e-20, 1.0, 1e15, 1e140):  # at 1e-160 the squares in double are too coarse themselves
+        x, y = size * rng.normal(size=(300, 64)), size * (rng.normal(size=(400, 64)) + 3)
+        y[:300:2] = x[::2] * (1 + 1e-9)
+        d2 = ((x[:, None] - y[None]) ** 2).sum(2)
+        limit = np.sort(d2, 1)[:, rng.integers(0, 12, 300)].diagonal().copy()
+        got = neighbors.within32(x, y, limit)
+        assert got[d2 <= limit[:, None]].all() and got.sum() < 1.1 * (d2 <= limit[:, None]).sum() + 300
+    assert neighbors.within32(np.zeros((2, 3)), np.zeros((4, 3)), np.zeros(2)).all() and neighbors.within32(np.zeros((2, 3)), np.ones((0, 3)), np.zeros(2)).shape == (2, 0)
+
+
+def test_nearest_ranks_pairs_on_the_way(spark, monkeypatch):
+    """A task that narrows its bounds after every few pairs finds the same neighbours."""
+    monkeypatch.setattr(neighbors, "PAIRS", 3)
+    v = np.random.default_rng(6).normal(size=(400, 16)).round(1)
+    v[40:60] = v[10]
+    m = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "cell_id long, v array<double>")
+    for cells in (None, 20):
+        assert {(r["src"], r["dst"], r["rank"]) for r in graph.nearest(m, 6, cells=cells).collect()} == brute_nearest(v, np.arange(400), 6, "euclidean")
+
+
 def test_nearest_on_a_grid_breaks_ties_by_id(spark):
     p = grid(spark, 8).select("cell_id", F.array("x", "y").cast("array<double>").alias("v"))
     rows = sorted((r["cell_id"], r["v"]) for r in p.collect())
