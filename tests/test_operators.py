@@ -726,6 +726,19 @@ def test_communities_of_joins(spark):
     assert communities.leiden(e.where("w < 0"), nodes).where("c <> cell_id").count() == 0
 
 
+def test_offers_come_with_the_modularity_of_their_state(spark):
+    """What is observed as offers are written is what a pass over the edges finds."""
+    of, edges = planted(40, 2, 0.4, 0.1, 8)
+    e = spark.createDataFrame(edges, "src long, dst long, w double")
+    both = e.toDF("u", "v", "w").union(e.select("dst", "src", "w"))
+    n = both.groupBy("u").agg(F.sum("w").alias("k")).withColumn("loop", F.lit(0.0))
+    level = communities.Level(n, both, 2 * sum(w for *_, w in edges), 0.7, 0, "test")
+    labels = spark.createDataFrame(list(enumerate(of.tolist())), "u long, c long")
+    made, found, wishes = level.offered(communities._with_sums(n.join(labels, "u").withColumn("part", F.lit(0))), both, F.col("gain") > 0)
+    assert found == pytest.approx(communities.modularity(e, labels.toDF("cell_id", "cluster"), 0.7))
+    assert wishes == made.where("gain > 0").count() and made.count() == n.count()
+
+
 def test_low_resolution_joins_communities(spark):
     _, edges = planted(12, 2, 0.9, 0.1, 6)
     e = spark.createDataFrame(edges, "src long, dst long, w double")
