@@ -68,36 +68,39 @@ def _smooth(edges: DataFrame | Gaussian, v: DataFrame, keys: list[str], cells: D
     return both.groupBy("cell_id", *keys).agg(F.sum("value").alias("value")).join(rows, "cell_id").select("cell_id", *keys, (F.col("value") / F.col("_t")).alias("value"))
 
 
-def lr_scores(x: DataFrame, genes: DataFrame, near: DataFrame | Gaussian, mean: DataFrame) -> DataFrame:
-    """(interaction, cell_id, score): ligand spread by `near` (edges, or a Gaussian without them), both sides averaged by `mean`, subunits summed, sides multiplied.
-
-    Only genes of some pair go into the edge joins.
-    """
+def _sides(x: DataFrame, genes: DataFrame) -> list[DataFrame]:
+    """(interaction, cell_id, value) of ligands and of receptors, subunits summed. Only genes of some pair go into the edge joins."""
     used = log_rate(x).join(F.broadcast(genes.select("gene_id").distinct()), "gene_id", "left_semi")
-    lig = used.join(F.broadcast(genes.where("side = 'ligand'")), "gene_id").groupBy("interaction", "cell_id").agg(F.sum("value").alias("value"))
-    rec = used.join(F.broadcast(genes.where("side = 'receptor'")), "gene_id").groupBy("interaction", "cell_id").agg(F.sum("value").alias("value"))
-    left = _spread(mean, _spread(near, lig, ["interaction"]), ["interaction"])
-    right = _spread(mean, rec, ["interaction"])
-    return left.withColumnRenamed("value", "l").join(right.withColumnRenamed("value", "r"), ["interaction", "cell_id"]).select("interaction", "cell_id", (F.col("l") * F.col("r")).alias("score"))
+    return [used.join(F.broadcast(genes.where(F.col("side") == side)), "gene_id").groupBy("interaction", "cell_id").agg(F.sum("value").alias("value")) for side in ("ligand", "receptor")]
+
+
+def _products(lig: DataFrame, rec: DataFrame, near: DataFrame | Gaussian, mean: DataFrame, keys: list[str]) -> DataFrame:
+    """(cell_id, keys, value): ligands spread by `near`, both sides averaged by `mean`, multiplied. `keys`: those of lig, interaction first."""
+    left = _spread(mean, _spread(near, lig, keys), keys).withColumnRenamed("value", "l")
+    right = _spread(mean, rec, ["interaction"]).withColumnRenamed("value", "r")
+    return left.join(right, ["interaction", "cell_id"]).select("cell_id", *keys, (F.col("l") * F.col("r")).alias("value"))
+
+
+def lr_scores(x: DataFrame, genes: DataFrame, near: DataFrame | Gaussian, mean: DataFrame) -> DataFrame:
+    """(interaction, cell_id, score): ligand spread by `near` (edges, or a Gaussian without them), both sides averaged by `mean`, subunits summed, sides multiplied."""
+    return _products(*_sides(x, genes), near, mean, ["interaction"]).select("interaction", "cell_id", F.col("value").alias("score"))
 
 
 def lr_significance(x: DataFrame, genes: DataFrame, near: DataFrame | Gaussian, mean: DataFrame, cells: DataFrame, n_perm: int = 20, seed: int = 0, section: str | None = None, level: float = 0.05) -> DataFrame:
     """(interaction, cell_id, score, p, padj, significant): each score among those of permuted ligands, pooled over permutations.
 
     The permutation is a column, not a loop: ligand values are joined once with (perm, cell, other) and every later
-    step has perm as one more key. A pair's null scores are counted by value and cut into ranges before they are ranked.
+    step has perm as one more key. Permutation 0 leaves cells where they are, so real scores take the same steps. A pair's
+    null scores are counted by value and cut into ranges before they are ranked.
     """
-    real = lr_scores(x, genes, near, mean)
-    real = _smooth(near, real.withColumnRenamed("score", "value"), ["interaction"], cells).select("interaction", "cell_id", F.col("value").alias("score"))
-    used = log_rate(x).join(F.broadcast(genes.select("gene_id").distinct()), "gene_id", "left_semi")
-    lig = used.join(F.broadcast(genes.where("side = 'ligand'")), "gene_id").groupBy("interaction", "cell_id").agg(F.sum("value").alias("value"))
-    rec = used.join(F.broadcast(genes.where("side = 'receptor'")), "gene_id").groupBy("interaction", "cell_id").agg(F.sum("value").alias("value"))
+    lig, rec = _sides(x, genes)
+    lig = cut(lig)
     swap = permuted(cells, seed, section, n_perm)
     moved = lig.join(swap, "cell_id").select(F.col("other").alias("cell_id"), "interaction", "perm", "value")
-    left = _spread(mean, _spread(near, moved, ["interaction", "perm"]), ["interaction", "perm"]).withColumnRenamed("value", "l")
-    right = _spread(mean, rec, ["interaction"]).withColumnRenamed("value", "r")
-    null = left.join(right, ["interaction", "cell_id"]).select("cell_id", "interaction", "perm", (F.col("l") * F.col("r")).alias("value"))
-    null = _smooth(near, null, ["interaction", "perm"], cells)
+    moved = moved.unionByName(lig.withColumn("perm", F.lit(0)))
+    found = cut(_smooth(near, _products(moved, rec, near, mean, ["interaction", "perm"]), ["interaction", "perm"], cells))
+    real = found.where("perm = 0").select("interaction", "cell_id", F.col("value").alias("score"))
+    null = found.where("perm > 0")
     total = cells.agg((F.count("*") * n_perm).alias("m"))
     steps = null.groupBy("interaction", F.col("value").alias("score")).agg(F.count("*").alias("n"))
     # Real scores go among them with a count of 0, after equal null scores, so nothing is joined by a sum of floats.

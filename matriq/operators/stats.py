@@ -274,7 +274,8 @@ def permuted(cells: DataFrame, seed: int, within: str | None = None, n: int = 1)
     many = cells.select("cell_id", *by[1:]).withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n))))
     digest = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("cell_id").cast("string"), F.col("perm").cast("string"), F.lit(str(seed)))), 1, 15), 16, 10).cast("long")
     a = positions(many, "cell_id", "cell_id", by)
-    b = positions(many.select(F.col("cell_id").alias("other"), *by, digest.alias("_h")), "_h", "other", by)
+    hashed = cut(many.select(F.col("cell_id").alias("other"), *by, digest.alias("_h")))  # else each cut between ranges takes the digest anew
+    b = positions(hashed, "_h", "other", by)
     return a.join(b, [*by, "_k"]).select("perm", "cell_id", "other")
 
 

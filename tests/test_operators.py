@@ -4,6 +4,7 @@ import json
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -857,6 +858,70 @@ def test_gaussian_spread_equals_its_edges(spark, monkeypatch):
         assert smoothed[1] == pytest.approx(smoothed[0], abs=1e-12)
 
 
+def test_gaussian_spread_sums_a_place_once(spark, monkeypatch, tmp_path):
+    """Many blocks of targets, one of sources: what is shuffled of a place does not grow with the places around it."""
+    monkeypatch.setattr(graph, "CHUNK", 16)
+    kernel = graph._kernel
+
+    def counted(*args):
+        run, out = kernel(*args), str(tmp_path)
+
+        def write(targets, sources):
+            import os
+            import uuid
+
+            found = run(targets, sources)
+            with open(os.path.join(out, uuid.uuid4().hex), "w") as f:
+                f.write(str(found.num_rows))
+            return found
+
+        return write
+
+    monkeypatch.setattr(graph, "_kernel", counted)
+    xy = np.random.default_rng(6).random((300, 2))
+    pts = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(xy)], "cell_id long, x double, y double")
+    v = pts.select("cell_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"), F.lit(1.0).alias("value"))
+    assert graph.Gaussian(pts, 0.5).spread(v, ["k"]).count() == 600
+    assert sum(int(f.read_text()) for f in tmp_path.iterdir()) == 300 * 3
+
+
+def test_gaussian_kernel_equals_all_pairs(monkeypatch):
+    """Strips and small steps; places at the radius, values that cancel out, keys without values, targets without sources."""
+    monkeypatch.setattr(graph, "PAIRS", 64)
+    rng = np.random.default_rng(8)
+    s = np.concatenate([rng.integers(-4, 9, (400, 2)) / 4.0, rng.uniform(-1, 2, (200, 2))])
+    t = np.concatenate([s[(s >= 0).all(1) & (s < 1).all(1)], [[50.0, 50.0]]])
+    given = rng.random((len(s), 3)) < [0.9, 0.02, 0.0]
+    z = np.where(given, rng.integers(-1, 2, given.shape), 0).astype(float)
+    lists = [[(np.nonzero(g)[0] if of is None else of[g]).tolist() or None for g, of in zip(given, z if k else [None] * len(s), strict=True)] for k in (0, 1)]
+    sources = pa.table({"x": s[:, 0], "y": s[:, 1], "n": np.ones(len(s)), "k": pa.array(lists[0], pa.list_(pa.int32())), "v": pa.array(lists[1], pa.list_(pa.float64()))})
+    out = graph._kernel(1.0, 2.0, 3, [])(pa.table({"tx": t[:, 0], "ty": t[:, 1]}), sources).to_pylist()
+    d = np.sqrt(((t[:, None] - s) ** 2).sum(2))
+    w = np.where(d <= 1.0, 2.0 * np.exp(-d * d / (2 * graph._sigma(1.0) ** 2)), 0.0)
+    some = np.hstack([(d <= 1.0).astype(int) @ given > 0, np.ones((len(t), 1), bool)])
+    sums = w @ np.hstack([z, np.ones((len(s), 1))])
+    want = np.array(sorted((*t[i], -1 if j == 3 else j, sums[i, j]) for i, j in zip(*np.nonzero(some), strict=True)))
+    got = np.array(sorted((r["x"], r["y"], r["_k"], r["value"]) for r in out))
+    assert (got[:, :3] == want[:, :3]).all() and np.allclose(got[:, 3], want[:, 3], atol=1e-9)
+    assert want[-1].tolist() == [50, 50, -1, 0] and not some[:, 2].any() and (sums[:, 1][some[:, 1]] == 0).any()
+
+
+def test_significance_spreads_real_and_permuted_ligands_together(spark, monkeypatch):
+    """Two multiplications by the Gaussian in all, and the scores are those of lr_scores, smoothed."""
+    p = grid(spark, 6)
+    x = p.select("cell_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("gene_id")).withColumn("value", (F.col("cell_id") * 7 % 11 + F.col("gene_id") + 1).cast("double"))
+    genes = spark.createDataFrame([("a", "ligand", 0), ("a", "receptor", 1), ("b", "ligand", 1), ("b", "receptor", 0)], "interaction string, side string, gene_id int")
+    mean = graph.row_normalized(graph.within(p, 1.0).withColumn("w", F.lit(1.0)).select("src", "dst", "w"))
+    near = graph.Gaussian(p, 2.0)
+    smoothed = signal._smooth(near, signal.lr_scores(x, genes, near, mean).withColumnRenamed("score", "value"), ["interaction"], p)
+    want = {(r["interaction"], r["cell_id"]): r["value"] for r in smoothed.collect()}
+    calls, spread = [], graph.Gaussian.spread
+    monkeypatch.setattr(graph.Gaussian, "spread", lambda self, v, keys: calls.append(keys) or spread(self, v, keys))
+    got = {(r["interaction"], r["cell_id"]): r["score"] for r in signal.lr_significance(x, genes, near, mean, p, 3).collect()}
+    assert got == pytest.approx(want) and len(got) == 72
+    assert calls == [["interaction", "perm"]] * 2
+
+
 def test_combined_pairs_are_those_of_their_edges(spark):
     rng = np.random.default_rng(5)
     pts = spark.createDataFrame([(i, *map(float, rng.uniform(0, 4, 2).round(1)), "s" if i % 3 else "t") for i in range(150)], "cell_id long, x double, y double, section string")
