@@ -88,13 +88,14 @@ def highly_variable(
 
     Moments count zeros in closed form. seurat bins log1p means at equal widths and normalises log dispersions by mean and
     deviation of their bin; cell_ranger bins at percentiles 10, 15, ... 100 and normalises by median and MAD.
-    Everything after the moments is one row a gene.
+    Everything after the moments is one row a gene, written once: sums of floats depend on the order in which parts meet, and a
+    gene whose mean is itself a percentile has to be compared with that very number.
     """
     y = x.select("cell_id", "gene_id", F.expm1("value").alias("value"))
     m = moments(y, n_cells).select("gene_id", F.col("mean").alias("_mean"), (F.col("var") * n_cells / (n_cells - 1)).alias("_var"))
     g = var.select("gene_id").join(F.broadcast(m), "gene_id", "left").na.fill(0.0)
     mean = F.when(F.col("_mean") == 0, F.lit(1e-12)).otherwise(F.col("_mean"))
-    g = g.withColumn("_d", F.col("_var") / mean)
+    g = cut(g.withColumn("_d", F.col("_var") / mean))
     one = Window.partitionBy()
     if flavor == "seurat":
         g = g.select("gene_id", F.log1p(mean).alias("means"), F.when(F.col("_d") > 0, F.log(F.col("_d"))).alias("dispersions"))
