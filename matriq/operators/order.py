@@ -83,11 +83,11 @@ def _running(df: DataFrame, cuts: DataFrame, value: str, amount: str, by: Sequen
     return out.withColumn(name, whole).drop("_p", "_b")
 
 
-def medians(steps: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(by, median) of values that stand m times each, (by, value, m): exact, as the mean of the two in the middle."""
+def medians(steps: DataFrame, by: Sequence[str], lower: bool = False) -> DataFrame:
+    """(by, median) of values that stand m times each, (by, value, m): exact, as the mean of the two in the middle, or the lower of them."""
     r = running(steps, "value", "m", by, "_u", total="_n")
     low, high = (F.min(F.when(c, F.col("value"))) for c in (2 * F.col("_u") >= F.col("_n"), 2 * F.col("_u") > F.col("_n")))
-    return r.groupBy(*by).agg(((low + high) / 2).alias("median"))
+    return r.groupBy(*by).agg((low if lower else (low + high) / 2).alias("median"))
 
 
 def draw_order(values: DataFrame) -> DataFrame:
