@@ -208,6 +208,17 @@ def test_nearest_ranks_pairs_on_the_way(spark, monkeypatch):
         assert {(r["src"], r["dst"], r["rank"]) for r in graph.nearest(m, 6, cells=cells).collect()} == brute_nearest(v, np.arange(400), 6, "euclidean")
 
 
+def test_nearest_leaves_out_vectors_with_gaps(spark):
+    """A null, NaN or infinite element keeps its own vector out, not the others' neighbours."""
+    v = np.random.default_rng(3).normal(size=(60, 2))
+    gaps = [(90, None), (91, [None, 0.0]), (92, [0.0, float("nan")]), (93, [float("-inf"), 0.0])]
+    m = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)] + gaps, "cell_id long, v array<double>")
+    for cells in (None, 6):
+        assert {(r["src"], r["dst"], r["rank"]) for r in graph.nearest(m, 4, cells=cells).collect()} == brute_nearest(v, np.arange(60), 4, "euclidean")
+    p = m.select("cell_id", F.col("v")[0].alias("x"), F.col("v")[1].alias("y"))
+    assert graph.lattice(p).exceptAll(graph.lattice(p.where("cell_id < 60"))).count() == 0 and graph.lattice(p).count() > 60
+
+
 def test_nearest_on_a_grid_breaks_ties_by_id(spark):
     p = grid(spark, 8).select("cell_id", F.array("x", "y").cast("array<double>").alias("v"))
     rows = sorted((r["cell_id"], r["v"]) for r in p.collect())
